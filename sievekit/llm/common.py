@@ -17,6 +17,10 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 ASCII_LOWER = str.maketrans(UPPER, LOWER)
 
 
+#: Rows of an Arrow batch that are Python objects at once.
+SLICE = 1000
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -60,14 +64,13 @@ def map_rows(df: DataFrame, inputs: list[str], setup: Callable[[], Callable], ou
 
     def run(batches):
         fn = setup()
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            row = batch.column(0)
-            cols = fn(*(row.field(i).to_pylist() for i in at))
-            row = row if all_ else pa.StructArray.from_arrays([row.field(i) for i in stay], names=keep)
-            arrays = [row, *(c if isinstance(c, (pa.Array, pa.ChunkedArray)) else pa.array(c, f.type) for c, f in zip(cols, arrow, strict=True))]
-            yield pa.RecordBatch.from_arrays(arrays, names=["row", *arrow.names])
+        for whole in batches:
+            for begin in range(0, whole.num_rows, SLICE):
+                row = whole.slice(begin, SLICE).column(0)
+                cols = fn(*(row.field(i).to_pylist() for i in at))
+                row = row if all_ else pa.StructArray.from_arrays([row.field(i) for i in stay], names=keep)
+                arrays = [row, *(c if isinstance(c, (pa.Array, pa.ChunkedArray)) else pa.array(c, f.type) for c, f in zip(cols, arrow, strict=True))]
+                yield pa.RecordBatch.from_arrays(arrays, names=["row", *arrow.names])
 
     packed = df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row"))
     return packed.mapInArrow(run, schema)
