@@ -1,8 +1,536 @@
-"""The registered queries of the library."""
+"""The registered queries of the library, each beside the SQL that must give the same rows."""
 
-QUERIES: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from sievekit.functions import vec
+from sievekit.operators import cluster, distance, metrics, reweight, select, splits
+from sievekit.plans import frames as P
+from sievekit.sources import tables
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+K = 10
+
+
+def query(sql: str | None = None):
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return register
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Representatives of the labelled vectors, split into training and meta rows."""
+    v = P.vectors(spark, sf_dir)
+    ids = select.select_representatives(v, 20, 10)
+    return splits.split_train_meta(v.withColumn("clean_label", F.col("label")), ids).groupBy("split", "label").agg(F.count(F.lit(1)).alias("n"))
+
+
+def r6(c):
+    return F.round(c, 6)
+
+
+def ids_of(df: DataFrame, every: int) -> DataFrame:
+    return df.filter(F.col("sample_id") % every == 0)
+
+
+# --- sources -------------------------------------------------------------------------------------------------
+
+
+@query("SELECT doc_id, quality FROM labels WHERE doc_id IN (SELECT doc_id FROM documents WHERE lang = 'en')")
+def s2_manifest(spark, sf):
+    docs = P.table(spark, sf, "documents").filter("lang = 'en'")
+    return tables.read_manifest(P.table(spark, sf, "labels").select("doc_id", "quality"), docs, "doc_id")
+
+
+@query("SELECT d.doc_id AS sample_id, coalesce(l.toxic, 2) AS label FROM documents d LEFT JOIN labels l USING (doc_id)")
+def s3_overlay(spark, sf):
+    docs = P.table(spark, sf, "documents").select(F.col("doc_id").alias("sample_id"), F.lit(2).alias("label"))
+    return tables.overlay_labels(docs, P.table(spark, sf, "labels").select(F.col("doc_id").alias("sample_id"), F.col("toxic").alias("label")))
+
+
+@query("SELECT l_orderkey, l_linenumber, round((l_quantity - 25.5) / 14.4, 6) AS a, round((l_discount - 0.05) / 0.03, 6) AS b FROM lineitem")
+def s6_standardize(spark, sf):
+    v = F.array("l_quantity", "l_discount")
+    done = vec.standardize(v, F.array(F.lit(25.5), F.lit(0.05)), F.array(F.lit(14.4), F.lit(0.03)))
+    return P.table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", done.alias("d")).select("l_orderkey", "l_linenumber", r6(F.col("d")[0]).alias("a"), r6(F.col("d")[1]).alias("b"))
+
+
+# --- splits --------------------------------------------------------------------------------------------------
+
+
+@query(f"WITH {P.SQL_LABELLED} SELECT sample_id, CASE WHEN sample_id % 2 = 0 THEN 9 ELSE label END AS label FROM l WHERE sample_id % 10 = 0 OR sample_id % 15 = 0")
+def p1_subset(spark, sf):
+    l = P.labelled(spark, sf).select("sample_id", "label")
+    ids = l.filter("sample_id % 10 = 0 OR sample_id % 15 = 0")
+    return splits.subset(l, ids, l.filter("sample_id % 2 = 0").withColumn("label", F.lit(9)))
+
+
+@query(f"WITH {P.SQL_LABELLED} SELECT sample_id, CASE WHEN sample_id % 7 = 0 THEN label ELSE 4 - label END AS label, CASE WHEN sample_id % 7 = 0 THEN 'meta' ELSE 'train' END AS split FROM l")
+def p2_split_train_meta(spark, sf):
+    l = P.labelled(spark, sf).select("sample_id", (4 - F.col("label")).alias("label"), F.col("label").alias("clean_label"))
+    return splits.split_train_meta(l, ids_of(l, 7)).select("sample_id", "label", "split")
+
+
+@query(f"WITH {P.SQL_LABELLED} SELECT sample_id FROM l ORDER BY {P.sql_ticket(3)}, sample_id LIMIT 500")
+def p3_holdout_count(spark, sf):
+    return splits.holdout_count(P.labelled(spark, sf), 500, 3).select("sample_id")
+
+
+@query(f"WITH {P.SQL_LABELLED}, r AS (SELECT sample_id, row_number() OVER (ORDER BY {P.sql_ticket(4)}, sample_id) AS k FROM l) SELECT sample_id FROM r WHERE k <= floor((SELECT count(*) FROM l) * 0.1)")
+def p4_holdout_rate(spark, sf):
+    return splits.holdout_rate(P.labelled(spark, sf), 0.1, 4).select("sample_id")
+
+
+_BY_CLASS = f"r AS (SELECT sample_id, label, row_number() OVER (PARTITION BY label ORDER BY {P.sql_ticket(5)}, sample_id) AS k FROM l)"
+
+
+@query(f"""WITH {P.SQL_LABELLED}, {_BY_CLASS}, c AS (SELECT label, count(*) AS c FROM l GROUP BY 1),
+q AS (SELECT label, CAST(floor(333 * c / sum(c) OVER ()) AS BIGINT) AS q FROM c),
+f AS (SELECT label, CASE WHEN label = max(label) OVER () THEN 333 - sum(q) OVER () + q ELSE q END AS quota FROM q)
+SELECT sample_id, label FROM r JOIN f USING (label) WHERE k <= quota""")
+def p5_holdout_by_class(spark, sf):
+    return splits.holdout_by_class(P.labelled(spark, sf).select("sample_id", "label"), 333, 5)
+
+
+@query(f"WITH {P.SQL_LABELLED}, {_BY_CLASS} SELECT sample_id, label FROM r WHERE k <= 45")
+def p6_cap_per_class(spark, sf):
+    return splits.cap_per_class(P.labelled(spark, sf).select("sample_id", "label"), 45, 5)
+
+
+@query(f"""WITH {P.SQL_LABELLED}, {_BY_CLASS}, c AS (SELECT label, count(*) AS c FROM l GROUP BY 1),
+q AS (SELECT label, floor(min(c) OVER () * pow(20.0, -(row_number() OVER (ORDER BY label) - 1) / (count(*) OVER () - 1))) AS quota FROM c)
+SELECT sample_id, label FROM r JOIN q USING (label) WHERE k <= quota""")
+def p7_long_tail(spark, sf):
+    return splits.long_tail(P.labelled(spark, sf).select("sample_id", "label"), 20.0, 5)
+
+
+@query(f"WITH {P.SQL_LABELLED} SELECT sample_id, label FROM l WHERE label = 0 UNION ALL SELECT sample_id, label FROM l WHERE label < 2")
+def p8_concat(spark, sf):
+    l = P.labelled(spark, sf).select("sample_id", "label")
+    return splits.concat(l.filter("label = 0"), l.filter("label < 2"))
+
+
+@query(f"""WITH {P.SQL_VECTORS}, i AS (SELECT i FROM (SELECT unnest(range(0, 64)) AS i) ORDER BY {P.sql_ticket(6, 'i')}, i LIMIT 8), k AS (SELECT list(i ORDER BY i) AS ks FROM i)
+SELECT sample_id, round(list_sum(list_transform(ks, lambda j: vec[j + 1])), 6) AS total, round(vec[ks[1] + 1], 6) AS head FROM v, k""")
+def p9_sample_columns(spark, sf):
+    d = splits.sample_columns(P.vectors(spark, sf), 8, 64, 6)
+    return d.select("sample_id", r6(vec.total(F.col("vec"))).alias("total"), r6(F.col("vec")[0]).alias("head"))
+
+
+@query(f"WITH {P.SQL_LABELLED} SELECT sample_id FROM l WHERE sample_id % 3 <> 0 ORDER BY {P.sql_ticket(7)}, sample_id LIMIT 100")
+def p10_fill_random(spark, sf):
+    l = P.labelled(spark, sf)
+    return splits.fill_random(l, ids_of(l, 3), 100, 7).select("sample_id")
+
+
+@query(f"WITH {P.SQL_LABELLED} SELECT sample_id, CAST(label >= 2 AS INTEGER) AS label FROM l")
+def p11_binarize(spark, sf):
+    return splits.binarize_label(P.labelled(spark, sf)).select("sample_id", "label")
+
+
+# --- label corruption ----------------------------------------------------------------------------------------
+
+_HIT = f"h AS (SELECT sample_id, label, row_number() OVER (ORDER BY {P.sql_ticket(8)}, sample_id) <= floor((SELECT count(*) FROM l) * 0.2) AS hit FROM l)"
+
+
+@query(f"WITH {P.SQL_LABELLED}, {_HIT} SELECT sample_id, CASE WHEN hit THEN CAST(floor({P.sql_uniform(9)} * 4) AS INTEGER) ELSE label END AS label FROM h")
+def n1_flip_random(spark, sf):
+    return splits.flip_random(P.labelled(spark, sf), 0.2, 5, 8).select("sample_id", "label")
+
+
+@query(f"WITH {P.SQL_LABELLED} SELECT sample_id, CAST(least(len(list_filter(list_transform(range(1, 6), lambda j: round(0.06 * j + CASE WHEN j > label THEN 0.7 ELSE 0 END, 12)), lambda c: c <= {P.sql_uniform(8)})), 4) AS INTEGER) AS label FROM l")
+def n2_flip_matrix(spark, sf):
+    return splits.flip_matrix(P.labelled(spark, sf), splits.uniform_matrix(5, 0.3), 8).select("sample_id", "label")
+
+
+@query(f"WITH {P.SQL_LABELLED}, {_HIT} SELECT sample_id, CASE WHEN hit THEN CAST((label + 1 + floor({P.sql_uniform(9)} * 4)) % 5 AS INTEGER) ELSE label END AS label FROM h")
+def n3_flip_other(spark, sf):
+    return splits.flip_other(P.labelled(spark, sf), 0.2, 5, 8).select("sample_id", "label")
+
+
+@query(f"WITH {P.SQL_LABELLED}, {_HIT} SELECT sample_id, CASE WHEN hit THEN [3, 0, 4, 1, 2][label + 1] ELSE label END AS label FROM h")
+def n4_flip_permute(spark, sf):
+    return splits.flip_permute(P.labelled(spark, sf), 0.2, [3, 0, 4, 1, 2], 8).select("sample_id", "label")
+
+
+# --- distances -----------------------------------------------------------------------------------------------
+
+_NORM = "sqrt(list_inner_product({0}, {0}))"
+_FLAT = "list_sum(list_transform({0}, lambda x: abs(x))) / " + _NORM
+_DIST = {
+    "l2": "sqrt(list_sum(list_transform(list_zip(v.vec, c.vec), lambda z: (z[1] - z[2]) * (z[1] - z[2]))))",
+    "abs_cos": f"1 - abs(list_inner_product(v.vec, c.vec)) / ({_NORM.format('v.vec')} * {_NORM.format('c.vec')})",
+    "abs_cos_by_norm": f"1 - abs(list_inner_product(v.vec, c.vec)) / {_NORM.format('v.vec')}",
+    "neg_cos": f"-list_inner_product(v.vec, c.vec) / ({_NORM.format('v.vec')} * {_NORM.format('c.vec')})",
+    "abs_dot": "1 - abs(list_inner_product(v.vec, c.vec))",
+    "cross": f"1 - ({_FLAT.format('v.vec')}) * ({_FLAT.format('c.vec')}) / 4096",
+}
+_CENTERS = "c AS (SELECT CAST(row_number() OVER (ORDER BY sample_id) - 1 AS INTEGER) AS cluster_id, vec FROM (SELECT * FROM v ORDER BY sample_id LIMIT 10))"
+
+
+def _pairs(metric: str) -> str:
+    return f"d AS (SELECT v.sample_id, v.label, c.cluster_id, round({_DIST[metric]}, 9) AS dist FROM v, c)"
+
+
+def _distance(name: str, metric: str):
+    def run(spark, sf):
+        v = P.vectors(spark, sf)
+        return distance.pairs(v, cluster.first_seeds(v, 10), metric).select("sample_id", "cluster_id", r6(F.col("dist")).alias("dist"))
+
+    run.__name__ = name
+    query(f"WITH {P.SQL_VECTORS}, {_CENTERS}, {_pairs(metric)} SELECT sample_id, cluster_id, round(dist, 6) AS dist FROM d")(run)
+
+
+for _name, _metric in (("d1_l2", "l2"), ("d3_abs_cos", "abs_cos"), ("d3_abs_cos_by_norm", "abs_cos_by_norm"), ("d5_neg_cos", "neg_cos"), ("d6_abs_dot", "abs_dot"), ("d7_cross", "cross")):
+    _distance(_name, _metric)
+
+
+@query(f"""WITH {P.SQL_VECTORS} SELECT v.sample_id, c.sample_id AS chosen_id, round((SELECT avg(x) FROM (SELECT unnest([
+list_sum(list_transform(list_zip(v.vec[1:32], c.vec[1:32]), lambda z: (z[1] - z[2]) * (z[1] - z[2]))), list_sum(list_transform(list_zip(v.vec[33:64], c.vec[33:64]), lambda z: (z[1] - z[2]) * (z[1] - z[2])))]) AS x)), 6) AS dist
+FROM v, v c WHERE c.sample_id < 5""")
+def d2_l2_blocks(spark, sf):
+    v = P.vectors(spark, sf).withColumn("vec", F.array(F.slice("vec", 1, 32), F.slice("vec", 33, 32)))
+    chosen = v.filter("sample_id < 5").select(F.col("sample_id").alias("chosen_id"), "vec")
+    return distance.pairs(v, chosen, "l2_blocks", "chosen_id").select("sample_id", "chosen_id", r6(F.col("dist")).alias("dist"))
+
+
+_NEAREST = "n AS (SELECT sample_id, label, arg_min(cluster_id, (dist, cluster_id)) AS cluster_id, min(dist) AS dist FROM d GROUP BY 1, 2)"
+
+
+@query(f"WITH {P.SQL_VECTORS}, {_CENTERS}, {_pairs('abs_cos')}, {_NEAREST} SELECT sample_id, cluster_id, round(dist, 6) AS dist FROM n")
+def d12_assign(spark, sf):
+    v = P.vectors(spark, sf)
+    return distance.assign(v, cluster.first_seeds(v, 10)).select("sample_id", "cluster_id", r6(F.col("dist")).alias("dist"))
+
+
+_COVER = f"c AS (SELECT sample_id AS cluster_id, vec FROM v WHERE sample_id % 25 = 0), {_pairs('abs_cos')}, g AS (SELECT sample_id, min(dist) AS dist FROM d GROUP BY 1)"
+
+
+@query(f"WITH {P.SQL_VECTORS}, {_COVER} SELECT sample_id, round(dist, 6) AS dist FROM g")
+def d13_coverage(spark, sf):
+    v = P.vectors(spark, sf)
+    return distance.coverage(v, ids_of(v, 25)).select("sample_id", r6(F.col("dist")).alias("dist"))
+
+
+@query(f"""WITH {P.SQL_VECTORS}, {_CENTERS}, {_pairs('abs_cos')}, r AS (SELECT *, row_number() OVER w AS r, lead(dist) OVER w AS nxt FROM d WINDOW w AS (PARTITION BY sample_id ORDER BY dist, cluster_id))
+SELECT cluster_id, round(max(dist), 6) AS max_own, round(min(nxt), 6) AS min_second FROM r WHERE r = 1 GROUP BY 1""")
+def d15_cluster_spread(spark, sf):
+    v = P.vectors(spark, sf)
+    s = distance.cluster_spread(distance.pairs(v, cluster.first_seeds(v, 10), "abs_cos"))
+    return s.select("cluster_id", r6(F.col("max_own")).alias("max_own"), r6(F.col("min_second")).alias("min_second"))
+
+
+@query(f"""WITH {P.SQL_VECTORS}, d AS (SELECT a.label, a.sample_id AS id_a, b.sample_id AS id_b, round(list_sum(list_transform(list_zip(a.vec, b.vec), lambda z: (z[1] - z[2]) * (z[1] - z[2]))), 9) AS d2
+FROM v a JOIN v b ON a.label = b.label AND a.sample_id < b.sample_id) SELECT label, id_a, id_b, round(max(d2) OVER (PARTITION BY label) - d2, 6) AS sim FROM d""")
+def d10_class_similarity(spark, sf):
+    return distance.class_similarity(P.vectors(spark, sf)).withColumn("sim", r6(F.col("sim")))
+
+
+# --- clustering ----------------------------------------------------------------------------------------------
+
+
+@query(f"""WITH {P.SQL_VECTORS}, {_CENTERS}, {_pairs('abs_cos')}, {_NEAREST},
+m AS (SELECT cluster_id, i, avg(vec[i]) AS x FROM n JOIN v USING (sample_id), (SELECT unnest(range(1, 65)) AS i) GROUP BY ALL)
+SELECT cluster_id, CAST(i - 1 AS INTEGER) AS i, round(x, 6) AS x FROM m""")
+def c3_lloyd_step(spark, sf):
+    v = P.vectors(spark, sf)
+    out = cluster.lloyd_step(v, cluster.first_seeds(v, 10))
+    return out.select("cluster_id", F.posexplode("vec").alias("i", "x")).withColumn("x", r6(F.col("x")))
+
+
+@query()
+def c3_kmeans(spark, sf):
+    v = P.vectors(spark, sf)
+    centers = cluster.kmeans(v, cluster.farthest_first(v, 10).select("cluster_id", "vec"))
+    return distance.assign(v, centers).groupBy("cluster_id").agg(F.count(F.lit(1)).alias("n"), r6(F.avg("dist")).alias("mean_dist"))
+
+
+@query(f"""WITH {P.SQL_VECTORS}, s0 AS (SELECT sample_id, vec FROM v ORDER BY sample_id LIMIT 1),
+d1 AS (SELECT v.sample_id, v.vec, round({_DIST['abs_cos']}, 9) AS dist FROM v, s0 c WHERE v.sample_id <> c.sample_id), s1 AS (SELECT sample_id, vec FROM d1 ORDER BY dist DESC, sample_id LIMIT 1),
+d2 AS (SELECT v.sample_id, min(round({_DIST['abs_cos']}, 9)) AS dist FROM v, (SELECT * FROM s0 UNION ALL SELECT * FROM s1) c WHERE v.sample_id NOT IN (SELECT sample_id FROM s0 UNION ALL SELECT sample_id FROM s1) GROUP BY 1),
+s2 AS (SELECT sample_id FROM d2 ORDER BY dist DESC, sample_id LIMIT 1)
+SELECT 0 AS cluster_id, sample_id FROM s0 UNION ALL SELECT 1, sample_id FROM s1 UNION ALL SELECT 2, sample_id FROM s2""")
+def c1_farthest_first(spark, sf):
+    return cluster.farthest_first(P.vectors(spark, sf), 3).select("cluster_id", "sample_id")
+
+
+@query(f"""WITH {P.SQL_VECTORS}, {_CENTERS}, {_pairs('abs_cos')}, {_NEAREST}, b AS (SELECT a.sample_id, a.cluster_id AS own, t.cluster_id AS theirs, round(list_distance(va.vec, vb.vec), 9) AS dist
+FROM n a JOIN n t ON a.sample_id <> t.sample_id JOIN v va ON va.sample_id = a.sample_id JOIN v vb ON vb.sample_id = t.sample_id WHERE a.label = 3 AND t.label = 3),
+m AS (SELECT sample_id, own, theirs, avg(dist) AS m FROM b GROUP BY ALL), s AS (SELECT sample_id, max(CASE WHEN own = theirs THEN m END) AS a, min(CASE WHEN own <> theirs THEN m END) AS b FROM m GROUP BY 1)
+SELECT sample_id, round(coalesce((b - a) / greatest(a, b), 0), 6) AS score FROM s""")
+def c11_silhouette(spark, sf):
+    v = P.vectors(spark, sf)
+    one = distance.assign(v, cluster.first_seeds(v, 10)).filter("label = 3")
+    return cluster.silhouette(one, one).select("sample_id", r6(F.col("score")).alias("score"))
+
+
+# --- representations -----------------------------------------------------------------------------------------
+
+
+@query(f"WITH {P.SQL_LOGITS} SELECT sample_id, CAST(list_position(logits, list_max(logits)) - 1 AS INTEGER) AS predicted, round(list_max(probs), 6) AS top, round(list_reverse_sort(probs)[1] - list_reverse_sort(probs)[2], 6) AS gap, round(logp[1], 6) AS logp0 FROM p")
+def r1_logit_scalars(spark, sf):
+    z = F.col("logits")
+    return P.logits(spark, sf).select("sample_id", vec.argmax(z).alias("predicted"), r6(F.array_max(vec.softmax(z))).alias("top"), r6(vec.top2_gap(vec.softmax(z))).alias("gap"), r6(vec.log_softmax(z)[0]).alias("logp0"))
+
+
+@query(f"WITH {P.SQL_LOGITS} SELECT sample_id, round(vec[1] * probs[1], 6) AS first, round(vec[64] * probs[10], 6) AS last, CAST(640 AS INTEGER) AS width FROM p")
+def r2_rank_one(spark, sf):
+    d = P.logits(spark, sf).select("sample_id", vec.outer(F.col("vec"), vec.softmax(F.col("logits"))).alias("r"))
+    return d.select("sample_id", r6(F.col("r")[0]).alias("first"), r6(F.element_at("r", -1)).alias("last"), F.size("r").alias("width"))
+
+
+@query(f"WITH {P.SQL_LOGITS} SELECT sample_id, CAST(j AS INTEGER) AS j, round(probs[j + 1] - CASE WHEN j = label THEN 1 ELSE 0 END, 6) AS g FROM p, (SELECT unnest(range(0, 10)) AS j)")
+def r3_ce_gradient(spark, sf):
+    d = P.logits(spark, sf).select("sample_id", F.posexplode(vec.ce_gradient(F.col("logits"), F.col("label"), K)).alias("j", "g"))
+    return d.withColumn("g", r6(F.col("g")))
+
+
+# --- selection -----------------------------------------------------------------------------------------------
+
+_SCORE = "round(-list_inner_product(logits, logp), 6) AS score"
+
+
+@query(f"WITH {P.SQL_LOGITS} SELECT sample_id, {_SCORE} FROM p ORDER BY score DESC, sample_id LIMIT 20")
+def l1_uncertain(spark, sf):
+    return select.select_uncertain(P.logits(spark, sf), 20)
+
+
+@query(f"WITH {P.SQL_LOGITS} SELECT sample_id, {_SCORE} FROM p ORDER BY score, sample_id LIMIT 20")
+def l2_certain(spark, sf):
+    return select.select_certain(P.logits(spark, sf), 20)
+
+
+@query(f"WITH {P.SQL_LOGITS} SELECT sample_id, round(list_max(probs), 6) AS score FROM p ORDER BY score DESC, sample_id LIMIT 20")
+def l3_confident(spark, sf):
+    return select.select_confident(P.logits(spark, sf), 20)
+
+
+_GAP = "round(list_reverse_sort(probs)[1] - list_reverse_sort(probs)[2], 6)"
+
+
+@query(f"WITH {P.SQL_LOGITS} SELECT sample_id, {_GAP} AS score FROM p WHERE sample_id % 4 <> 0 ORDER BY score, sample_id LIMIT 20")
+def l4_margin(spark, sf):
+    z = P.logits(spark, sf)
+    return select.select_margin(z, 20, ids_of(P.vectors(spark, sf), 4))
+
+
+@query(f"""WITH {P.SQL_LOGITS}, r AS (SELECT sample_id, label, {_GAP} AS score FROM p WHERE list_position(logits, list_max(logits)) - 1 = label),
+k AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY score, sample_id) AS r FROM r WHERE score < 0.5) SELECT sample_id, label, score FROM k WHERE r <= 3""")
+def l5_margin_by_class(spark, sf):
+    return select.select_margin_by_class(P.logits(spark, sf), 30, K, 0.5)
+
+
+_RANK = "k AS (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY dist, sample_id) AS r FROM {})"
+
+
+@query(f"WITH {P.SQL_VECTORS}, {_CENTERS}, {_pairs('abs_cos')}, {_RANK.format('d')} SELECT cluster_id, sample_id, round(dist, 6) AS dist FROM k WHERE r <= 5")
+def l7_nearest_to_centers(spark, sf):
+    v = P.vectors(spark, sf)
+    return select.nearest_to_centers(v, cluster.first_seeds(v, 10), 50, 10).withColumn("dist", r6(F.col("dist")))
+
+
+@query(f"WITH {P.SQL_VECTORS}, {_CENTERS}, {_pairs('abs_cos')}, {_NEAREST}, {_RANK.format('n')} SELECT cluster_id, sample_id, round(dist, 6) AS dist FROM k WHERE r <= 5")
+def l7_nearest_members(spark, sf):
+    v = P.vectors(spark, sf)
+    return select.nearest_to_centers(v, cluster.first_seeds(v, 10), 50, 10, members_only=True).withColumn("dist", r6(F.col("dist")))
+
+
+@query()
+def l8_representatives(spark, sf):
+    return select.select_representatives(P.vectors(spark, sf), 20, 10, 40)
+
+
+@query(f"WITH {P.SQL_VECTORS}, {_COVER}, r AS (SELECT *, row_number() OVER (ORDER BY dist DESC, sample_id) AS r FROM g) SELECT sample_id, round(dist, 6) AS dist FROM r WHERE r <= floor((SELECT count(*) FROM v) / 4)")
+def l11_farthest_fraction(spark, sf):
+    v = P.vectors(spark, sf)
+    return select.farthest_fraction(v, ids_of(v, 25)).withColumn("dist", r6(F.col("dist")))
+
+
+@query(f"WITH {P.SQL_VECTORS}, {_COVER} SELECT sample_id, round(dist, 6) AS dist FROM (SELECT * FROM g WHERE sample_id % 3 = 0 ORDER BY dist DESC, sample_id LIMIT 15)")
+def l12_uncovered_top(spark, sf):
+    v = P.vectors(spark, sf)
+    return select.uncovered_top(ids_of(v, 3), ids_of(v, 25), 15).withColumn("dist", r6(F.col("dist")))
+
+
+@query(f"WITH {P.SQL_VECTORS}, {_COVER} SELECT sample_id, round(dist, 6) AS dist FROM g WHERE dist > 0.6")
+def l13_uncovered_radius(spark, sf):
+    v = P.vectors(spark, sf)
+    return select.uncovered_radius(v, ids_of(v, 25), 0.6).withColumn("dist", r6(F.col("dist")))
+
+
+@query(f"""WITH {P.SQL_VECTORS}, {_CENTERS}, {_pairs('abs_cos')}, {_NEAREST}, e AS (SELECT v.sample_id, min(round({_DIST['abs_cos']}, 9)) AS cover FROM v, v c WHERE c.sample_id % 25 = 0 GROUP BY 1),
+k AS (SELECT n.cluster_id, n.sample_id, cover, row_number() OVER (PARTITION BY n.cluster_id ORDER BY cover DESC, n.sample_id) AS r FROM n JOIN e USING (sample_id))
+SELECT cluster_id, sample_id, round(cover, 6) AS cover FROM (SELECT * FROM k WHERE r = 1 ORDER BY cover DESC, sample_id LIMIT 6)""")
+def l18_one_per_cluster(spark, sf):
+    v = P.vectors(spark, sf)
+    return select.farthest_one_per_cluster(v, cluster.first_seeds(v, 10), ids_of(v, 25), 6).withColumn("cover", r6(F.col("cover")))
+
+
+@query("WITH d AS (SELECT user_id AS sample_id, abs(round(sum(value - 50), 6)) AS score FROM events GROUP BY 1) SELECT sample_id, score FROM d ORDER BY score DESC, sample_id LIMIT 25")
+def l19_weight_change(spark, sf):
+    e = P.table(spark, sf, "events").select(F.col("user_id").alias("sample_id"), (F.col("value") - 50).alias("delta"))
+    return select.select_by_weight_change(e, 25)
+
+
+@query(f"""WITH {P.SQL_LABELLED}, c AS (SELECT label, count(*) AS c FROM l GROUP BY 1), s AS (SELECT label, 48 * c / sum(c) OVER () AS share FROM c),
+r AS (SELECT label, floor(share) AS low, row_number() OVER (ORDER BY round(share - floor(share), 9) DESC, label) AS rank, 48 - sum(floor(share)) OVER () AS rest FROM s)
+SELECT label, CAST(1 + low + CASE WHEN rank <= rest THEN 1 ELSE 0 END AS BIGINT) AS budget FROM r""")
+def l20_class_budgets(spark, sf):
+    return select.class_budgets(P.labelled(spark, sf), 53)
+
+
+@query(f"WITH {P.SQL_VECTORS}, {_COVER} SELECT pick, count(*) AS gamma FROM (SELECT sample_id, arg_min(cluster_id, (dist, cluster_id)) AS pick FROM d GROUP BY 1) GROUP BY 1")
+def l24_coreset_gamma(spark, sf):
+    v = P.vectors(spark, sf)
+    sims = distance.pairs(v, ids_of(v, 25).select(F.col("sample_id").alias("pick"), "vec"), "abs_cos", "pick").withColumn("sim", -F.col("dist"))
+    return select.coreset_gamma(sims)
+
+
+@query(f"WITH {P.SQL_LABELLED} SELECT sample_id, value FROM (SELECT sample_id, value FROM l ORDER BY {P.sql_ticket(11)}, sample_id LIMIT 400) ORDER BY value, sample_id LIMIT 30")
+def l27_pool_query(spark, sf):
+    return select.pool_query(P.labelled(spark, sf).withColumn("score", F.col("value")), 30, 400, 11).select("sample_id", "value")
+
+
+@query(f"WITH {P.SQL_LOGITS}, u AS (SELECT sample_id, {_SCORE} FROM p ORDER BY score DESC, sample_id LIMIT 10) SELECT sample_id, CASE WHEN sample_id IN (SELECT sample_id FROM u) THEN label ELSE 99 END AS label FROM p")
+def l28_repair_labels(spark, sf):
+    z = P.logits(spark, sf).withColumn("clean_label", F.col("label")).withColumn("label", F.lit(99))
+    return select.repair_labels(z).select("sample_id", "label")
+
+
+# --- weights -------------------------------------------------------------------------------------------------
+
+
+@query(f"WITH {P.SQL_LABELLED} SELECT sample_id, round({P.sql_uniform(2)}, 9) AS w FROM l")
+def w1_init_weights(spark, sf):
+    return reweight.init_weights(P.labelled(spark, sf), seed=2).withColumn("w", F.round("w", 9))
+
+
+@query(f"""WITH {P.SQL_LOGITS}, g AS (SELECT sample_id, vec, list_transform(list_zip(probs, range(0, 10)), lambda z: z[1] - CASE WHEN z[2] = label THEN 1 ELSE 0 END) AS g FROM p),
+m AS (SELECT i, j, avg(vec[i] * g[j]) AS x FROM g, (SELECT unnest(range(1, 65)) AS i), (SELECT unnest(range(1, 11)) AS j) WHERE sample_id % 10 = 0 GROUP BY ALL),
+d AS (SELECT sample_id, sum(vec[i] * g[j] * x) AS d FROM g, m WHERE sample_id % 10 <> 0 GROUP BY 1)
+SELECT sample_id, round(least(greatest(0.5 + 20 * (0.1 / 32) * d, 1e-7), 1), 6) AS w FROM d""")
+def w2_meta_step(spark, sf):
+    z = P.logits(spark, sf).withColumn("w", F.lit(0.5))
+    out = reweight.meta_step(z.filter("sample_id % 10 <> 0"), z.filter("sample_id % 10 = 0"), K, 0.1, 20.0, 32)
+    return out.withColumn("w", r6(F.col("w")))
+
+
+@query("""WITH s AS (SELECT user_id AS sample_id, event_id AS epoch, value AS w FROM events), d AS (SELECT *, coalesce(w - lag(w) OVER (PARTITION BY sample_id ORDER BY epoch), 0) AS delta FROM s)
+SELECT sample_id, epoch, round(delta, 6) AS delta, round(sum(delta) OVER (PARTITION BY sample_id ORDER BY epoch), 6) + 0 AS change FROM d""")
+def w3_weight_deltas(spark, sf):
+    s = P.table(spark, sf, "events").select(F.col("user_id").alias("sample_id"), F.col("event_id").alias("epoch"), F.col("value").alias("w"))
+    return reweight.weight_deltas(s).withColumn("delta", r6(F.col("delta"))).withColumn("change", r6(F.col("change")) + 0)
+
+
+@query("SELECT event_id, round(greatest(value - 50, 0) / sum(greatest(value - 50, 0)) OVER (PARTITION BY event_id // 100), 6) AS w FROM events")
+def w4_normalize(spark, sf):
+    e = P.table(spark, sf, "events").select("event_id", (F.col("value") - 50).alias("w"), F.floor(F.col("event_id") / 100).alias("batch"))
+    return reweight.normalize_weights(e, "sum").select("event_id", r6(F.col("w")).alias("w"))
+
+
+@query("SELECT event_id, round(greatest(value / 100 / 1.5 - 0.2, 1e-5), 6) AS w FROM events")
+def w5_decayed_step(spark, sf):
+    e = P.table(spark, sf, "events").select("event_id", (F.col("value") / 100).alias("w"), F.lit(0.2).alias("grad"))
+    return reweight.decayed_step(e, 1.5).select("event_id", r6(F.col("w")).alias("w"))
+
+
+_OWN = "logp[label + 1]"
+_LOSS = {
+    "ce": f"-{_OWN}",
+    "l1": "list_sum(list_transform(list_zip(probs, range(0, 10)), lambda z: abs(z[1] - CASE WHEN z[2] = label THEN 1 ELSE 0 END)))",
+    "soft": f"-0.95 * {_OWN} - 0.05 * list_inner_product(probs, logp)",
+    "hard": f"-0.95 * {_OWN} - 0.05 * list_max(logp)",
+}
+
+
+def _loss(kind: str):
+    def run(spark, sf):
+        return reweight.sample_loss(P.logits(spark, sf), kind, K).withColumn("loss", r6(F.col("loss")))
+
+    run.__name__ = f"w7_loss_{kind}"
+    query(f"WITH {P.SQL_LOGITS} SELECT sample_id, round({_LOSS[kind]}, 6) AS loss FROM p")(run)
+
+
+for _kind in _LOSS:
+    _loss(_kind)
+
+
+@query(f"WITH {P.SQL_LOGITS} SELECT label, CAST(j - 1 AS INTEGER) AS j, round(avg(logits[j]), 6) AS x FROM z, (SELECT unnest(range(1, 11)) AS j) GROUP BY ALL")
+def w8_glc_matrix(spark, sf):
+    return reweight.glc_matrix(P.logits(spark, sf)).select("label", F.posexplode("row").alias("j", "x")).withColumn("x", r6(F.col("x")))
+
+
+# --- evaluation ----------------------------------------------------------------------------------------------
+
+_PRED = "CAST(list_position(logits, list_max(logits)) - 1 AS INTEGER)"
+
+
+@query(f"WITH {P.SQL_LOGITS}, s AS (SELECT count(*) AS n, avg(-{_OWN}) AS loss, count(*) FILTER ({_PRED} = label) AS correct FROM p) SELECT n, round(loss, 6) AS loss, correct, round(100 * correct / n, 6) AS accuracy FROM s")
+def m1_evaluate(spark, sf):
+    return metrics.evaluate(P.logits(spark, sf)).withColumn("loss", r6(F.col("loss"))).withColumn("accuracy", r6(F.col("accuracy")))
+
+
+@query(f"""WITH {P.SQL_LOGITS}, q AS (SELECT label AS y, {_PRED} AS p FROM p), o AS (SELECT sum((y - p) * (y - p)) AS d, count(*) AS n FROM q),
+e AS (SELECT sum((a.y - b.p) * (a.y - b.p)) AS e FROM q a, q b) SELECT round(1 - d / (e / n), 6) AS kappa FROM o, e""")
+def m2_kappa(spark, sf):
+    z = P.logits(spark, sf).withColumn("predicted", vec.argmax(F.col("logits")))
+    return metrics.quadratic_kappa(z).withColumn("kappa", r6(F.col("kappa")))
+
+
+@query(f"""WITH {P.SQL_LOGITS}, s AS (SELECT label AS y, CAST(j AS INTEGER) AS label, round(logits[j + 1], 1) AS s FROM z, (SELECT unnest(range(0, 10)) AS j))
+SELECT a.label, round(avg(CASE WHEN a.s > b.s THEN 1.0 WHEN a.s = b.s THEN 0.5 ELSE 0.0 END), 6) AS auc FROM s a JOIN s b ON a.label = b.label WHERE a.y = a.label AND b.y <> b.label GROUP BY 1""")
+def m3_roc_auc(spark, sf):
+    z = P.logits(spark, sf).withColumn("scores", F.transform("logits", lambda x: F.round(x, 1)))
+    return metrics.roc_auc(z).withColumn("auc", r6(F.col("auc")))
+
+
+@query(f"WITH {P.SQL_LOGITS}, s AS (SELECT 1 + len(list_filter(logits, lambda x: x > logits[label + 1])) AS place FROM z) SELECT CAST(k AS INTEGER) AS k, round(100 * count(*) FILTER (place <= k) / count(*), 6) AS accuracy FROM s, (SELECT unnest([1, 5]) AS k) GROUP BY k")
+def m4_topk_accuracy(spark, sf):
+    return metrics.topk_accuracy(P.logits(spark, sf)).withColumn("accuracy", r6(F.col("accuracy")))
+
+
+@query(f"""WITH {P.SQL_VECTORS}, s AS (SELECT v.sample_id, c.sample_id AS near_id, c.label, -round({_DIST['neg_cos']}, 9) AS sim FROM v, v c WHERE v.sample_id % 10 = 0 AND c.sample_id % 10 <> 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY sample_id ORDER BY sim DESC, near_id) AS r FROM s), t AS (SELECT sample_id, label, round(sum(exp(sim / 0.5)), 6) AS votes FROM r WHERE r <= 20 GROUP BY 1, 2),
+b AS (SELECT *, row_number() OVER (PARTITION BY sample_id ORDER BY votes DESC, label) AS r FROM t) SELECT sample_id, label AS predicted, votes FROM b WHERE r = 1""")
+def m6_knn_vote(spark, sf):
+    v = P.vectors(spark, sf)
+    return metrics.knn_vote(ids_of(v, 10), v.filter("sample_id % 10 <> 0"), 20, 0.5)
+
+
+_HIST = "h AS (SELECT user_id % 20 AS run, CAST(dayofyear(ts) AS INTEGER) AS epoch, round(avg(value), 3) AS metric, round(max(value), 3) AS test_metric FROM events GROUP BY 1, 2)"
+
+
+def _history(spark, sf):
+    e = P.table(spark, sf, "events")
+    return e.groupBy((F.col("user_id") % 20).alias("run"), F.dayofyear("ts").alias("epoch")).agg(F.round(F.avg("value"), 3).alias("metric"), F.round(F.max("value"), 3).alias("test_metric"))
+
+
+@query(f"WITH {_HIST}, b AS (SELECT *, max((metric, epoch)) OVER (PARTITION BY run ORDER BY epoch) AS b FROM h) SELECT run, epoch, b[1] AS best_metric, b[2] AS best_epoch FROM b")
+def m7_best_so_far(spark, sf):
+    return metrics.best_so_far(_history(spark, sf)).select("run", "epoch", "best_metric", "best_epoch")
+
+
+@query(f"WITH {_HIST} SELECT run, arg_max(epoch, (metric, epoch)) AS epoch, arg_max(test_metric, (metric, epoch)) AS test_metric FROM h GROUP BY 1")
+def m8_early_stop(spark, sf):
+    return metrics.early_stop(_history(spark, sf))
+
+
+@query(f"WITH {P.SQL_LABELLED} SELECT split, label, n, round(n / sum(n) OVER (PARTITION BY split), 6) AS share FROM (SELECT CASE WHEN sample_id % 5 = 0 THEN 'meta' ELSE 'train' END AS split, label, count(*) AS n FROM l GROUP BY 1, 2)")
+def m9_class_shares(spark, sf):
+    l = P.labelled(spark, sf).withColumn("split", F.when(F.col("sample_id") % 5 == 0, "meta").otherwise("train"))
+    return metrics.class_shares(l).withColumn("share", r6(F.col("share")))
 
 
-def flagship(spark, sf_dir):
-    raise NotImplementedError
+@query("SELECT user_id AS run, event_id AS step, round(sum(value * (1 + event_id % 3)) OVER w / sum(1 + event_id % 3) OVER w, 6) AS average FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)")
+def m13_running_average(spark, sf):
+    e = P.table(spark, sf, "events").select(F.col("user_id").alias("run"), F.col("event_id").alias("step"), "value", (1 + F.col("event_id") % 3).alias("n"))
+    return metrics.running_average(e).select("run", "step", r6(F.col("average")).alias("average"))
