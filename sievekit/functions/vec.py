@@ -10,6 +10,11 @@ def as_double(x) -> Column:
     return F.transform(x, lambda e: e.cast("double"))
 
 
+def bind(x, f) -> Column:
+    """f(x) with x computed once, however often f uses it (inside a lambda an expression is computed at each use)."""
+    return F.element_at(F.transform(F.array(x), f), 1)
+
+
 def total(x) -> Column:
     return F.aggregate(x, F.lit(0.0), lambda a, e: a + e)
 
@@ -32,25 +37,25 @@ def standardize(x, mean, std) -> Column:
 
 def softmax(z) -> Column:
     """Shifted by the maximum, so that no exponential overflows."""
-    top = F.array_max(z)
-    shifted = F.transform(z, lambda e: F.exp(e - top))
-    return F.transform(shifted, lambda e: e / total(shifted))
+    exps = lambda z: bind(F.array_max(z), lambda top: F.transform(z, lambda e: F.exp(e - top)))
+    return bind(bind(z, exps), lambda s: bind(total(s), lambda t: F.transform(s, lambda e: e / t)))
 
 
 def log_softmax(z) -> Column:
-    top = F.array_max(z)
-    log_sum = F.log(total(F.transform(z, lambda e: F.exp(e - top))))
-    return F.transform(z, lambda e: e - top - log_sum)
+    def of(z):
+        log_sum = lambda top: top + F.log(total(F.transform(z, lambda e: F.exp(e - top))))
+        return bind(bind(F.array_max(z), log_sum), lambda t: F.transform(z, lambda e: e - t))
+
+    return bind(z, of)
 
 
 def argmax(z) -> Column:
     """The first position of the maximum, from 0."""
-    return (F.array_position(z, F.array_max(z)) - 1).cast("int")
+    return bind(z, lambda z: (F.array_position(z, F.array_max(z)) - 1).cast("int"))
 
 
 def top2_gap(z) -> Column:
-    ordered = F.reverse(F.array_sort(z))
-    return F.element_at(ordered, 1) - F.element_at(ordered, 2)
+    return bind(F.reverse(F.array_sort(z)), lambda o: F.element_at(o, 1) - F.element_at(o, 2))
 
 
 def onehot(label, k: int) -> Column:
@@ -59,7 +64,7 @@ def onehot(label, k: int) -> Column:
 
 def outer(h, g) -> Column:
     """The flattened product of two vectors, row by row of the first."""
-    return F.flatten(F.transform(h, lambda a: F.transform(g, lambda b: a * b)))
+    return bind(g, lambda g: F.flatten(F.transform(h, lambda a: F.transform(g, lambda b: a * b))))
 
 
 def take(vec, indices: list[int]) -> Column:
@@ -134,7 +139,7 @@ def hard_bootstrap(z, label, beta: float = 0.95) -> Column:
 
 def uncertainty(z) -> Column:
     """-sum of logit times log-probability: the logits themselves are the soft target."""
-    return -dot(z, log_softmax(z))
+    return bind(z, lambda z: -dot(z, log_softmax(z)))
 
 
 def ce_gradient(z, label, k: int) -> Column:

@@ -33,7 +33,7 @@ def farthest_first(df: DataFrame, k: int, metric: str = "abs_cos", seed: int | N
     chosen = [df.orderBy(*order).select("sample_id", "vec").first()]
     while len(chosen) < k:
         taken = F.array(*(F.array(*map(F.lit, c["vec"])) for c in chosen))
-        near = F.array_min(F.transform(taken, lambda c: F.round(vec.METRICS[metric](F.col("vec"), c), 9)))
+        near = vec.bind(F.col("vec"), lambda v: F.array_min(F.transform(taken, lambda c: F.round(vec.METRICS[metric](v, c), 9))))
         rest = df.filter(~F.col("sample_id").isin([c["sample_id"] for c in chosen]))
         found = rest.select("sample_id", "vec", near.alias("near")).orderBy(F.col("near").desc(), "sample_id").first()
         if found is None:

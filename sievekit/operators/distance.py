@@ -36,8 +36,8 @@ def centre_array(centers: DataFrame) -> DataFrame:
 
 def assign(df: DataFrame, centers: DataFrame, metric: str = "abs_cos") -> DataFrame:
     """df with the nearest centre's cluster_id and dist. The centres travel as one array, so rows aren't multiplied."""
-    distance = lambda c: F.struct(F.round(vec.METRICS[metric](F.col("vec"), c["vec"]), 9).alias("dist"), c["cluster_id"].alias("cluster_id"))
-    best = F.array_min(F.transform("_centers", distance))
+    distance = lambda v, c: F.struct(F.round(vec.METRICS[metric](v, c["vec"]), 9).alias("dist"), c["cluster_id"].alias("cluster_id"))
+    best = vec.bind(F.col("vec"), lambda v: F.array_min(F.transform("_centers", lambda c: distance(v, c))))
     return df.join(F.broadcast(centre_array(centers))).withColumn("_best", best).withColumn("cluster_id", F.col("_best.cluster_id")).withColumn("dist", F.col("_best.dist")).drop("_best", "_centers")
 
 

@@ -111,12 +111,12 @@ def repair_labels(df: DataFrame, m: int = 10) -> DataFrame:
     return df.join(picked, "sample_id", "left").withColumn("label", F.when(F.col("_p"), F.col("clean_label")).otherwise(F.col("label"))).drop("_p")
 
 
-def select_representatives(df: DataFrame, n: int, k: int, total: int | None = None, fraction: float = 0.25, metric: str = "abs_cos") -> DataFrame:
+def select_representatives(df: DataFrame, n: int, k: int, total: int | None = None, fraction: float = 0.25, metric: str = "abs_cos", max_iter: int = 200) -> DataFrame:
     """Representative ids: cluster from farthest-first seeds, take the rows nearest each centre; with a total, cluster the
     farthest part again for what is missing until it is reached or nothing new is found."""
     wanted, chosen, rest, need = total or n, None, df, n
     while True:
-        centers = kmeans(rest, farthest_first(rest, min(k, need), metric).select("cluster_id", "vec"), metric)
+        centers = kmeans(rest, farthest_first(rest, min(k, need), metric).select("cluster_id", "vec"), metric, max_iter=max_iter)
         clusters = centers.count()
         near = nearest_to_centers(rest, centers, max(need, clusters), clusters, metric).select("sample_id").distinct()
         before = 0 if chosen is None else chosen.count()

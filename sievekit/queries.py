@@ -30,7 +30,7 @@ def query(sql: str | None = None):
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Representatives of the labelled vectors, split into training and meta rows."""
     v = P.vectors(spark, sf_dir)
-    ids = select.select_representatives(v, 20, 10)
+    ids = select.select_representatives(v, 20, 10, max_iter=5)
     return splits.split_train_meta(v.withColumn("clean_label", F.col("label")), ids).groupBy("split", "label").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -250,7 +250,7 @@ def c3_lloyd_step(spark, sf):
 @query()
 def c3_kmeans(spark, sf):
     v = P.vectors(spark, sf)
-    centers = cluster.kmeans(v, cluster.farthest_first(v, 10).select("cluster_id", "vec"))
+    centers = cluster.kmeans(v, cluster.farthest_first(v, 10).select("cluster_id", "vec"), max_iter=5)
     return distance.assign(v, centers).groupBy("cluster_id").agg(F.count(F.lit(1)).alias("n"), r6(F.avg("dist")).alias("mean_dist"))
 
 
@@ -346,7 +346,7 @@ def l7_nearest_members(spark, sf):
 
 @query()
 def l8_representatives(spark, sf):
-    return select.select_representatives(P.vectors(spark, sf), 20, 10, 40)
+    return select.select_representatives(P.vectors(spark, sf), 20, 10, 40, max_iter=5)
 
 
 @query(f"WITH {P.SQL_VECTORS}, {_COVER}, r AS (SELECT *, row_number() OVER (ORDER BY dist DESC, sample_id) AS r FROM g) SELECT sample_id, round(dist, 6) AS dist FROM r WHERE r <= floor((SELECT count(*) FROM v) / 4)")
