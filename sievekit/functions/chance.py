@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -16,3 +16,16 @@ def uniform(seed: int, sample_id="sample_id") -> Column:
 
 def order(seed: int, sample_id="sample_id") -> list[Column]:
     return [ticket(seed, sample_id), F.col(sample_id)]
+
+
+def dense_index(df: DataFrame, seed: int = 0, name: str = "index") -> DataFrame:
+    """df with its place (from 0) in ticket order.
+
+    Rows are numbered inside the 4096 groups of their ticket's first three digits; the groups' offsets are a
+    running sum over those 4096 counts, so no window sees all rows.
+    """
+    lead = df.withColumn("_t", ticket(seed)).withColumn("_g", F.substring("_t", 1, 3))
+    counts = lead.groupBy("_g").agg(F.count(F.lit(1)).alias("_c"))
+    offsets = counts.select("_g", (F.sum("_c").over(Window.orderBy("_g")) - F.col("_c")).alias("_o"))
+    placed = lead.withColumn("_k", F.row_number().over(Window.partitionBy("_g").orderBy("_t", "sample_id")))
+    return placed.join(F.broadcast(offsets), "_g").withColumn(name, F.col("_o") + F.col("_k") - 1).drop("_t", "_g", "_k", "_o")

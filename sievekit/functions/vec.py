@@ -112,8 +112,13 @@ def abs_cos_blocks(a, b) -> Column:
     return abs_cos(F.flatten(a), F.flatten(b))
 
 
+def mean_dot(a, b) -> Column:
+    """A similarity: the product over the width."""
+    return dot(a, b) / F.size(a)
+
+
 #: name -> distance of two columns; users may add their own.
-METRICS = {f.__name__: f for f in (l2, abs_cos, abs_cos_by_norm, neg_cos, abs_dot, cross, l2_blocks, abs_cos_blocks)}
+METRICS = {f.__name__: f for f in (l2, abs_cos, abs_cos_by_norm, neg_cos, abs_dot, cross, l2_blocks, abs_cos_blocks, mean_dot)}
 
 
 # --- losses per sample -----------------------------------------------------------------------------------------

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sievekit.functions import chance, vec
-from sievekit.operators.distance import assign, pairs
+from sievekit.operators.distance import assign, centre_array, member_dist, pairs
+from sievekit.operators.represent import mean_vector
+from sievekit.sources.tables import cut
 
 
 def random_seeds(df: DataFrame, k: int, seed: int = 0) -> DataFrame:
@@ -26,15 +29,15 @@ def _numbered(rows, df: DataFrame) -> DataFrame:
 def farthest_first(df: DataFrame, k: int, metric: str = "abs_cos", seed: int | None = None) -> DataFrame:
     """(cluster_id, sample_id, vec): a first row (smallest id, or by ticket), then k - 1 times the row farthest from all so far.
 
-    Each pass reads the rows once and returns one row; the distances to the chosen ones are folded in as an
-    array of literals, so no state is kept between passes.
+    Each pass reads the rows once and returns one row; the chosen ones travel as one broadcast row of k vectors at
+    most, so no state is kept between passes.
     """
     order = [F.col("sample_id")] if seed is None else chance.order(seed)
     chosen = [df.orderBy(*order).select("sample_id", "vec").first()]
     while len(chosen) < k:
-        taken = F.array(*(F.array(*map(F.lit, c["vec"])) for c in chosen))
-        near = vec.bind(F.col("vec"), lambda v: F.array_min(F.transform(taken, lambda c: F.round(vec.METRICS[metric](v, c), 9))))
-        rest = df.filter(~F.col("sample_id").isin([c["sample_id"] for c in chosen]))
+        taken = df.sparkSession.createDataFrame([([c["sample_id"] for c in chosen], [list(c["vec"]) for c in chosen])], "_ids array<long>, _taken array<array<double>>")
+        near = vec.bind(F.col("vec"), lambda v: F.array_min(F.transform("_taken", lambda c: F.round(vec.METRICS[metric](v, c), 9))))
+        rest = df.join(F.broadcast(taken)).filter(~F.array_contains("_ids", F.col("sample_id").cast("long")))
         found = rest.select("sample_id", "vec", near.alias("near")).orderBy(F.col("near").desc(), "sample_id").first()
         if found is None:
             break
@@ -100,3 +103,109 @@ def silhouette(df: DataFrame, assigned: DataFrame, metric: str = "l2") -> DataFr
     ab = means.groupBy("sample_id").agg(F.max(F.when(F.col("own") == F.col("theirs"), F.col("m"))).alias("a"), F.min(F.when(F.col("own") != F.col("theirs"), F.col("m"))).alias("b"))
     score = (F.col("b") - F.col("a")) / F.greatest("a", "b")
     return ab.select("sample_id", F.coalesce(F.when(F.greatest("a", "b") > 0, score), F.lit(0.0)).alias("score"))
+
+
+def silhouette_by_means(df: DataFrame, assigned: DataFrame) -> DataFrame:
+    """(sample_id, score): the silhouette under squared distance, in time linear in the rows.
+
+    The mean squared distance to a cluster is |x|^2 - 2 x.m + q, with m the mean and q the mean squared norm of
+    its members, so each row meets one summary per cluster. 0 where a row is alone in its cluster.
+    """
+    square = vec.dot(F.col("vec"), F.col("vec"))
+    stats = assigned.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("n"), F.avg(square).alias("q")).join(mean_vector(assigned, "cluster_id"), "cluster_id")
+    table = stats.agg(F.array_sort(F.collect_list(F.struct("cluster_id", "n", "q", "vec"))).alias("_s"))  # a row per cluster
+    rows = df.select("sample_id", "vec").join(assigned.select("sample_id", F.col("cluster_id").alias("own")), "sample_id").join(F.broadcast(table))
+    far = lambda v, s: F.greatest(vec.dot(v, v) - 2 * vec.dot(v, s["vec"]) + s["q"], F.lit(0.0))
+    dist = vec.bind(F.col("vec"), lambda v: F.transform("_s", lambda s: F.struct(s["cluster_id"].alias("c"), s["n"].alias("n"), far(v, s).alias("m"))))
+    rows = rows.select("sample_id", "own", dist.alias("d"))
+    own = F.element_at(F.filter("d", lambda e: e["c"] == F.col("own")), 1)
+    other = F.array_min(F.transform(F.filter("d", lambda e: e["c"] != F.col("own")), lambda e: e["m"]))
+    rows = rows.select("sample_id", F.when(own["n"] > 1, own["m"] * own["n"] / (own["n"] - 1)).alias("a"), other.alias("b"))
+    score = F.when(F.greatest("a", "b") > 0, (F.col("b") - F.col("a")) / F.greatest("a", "b"))
+    return rows.select("sample_id", F.coalesce(score, F.lit(0.0)).alias("score"))
+
+
+def best_k(df: DataFrame, ks=range(5, 100, 5), metric: str = "abs_cos", max_iter: int = 200) -> DataFrame:
+    """(k, score): the mean silhouette of a clustering for each k; the largest score names the count to take."""
+    rows = []
+    for k in ks:
+        near = assign(df, kmeans(df, farthest_first(df, k, metric).select("cluster_id", "vec"), metric, max_iter=max_iter), metric)
+        rows.append((k, silhouette_by_means(df, near).agg(F.avg("score")).first()[0]))
+    return df.sparkSession.createDataFrame(rows, "k int, score double")
+
+
+def kmeans_fixed(df: DataFrame, k: int, iterations: int, metric: str = "l2") -> DataFrame:
+    """Centres after a fixed number of steps from the k rows with the smallest ids; the centre of an empty cluster becomes 0."""
+    centers = first_seeds(df, k)
+    for _ in range(iterations):
+        moved = mean_vector(assign(df, centers, metric), "cluster_id").withColumnRenamed("vec", "_new")
+        zero = F.transform("vec", lambda x: F.lit(0.0))
+        rows = centers.join(moved, "cluster_id", "left").select("cluster_id", F.coalesce("_new", zero).alias("vec")).collect()
+        centers = df.sparkSession.createDataFrame(sorted((r[0], r[1]) for r in rows), "cluster_id int, vec array<double>")
+    return centers
+
+
+def kernel_step(df: DataFrame, members: DataFrame, weight: str | None = None) -> DataFrame:
+    """df with cluster_id and dist: the cluster of members (cluster_id, vec) with the largest absolute mean product."""
+    near = member_dist(df, members, weight).groupBy("sample_id").agg(F.min(F.struct(F.round("dist", 9).alias("dist"), "cluster_id")).alias("_b"))
+    return df.join(near.select("sample_id", "_b.cluster_id", "_b.dist"), "sample_id")
+
+
+def kernel_kmeans(df: DataFrame, k: int, tol: float = 1e-4, max_iter: int = 20) -> DataFrame:
+    """df with cluster_id and dist, clusters being sets of members rather than centres; ends when the mean distance moves less than tol."""
+    now, last = first_seeds(df, k), None
+    for _ in range(max_iter):
+        now = cut(kernel_step(df, now))
+        mean = now.agg(F.avg("dist")).first()[0]
+        if mean is None or (last is not None and abs(last - mean) < tol):
+            break
+        last = mean
+    return now
+
+
+def spectral(df: DataFrame, k_eig: int, k: int, landmarks: int = 64, sigma: float = 1.0, iterations: int = 10, seed: int = 0) -> DataFrame:
+    """(sample_id, vec, cluster_id): k-means in the space of the normalised affinity's largest eigenvectors.
+
+    The affinity |cos| / sigma of all rows to a number of landmark rows stands for the square matrix (Nystrom):
+    degrees come from the landmarks' column sums, and only the landmarks' own square matrix, whose size is a
+    parameter, is decomposed on the driver. Every row is placed and clustered; the work is linear in the rows.
+    """
+    marks = random_seeds(df, landmarks, seed)
+    table = centre_array(marks)
+    similar = vec.bind(F.col("vec"), lambda v: F.transform("_centers", lambda c: (1 - vec.METRICS["abs_cos"](v, c["vec"])) / sigma))
+    rows = cut(df.join(F.broadcast(table)).select("sample_id", similar.alias("w")))
+    sums = np.array(mean_vector(rows.select(F.lit(1).alias("_k"), "w"), "_k", column="w").first()["vec"])
+    share = F.array(*map(F.lit, (sums / max(sums.sum(), 1e-300)).tolist()))
+    unit = rows.select("sample_id", F.transform("w", lambda x: x / F.sqrt(F.greatest(vec.dot(F.col("w"), share), F.lit(1e-12)))).alias("z"))
+    cells = unit.select(F.posexplode("z").alias("i", "x"), "z").select("i", F.posexplode(F.transform("z", lambda y: y * F.col("x"))).alias("j", "p"))
+    square = np.zeros((len(sums), len(sums)))
+    for r in cells.groupBy("i", "j").agg(F.avg("p").alias("p")).collect():
+        square[r["i"], r["j"]] = r["p"]
+    values, vectors = np.linalg.eigh(square)
+    top = np.argsort(values)[::-1][:k_eig]
+    basis = vectors[:, top] / np.sqrt(np.maximum(values[top], 1e-12))
+    basis *= np.where(basis[np.abs(basis).argmax(0), range(basis.shape[1])] < 0, -1, 1)
+    axes = F.array(*(F.array(*map(F.lit, column.tolist())) for column in basis.T))
+    placed = cut(unit.select("sample_id", vec.bind(F.col("z"), lambda z: F.transform(axes, lambda a: vec.dot(z, a))).alias("vec")))
+    centers = kmeans(placed, farthest_first(placed, k, "l2").select("cluster_id", "vec"), "l2", max_iter=iterations)
+    return assign(placed, centers, "l2").select("sample_id", "vec", "cluster_id")
+
+
+def greedy_similarity(df: DataFrame, k: int) -> DataFrame:
+    """(step, sample_id): each step adds the row that makes the mean absolute running similarity largest.
+
+    The running similarity of row j is its product with the sum of the chosen rows, so a step compares every
+    candidate's sum with every row. That is the square of the rows: meant for a stratum or a set of centres.
+    """
+    rows, chosen, total = df.select("sample_id", "vec"), [], None
+    for _ in range(k):
+        with_sum = rows if total is None else rows.withColumn("vec", F.zip_with("vec", F.array(*map(F.lit, total)), lambda a, b: a + b))
+        candidates = with_sum.filter(~F.col("sample_id").isin(chosen)) if chosen else with_sum
+        other = rows.select(F.col("sample_id").alias("other_id"), "vec")
+        found = pairs(candidates, other, "mean_dot", "other_id").groupBy("sample_id").agg(F.round(F.avg(F.abs("dist")), 9).alias("m")).orderBy(F.col("m").desc(), "sample_id").first()
+        if found is None:
+            break
+        own = rows.filter(F.col("sample_id") == found["sample_id"]).first()["vec"]
+        total = list(own) if total is None else [a + b for a, b in zip(total, own, strict=True)]
+        chosen.append(found["sample_id"])
+    return df.sparkSession.createDataFrame(list(enumerate(chosen, 1)), "step int, sample_id long")

@@ -64,3 +64,63 @@ def class_similarity(df: DataFrame) -> DataFrame:
     joined = df.select("label", F.col("sample_id").alias("id_a"), "vec").join(b, "label").filter("id_a < id_b")
     squared = joined.withColumn("d2", F.round(vec.total(F.zip_with("vec", "vb", lambda x, y: (x - y) * (x - y))), 9))
     return squared.select("label", "id_a", "id_b", (F.max("d2").over(Window.partitionBy("label")) - F.col("d2")).alias("sim"))
+
+
+# --- all pairs ---------------------------------------------------------------------------------------------------
+
+
+def gram(a: DataFrame, b: DataFrame | None = None) -> DataFrame:
+    """(id_a, id_b, sim): product over the width for every row of a with every row of b (a itself by default).
+
+    The result has a row per pair by definition; operators that only need sums over pairs don't call this.
+    """
+    left = a.select(F.col("sample_id").alias("id_a"), "vec")
+    right = (a if b is None else b).select(F.col("sample_id").alias("id_b"), "vec")
+    return pairs(left, right, "mean_dot", "id_b").select("id_a", "id_b", F.col("dist").alias("sim"))
+
+
+def all_pairs_l2(df: DataFrame) -> DataFrame:
+    """(id_a, id_b, dist) for pairs a < b."""
+    right = df.select(F.col("sample_id").alias("id_b"), "vec")
+    return pairs(df.select(F.col("sample_id").alias("id_a"), "vec"), right, "l2", "id_b").filter("id_a < id_b").select("id_a", "id_b", "dist")
+
+
+def affinity(df: DataFrame, sigma: float) -> DataFrame:
+    """(id_a, id_b, sim): absolute cosine over sigma for pairs a < b; the diagonal is zero and the rest symmetric."""
+    right = df.select(F.col("sample_id").alias("id_b"), "vec")
+    both = pairs(df.select(F.col("sample_id").alias("id_a"), "vec"), right, "abs_cos", "id_b").filter("id_a < id_b")
+    return both.select("id_a", "id_b", ((1 - F.col("dist")) / sigma).alias("sim"))
+
+
+def label_kernel(df: DataFrame) -> DataFrame:
+    """(id_a, id_b) for pairs a < b of one class: where the kernel is 1. Elsewhere it is 0."""
+    b = df.select("label", F.col("sample_id").alias("id_b"))
+    return df.select("label", F.col("sample_id").alias("id_a")).join(b, "label").filter("id_a < id_b").select("id_a", "id_b")
+
+
+def member_dist(df: DataFrame, assigned: DataFrame, weight: str | None = None) -> DataFrame:
+    """(sample_id, cluster_id, dist): 1 less the absolute (weighted) mean product, over the width, with a cluster's members.
+
+    A mean of products is the product with the mean, so the members are summed up first and no pair is formed.
+    """
+    w = F.col(weight) if weight else F.lit(1.0)
+    cells = assigned.select("cluster_id", w.alias("w"), F.posexplode("vec").alias("i", "x"))
+    means = cells.groupBy("cluster_id", "i").agg((F.sum(F.col("w") * F.col("x")) / F.sum("w")).alias("x"))
+    centers = means.groupBy("cluster_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("vec"))
+    return pairs(df.select("sample_id", "vec"), centers, "mean_dot").select("sample_id", "cluster_id", (1 - F.abs("dist")).alias("dist"))
+
+
+def rescale_by_center_norm(distances: DataFrame, centers: DataFrame) -> DataFrame:
+    """distances times the largest norm of a centre over the own centre's norm."""
+    norms = centers.select("cluster_id", vec.norm(F.col("vec")).alias("_n"))
+    norms = norms.withColumn("_by", F.max("_n").over(Window.partitionBy()) / F.col("_n")).drop("_n")  # a row per centre
+    return distances.join(F.broadcast(norms), "cluster_id").withColumn("dist", F.round(F.col("dist") * F.col("_by"), 9)).drop("_by")
+
+
+def scale_and_extend(df: DataFrame, terms: int = 9) -> DataFrame:
+    """Vectors over twice the largest norm, with 0.5 - |x|^(2l) appended for l = 1 to terms."""
+    top = norm_range(df).select(F.col("max_norm").alias("_top"))
+    scaled = df.join(F.broadcast(top)).withColumn("vec", F.transform("vec", lambda x: x / (2 * F.col("_top"))))
+    square = vec.dot(F.col("vec"), F.col("vec"))
+    more = vec.bind(square, lambda s: F.transform(F.sequence(F.lit(1), F.lit(terms)), lambda l: 0.5 - F.pow(s, l)))
+    return scaled.withColumn("vec", F.concat("vec", more)).drop("_top")

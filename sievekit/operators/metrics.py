@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sievekit.functions import vec
-from sievekit.operators.distance import pairs
+from sievekit.operators.distance import centre_array, pairs
 
 
 def evaluate(df: DataFrame) -> DataFrame:
@@ -79,3 +79,44 @@ def class_shares(df: DataFrame, split: str = "split") -> DataFrame:
 def running_average(df: DataFrame, by: str = "run") -> DataFrame:
     order = Window.partitionBy(by).orderBy("step").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return df.withColumn("average", F.sum(F.col("value") * F.col("n")).over(order) / F.sum("n").over(order))
+
+
+def nn_accuracy(test: DataFrame, train: DataFrame) -> DataFrame:
+    """(n, accuracy in percent): the label of the training row with the largest product (ties: smaller id) against the own."""
+    right = train.select(F.col("sample_id").alias("near_id"), "vec")
+    labels = train.select(F.col("sample_id").alias("near_id"), F.col("label").alias("near_label"))
+    sims = pairs(test.select("sample_id", "label", "vec"), right, "mean_dot", "near_id")
+    best = sims.groupBy("sample_id", "label").agg(F.max(F.struct(F.col("dist"), (-F.col("near_id")).alias("m"))).alias("b"))
+    hits = best.select("label", (-F.col("b.m")).alias("near_id")).join(labels, "near_id")
+    return hits.agg(F.count(F.lit(1)).alias("n"), (100 * F.avg((F.col("label") == F.col("near_label")).cast("double"))).alias("accuracy"))
+
+
+def d_value(cells: DataFrame) -> DataFrame:
+    """(n, least, low): of D = (1 + r) / (1 - r) with r the absolute sum over the sum of absolutes of each sample's d, its minimum and 0.1 % quantile."""
+    r = F.abs(F.sum("d")) / F.sum(F.abs("d"))
+    per = cells.groupBy("sample_id").agg(r.alias("r")).filter("r < 1").select(((1 + F.col("r")) / (1 - F.col("r"))).alias("v"))
+    return per.agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("least"), F.percentile("v", F.lit(0.001)).alias("low"))
+
+
+def assign_agreement(a: DataFrame, b: DataFrame) -> DataFrame:
+    """(n, agree): rows with the same cluster_id in two assignments, as a share."""
+    both = a.select("sample_id", "cluster_id").join(b.select("sample_id", F.col("cluster_id").alias("_o")), "sample_id")
+    return both.agg(F.count(F.lit(1)).alias("n"), F.avg((F.col("cluster_id") == F.col("_o")).cast("double")).alias("agree"))
+
+
+def cross_view(a: DataFrame, assigned_b: DataFrame, centers_b: DataFrame, t: float) -> DataFrame:
+    """(sample_id, agree, loss): rows of view a against view b's centres: whether the largest product is their b cluster, and
+    the cross-entropy of the products over t with it. Cluster ids count from 0."""
+    table = centre_array(centers_b)
+    z = vec.bind(F.col("vec"), lambda v: F.transform("_centers", lambda c: vec.dot(v, c["vec"]) / t))
+    rows = a.select("sample_id", "vec").join(assigned_b.select("sample_id", "cluster_id"), "sample_id").join(F.broadcast(table)).withColumn("logits", z)
+    return rows.select("sample_id", (vec.argmax(F.col("logits")) == F.col("cluster_id")).alias("agree"), vec.cross_entropy(F.col("logits"), F.col("cluster_id")).alias("loss"))
+
+
+def weighted_similarity_bound(left: DataFrame, right: DataFrame) -> DataFrame:
+    """(largest, largest_abs) over pairs of (g_i . g_j) times the absolute cosine of the vectors; right is a chosen set."""
+    a = left.select("sample_id", "g", "vec")
+    b = right.select(F.col("sample_id").alias("other_id"), "vec")
+    sims = pairs(a, b, "abs_cos", "other_id").join(right.select(F.col("sample_id").alias("other_id"), F.col("g").alias("_h")), "other_id")
+    value = vec.dot(F.col("g"), F.col("_h")) * (1 - F.col("dist"))
+    return sims.select(value.alias("v")).agg(F.max("v").alias("largest"), F.max(F.abs("v")).alias("largest_abs"))

@@ -71,3 +71,30 @@ def glc_matrix(meta: DataFrame) -> DataFrame:
     """(label, row): the mean output of the meta rows of each label."""
     cells = meta.select("label", F.posexplode("logits").alias("i", "x")).groupBy("label", "i").agg(F.avg("x").alias("x"))
     return cells.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("row"))
+
+
+def train_head(df: DataFrame, k: int, lr: float, epochs: int, weight: str | None = None) -> DataFrame:
+    """(epoch, loss, accuracy, head): full-gradient training of a softmax head on vec, from zero.
+
+    An epoch is one aggregate of k by d cells, which is all that comes to the driver. The (weighted) gradient is
+    divided by the number of rows; loss and accuracy are those before the epoch's step.
+    """
+    w = F.col(weight) if weight else F.lit(1.0)
+    width = df.select(F.max(F.size("vec"))).first()[0] or 0
+    head, out = [[0.0] * width for _ in range(k)], []
+    for epoch in range(epochs):
+        rows = F.array(*(F.array(*map(F.lit, r)) for r in head))
+        scored = df.select("label", "vec", w.alias("w"), vec.bind(F.col("vec"), lambda v: F.transform(rows, lambda r: vec.dot(v, r))).alias("logits"))
+        scored = scored.withColumn("g", vec.ce_gradient(F.col("logits"), F.col("label"), k))
+        cells = scored.select("w", "vec", F.posexplode("g").alias("j", "g")).select("j", F.posexplode(F.transform("vec", lambda x: x * F.col("g") * F.col("w"))).alias("i", "x"))
+        stats = scored.agg(F.count(F.lit(1)).alias("n"), F.avg(vec.cross_entropy(F.col("logits"), F.col("label"))).alias("loss"), F.avg((vec.argmax(F.col("logits")) == F.col("label")).cast("double")).alias("right")).first()
+        out.append((epoch, stats["loss"], 100 * (stats["right"] or 0.0), [x for r in head for x in r]))
+        for r in cells.groupBy("j", "i").agg(F.sum("x").alias("x")).collect():
+            head[r["j"]][r["i"]] -= lr * r["x"] / stats["n"]
+    return df.sparkSession.createDataFrame(out, "epoch int, loss double, accuracy double, head array<double>")
+
+
+def train_stats(df: DataFrame) -> DataFrame:
+    """(epoch, loss, accuracy in percent) from rows with epoch, logits and label."""
+    right = (vec.argmax(F.col("logits")) == F.col("label")).cast("double")
+    return df.groupBy("epoch").agg(F.avg(vec.cross_entropy(F.col("logits"), F.col("label"))).alias("loss"), (100 * F.avg(right)).alias("accuracy"))

@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from sievekit.functions import chance, vec
 from sievekit.operators.cluster import farthest_first, kmeans
 from sievekit.operators.distance import assign, coverage, pairs
+from sievekit.operators.represent import gradient, sample_blocks
+from sievekit.operators.splits import sample_columns
+from sievekit.sources.tables import cut
 
 
 def _top(df: DataFrame, score, n: int, ascending: bool = False) -> DataFrame:
@@ -111,6 +114,98 @@ def repair_labels(df: DataFrame, m: int = 10) -> DataFrame:
     return df.join(picked, "sample_id", "left").withColumn("label", F.when(F.col("_p"), F.col("clean_label")).otherwise(F.col("label"))).drop("_p")
 
 
+def grow_meta(train: DataFrame, meta: DataFrame, m: int = 5) -> DataFrame:
+    """meta (sample_id, label) with the m most uncertain training rows appended, with their clean labels; rows may repeat."""
+    more = train.join(F.broadcast(select_uncertain(train, m).select("sample_id")), "sample_id", "left_semi")
+    return meta.select("sample_id", "label").unionByName(more.select("sample_id", F.col("clean_label").alias("label")))
+
+
+def remaining_budget(meta: DataFrame, n: int, total: int | None = None) -> int:
+    """How many rows a request for n may still take: none once meta has total, at most what is missing."""
+    return n if total is None else max(0, min(n, total - meta.count()))
+
+
+def new_picks(candidates: DataFrame, existing: DataFrame, n: int, total: int | None = None, metric: str = "abs_cos") -> DataFrame:
+    """Candidates farthest from the existing rows, total - existing of them (n - existing without a total); none where existing exceeds n."""
+    have = existing.count()
+    m = 0 if have > n else (n if total is None else total) - have
+    return uncovered_top(candidates, existing, max(m, 0), metric)
+
+
+def select_boundary_and_rep(df: DataFrame, n: int, k: int, max_iter: int = 200) -> DataFrame:
+    """int(n / 10) rows by smallest margin and representatives for the rest, each id once."""
+    edge = select_margin(df, n // 10).select("sample_id")
+    return edge.unionByName(select_representatives(df, n - n // 10, k, max_iter=max_iter)).distinct()
+
+
+def _cluster_picks(df: DataFrame, n: int, metric: str, max_iter: int) -> DataFrame:
+    """One row nearest each of n centres of df, with its columns sample_id and vec."""
+    centers = kmeans(df, farthest_first(df, n, metric).select("cluster_id", "vec"), metric, max_iter=max_iter)
+    ids = nearest_to_centers(df, centers, n, n, metric).select("sample_id").distinct()
+    return df.join(F.broadcast(ids), "sample_id", "left_semi").select("sample_id", "vec")
+
+
+def outlier_picks(df: DataFrame, selected: DataFrame, n: int, threshold: float = 0.8, repeat: bool = False, metric: str = "abs_cos", max_iter: int = 200) -> DataFrame:
+    """selected (sample_id, vec) and picks from clustering the rows farther than threshold from it, once or until n are found."""
+    chosen = selected.select("sample_id", "vec")
+    while True:
+        have = chosen.count()
+        far = df.join(uncovered_radius(df, chosen, threshold, metric).select("sample_id"), "sample_id", "left_semi")
+        if have >= n or far.limit(1).count() == 0:
+            return chosen
+        chosen = cut(chosen.unionByName(_cluster_picks(far, n - have, metric, max_iter)))
+        if not repeat or chosen.count() == have:
+            return chosen
+
+
+def select_by_class(df: DataFrame, n: int, metric: str = "abs_cos", max_iter: int = 200) -> DataFrame:
+    """(label, sample_id): int(n / classes) representatives of each class, clustered on its own."""
+    labels = sorted(r[0] for r in df.select("label").distinct().collect() if r[0] is not None)
+    parts = [_cluster_picks(df.filter(F.col("label") == y), n // len(labels), metric, max_iter).select(F.lit(y).alias("label"), "sample_id") for y in labels if n >= len(labels)]
+    out = parts[0] if parts else df.select("label", "sample_id").limit(0)
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+def radius_cover(df: DataFrame, n: int, metric: str = "abs_cos", max_iter: int = 200, fraction: float = 0.5) -> DataFrame:
+    """(sample_id, vec) of picks that cover df: cluster, take two thirds of the largest distance to a pick as the radius, then
+    cluster the farthest half again and keep those picks that are outside the radius of all, until n - 1 are found or nothing is new."""
+    chosen = cut(_cluster_picks(df, max(n // 2, 1), metric, max_iter))
+    radius = 2 / 3 * (coverage(df, chosen, metric).agg(F.max("dist")).first()[0] or 0.0)
+    while True:
+        have = chosen.count()
+        if have >= n - 1:
+            return chosen
+        far = df.join(F.broadcast(farthest_fraction(df, chosen, fraction, metric).select("sample_id")), "sample_id", "left_semi")
+        found = _cluster_picks(far, n - have, metric, max_iter)
+        new = found.join(uncovered_radius(found, chosen, radius, metric).select("sample_id"), "sample_id", "left_semi")
+        chosen = cut(chosen.unionByName(new))
+        if chosen.count() == have:
+            return chosen
+
+
+def select_incremental(df: DataFrame, existing: DataFrame, n: int, total: int | None = None, metric: str = "abs_cos", max_iter: int = 200) -> DataFrame:
+    """New ids beside an existing set: cluster the farthest half for n - existing, of these the farthest total - existing."""
+    have = existing.count()
+    if have >= n:
+        return df.select("sample_id").limit(0)
+    far = df.join(farthest_fraction(df, existing, 0.5, metric).select("sample_id"), "sample_id", "left_semi")
+    found = _cluster_picks(far, n - have, metric, max_iter)
+    return found.select("sample_id") if total is None else uncovered_top(found, existing, max(total - have, 0), metric).select("sample_id")
+
+
+def select_gbc(df: DataFrame, n: int, k: int, classes: int, columns: int | None = None, m: int = 2, seed: int = 0, max_iter: int = 200) -> DataFrame:
+    """Representatives by gradients: the head's gradient by its bias and weights as two blocks, m blocks drawn by importance,
+    a subset of their columns, then clustered as vectors."""
+    head = gradient(df, classes).select("sample_id", F.col("vec").alias("_g0"))
+    both = df.join(head, "sample_id").withColumn("blocks", F.array(F.col("_g0"), vec.outer(F.col("_g0"), F.col("vec"))))
+    flat = sample_blocks(both, m, seed).select("sample_id", F.flatten("blocks").alias("vec"))
+    if columns is not None:
+        flat = sample_columns(flat, columns, flat.select(F.size("vec")).first()[0], seed)
+    return select_representatives(cut(flat), n, k, max_iter=max_iter)
+
+
 def select_representatives(df: DataFrame, n: int, k: int, total: int | None = None, fraction: float = 0.25, metric: str = "abs_cos", max_iter: int = 200) -> DataFrame:
     """Representative ids: cluster from farthest-first seeds, take the rows nearest each centre; with a total, cluster the
     farthest part again for what is missing until it is reached or nothing new is found."""

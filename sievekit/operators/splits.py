@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -86,6 +88,15 @@ def binarize_label(df: DataFrame, threshold: int = 2) -> DataFrame:
     return df.withColumn("label", (F.col("label") >= threshold).cast("int"))
 
 
+def bootstrap(df: DataFrame, n: int, seed: int = 0) -> DataFrame:
+    """n draws with replacement: the rows of df with ``draw`` (from 0). Each draw is a place in ticket order."""
+    rows = chance.dense_index(df, seed, "_i")
+    size = df.agg(F.count(F.lit(1)).alias("_n"))
+    draws = df.sparkSession.range(n).withColumnRenamed("id", "draw").join(F.broadcast(size))
+    draws = draws.withColumn("_i", F.floor(chance.uniform(seed + 1, "draw") * F.col("_n"))).drop("_n")
+    return draws.join(rows, "_i").drop("_i")
+
+
 # --- label corruption ------------------------------------------------------------------------------------------
 
 
@@ -132,6 +143,15 @@ def flip_permute(df: DataFrame, rate: float, permutation: list[int], seed: int =
     return _chosen(df, rate, seed).withColumn("label", F.when(F.col("_hit"), new).otherwise(F.col("label"))).drop("_hit")
 
 
+def flip_adversarial(df: DataFrame, scores: DataFrame, rate: float, k: int, seed: int = 0) -> DataFrame:
+    """ceil(n * rate) rows get a uniform label below k - 1: first rows with a negative silhouette (sample_id, score), then others, each by ticket."""
+    n = math.ceil(df.count() * rate)
+    tier = df.select("sample_id").join(scores, "sample_id", "left").select("sample_id", (~(F.coalesce("score", F.lit(0.0)) < 0)).alias("_tier"))
+    ids = tier.orderBy("_tier", *chance.order(seed)).limit(n).select("sample_id", F.lit(True).alias("_hit"))
+    new = F.floor(chance.uniform(seed + 1) * (k - 1)).cast("int")
+    return df.join(ids, "sample_id", "left").withColumn("label", F.when(F.col("_hit"), new).otherwise(F.col("label"))).drop("_hit")
+
+
 def corrupt(df: DataFrame, kind: str, rate: float, k: int, seed: int = 0, permutation: list[int] | None = None) -> DataFrame:
     if kind == "uniform":
         return flip_random(df, rate, k, seed)

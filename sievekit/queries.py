@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievekit.functions import vec
-from sievekit.operators import cluster, distance, metrics, reweight, select, splits
+from sievekit.operators import cluster, distance, facility, metrics, represent, reweight, select, splits
 from sievekit.plans import frames as P
 from sievekit.sources import tables
 
@@ -534,3 +534,347 @@ def m9_class_shares(spark, sf):
 def m13_running_average(spark, sf):
     e = P.table(spark, sf, "events").select(F.col("user_id").alias("run"), F.col("event_id").alias("step"), "value", (1 + F.col("event_id") % 3).alias("n"))
     return metrics.running_average(e).select("run", "step", r6(F.col("average")).alias("average"))
+
+
+# --- all pairs and kernels -----------------------------------------------------------------------------------
+
+
+@query("SELECT vec_id AS sample_id, label, round(CAST(embedding[1] AS DOUBLE), 6) AS head, CAST(len(embedding) AS INTEGER) AS width FROM embeddings")
+def s1_read_samples(spark, sf):
+    rows = tables.read_samples(spark, f"{sf}/embeddings.parquet", "vec_id", "embedding", "label")
+    return rows.select("sample_id", "label", r6(F.col("vec")[0]).alias("head"), F.size("vec").alias("width"))
+
+
+@query(f"WITH {P.SQL_VECTORS}, i AS (SELECT *, row_number() OVER (ORDER BY {P.sql_ticket(21)}, sample_id) - 1 AS i FROM v), d AS (SELECT draw, CAST(floor({P.sql_uniform(22, 'draw')} * (SELECT count(*) FROM v)) AS BIGINT) AS i FROM (SELECT unnest(range(0, 300)) AS draw)) SELECT draw, sample_id, label FROM d JOIN i USING (i)")
+def p12_bootstrap(spark, sf):
+    return splits.bootstrap(P.vectors(spark, sf), 300, 21).select("draw", "sample_id", "label")
+
+
+@query(f"WITH {P.SQL_VECTORS} SELECT a.sample_id AS id_a, b.sample_id AS id_b, round(round(list_inner_product(a.vec, b.vec) / 64, 9), 6) AS sim FROM v a, v b")
+def d8_gram(spark, sf):
+    return distance.gram(P.vectors(spark, sf)).withColumn("sim", r6(F.col("sim")))
+
+
+@query(f"WITH {P.SQL_VECTORS} SELECT a.sample_id AS id_a, b.sample_id AS id_b, round(round(list_distance(a.vec, b.vec), 9), 6) AS dist FROM v a, v b WHERE a.sample_id < b.sample_id")
+def d8_all_pairs_l2(spark, sf):
+    return distance.all_pairs_l2(P.vectors(spark, sf)).withColumn("dist", r6(F.col("dist")))
+
+
+@query(f"WITH {P.SQL_VECTORS}, u AS (SELECT sample_id, vec, {_NORM.format('vec')} AS n FROM v) SELECT a.sample_id AS id_a, b.sample_id AS id_b, round((1 - round(1 - abs(list_inner_product(a.vec, b.vec)) / (a.n * b.n), 9)) / 0.5, 6) AS sim FROM u a, u b WHERE a.sample_id < b.sample_id")
+def d9_affinity(spark, sf):
+    return distance.affinity(P.vectors(spark, sf), 0.5).withColumn("sim", r6(F.col("sim")))
+
+
+@query(f"WITH {P.SQL_VECTORS} SELECT a.sample_id AS id_a, b.sample_id AS id_b FROM v a JOIN v b ON a.label = b.label AND a.sample_id < b.sample_id")
+def d11_label_kernel(spark, sf):
+    return distance.label_kernel(P.vectors(spark, sf))
+
+
+@query(f"WITH {P.SQL_VECTORS} SELECT v.sample_id, b.label AS cluster_id, round(1 - abs(sum(list_inner_product(v.vec, b.vec) / 64 * (1 + b.sample_id % 3)) / sum(1 + b.sample_id % 3)), 6) AS dist FROM v, v b GROUP BY 1, 2")
+def d14_member_dist(spark, sf):
+    v = P.vectors(spark, sf)
+    members = v.withColumn("cluster_id", F.col("label")).withColumn("weight", 1.0 + F.col("sample_id") % 3)
+    return distance.member_dist(v, members, "weight").withColumn("dist", r6(F.col("dist")))
+
+
+@query(f"WITH {P.SQL_VECTORS} SELECT round(min({_NORM.format('vec')}), 6) AS min_norm, round(max({_NORM.format('vec')}), 6) AS max_norm FROM v")
+def d15_norm_range(spark, sf):
+    return distance.norm_range(P.vectors(spark, sf)).select(r6(F.col("min_norm")).alias("min_norm"), r6(F.col("max_norm")).alias("max_norm"))
+
+
+@query(f"WITH {P.SQL_VECTORS}, {_CENTERS}, {_pairs('l2')}, n AS (SELECT cluster_id, {_NORM.format('vec')} AS n FROM c) SELECT sample_id, cluster_id, round(dist * (SELECT max(n) FROM n) / n, 6) AS dist FROM d JOIN n USING (cluster_id)")
+def d16_rescale(spark, sf):
+    v = P.vectors(spark, sf)
+    centers = cluster.first_seeds(v, 10)
+    out = distance.rescale_by_center_norm(distance.pairs(v, centers, "l2"), centers)
+    return out.select("sample_id", "cluster_id", r6(F.col("dist")).alias("dist"))
+
+
+@query(f"""WITH {P.SQL_VECTORS}, t AS (SELECT max({_NORM.format('vec')}) AS top FROM v), s AS (SELECT sample_id, list_transform(vec, lambda x: x / (2 * top)) AS vec FROM v, t)
+SELECT sample_id, CAST(73 AS INTEGER) AS width, round(vec[1], 6) AS head, round(0.5 - list_inner_product(vec, vec), 6) AS first, round(0.5 - pow(list_inner_product(vec, vec), 9), 6) AS last FROM s""")
+def d17_scale_and_extend(spark, sf):
+    x = F.col("vec")
+    return distance.scale_and_extend(P.vectors(spark, sf)).select("sample_id", F.size(x).alias("width"), r6(x[0]).alias("head"), r6(x[64]).alias("first"), r6(x[72]).alias("last"))
+
+
+@query(f"WITH {P.SQL_VECTORS}, {_CENTERS}, {_pairs('abs_cos')} SELECT sample_id, cluster_id, round(dist, 6) AS dist FROM d")
+def d4_abs_cos_blocks(spark, sf):
+    half = F.array(F.slice("vec", 1, 32), F.slice("vec", 33, 32))
+    v = P.vectors(spark, sf)
+    return distance.pairs(v.withColumn("vec", half), cluster.first_seeds(v, 10).withColumn("vec", half), "abs_cos_blocks").select("sample_id", "cluster_id", r6(F.col("dist")).alias("dist"))
+
+
+# --- more clustering -----------------------------------------------------------------------------------------
+
+
+@query(f"WITH {P.SQL_VECTORS}, s AS (SELECT *, row_number() OVER (ORDER BY {P.sql_ticket(23)}, sample_id) - 1 AS k FROM v) SELECT CAST(k AS INTEGER) AS cluster_id, round(vec[1], 6) AS head FROM s WHERE k < 12")
+def c2_random_seeds(spark, sf):
+    return cluster.random_seeds(P.vectors(spark, sf), 12, 23).select("cluster_id", r6(F.col("vec")[0]).alias("head"))
+
+
+@query(f"""WITH {P.SQL_VECTORS}, {_CENTERS}, {_pairs('abs_cos_by_norm')}, {_NEAREST},
+m AS (SELECT cluster_id, i, sum(vec[i] * (1 + sample_id % 3)) / sum({_NORM.format('vec')} * (1 + sample_id % 3)) AS x FROM n JOIN v USING (sample_id), (SELECT unnest(range(1, 65)) AS i) GROUP BY ALL)
+SELECT cluster_id, CAST(i - 1 AS INTEGER) AS i, round(x, 6) AS x FROM (SELECT c.cluster_id, k.i, coalesce(m.x, c.vec[k.i]) AS x FROM c CROSS JOIN (SELECT unnest(range(1, 65)) AS i) k LEFT JOIN m ON m.cluster_id = c.cluster_id AND m.i = k.i)""")
+def c4_by_norm_step(spark, sf):
+    v = P.vectors(spark, sf).withColumn("weight", 1.0 + F.col("sample_id") % 3)
+    out = cluster.lloyd_step(v, cluster.first_seeds(v, 10), "abs_cos_by_norm", "weight", by_norm=True)
+    return out.select("cluster_id", F.posexplode("vec").alias("i", "x")).withColumn("x", r6(F.col("x")))
+
+
+@query(f"""WITH {P.SQL_VECTORS}, {_CENTERS}, {_pairs('abs_cos')}, {_NEAREST},
+m AS (SELECT cluster_id, i, avg(vec[i]) AS x FROM n JOIN v USING (sample_id), (SELECT unnest(range(1, 65)) AS i) WHERE cluster_id >= 4 GROUP BY ALL)
+SELECT c.cluster_id, CAST(k.i - 1 AS INTEGER) AS i, round(coalesce(m.x, c.vec[k.i]), 6) AS x FROM c CROSS JOIN (SELECT unnest(range(1, 65)) AS i) k LEFT JOIN m ON m.cluster_id = c.cluster_id AND m.i = k.i""")
+def c6_frozen_step(spark, sf):
+    v = P.vectors(spark, sf)
+    ten = cluster.first_seeds(v, 10)
+    free = ten.filter("cluster_id >= 4").withColumn("cluster_id", F.col("cluster_id") - 4)
+    out = cluster.kmeans(v, free, max_iter=1, frozen=ten.filter("cluster_id < 4"))
+    return out.select("cluster_id", F.posexplode("vec").alias("i", "x")).withColumn("x", r6(F.col("x")))
+
+
+@query(f"""WITH {P.SQL_VECTORS}, d AS (SELECT v.sample_id, b.label AS cluster_id, round(1 - abs(avg(list_inner_product(v.vec, b.vec) / 64)), 9) AS dist FROM v, v b GROUP BY 1, 2)
+SELECT sample_id, arg_min(cluster_id, (dist, cluster_id)) AS cluster_id, round(min(dist), 6) AS dist FROM d GROUP BY 1""")
+def c8_kernel_step(spark, sf):
+    v = P.vectors(spark, sf)
+    return cluster.kernel_step(v, v.withColumn("cluster_id", F.col("label"))).select("sample_id", "cluster_id", r6(F.col("dist")).alias("dist"))
+
+
+@query()
+def c8_kernel_kmeans(spark, sf):
+    return cluster.kernel_kmeans(P.vectors(spark, sf), 10, max_iter=5).select("sample_id", "cluster_id", r6(F.col("dist")).alias("dist"))
+
+
+@query(f"""WITH {P.SQL_VECTORS}, {_CENTERS}, {_pairs('l2')}, {_NEAREST}, m AS (SELECT cluster_id, i, avg(vec[i]) AS x FROM n JOIN v USING (sample_id), (SELECT unnest(range(1, 65)) AS i) GROUP BY ALL)
+SELECT c.cluster_id, CAST(k.i - 1 AS INTEGER) AS i, round(coalesce(m.x, 0), 6) AS x FROM c CROSS JOIN (SELECT unnest(range(1, 65)) AS i) k LEFT JOIN m ON m.cluster_id = c.cluster_id AND m.i = k.i""")
+def c9_kmeans_fixed(spark, sf):
+    out = cluster.kmeans_fixed(P.vectors(spark, sf), 10, 1)
+    return out.select("cluster_id", F.posexplode("vec").alias("i", "x")).withColumn("x", r6(F.col("x")))
+
+
+@query()
+def c10_spectral(spark, sf):
+    out = cluster.spectral(P.vectors(spark, sf), 8, 8, iterations=3)
+    return out.select("sample_id", "cluster_id", F.size("vec").alias("width"))
+
+
+@query(f"""WITH {P.SQL_VECTORS}, b AS (SELECT a.sample_id, a.label AS own, t.label AS theirs, avg(pow(list_distance(a.vec, t.vec), 2)) AS m FROM v a JOIN v t ON a.sample_id <> t.sample_id GROUP BY ALL),
+s AS (SELECT sample_id, max(CASE WHEN own = theirs THEN m END) AS a, min(CASE WHEN own <> theirs THEN m END) AS b FROM b GROUP BY 1) SELECT sample_id, round(coalesce((b - a) / greatest(a, b), 0), 6) AS score FROM s""")
+def c11_silhouette_by_means(spark, sf):
+    v = P.vectors(spark, sf)
+    return cluster.silhouette_by_means(v, v.withColumn("cluster_id", F.col("label"))).withColumn("score", r6(F.col("score")))
+
+
+@query()
+def c12_best_k(spark, sf):
+    return cluster.best_k(P.vectors(spark, sf), (5, 10), max_iter=2).withColumn("score", r6(F.col("score")))
+
+
+@query(f"""WITH {P.SQL_VECTORS}, a AS (SELECT a.sample_id, any_value(a.vec) AS vec, round(avg(round(abs(list_inner_product(a.vec, b.vec) / 64), 9)), 9) AS m FROM v a, v b GROUP BY 1), f AS (SELECT * FROM a ORDER BY m DESC, sample_id LIMIT 1),
+s AS (SELECT a.sample_id, round(avg(round(abs((list_inner_product(a.vec, b.vec) + list_inner_product(f.vec, b.vec)) / 64), 9)), 9) AS m FROM a, v b, f WHERE a.sample_id <> f.sample_id GROUP BY 1)
+SELECT CAST(1 AS INTEGER) AS step, sample_id FROM f UNION ALL SELECT 2, sample_id FROM (SELECT sample_id FROM s ORDER BY m DESC, sample_id LIMIT 1)""")
+def c13_greedy_similarity(spark, sf):
+    return cluster.greedy_similarity(P.vectors(spark, sf), 2)
+
+
+@query(f"""WITH {P.SQL_VECTORS}, b AS (SELECT a.sample_id, a.label AS own, t.label AS theirs, avg(pow(list_distance(a.vec, t.vec), 2)) AS m FROM v a JOIN v t ON a.sample_id <> t.sample_id GROUP BY ALL),
+s AS (SELECT sample_id, max(CASE WHEN own = theirs THEN m END) AS a, min(CASE WHEN own <> theirs THEN m END) AS b FROM b GROUP BY 1),
+h AS (SELECT sample_id, row_number() OVER (ORDER BY NOT (b < a), {P.sql_ticket(24)}, sample_id) <= ceil((SELECT count(*) FROM v) * 0.3) AS hit FROM s)
+SELECT sample_id, CASE WHEN hit THEN CAST(floor({P.sql_uniform(25)} * 9) AS INTEGER) ELSE label END AS label FROM v JOIN h USING (sample_id)""")
+def n5_flip_adversarial(spark, sf):
+    v = P.vectors(spark, sf)
+    scores = cluster.silhouette_by_means(v, v.withColumn("cluster_id", F.col("label")))
+    return splits.flip_adversarial(v, scores, 0.3, K, 24).select("sample_id", "label")
+
+
+# --- more representations ------------------------------------------------------------------------------------
+
+
+@query(f"""WITH {P.SQL_VECTORS}, r AS (SELECT *, (row_number() OVER (ORDER BY {P.sql_ticket(26)}, sample_id) - 1) // 32 AS batch FROM v)
+SELECT batch, CAST(i - 1 AS INTEGER) AS i, round(avg(vec[i]), 6) AS x FROM r, (SELECT unnest(range(1, 65)) AS i) GROUP BY ALL""")
+def r4_batch_mean(spark, sf):
+    out = represent.batch_mean(P.vectors(spark, sf), 32, 26)
+    return out.select("batch", F.posexplode("vec").alias("i", "x")).withColumn("x", r6(F.col("x")))
+
+
+@query(f"WITH {P.SQL_LOGITS} SELECT sample_id, round(probs[1], 6) AS head, round(probs[1] * vec[1], 6) AS first, round(probs[10] * vec[64], 6) AS last, CAST(650 AS INTEGER) AS width FROM p")
+def r5_full_gradient(spark, sf):
+    out = represent.gradient(P.logits(spark, sf), K, linear_layer=True, full_loss=True)
+    x = F.col("vec")
+    return out.select("sample_id", r6(x[0]).alias("head"), r6(x[10]).alias("first"), r6(F.element_at(x, -1)).alias("last"), F.size(x).alias("width"))
+
+
+def _blocks(v):
+    return v.withColumn("blocks", F.array(*(F.slice("vec", 8 * b + 1, 8) for b in range(8))))
+
+
+@query(f"""WITH {P.SQL_VECTORS}, s AS (SELECT b, avg(list_inner_product(vec[8 * b + 1:8 * b + 8], vec[8 * b + 1:8 * b + 8]) / 8) AS s FROM v, (SELECT unnest(range(0, 8)) AS b) GROUP BY 1)
+SELECT CAST(b AS INTEGER) AS block, round(s / sum(s) OVER (), 6) AS prob FROM s""")
+def r6_block_probabilities(spark, sf):
+    return represent.block_probabilities(_blocks(P.vectors(spark, sf))).withColumn("prob", r6(F.col("prob")))
+
+
+@query()
+def r6_sample_blocks(spark, sf):
+    out = represent.sample_blocks(_blocks(P.vectors(spark, sf)), 5, 27)
+    return out.select("sample_id", F.size("blocks").alias("blocks"), r6(F.col("blocks")[0][0]).alias("head"))
+
+
+@query("""WITH d AS (SELECT user_id AS sample_id, CAST(dayofyear(ts) AS INTEGER) AS epoch, round(avg(value), 6) AS x FROM events GROUP BY 1, 2)
+SELECT sample_id, CAST(count(*) AS INTEGER) AS n, arg_min(x, epoch) AS head, arg_max(x, epoch) AS last FROM d WHERE epoch IN (2, 9, 16, 23, 30) GROUP BY 1""")
+def r7_stack_checkpoints(spark, sf):
+    d = P.table(spark, sf, "events").groupBy(F.col("user_id").alias("sample_id"), F.dayofyear("ts").alias("epoch")).agg(F.array(r6(F.avg("value"))).alias("vec"))
+    b = F.col("blocks")
+    return represent.stack_checkpoints(d, 2, 7).select("sample_id", F.size(b).alias("n"), b[0][0].alias("head"), F.element_at(b, -1)[0].alias("last"))
+
+
+_PASSES = "x AS (SELECT sample_id, s, list_transform(logits, lambda z: z * (1 + s / 4.0)) AS z FROM z, (SELECT unnest([0, 1, 2]) AS s)), y AS (SELECT sample_id, s, list_transform(z, lambda e: exp(e - list_max(z)) / list_sum(list_transform(z, lambda f: exp(f - list_max(z))))) AS q FROM x), a AS (SELECT sample_id, j, avg(q[j]) AS p FROM y, (SELECT unnest(range(1, 11)) AS j) GROUP BY ALL)"
+
+
+@query(f"WITH {P.SQL_LOGITS}, {_PASSES} SELECT sample_id, CAST(arg_max(j, (round(p, 9), -j)) - 1 AS INTEGER) AS predicted, round(max(p), 6) AS top FROM a GROUP BY 1")
+def r8_mean_passes(spark, sf):
+    z = P.logits(spark, sf).withColumn("pass", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))))
+    out = represent.mean_passes(z.withColumn("logits", vec.scale(F.col("logits"), 1 + F.col("pass") / 4)))
+    return out.select("sample_id", "predicted", r6(F.array_max("probs")).alias("top"))
+
+
+@query(f"WITH {P.SQL_VECTORS} SELECT m.sample_id, round(avg(list_inner_product(m.vec, t.vec)), 6) AS product FROM v m, v t WHERE m.sample_id % 10 = 0 AND t.sample_id % 10 <> 0 GROUP BY 1")
+def r9_grad_product(spark, sf):
+    v = P.vectors(spark, sf)
+    return represent.grad_product(v.filter("sample_id % 10 <> 0"), ids_of(v, 10)).withColumn("product", r6(F.col("product")))
+
+
+# --- more selection ------------------------------------------------------------------------------------------
+
+
+@query()
+def l6_boundary_and_rep(spark, sf):
+    return select.select_boundary_and_rep(P.logits(spark, sf), 20, 6, max_iter=2)
+
+
+@query()
+def l9_gradient_representatives(spark, sf):
+    return select.select_gbc(P.logits(spark, sf), 20, 10, K, 64, max_iter=2)
+
+
+@query(f"WITH {P.SQL_VECTORS}, {_COVER} SELECT sample_id, round(dist, 6) AS dist FROM (SELECT * FROM g WHERE sample_id % 3 = 0 ORDER BY dist DESC, sample_id LIMIT greatest(CASE WHEN (SELECT count(*) FROM v WHERE sample_id % 25 = 0) > 100 THEN 0 ELSE 110 - (SELECT count(*) FROM v WHERE sample_id % 25 = 0) END, 0))")
+def l14_new_picks(spark, sf):
+    v = P.vectors(spark, sf)
+    return select.new_picks(ids_of(v, 3), ids_of(v, 25), 100, 110).withColumn("dist", r6(F.col("dist")))
+
+
+@query()
+def l15_outlier_picks(spark, sf):
+    v = P.vectors(spark, sf)
+    return select.outlier_picks(v, ids_of(v, 100), 25, 0.6, max_iter=2).select("sample_id")
+
+
+@query(f"WITH {P.SQL_VECTORS}, g AS (SELECT v.sample_id, min(round(list_distance(v.vec, c.vec), 9)) AS dist FROM v, v c WHERE c.sample_id % 25 = 0 GROUP BY 1) SELECT sample_id, round(dist, 6) AS dist FROM (SELECT * FROM g ORDER BY dist DESC, sample_id LIMIT 12)")
+def l16_under_represented(spark, sf):
+    v = P.vectors(spark, sf)
+    return select.under_represented(v, ids_of(v, 25), 12).withColumn("dist", r6(F.col("dist")))
+
+
+@query()
+def l17_select_by_class(spark, sf):
+    return select.select_by_class(P.vectors(spark, sf), 20, max_iter=1)
+
+
+_FL = """sq AS (SELECT a.label, a.sample_id AS i, b.sample_id AS c, list_sum(list_transform(list_zip(a.vec, b.vec), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS d2 FROM v a JOIN v b ON a.label = b.label),
+sim AS (SELECT label, i, c, max(d2) OVER (PARTITION BY label) - d2 AS s FROM sq), g1 AS (SELECT label, c, round(sum(s), 9) AS gain FROM sim GROUP BY 1, 2), p1 AS (SELECT label, arg_max(c, (gain, -c)) AS c, max(gain) AS gain FROM g1 GROUP BY 1),
+b1 AS (SELECT sim.label, i, s AS best FROM sim JOIN p1 ON sim.label = p1.label AND sim.c = p1.c), g2 AS (SELECT sim.label, sim.c, round(sum(greatest(s - best, 0)), 9) AS gain FROM sim JOIN b1 ON sim.label = b1.label AND sim.i = b1.i WHERE sim.c NOT IN (SELECT c FROM p1) GROUP BY 1, 2),
+p2 AS (SELECT label, arg_max(c, (gain, -c)) AS c, max(gain) AS gain FROM g2 GROUP BY 1), picks AS (SELECT label, c AS sample_id, 1 AS step, gain FROM p1 UNION ALL SELECT label, c, 2, gain FROM p2)"""
+
+
+@query(f"WITH {P.SQL_VECTORS}, {_FL} SELECT label, sample_id, CAST(step AS INTEGER) AS step, round(gain, 4) AS gain FROM picks")
+def l21_facility_location(spark, sf):
+    v = P.vectors(spark, sf)
+    return facility.per_class(v, v.select("label").distinct().withColumn("budget", F.lit(2))).withColumn("gain", F.round("gain", 4))
+
+
+@query(f"WITH {P.SQL_VECTORS}, {_FL} SELECT label, sample_id, CAST(step AS INTEGER) AS step, round(gain, 4) AS gain FROM picks WHERE step = 1 ORDER BY picks.gain DESC, label LIMIT 7")
+def l22_facility_supervised(spark, sf):
+    return facility.supervised(P.vectors(spark, sf), 7).withColumn("gain", F.round("gain", 4))
+
+
+@query()
+def l23_facility_per_batch(spark, sf):
+    return facility.per_batch(P.vectors(spark, sf), 60, 32, 26).select("sample_id", "batch")
+
+
+@query()
+def l25_facility_active(spark, sf):
+    z = P.logits(spark, sf).withColumn("predicted", vec.argmax(F.col("logits")))
+    budgets = select.class_budgets(z.withColumn("label", F.col("predicted")), 30)
+    return facility.active(z, budgets).withColumn("gain", F.round("gain", 4))
+
+
+@query(f"WITH {P.SQL_LOGITS}, u AS (SELECT sample_id, label, {_SCORE} FROM p WHERE sample_id % 10 <> 0 ORDER BY score DESC, sample_id LIMIT 5) SELECT sample_id, label FROM u UNION ALL SELECT sample_id, label FROM v WHERE sample_id % 10 = 0")
+def l29_grow_meta(spark, sf):
+    z = P.logits(spark, sf)
+    return select.grow_meta(z.filter("sample_id % 10 <> 0").withColumn("clean_label", F.col("label")), ids_of(P.vectors(spark, sf), 10))
+
+
+@query()
+def l30_radius_cover(spark, sf):
+    return select.radius_cover(P.vectors(spark, sf), 16, max_iter=2).select("sample_id")
+
+
+@query()
+def l31_incremental(spark, sf):
+    v = P.vectors(spark, sf)
+    return select.select_incremental(v, v.filter("sample_id < 10"), 20, 18, max_iter=2)
+
+
+# --- training and more evaluation ----------------------------------------------------------------------------
+
+
+@query(f"""WITH {P.SQL_VECTORS}, n AS (SELECT count(*) AS n, avg(CASE WHEN label = 0 THEN 100.0 ELSE 0 END) AS accuracy FROM v), h AS (SELECT j, i, sum(vec[i] * (CASE WHEN label = j - 1 THEN 0.9 ELSE -0.1 END)) AS x FROM v, (SELECT unnest(range(1, 11)) AS j), (SELECT unnest(range(1, 65)) AS i) GROUP BY ALL),
+w AS (SELECT j, list(0.5 * x / n ORDER BY i) AS w FROM h, n GROUP BY 1), z AS (SELECT sample_id, label, list(list_inner_product(vec, w) ORDER BY j) AS z FROM v, w GROUP BY 1, 2),
+l AS (SELECT avg(ln(list_sum(list_transform(z, lambda e: exp(e)))) - z[label + 1]) AS loss, avg(CASE WHEN list_position(z, list_max(z)) - 1 = label THEN 100.0 ELSE 0 END) AS accuracy FROM z)
+SELECT CAST(0 AS INTEGER) AS epoch, round(ln(10), 6) AS loss, round(accuracy, 6) AS accuracy FROM n UNION ALL SELECT 1, round(loss, 6), round(accuracy, 6) FROM l""")
+def w6_train_head(spark, sf):
+    out = reweight.train_head(P.vectors(spark, sf), K, 0.5, 2)
+    return out.select("epoch", r6(F.col("loss")).alias("loss"), r6(F.col("accuracy")).alias("accuracy"))
+
+
+@query(f"WITH {P.SQL_LOGITS} SELECT sample_id % 3 AS epoch, round(avg(-{_OWN}), 6) AS loss, round(100 * avg(CASE WHEN {_PRED} = label THEN 1.0 ELSE 0.0 END), 6) AS accuracy FROM p GROUP BY 1")
+def w9_train_stats(spark, sf):
+    out = reweight.train_stats(P.logits(spark, sf).withColumn("epoch", F.col("sample_id") % 3))
+    return out.select("epoch", r6(F.col("loss")).alias("loss"), r6(F.col("accuracy")).alias("accuracy"))
+
+
+@query(f"""WITH {P.SQL_VECTORS}, s AS (SELECT v.sample_id, any_value(v.label) AS y, arg_max(t.label, (round(list_inner_product(v.vec, t.vec) / 64, 9), -t.sample_id)) AS p FROM v, v t WHERE v.sample_id % 10 = 0 AND t.sample_id % 10 <> 0 GROUP BY 1)
+SELECT count(*) AS n, round(100 * avg(CASE WHEN y = p THEN 1.0 ELSE 0.0 END), 6) AS accuracy FROM s""")
+def m5_nn_accuracy(spark, sf):
+    v = P.vectors(spark, sf)
+    return metrics.nn_accuracy(ids_of(v, 10), v.filter("sample_id % 10 <> 0")).withColumn("accuracy", r6(F.col("accuracy")))
+
+
+@query("""WITH r AS (SELECT user_id, abs(sum(value - 50)) / sum(abs(value - 50)) AS r FROM events GROUP BY 1), d AS (SELECT (1 + r) / (1 - r) AS v FROM r WHERE r < 1)
+SELECT count(*) AS n, round(min(v), 6) AS least, round(quantile_cont(v, 0.001), 6) AS low FROM d""")
+def m10_d_value(spark, sf):
+    cells = P.table(spark, sf, "events").select(F.col("user_id").alias("sample_id"), (F.col("value") - 50).alias("d"))
+    return metrics.d_value(cells).select("n", r6(F.col("least")).alias("least"), r6(F.col("low")).alias("low"))
+
+
+@query(f"WITH {P.SQL_VECTORS}, {_CENTERS}, {_pairs('abs_cos')}, {_NEAREST}, e AS (SELECT v.sample_id, arg_min(c.cluster_id, (round({_DIST['l2']}, 9), c.cluster_id)) AS o FROM v, c GROUP BY 1) SELECT count(*) AS n, round(avg(CASE WHEN cluster_id = o THEN 1.0 ELSE 0.0 END), 6) AS agree FROM n JOIN e USING (sample_id)")
+def m11_assign_agreement(spark, sf):
+    v = P.vectors(spark, sf)
+    centers = cluster.first_seeds(v, 10)
+    return metrics.assign_agreement(distance.assign(v, centers), distance.assign(v, centers, "l2")).withColumn("agree", r6(F.col("agree")))
+
+
+@query(f"""WITH {P.SQL_VECTORS}, {_CENTERS}, {_pairs('abs_cos')}, {_NEAREST}, q AS (SELECT v.sample_id, list(list_inner_product(v.vec, c.vec) / 0.5 ORDER BY c.cluster_id) AS z FROM v, c GROUP BY 1)
+SELECT sample_id, list_position(z, list_max(z)) - 1 = cluster_id AS agree, round(ln(list_sum(list_transform(z, lambda e: exp(e - list_max(z))))) + list_max(z) - z[cluster_id + 1], 6) AS loss FROM q JOIN n USING (sample_id)""")
+def m11_cross_view(spark, sf):
+    v = P.vectors(spark, sf)
+    centers = cluster.first_seeds(v, 10)
+    return metrics.cross_view(v, distance.assign(v, centers), centers, 0.5).withColumn("loss", r6(F.col("loss")))
+
+
+@query(f"""WITH {P.SQL_VECTORS}, c AS (SELECT * FROM v WHERE sample_id % 25 = 0), s AS (SELECT list_inner_product(v.vec[1:8], c.vec[1:8]) * (1 - round({_DIST['abs_cos']}, 9)) AS s FROM v, c)
+SELECT round(max(s), 6) AS largest, round(max(abs(s)), 6) AS largest_abs FROM s""")
+def m12_similarity_bound(spark, sf):
+    v = P.vectors(spark, sf).withColumn("g", F.slice("vec", 1, 8))
+    out = metrics.weighted_similarity_bound(v, ids_of(v, 25))
+    return out.select(r6(F.col("largest")).alias("largest"), r6(F.col("largest_abs")).alias("largest_abs"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -68,3 +70,13 @@ def read_run_logs(spark: SparkSession, glob: str) -> DataFrame:
     logs = spark.read.text(glob, wholetext=True).select(F.col("_metadata.file_path").alias("path"), last.alias("line"))
     found = [F.regexp_extract("line", shape, i) for i in (1, 2, 3)]
     return logs.filter(F.col("line").rlike(shape)).select("path", found[0].cast("int").alias("epoch"), found[1].cast("double").alias("loss"), found[2].cast("double").alias("metric"))
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df written to the checkpoint folder, so that its plan ends there; the folder is a temporary one where none is set (one machine)."""
+    spark = df.sparkSession
+    if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="sievekit-"))
+    elif spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir"))
+    return df.checkpoint()

@@ -1,6 +1,10 @@
 import pytest
+from pyspark.sql import functions as F
 
 from sievekit import queries as Q
+from sievekit.operators import facility, select
+from sievekit.plans import frames as P
+from sievekit.sources import tables
 from tests.oracle import compare, connect
 
 
@@ -22,3 +26,45 @@ def test_representatives(spark, sf):
 def test_kmeans_covers_every_row(spark, sf):
     rows = Q.c3_kmeans(spark, sf).collect()
     assert sum(r.n for r in rows) == 500 and all(0 <= r.mean_dist <= 1 for r in rows)
+
+
+ROWS_ONLY = [n for n in Q.QUERIES if n not in Q.ORACLES]
+
+
+@pytest.mark.parametrize("name", ROWS_ONLY)
+def test_rows_are_known_samples(spark, sf, name):
+    rows = [r.asDict() for r in Q.QUERIES[name](spark, sf).collect()]
+    assert rows
+    if "sample_id" in rows[0]:
+        ids = [r["sample_id"] for r in rows]
+        assert len(ids) == len(set(ids)) and all(0 <= i < 500 for i in ids)
+
+
+def test_clusterings_cover_every_row(spark, sf):
+    for rows in (Q.c8_kernel_kmeans(spark, sf).collect(), Q.c10_spectral(spark, sf).collect()):
+        assert len(rows) == 500 and all(0 <= r.cluster_id < 10 for r in rows)
+
+
+def test_facility_location_in_chunks_stays_near_the_whole(spark, sf):
+    v = P.vectors(spark, sf)
+    goals = v.select("label").distinct().withColumn("budget", F.lit(3))
+    whole, cut = facility.per_class(v, goals).collect(), facility.per_class(v, goals, chunk=20).collect()
+    assert len(whole) == len(cut) == 30 and {r.label for r in cut} == {r.label for r in whole}
+
+
+def test_splits_weights_and_logs_round_trip(spark, sf, tmp_path):
+    v = P.vectors(spark, sf).select("sample_id", "label")
+    tables.save_splits({"train": v, "meta": v.limit(3)}, f"{tmp_path}/s")
+    back = tables.load_splits(spark, f"{tmp_path}/s")
+    assert back["train"].count() == 500 and back["meta"].count() == 3 and back["test"] is None
+    for epoch in (0, 2):
+        tables.save_weights(v.select("sample_id", F.lit(float(epoch)).alias("w")), f"{tmp_path}/w", epoch)
+    assert tables.load_weights(spark, f"{tmp_path}/w").agg(F.max("w")).first()[0] == 2.0 and tables.load_weights(spark, f"{tmp_path}/w", 0).count() == 500
+    (tmp_path / "a.log").write_text("start\nfinal test performance is in epoch 3: 0.25, 0.91\n")
+    row = tables.read_run_logs(spark, f"file://{tmp_path}/*.log").first()
+    assert (row.epoch, row.loss, row.metric) == (3, 0.25, 0.91)
+
+
+def test_budget(spark, sf):
+    v = P.vectors(spark, sf)
+    assert [select.remaining_budget(v, 9, t) for t in (None, 505, 10)] == [9, 5, 0]
