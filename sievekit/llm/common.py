@@ -20,6 +20,9 @@ ASCII_LOWER = str.maketrans(UPPER, LOWER)
 #: Rows of an Arrow batch that are Python objects at once.
 SLICE = 1000
 
+#: Rows and key bytes up to which a table with a row per key is broadcast, and the places a key has beyond that.
+FEW_ROWS, FEW_BYTES, SALTS = 200_000, 32 << 20, 64
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -41,6 +44,22 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def join_per_key(df: DataFrame, key: Column, per_key: DataFrame, of: str, spread: list[Column], how: str = "left", few_rows: int = FEW_ROWS) -> DataFrame:
+    """df joined with per_key, a written table with one row for each value of its column ``of``; null keys match.
+
+    Where its counted rows and bytes are few, per_key travels to every task and df stays where it is. Beyond that
+    each of its rows goes to SALTS places and df's rows are dealt to them by a hash of spread, so that a key that
+    holds a third of all rows has no task of its own.
+    """
+    rows, size = per_key.agg(F.count(F.lit(1)), F.sum(F.octet_length(F.col(of)))).first()
+    same = key.eqNullSafe(F.col(of))
+    if rows <= few_rows and (size or 0) <= FEW_BYTES:
+        return df.join(F.broadcast(per_key), same, how)
+    copies = per_key.withColumn("_place", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = df.withColumn("_salt", F.pmod(F.xxhash64(*spread), F.lit(SALTS)).cast("int"))
+    return salted.join(copies, same & (F.col("_salt") == F.col("_place")), how).drop("_salt", "_place")
+
+
 def id_modulus(doc_id: str | Column, mod: int) -> Column:
     """crc32 of the id as text, modulo mod; a null id counts as empty text."""
     col = F.col(doc_id) if isinstance(doc_id, str) else doc_id

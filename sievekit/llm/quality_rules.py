@@ -14,7 +14,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sievekit.llm.common import map_rows, materialize
+from sievekit.llm.common import join_per_key, map_rows, materialize
 
 WHITE = " \t\n\v\f\r"
 SYMBOLS = "#*$%&|<>"
@@ -108,9 +108,9 @@ def judge(docs: DataFrame, params: Params = Params()) -> DataFrame:
     flat = annotate(docs.select("doc_id", "text", "source"), params, ["doc_id", "source"])
     flat = flat.select(F.col("row.doc_id").alias("doc_id"), F.col("row.source").alias("host"), *flat.columns[1:])
     stats = materialize(flat, "quality-rules")
-    verdicts = host_verdicts(stats, params).select(F.col("host").alias("of"), "rate", "host_kept")
-    out = stats.join(verdicts, F.col("host").eqNullSafe(F.col("of")), "left")
-    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & F.col("host_kept")).alias("kept"), F.col("rate").alias("host_rate"))
+    verdicts = materialize(host_verdicts(stats, params).select(F.col("host").alias("of"), "rate", "host_kept"), "quality-hosts")
+    out = join_per_key(stats, F.col("host"), verdicts, "of", [F.col("doc_id"), F.col("word_chars")])
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & F.col("host_kept")).alias("kept"), F.round("rate", 6).alias("host_rate"))
 
 
 def keep_passing(docs: DataFrame, params: Params = Params()) -> DataFrame:
@@ -118,5 +118,6 @@ def keep_passing(docs: DataFrame, params: Params = Params()) -> DataFrame:
     marked = annotate(docs, params)
     slim = annotate(docs.select("text", "source"), params, ["source"]).select(F.col("row.source").alias("host"), "base_failed")
     bad = host_verdicts(slim, params)
-    bad = bad.filter(~F.col("host_kept")).select(F.col("host").alias("of"))
-    return marked.filter(~F.col("base_failed")).join(bad, F.col("row.source").eqNullSafe(F.col("of")), "left_anti").select("row.*")
+    bad = materialize(bad.filter(~F.col("host_kept")).select(F.col("host").alias("of")), "quality-hosts")
+    passing = marked.filter(~F.col("base_failed"))
+    return join_per_key(passing, F.col("row.source"), bad, "of", [F.col("row.doc_id"), F.col("word_chars")], "left_anti").select("row.*")

@@ -78,3 +78,35 @@ s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_z
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
 FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5
 """
+
+ORACLES["op5_chat_format"] = r"""
+WITH r AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+           UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS pos,
+      length(text) + length(regexp_replace(text, '[^\\]', '', 'g'))
+      + 2 * CAST(list_sum(list_transform(['<s>', '</s>', '[INST]', '[/INST]', '[ROLE=', '[/ROLE]'], lambda c: (length(text) - length(replace(text, c, ''))) // length(c))) AS BIGINT) AS body,
+      CASE role WHEN 'user' THEN 15 WHEN 'assistant' THEN 9 ELSE 16 + length(role) + length(regexp_replace(role, '[^\\\]]', '', 'g')) END AS marks FROM r)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY pos)) AS turns_sha256,
+       CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY pos) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       CAST(sum(body + marks) AS BIGINT) AS formatted_chars
+FROM n GROUP BY conv_id
+"""
+
+ORACLES["op7_quality_rules"] = r"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, source, coalesce(text, '') AS t FROM documents),
+w AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM d),
+x AS (SELECT rid, unnest(w) AS a, generate_subscripts(w, 1) AS i FROM w),
+g AS (SELECT rid, i, a, lead(a, 1) OVER s AS b, lead(a, 2) OVER s AS c, lead(a, 3) OVER s AS e, lead(a, 4) OVER s AS f FROM x WINDOW s AS (PARTITION BY rid ORDER BY i)),
+r AS (SELECT rid, i FROM g WHERE f IS NOT NULL QUALIFY count(*) OVER (PARTITION BY rid, a, b, c, e, f) > 1),
+p AS (SELECT rid, count(DISTINCT i + k) AS n FROM r, (VALUES (0), (1), (2), (3), (4)) AS v(k) GROUP BY rid),
+m AS (SELECT doc_id, source, CAST(len(w) AS BIGINT) AS n_words, CAST(length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g')) AS BIGINT) AS word_chars,
+      CAST(length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines,
+      CAST(coalesce(p.n, 0) AS BIGINT) AS n_repeat_words, len(w) < 10 OR 100 * coalesce(p.n, 0) > 20 * len(w) AS base_failed FROM w LEFT JOIN p USING (rid)),
+h AS (SELECT source, count(*) AS n, count(*) FILTER (base_failed) AS failed FROM m GROUP BY source),
+a AS (SELECT sum(n) AS sn, sum(failed) / sum(n) AS mean, count(*) AS k, sum(n * (failed / n) * (failed / n)) AS sq FROM h),
+b AS (SELECT mean, CASE WHEN k > 1 AND mean > 0 AND mean < 1 THEN least(greatest(mean * (1 - mean) / greatest(sq / sn - mean * mean, 1e-9) - 1, 1.0), 1e6) ELSE 1.0 END AS strength FROM a),
+j AS (SELECT source, (failed + mean * strength) / (n + strength) AS rate FROM h, b)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND rate <= 0.6 AS kept, round(rate, 6) AS host_rate
+FROM m JOIN j ON m.source IS NOT DISTINCT FROM j.source
+"""
