@@ -18,7 +18,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sievekit.llm.common import materialize
+from sievekit.llm.common import join_per_key, materialize
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -86,16 +86,16 @@ def _meet(acc: Column, x: Column) -> Column:
 
 
 def _level(units: DataFrame, number: int, chunks: Column, params: Params) -> DataFrame:
-    """source with ``cur`` (residual) and ``done`` (decided) of each chunk of units (source, doc_id, size, mass, p)."""
+    """source and n_units with ``cur`` (residual) and ``done`` (decided) of each chunk of units (source, n_units, doc_id, size, mass, p)."""
     kind = "struct<doc_id:bigint,size:bigint,mass:bigint,u:double,p:double>"
     u = _uniform(F.lit(params.seed), F.lit(number), "source", "doc_id", "size")
     place = F.xxhash64(F.lit(params.seed + 1), F.lit(number), "doc_id", "size")
     packed = units.withColumn("chunk", F.pmod(place, chunks))
     item = F.struct(place.alias("place"), F.col("doc_id").alias("doc_id"), F.col("size").alias("size"), F.col("mass").alias("mass"), u.alias("u"), F.col("p").alias("p"))
-    grouped = packed.groupBy("source", "chunk").agg(F.array_sort(F.collect_list(item)).alias("items"))
+    grouped = packed.groupBy("source", "n_units", "chunk").agg(F.array_sort(F.collect_list(item)).alias("items"))
     none = F.struct(F.lit(None).cast("bigint").alias("doc_id"), F.lit(0).cast("bigint").alias("size"), F.lit(1).cast("bigint").alias("mass"), F.lit(0.0).alias("u"), F.lit(-1.0).alias("p"))
     state = F.struct(none.alias("cur"), F.array().cast(f"array<{kind}>").alias("done"))
-    return grouped.select("source", F.aggregate("items", state, lambda acc, x: _meet(acc, x)).alias("r")).select("source", "r.cur", "r.done")
+    return grouped.select("source", "n_units", F.aggregate("items", state, lambda acc, x: _meet(acc, x)).alias("r")).select("source", "n_units", "r.cur", "r.done")
 
 
 def _tree(units: DataFrame, largest: int, label: str, params: Params) -> DataFrame:
@@ -106,19 +106,17 @@ def _tree(units: DataFrame, largest: int, label: str, params: Params) -> DataFra
     decided, number = [], 0
     certain = (F.col("p") <= 0) | (F.col("p") >= 1)
     decided.append(units.filter(certain).select("source", "doc_id", "size", F.col("p").cast("int").alias("extra")))
-    counts = units.select("source", "n_units").distinct()
     now = units.filter(~certain)
     while True:
         chunks = F.greatest(F.ceil(F.col("n_units") / F.lit(float(params.fan ** (number + 1)))), F.lit(1)).cast("long")
         done = materialize(_level(now, number, chunks, params), f"mixing-{label}-{number}")
         decided.append(done.select("source", F.explode("done").alias("d")).select("source", "d.doc_id", "d.size", F.col("d.p").cast("int").alias("extra")))
         number += 1
-        rest = done.filter("cur.p >= 0").select("source", "cur.doc_id", "cur.size", "cur.mass", "cur.p")
+        now = done.filter("cur.p >= 0").select("source", "n_units", "cur.doc_id", "cur.size", "cur.mass", "cur.p")
         if params.fan**number >= largest:
             u = _uniform(F.lit(params.seed), F.lit(-1), "source", "doc_id", "size")
-            decided.append(rest.select("source", "doc_id", "size", (u < F.col("p")).cast("int").alias("extra")))
+            decided.append(now.select("source", "doc_id", "size", (u < F.col("p")).cast("int").alias("extra")))
             break
-        now = rest.join(counts.withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of"))).drop("of")
     out = decided[0]
     for d in decided[1:]:
         out = out.unionByName(d)
@@ -138,7 +136,8 @@ def plan(docs: DataFrame, params: Params = Params()) -> DataFrame:
     goals = materialize(targets(units, params), "mixing-targets")
     largest = goals.agg(F.max("n_units")).first()[0] or 1
     of = goals.withColumnRenamed("source", "of")
-    full = units.join(of, F.col("source").eqNullSafe(F.col("of"))).drop("of")
+    spread = [F.col("doc_id"), F.col("size")]
+    full = join_per_key(units, F.col("source"), of, "of", spread, "inner").drop("of")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     full = full.withColumn("whole", F.floor(rate).cast("int")).withColumn("p", rate - F.floor(rate))
     alive = full.filter("mass > 0")
@@ -151,7 +150,7 @@ def plan(docs: DataFrame, params: Params = Params()) -> DataFrame:
     low = alive.filter(F.col("mass") <= F.col("mean_mass"))
     room = low.groupBy("source").agg(F.sum("mass").alias("room")).withColumnRenamed("source", "of")
     shift = room.join(over, F.col("of").eqNullSafe(F.col("source")), "left").select("of", (F.coalesce("over", F.lit(0.0)) / F.col("room")).alias("shift"))
-    low = low.join(shift, F.col("source").eqNullSafe(F.col("of")), "left").drop("of")
+    low = join_per_key(low, F.col("source"), materialize(shift, "mixing-shift"), "of", spread).drop("of")
     moved = F.when((F.col("p") > 0), F.least(F.greatest(F.col("p") - F.coalesce("shift", F.lit(0.0)), F.lit(0.0)), F.lit(1.0))).otherwise(F.col("p"))
     second = _tree(low.withColumn("p", moved).select("source", "doc_id", "size", "mass", "p", "n_units"), largest, "low", params)
     extra = first.unionByName(second).select(F.col("source").alias("of"), F.col("doc_id").alias("id"), F.col("size").alias("s"), "extra")
