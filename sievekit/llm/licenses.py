@@ -2,13 +2,14 @@
 
 A text is lower-cased, cut into words and laid out as " word  word ": every word has a blank on each side, so
 that a rule that begins and ends with a blank matches whole words and neighbours never share a blank. Rules
-are gated by a keyword that the text must contain. What the rules match are intervals; an interval is dropped
+are gated by keywords, taken from the patterns, of which the text must contain one. What the rules match are intervals; an interval is dropped
 if another of the same or a higher priority contains it, and of equal intervals the first rule's stays.
 """
 
 from __future__ import annotations
 
 import json
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -21,60 +22,60 @@ BASE = (("gnu general public license", "gpl"), ("apache license", "apache"), ("c
 #: What is no word: everything below 0x80 but digits and small letters.
 NO_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
-#: label, keyword that must occur, names (regular expressions over words), address (words of its URL or None).
+#: label, names (regular expressions over words), address (words of its URL or None).
 FAMILIES = (
-    ("gpl", "general public", "gnu (?:general public license|gpl)|general public license", "www gnu org (?:licenses|copyleft) gpl"),
-    ("gpl", "gpl", "(?:gnu )?gpl", None),
-    ("lgpl", "lesser general", "(?:gnu )?(?:lesser|library) general public license", "www gnu org (?:licenses|copyleft) lesser"),
-    ("lgpl", "lgpl", "(?:gnu )?lgpl", None),
-    ("agpl", "affero", "(?:gnu )?affero general public license", "www gnu org licenses agpl"),
-    ("agpl", "agpl", "(?:gnu )?agpl", None),
-    ("gfdl", "free documentation", "(?:gnu )?free documentation license", "www gnu org (?:licenses|copyleft) fdl"),
-    ("apache", "apache", "apache (?:software )?licen[sc]e|apl|asl", "www apache org licenses license"),
-    ("mit", "mit", "(?:the )?mit(?: x11)? licen[sc]e|mit", "opensource org licenses mit(?: license)?(?: php)?"),
-    ("bsd", "bsd", "(?:new |modified |simplified |original )?bsd(?: style)? licen[sc]e|bsd", "opensource org licenses bsd(?: license)?(?: php)?"),
-    ("bsd-clause", "clause", "(?:bsd )?(?:2|3|4|two|three|four) clause(?: bsd)? licen[sc]e|bsd (?:2|3|4) clause", None),
-    ("isc", "isc", "isc licen[sc]e|isc", "opensource org licenses isc"),
-    ("mpl", "mozilla", "mozilla public licen[sc]e", "(?:www )?mozilla org (?:en us )?mpl"),
-    ("mpl", "mpl", "mpl", None),
-    ("epl", "eclipse", "eclipse (?:public|distribution) licen[sc]e", "www eclipse org legal epl(?: v10)?"),
-    ("cddl", "common development", "common development and distribution licen[sc]e", "opensource org licenses cddl1?"),
-    ("cddl", "cddl", "cddl", None),
-    ("cpl", "common public", "common public licen[sc]e", "opensource org licenses cpl1?"),
-    ("ipl", "ibm public", "ibm public licen[sc]e", None),
-    ("artistic", "artistic", "(?:perl )?artistic licen[sc]e", "opensource org licenses artistic license"),
-    ("boost", "boost", "boost software licen[sc]e", "www boost org license 1 0"),
-    ("zlib", "zlib", "zlib(?: libpng)? licen[sc]e", "opensource org licenses zlib"),
-    ("python", "python", "python(?: software foundation)? licen[sc]e", "docs python org 3 license"),
-    ("ruby", "ruby", "ruby licen[sc]e", None),
-    ("php", "php", "php licen[sc]e", "www php net license"),
-    ("unlicense", "unlicense", "(?:the )?unlicense", "(?:www )?unlicense org"),
-    ("wtfpl", "wtfpl", "(?:the )?wtfpl", "(?:www )?wtfpl net"),
-    ("eupl", "european union", "european union public licen[sc]e", "joinup ec europa eu collection eupl"),
-    ("ofl", "open font", "(?:sil )?open font licen[sc]e", "scripts sil org ofl"),
-    ("postgresql", "postgresql", "postgresql licen[sc]e", None),
-    ("openssl", "openssl", "openssl licen[sc]e", None),
-    ("ms-pl", "microsoft", "microsoft (?:public|reciprocal) licen[sc]e", None),
-    ("sspl", "server side", "server side public licen[sc]e", None),
-    ("busl", "business source", "business source licen[sc]e", None),
-    ("ncsa", "ncsa", "(?:university of illinois )?ncsa(?: open source)? licen[sc]e", None),
-    ("odbl", "open database", "open (?:database|data commons)(?: open database)? licen[sc]e", "opendatacommons org licenses odbl"),
-    ("odc-by", "data commons", "open data commons attribution licen[sc]e", "opendatacommons org licenses by"),
-    ("cdla", "community data", "community data licen[sc]e agreement", "cdla io"),
-    ("rail", "rail", "(?:open|creativeml open|bigscience) rail(?: m)?(?: licen[sc]e)?", None),
-    ("llama", "llama", "llama (?:2 |3 )?community licen[sc]e", None),
-    ("public-domain", "public domain", "(?:in|into|to) the public domain|public domain dedication", "creativecommons org publicdomain"),
-    ("cc0", "cc0", "cc0", "creativecommons org publicdomain zero"),
-    ("cc-by", "cc by", "cc by", None),
-    ("cc-by", "attribution", "creative commons attribution(?: international| generic| unported)?", "creativecommons org licenses by"),
-    ("cc-by-sa", "by sa", "cc by sa", "creativecommons org licenses by sa"),
-    ("cc-by-sa", "sharealike", "creative commons attribution sharealike", None),
-    ("cc-by-nd", "by nd", "cc by nd", "creativecommons org licenses by nd"),
-    ("cc-by-nc", "by nc", "cc by nc", "creativecommons org licenses by nc"),
-    ("cc-by-nc", "noncommercial", "creative commons attribution non ?commercial", None),
-    ("cc-by-nc-sa", "nc sa", "cc by nc sa", "creativecommons org licenses by nc sa"),
-    ("cc-by-nc-nd", "nc nd", "cc by nc nd", "creativecommons org licenses by nc nd"),
-    ("proprietary", "rights reserved", "all rights reserved", None),
+    ("gpl", "gnu (?:general public license|gpl)|general public license", "www gnu org (?:licenses|copyleft) gpl"),
+    ("gpl", "(?:gnu )?gpl", None),
+    ("lgpl", "(?:gnu )?(?:lesser|library) general public license", "www gnu org (?:licenses|copyleft) lesser"),
+    ("lgpl", "(?:gnu )?lgpl", None),
+    ("agpl", "(?:gnu )?affero general public license", "www gnu org licenses agpl"),
+    ("agpl", "(?:gnu )?agpl", None),
+    ("gfdl", "(?:gnu )?free documentation license", "www gnu org (?:licenses|copyleft) fdl"),
+    ("apache", "apache (?:software )?licen[sc]e|apl|asl", "www apache org licenses license"),
+    ("mit", "(?:the )?mit(?: x11)? licen[sc]e|mit", "opensource org licenses mit(?: license)?(?: php)?"),
+    ("bsd", "(?:new |modified |simplified |original )?bsd(?: style)? licen[sc]e|bsd", "opensource org licenses bsd(?: license)?(?: php)?"),
+    ("bsd-clause", "(?:bsd )?(?:2|3|4|two|three|four) clause(?: bsd)? licen[sc]e|bsd (?:2|3|4) clause", None),
+    ("isc", "isc licen[sc]e|isc", "opensource org licenses isc"),
+    ("mpl", "mozilla public licen[sc]e", "(?:www )?mozilla org (?:en us )?mpl"),
+    ("mpl", "mpl", None),
+    ("epl", "eclipse (?:public|distribution) licen[sc]e", "www eclipse org legal epl(?: v10)?"),
+    ("cddl", "common development and distribution licen[sc]e", "opensource org licenses cddl1?"),
+    ("cddl", "cddl", None),
+    ("cpl", "common public licen[sc]e", "opensource org licenses cpl1?"),
+    ("ipl", "ibm public licen[sc]e", None),
+    ("artistic", "(?:perl )?artistic licen[sc]e", "opensource org licenses artistic license"),
+    ("boost", "boost software licen[sc]e", "www boost org license 1 0"),
+    ("zlib", "zlib(?: libpng)? licen[sc]e", "opensource org licenses zlib"),
+    ("python", "python(?: software foundation)? licen[sc]e", "docs python org 3 license"),
+    ("ruby", "ruby licen[sc]e", None),
+    ("php", "php licen[sc]e", "www php net license"),
+    ("unlicense", "(?:the )?unlicense", "(?:www )?unlicense org"),
+    ("wtfpl", "(?:the )?wtfpl", "(?:www )?wtfpl net"),
+    ("eupl", "european union public licen[sc]e", "joinup ec europa eu collection eupl"),
+    ("ofl", "(?:sil )?open font licen[sc]e", "scripts sil org ofl"),
+    ("postgresql", "postgresql licen[sc]e", None),
+    ("openssl", "openssl licen[sc]e", None),
+    ("ms-pl", "microsoft (?:public|reciprocal) licen[sc]e", None),
+    ("sspl", "server side public licen[sc]e", None),
+    ("busl", "business source licen[sc]e", None),
+    ("ncsa", "(?:university of illinois )?ncsa(?: open source)? licen[sc]e", None),
+    ("odbl", "open (?:database|data commons)(?: open database)? licen[sc]e", "opendatacommons org licenses odbl"),
+    ("odc-by", "open data commons attribution licen[sc]e", "opendatacommons org licenses by"),
+    ("cdla", "community data licen[sc]e agreement", "cdla io"),
+    ("rail", "(?:open|creativeml open|bigscience) rail(?: m)?(?: licen[sc]e)?", None),
+    ("llama", "llama (?:2 |3 )?community licen[sc]e", None),
+    ("public-domain", "(?:in|into|to) the public domain|public domain dedication", "creativecommons org publicdomain"),
+    ("cc0", "cc0", "creativecommons org publicdomain zero"),
+    ("cc-by", "cc by", None),
+    ("cc-by", "creative commons attribution(?: international| generic| unported)?", "creativecommons org licenses by"),
+    ("cc-by-sa", "cc by sa", "creativecommons org licenses by sa"),
+    ("cc-by-sa", "creative commons attribution sharealike", None),
+    ("cc-by-nd", "cc by nd", "creativecommons org licenses by nd"),
+    ("cc-by-nc", "cc by nc", "creativecommons org licenses by nc"),
+    ("cc-by-nc", "creative commons attribution (?:non commercial|noncommercial)", None),
+    ("cc-by-nc-sa", "cc by nc sa", "creativecommons org licenses by nc sa"),
+    ("cc-by-nc-nd", "cc by nc nd", "creativecommons org licenses by nc nd"),
+    ("proprietary", "all rights reserved", None),
 )
 #: name, priority (0 first), weight, pattern. {n} is a family's name, {u} its address, {v} a version.
 VERSION = "(?: (?:version|v))?(?: v?[0-9]+(?: [0-9]+)?)(?: (?:or|and) (?:any )?(?:later|newer)(?: versions?)?| only)?"
@@ -91,7 +92,7 @@ TEMPLATES = (
 @dataclass(frozen=True)
 class Rule:
     rank: int
-    keyword: str
+    keywords: list[str]
     pattern: str
     label: str
     priority: int
@@ -103,22 +104,43 @@ def _spaced(pattern: str) -> str:
     return " (?:" + pattern.replace("(?: ", "(?:\0").replace(" ", "  ").replace("\0", "  ") + ") "
 
 
+def _alternatives(pattern: str) -> list[str]:
+    """The pattern's parts between bars that are in no group."""
+    parts, depth = [""], 0
+    for c in pattern:
+        depth += (c == "(") - (c == ")")
+        if c == "|" and not depth:
+            parts.append("")
+        else:
+            parts[-1] += c
+    return parts
+
+
+def _keywords(pattern: str) -> list[str]:
+    """For each alternative, words of the layout that all its matches contain: the longest run outside groups, classes and optional letters."""
+    found = []
+    for part in _alternatives(pattern):
+        fixed = re.sub(r"\[[^]]*\]\??|\w\?", "\0", part)
+        while "(" in fixed:
+            fixed = re.sub(r"\([^()]*\)\??", "\0", fixed)
+        runs = [r.strip() for r in fixed.split("\0")]
+        best = max(runs, key=lambda r: (r not in ("licen", "e"), len(r)) if r else (False, 0)).replace(" ", "  ")
+        found.append(f" {best} " if fixed == part else best)
+    return found
+
+
 def signature_rules() -> list[Rule]:
     """The rules in order: by template, then by family. A name alone is too weak for a rule unless it says license."""
     rules = []
     for _, priority, weight, shape in TEMPLATES:
-        for label, keyword, names, address in FAMILIES:
+        for label, names, address in FAMILIES:
             if "{u}" in shape and address is None:
                 continue
             pattern = shape.replace("{n}", names).replace("{v}", VERSION).replace("{u}", address or "")
-            rules.append(Rule(len(rules), keyword.replace(" ", "  "), _spaced(pattern), label, priority, weight))
+            rules.append(Rule(len(rules), _keywords(address if "{u}" in shape else names), _spaced(pattern), label, priority, weight))
     return rules
 
 
-#: A text without any of these has no match of any rule.
-CUES = ("licen", "spdx", "gpl", "released", "distributed", "published", "available", "provided", "covered", "shared", "subject  to", "governed", "compliance", "accordance", "according", "org", "version", "see  the", "read  the", "copy  of", "public  domain", "mit", "text", "file", "terms", "notice", "net")
-
-
 def words_column(text: Column) -> Column:
     """The words joined by single blanks."""
     return F.trim(F.regexp_replace(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), NO_WORD, " "))
@@ -157,7 +179,7 @@ def detect(docs: DataFrame, rules: list[Rule] | None = None) -> DataFrame:
     characters of the layout.
     """
     rules = signature_rules() if rules is None else rules
-    schema = "array<struct<rank:int,keyword:string,pattern:string,label:string,priority:int,weight:double>>"
+    schema = "array<struct<rank:int,keywords:array<string>,pattern:string,label:string,priority:int,weight:double>>"
     listed = F.from_json(F.lit(json.dumps([r.__dict__ for r in rules])), schema)
     base_pattern = " (?:" + "|".join(p.replace(" ", "  ") for p, _ in BASE) + ") "
     gate = F.lit(False)
@@ -170,11 +192,10 @@ def detect(docs: DataFrame, rules: list[Rule] | None = None) -> DataFrame:
     df = df.withColumn("found", F.when(gate, F.regexp_extract_all("laid", F.lit(base_pattern), F.lit(0))).otherwise(no_strings))
     df = df.withColumn("between", F.when(F.size("found") > 0, F.split("laid", base_pattern, -1)).otherwise(no_strings))
     df = df.withColumn("n_words", _count_words(F.col("laid")))
-    cue = F.lit(False)
-    for word in CUES:
-        cue = cue | F.contains("laid", F.lit(word))
-    gated = F.filter(listed, lambda r: F.contains(F.col("laid"), r["keyword"]))
-    raw = F.when(cue, F.array_sort(F.flatten(F.transform(gated, lambda r: _intervals(F.col("laid"), r)))))
+    words = sorted({w for r in rules for w in r.keywords})
+    df = df.withColumn("hits", F.filter(F.array(*map(F.lit, words)).cast("array<string>"), lambda w: F.contains(F.col("laid"), w)))
+    gated = F.filter(listed, lambda r: F.arrays_overlap(r["keywords"], F.col("hits")))
+    raw = F.when(F.size("hits") > 0, F.array_sort(F.flatten(F.transform(gated, lambda r: _intervals(F.col("laid"), r)))))
     df = df.withColumn("raw", raw)
     kept = F.aggregate(
         "raw",
