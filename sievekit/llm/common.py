@@ -50,21 +50,32 @@ def _local_folder() -> str:
 
 
 @contextmanager
-def small_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
-    """Holds the session's Arrow batches to some rows while it lasts: whole texts travel through Python, and some are very long."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(name)
-    spark.conf.set(name, str(min(int(before), rows) if int(before) > 0 else rows))
+def settings(spark: SparkSession, **values: str) -> Iterator[None]:
+    """Holds settings of the session while it lasts (dots in their names are written __)."""
+    names = {k: k.replace("__", ".") for k in values}
+    before = {k: spark.conf.get(name) for k, name in names.items()}
+    for k, name in names.items():
+        spark.conf.set(name, values[k])
     try:
         yield
     finally:
-        spark.conf.set(name, before)
+        for k, name in names.items():
+            spark.conf.set(name, before[k])
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write df as a table in the shared folder and read it back, so that a lost executor costs no recomputation."""
+def small_batches(spark: SparkSession, rows: int = 1000):
+    """Holds Arrow batches to some rows: whole texts travel through Python, and some are very long."""
+    now = int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch"))
+    return settings(spark, spark__sql__execution__arrow__maxRecordsPerBatch=str(min(now, rows) if now > 0 else rows))
+
+
+def materialize(df: DataFrame, label: str, batch: int = 1000) -> DataFrame:
+    """Write df as a table in the shared folder and read it back, so that a lost executor costs no recomputation.
+
+    batch: most rows of an Arrow batch meanwhile, fewer for rows that are large.
+    """
     path = scratch_path(df.sparkSession, label)
-    with small_batches(df.sparkSession):
+    with small_batches(df.sparkSession, batch):
         df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
