@@ -2,91 +2,31 @@
 
 A text is lower-cased, cut into words and laid out as " word  word ": every word has a blank on each side, so
 that a rule that begins and ends with a blank matches whole words and neighbours never share a blank. Rules
-are gated by keywords, taken from the patterns, of which the text must contain one. What the rules match are intervals; an interval is dropped
-if another of the same or a higher priority contains it, and of equal intervals the first rule's stays.
+(license_rules, written by hand) are gated by keywords, taken from their patterns, of which the text must contain
+one. What the rules match are intervals; an interval is dropped if another of the same or a higher priority
+contains it, and of equal intervals the first rule's stays.
 """
 
 from __future__ import annotations
 
 import json
 import re
+from collections import Counter
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sievekit.llm.common import LOWER, UPPER
+from sievekit.llm.license_rules import LATER, SIGNATURES, UNDER, VERSION
 
 #: The plain phrases and their labels.
 BASE = (("gnu general public license", "gpl"), ("apache license", "apache"), ("cc by", "cc-by"), ("mit license", "mit"))
 #: What is no word: everything below 0x80 but digits and small letters.
 NO_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-
-#: label, names (regular expressions over words), address (words of its URL or None).
-FAMILIES = (
-    ("gpl", "gnu (?:general public license|gpl)|general public license", "www gnu org (?:licenses|copyleft) gpl"),
-    ("gpl", "(?:gnu )?gpl", None),
-    ("lgpl", "(?:gnu )?(?:lesser|library) general public license", "www gnu org (?:licenses|copyleft) lesser"),
-    ("lgpl", "(?:gnu )?lgpl", None),
-    ("agpl", "(?:gnu )?affero general public license", "www gnu org licenses agpl"),
-    ("agpl", "(?:gnu )?agpl", None),
-    ("gfdl", "(?:gnu )?free documentation license", "www gnu org (?:licenses|copyleft) fdl"),
-    ("apache", "apache (?:software )?licen[sc]e|apl|asl", "www apache org licenses license"),
-    ("mit", "(?:the )?mit(?: x11)? licen[sc]e|mit", "opensource org licenses mit(?: license)?(?: php)?"),
-    ("bsd", "(?:new |modified |simplified |original )?bsd(?: style)? licen[sc]e|bsd", "opensource org licenses bsd(?: license)?(?: php)?"),
-    ("bsd-clause", "(?:bsd )?(?:2|3|4|two|three|four) clause(?: bsd)? licen[sc]e|bsd (?:2|3|4) clause", None),
-    ("isc", "isc licen[sc]e|isc", "opensource org licenses isc"),
-    ("mpl", "mozilla public licen[sc]e", "(?:www )?mozilla org (?:en us )?mpl"),
-    ("mpl", "mpl", None),
-    ("epl", "eclipse (?:public|distribution) licen[sc]e", "www eclipse org legal epl(?: v10)?"),
-    ("cddl", "common development and distribution licen[sc]e", "opensource org licenses cddl1?"),
-    ("cddl", "cddl", None),
-    ("cpl", "common public licen[sc]e", "opensource org licenses cpl1?"),
-    ("ipl", "ibm public licen[sc]e", None),
-    ("artistic", "(?:perl )?artistic licen[sc]e", "opensource org licenses artistic license"),
-    ("boost", "boost software licen[sc]e", "www boost org license 1 0"),
-    ("zlib", "zlib(?: libpng)? licen[sc]e", "opensource org licenses zlib"),
-    ("python", "python(?: software foundation)? licen[sc]e", "docs python org 3 license"),
-    ("ruby", "ruby licen[sc]e", None),
-    ("php", "php licen[sc]e", "www php net license"),
-    ("unlicense", "(?:the )?unlicense", "(?:www )?unlicense org"),
-    ("wtfpl", "(?:the )?wtfpl", "(?:www )?wtfpl net"),
-    ("eupl", "european union public licen[sc]e", "joinup ec europa eu collection eupl"),
-    ("ofl", "(?:sil )?open font licen[sc]e", "scripts sil org ofl"),
-    ("postgresql", "postgresql licen[sc]e", None),
-    ("openssl", "openssl licen[sc]e", None),
-    ("ms-pl", "microsoft (?:public|reciprocal) licen[sc]e", None),
-    ("sspl", "server side public licen[sc]e", None),
-    ("busl", "business source licen[sc]e", None),
-    ("ncsa", "(?:university of illinois )?ncsa(?: open source)? licen[sc]e", None),
-    ("odbl", "open (?:database|data commons)(?: open database)? licen[sc]e", "opendatacommons org licenses odbl"),
-    ("odc-by", "open data commons attribution licen[sc]e", "opendatacommons org licenses by"),
-    ("cdla", "community data licen[sc]e agreement", "cdla io"),
-    ("rail", "(?:open|creativeml open|bigscience) rail(?: m)?(?: licen[sc]e)?", None),
-    ("llama", "llama (?:2 |3 )?community licen[sc]e", None),
-    ("public-domain", "(?:in|into|to) the public domain|public domain dedication", "creativecommons org publicdomain"),
-    ("cc0", "cc0", "creativecommons org publicdomain zero"),
-    ("cc-by", "cc by", None),
-    ("cc-by", "creative commons attribution(?: international| generic| unported)?", "creativecommons org licenses by"),
-    ("cc-by-sa", "cc by sa", "creativecommons org licenses by sa"),
-    ("cc-by-sa", "creative commons attribution sharealike", None),
-    ("cc-by-nd", "cc by nd", "creativecommons org licenses by nd"),
-    ("cc-by-nc", "cc by nc", "creativecommons org licenses by nc"),
-    ("cc-by-nc", "creative commons attribution (?:non commercial|noncommercial)", None),
-    ("cc-by-nc-sa", "cc by nc sa", "creativecommons org licenses by nc sa"),
-    ("cc-by-nc-nd", "cc by nc nd", "creativecommons org licenses by nc nd"),
-    ("proprietary", "all rights reserved", None),
-)
-#: name, priority (0 first), weight, pattern. {n} is a family's name, {u} its address, {v} a version.
-VERSION = "(?: (?:version|v))?(?: v?[0-9]+(?: [0-9]+)?)(?: (?:or|and) (?:any )?(?:later|newer)(?: versions?)?| only)?"
-TEMPLATES = (
-    ("tag", 0, 0.99, "spdx licen[sc]e identifier (?:{n})(?:{v})?"),
-    ("grant", 0, 0.95, "(?:licen[sc]ed|released|distributed|published|available|provided|covered|shared)(?: to you)? (?:under|with|by)(?: the)?(?: terms(?: and conditions)? of)?(?: the)?(?: an?)? (?:{n})(?:{v})?"),
-    ("subject", 0, 0.9, "(?:subject to|governed by|in (?:compliance|accordance) with|according to)(?: the)?(?: terms(?: and conditions)? of)?(?: the)? (?:{n})(?:{v})?"),
-    ("address", 0, 0.9, "(?:https? )?{u}(?: v?[0-9]+(?: [0-9]+)?)?(?: (?:html|txt))?"),
-    ("version", 1, 0.85, "(?:{n}){v}"),
-    ("mention", 2, 0.6, "(?:{n}) (?:licen[sc]e|text|file|terms|notice)|(?:see|read|copy of) the (?:{n})|licen[sc]e (?:{n})"),
-)
+#: Priorities of rules: what says so itself, names with a version or the like, plain names.
+PRIORITIES = 3
 
 
 @dataclass(frozen=True)
@@ -101,7 +41,7 @@ class Rule:
 
 def _spaced(pattern: str) -> str:
     """A pattern over words in the layout with two blanks between words and one at each end."""
-    return " (?:" + pattern.replace("(?: ", "(?:\0").replace(" ", "  ").replace("\0", "  ") + ") "
+    return " (?:" + pattern.replace(" ?", "(?: )?").replace(" ", "  ") + ") "
 
 
 def _alternatives(pattern: str) -> list[str]:
@@ -116,65 +56,121 @@ def _alternatives(pattern: str) -> list[str]:
     return parts
 
 
-def _keywords(pattern: str) -> list[str]:
-    """For each alternative, words of the layout that all its matches contain: the longest run outside groups, classes and optional letters."""
+def _literals(pattern: str) -> list[list[str]]:
+    """For each alternative of a spaced pattern, the pieces of the layout that all its matches contain: what lies outside groups, classes and optional letters."""
     found = []
-    for part in _alternatives(pattern):
-        fixed = re.sub(r"\[[^]]*\]\??|\w\?", "\0", part)
+    for part in _alternatives(pattern[4:-2]):
+        fixed = re.sub(r"\[[^]]*\][?+]?|\.\{[0-9,]+\}|\w\?", "\0", part)
         while "(" in fixed:
             fixed = re.sub(r"\([^()]*\)\??", "\0", fixed)
-        runs = [r.strip() for r in fixed.split("\0")]
-        best = max(runs, key=lambda r: (r not in ("licen", "e"), len(r)) if r else (False, 0)).replace(" ", "  ")
-        found.append(f" {best} " if fixed == part else best)
+        found.append(f" {fixed} ".split("\0"))
     return found
 
 
+def _keywords(pattern: str) -> list[str]:
+    """The longest literal of each alternative."""
+    return [max(runs, key=lambda r: len(r.strip())) for runs in _literals(pattern)]
+
+
 def signature_rules() -> list[Rule]:
-    """The rules in order: by template, then by family. A name alone is too weak for a rule unless it says license."""
+    """The rules in order, the more certain ones of a priority first."""
+    lines = [line.split(" ", 3) for line in SIGNATURES.strip().split("\n")]
+    lines.sort(key=lambda x: (int(x[1]), -float(x[2])))
     rules = []
-    for _, priority, weight, shape in TEMPLATES:
-        for label, names, address in FAMILIES:
-            if "{u}" in shape and address is None:
-                continue
-            pattern = shape.replace("{n}", names).replace("{v}", VERSION).replace("{u}", address or "")
-            rules.append(Rule(len(rules), _keywords(address if "{u}" in shape else names), _spaced(pattern), label, priority, weight))
+    for rank, (label, priority, weight, shape) in enumerate(lines):
+        pattern = shape.replace("{v}", VERSION).replace("{l}", LATER).replace("{u}", UNDER)
+        rules.append(Rule(rank, _keywords(_spaced(pattern)), _spaced(pattern), label, int(priority), float(weight)))
     return rules
 
 
+#: Words too common to tell a license from other text.
+COMMON = set("a an and any are as at be by can file for from has have in is it may must no not of on or org public same shall software terms that the this to under use version with you".split())
+
+
+def cues(rules: list[Rule]) -> list[str]:
+    """A few words, or parts of one, of which every match of any rule contains one: the one that most open alternatives have comes first.
+
+    Two words together are a cue where an alternative has common words only.
+    """
+    open_ = []
+    for rule in rules:
+        for runs in _literals(rule.pattern):
+            pieces = {p for r in runs for p in re.findall(r" ?[^ ]+ ?", r)}
+            rare = {p for p in pieces if len(p.strip()) > 2 and p.strip() not in COMMON}
+            longest = max(runs, key=len)
+            open_.append(rare or {f"{a}  {b}" for a, b in zip(longest.split(), longest.split()[1:])} or {longest})
+    found = []
+    while open_:
+        many = Counter(p for pieces in open_ for p in pieces)
+        best = max(many, key=lambda p: (many[p], len(p), p))
+        found.append(best)
+        open_ = [pieces for pieces in open_ if not any(best in p for p in pieces)]
+    return found
+
+
+#: Characters that Unicode's lower case turns into a-z, and a letter that it leaves alone.
+KELVIN, DOTTED_I, LEFT_ALONE = "\u212a", "\u0130", "\u0138"
+#: Put around matches; no word has them.
+BEGIN, END = "\x01", "\x02"
+
+
 def words_column(text: Column) -> Column:
-    """The words joined by single blanks."""
-    return F.trim(F.regexp_replace(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), NO_WORD, " "))
+    """The words with two blanks between them, A-Z in lower case.
+
+    Letters beyond A-Z may be lower-cased as well: no rule and no phrase has one, and they are parts of words either way.
+    """
+    lower = F.lower(F.replace(F.replace(F.coalesce(text, F.lit("")), F.lit(KELVIN), F.lit(LEFT_ALONE)), F.lit(DOTTED_I), F.lit(LEFT_ALONE)))
+    return F.trim(F.regexp_replace(lower, NO_WORD, "  "))
 
 
 def _count_words(laid: Column) -> Column:
-    """Words in a piece of the layout: each word has two blanks."""
-    return ((F.length(laid) - F.length(F.replace(laid, F.lit(" "), F.lit("")))) / 2).cast("long")
+    """Words in a piece of the layout, which begins and ends with one blank: each word has two blanks."""
+    return ((F.octet_length(laid) - F.octet_length(F.replace(laid, F.lit(" "), F.lit("")))) / 2).cast("long")
 
 
-def _total(parts: Column) -> Column:
-    return F.aggregate(parts, F.lit(0), lambda a, x: a + F.length(x))
+def _marked(text: Column, pattern: Column) -> Column:
+    """What lies between the matches of a pattern and the matches, in turns; one piece if there is none."""
+    return F.split(F.regexp_replace(text, pattern, F.lit(f"{BEGIN}$0{END}")), f"[{BEGIN}{END}]", -1)
 
 
 def _intervals(text: Column, rule: Column) -> Column:
-    """(start, minus end, priority, rank, label, weight) of every match of a rule, by the lengths of what lies between."""
-    between, found = F.split(text, rule["pattern"], -1), F.regexp_extract_all(text, rule["pattern"], F.lit(0))
-    begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<s:int,e:int>>").alias("out"))
-    pairs = F.zip_with(F.slice(between, 1, F.size(found)), found, lambda b, m: F.struct(F.length(b).alias("gap"), F.length(m).alias("len")))
+    """(start, minus end, priority, rank, label, weight) of every match of a rule, by the lengths of the pieces."""
+    state = F.struct(F.lit(0).alias("at"), F.lit(False).alias("match"), F.array().cast("array<struct<s:int,e:int>>").alias("out"))
     placed = F.aggregate(
-        pairs,
-        begin,
-        lambda acc, p: F.struct(
-            (acc["at"] + p["gap"] + p["len"]).alias("at"),
-            F.concat(acc["out"], F.array(F.struct((acc["at"] + p["gap"]).alias("s"), (acc["at"] + p["gap"] + p["len"]).alias("e")))).alias("out"),
+        _marked(text, rule["pattern"]),
+        state,
+        lambda acc, piece: F.struct(
+            (acc["at"] + F.length(piece)).alias("at"),
+            (~acc["match"]).alias("match"),
+            F.when(acc["match"], F.concat(acc["out"], F.array(F.struct(acc["at"].alias("s"), (acc["at"] + F.length(piece)).alias("e"))))).otherwise(acc["out"]).alias("out"),
         ),
     )["out"]
     return F.transform(placed, lambda i: F.struct(i["s"].alias("start"), (-i["e"]).alias("minus_end"), rule["priority"].alias("priority"), rule["rank"].alias("rank"), rule["label"].alias("label"), rule["weight"].alias("weight")))
 
 
-def detect(docs: DataFrame, rules: list[Rule] | None = None) -> DataFrame:
+def _suppressed(raw: Column) -> Column:
+    """The places of the detections, in order of start, that no other of the same or a higher priority contains; of equal ones the first stays."""
+    ends = [f"e{p}" for p in range(PRIORITIES)]
+
+    def step(acc, x):
+        end, own = -x["minus_end"], x["priority"]
+        free = F.lit(True)
+        for p, e in enumerate(ends):
+            free = free & ((own < p) | (acc[e] < end))
+        return F.struct(
+            *(F.when(own == p, F.greatest(acc[e], end)).otherwise(acc[e]).alias(e) for p, e in enumerate(ends)),
+            F.when(free, F.concat(acc["at"], F.array(acc["i"]))).otherwise(acc["at"]).alias("at"),
+            (acc["i"] + 1).alias("i"),
+        )
+
+    return F.aggregate(raw, F.struct(*(F.lit(0).alias(e) for e in ends), F.array().cast("array<int>").alias("at"), F.lit(0).alias("i")), step)["at"]
+
+
+def detect(docs: DataFrame, rules: list[Rule] | None = None, gated: bool = True) -> DataFrame:
     """``row`` (the document) with n_words, the base places and the detections that stay.
 
-    Null and empty texts have no words and no detection. Every place counts, however long the text.
+    Null and empty texts have no words and no detection. Every place counts, however long the text. A text with
+    none of the cues can match no rule; of the others only those rules run of which the text has a keyword (all run everywhere if not gated, with the same result).
     detections: array of (start, minus_end, priority, rank, label, weight), in order of start; the positions are
     characters of the layout.
     """
@@ -182,45 +178,27 @@ def detect(docs: DataFrame, rules: list[Rule] | None = None) -> DataFrame:
     schema = "array<struct<rank:int,keywords:array<string>,pattern:string,label:string,priority:int,weight:double>>"
     listed = F.from_json(F.lit(json.dumps([r.__dict__ for r in rules])), schema)
     base_pattern = " (?:" + "|".join(p.replace(" ", "  ") for p, _ in BASE) + ") "
-    gate = F.lit(False)
-    for word in sorted({p.split()[-1] for p, _ in BASE}):
-        gate = gate | F.contains("laid", F.lit(f" {word} "))
+    laid, none = F.col("laid"), F.array().cast("array<string>")
+    keywords = sorted({w for r in rules for w in r.keywords})
+    has = lambda pieces: reduce(or_, (F.contains(laid, F.lit(p)) for p in pieces), F.lit(False))
     df = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
     df = df.withColumn("norm", words_column(F.col("row.text")))
-    df = df.withColumn("laid", F.when(F.col("norm") == "", "").otherwise(F.concat(F.lit(" "), F.replace("norm", F.lit(" "), F.lit("  ")), F.lit(" ")))).drop("norm")
-    no_strings = F.array().cast("array<string>")
-    df = df.withColumn("found", F.when(gate, F.regexp_extract_all("laid", F.lit(base_pattern), F.lit(0))).otherwise(no_strings))
-    df = df.withColumn("between", F.when(F.size("found") > 0, F.split("laid", base_pattern, -1)).otherwise(no_strings))
-    df = df.withColumn("n_words", _count_words(F.col("laid")))
-    words = sorted({w for r in rules for w in r.keywords})
-    df = df.withColumn("hits", F.filter(F.array(*map(F.lit, words)).cast("array<string>"), lambda w: F.contains(F.col("laid"), w)))
-    gated = F.filter(listed, lambda r: F.arrays_overlap(r["keywords"], F.col("hits")))
-    raw = F.when(F.size("hits") > 0, F.array_sort(F.flatten(F.transform(gated, lambda r: _intervals(F.col("laid"), r)))))
-    df = df.withColumn("raw", raw)
-    kept = F.aggregate(
-        "raw",
-        F.struct(F.lit(0).alias("e0"), F.lit(0).alias("e1"), F.lit(0).alias("e2"), F.array().cast("array<int>").alias("at"), F.lit(0).alias("i")),
-        lambda acc, x: F.struct(
-            F.when(x["priority"] == 0, F.greatest(acc["e0"], -x["minus_end"])).otherwise(acc["e0"]).alias("e0"),
-            F.when(x["priority"] == 1, F.greatest(acc["e1"], -x["minus_end"])).otherwise(acc["e1"]).alias("e1"),
-            F.when(x["priority"] == 2, F.greatest(acc["e2"], -x["minus_end"])).otherwise(acc["e2"]).alias("e2"),
-            F.when(
-                (acc["e0"] < -x["minus_end"])
-                & ((x["priority"] < 1) | (acc["e1"] < -x["minus_end"]))
-                & ((x["priority"] < 2) | (acc["e2"] < -x["minus_end"])),
-                F.concat(acc["at"], F.array(acc["i"])),
-            ).otherwise(acc["at"]).alias("at"),
-            (acc["i"] + 1).alias("i"),
-        ),
-    )["at"]
-    df = df.withColumn("detections", F.transform(kept, lambda i: F.get("raw", i)))
+    df = df.withColumn("laid", F.when(F.col("norm") == "", "").otherwise(F.concat(F.lit(" "), F.col("norm"), F.lit(" ")))).drop("norm")
+    df = df.withColumn("n_words", _count_words(laid))
+    df = df.withColumn("parts", F.when(has(sorted({f" {p.split()[-1]} " for p, _ in BASE})), _marked(laid, F.lit(base_pattern))).otherwise(none))
+    hits = F.filter(F.array(*map(F.lit, keywords)).cast("array<string>"), lambda w: F.contains(laid, w))
+    df = df.withColumn("hits", F.when(has(cues(rules)), hits).otherwise(none) if gated else F.array(F.lit("")))
+    running = F.filter(listed, lambda r: F.arrays_overlap(r["keywords"], F.col("hits"))) if gated else listed
+    df = df.withColumn("raw", F.when(F.size("hits") > 0, F.array_sort(F.flatten(F.transform(running, lambda r: _intervals(laid, r))))))
+    df = df.withColumn("detections", F.transform(_suppressed(F.col("raw")), lambda i: F.get("raw", i)))
     phrase = F.create_map(*(F.lit(x) for p, label in BASE for x in (" " + p.replace(" ", "  ") + " ", label)))
+    df = df.withColumn("found", F.filter("parts", lambda x, i: i % 2 == 1))
     return df.select(
         "row",
         "n_words",
         F.size("found").cast("long").alias("n_base"),
-        F.when(F.size("found") > 0, _count_words(F.get("between", F.lit(0)))).alias("first_word"),
-        F.when(F.size("found") > 0, F.col("n_words") - _count_words(F.element_at("between", -1)) - _count_words(F.element_at("found", -1))).alias("last_word"),
+        F.when(F.size("found") > 0, _count_words(F.get("parts", F.lit(0)))).alias("first_word"),
+        F.when(F.size("found") > 0, F.col("n_words") - _count_words(F.element_at("parts", -1)) - _count_words(F.element_at("found", -1))).alias("last_word"),
         F.transform(F.array_distinct("found"), lambda m: F.element_at(phrase, m)).alias("base_found"),
         "detections",
     )
