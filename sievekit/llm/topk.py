@@ -20,7 +20,8 @@ from sievekit.llm.common import materialize
 
 @dataclass(frozen=True)
 class Params:
-    """chunk: candidates of a range; block: of a block; queries: of a batch of queries that meets a range; scale: integers per 1.0."""
+    """chunk: candidates of a range; block: of a block; queries: of a batch of queries; batch_bytes: batches that travel to
+    every task at a time, at most (one at least); scale: integers per 1.0."""
 
     k: int = 5
     every: int = 50
@@ -28,6 +29,7 @@ class Params:
     chunk: int = 16384
     block: int = 64
     queries: int = 1024
+    batch_bytes: int = 32 << 20
 
 
 def quantise(vectors: DataFrame, params: Params = Params()) -> DataFrame:
@@ -68,8 +70,19 @@ def _pack(rows: DataFrame, size: int) -> DataFrame:
     return ordered.mapInArrow(pack, "dim int, ids binary, data binary")
 
 
-def best_in_range(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, data: np.ndarray, params: Params):
-    """(query_id, vec_id, score) of the k best of a range for each query: ties to the smaller id, the query's own id left out."""
+def nobody_yet(queries: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Scores and ids of the best so far of each query: none."""
+    return np.full((queries, k), -(1 << 62)), np.full((queries, k), NOBODY)
+
+
+NOBODY = np.iinfo(np.int64).max
+
+
+def best_in_range(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, data: np.ndarray, before: tuple[np.ndarray, np.ndarray], params: Params):
+    """The k best of each query among those found before and a range, as (scores, ids): ties to the smaller id, the query's own id left out.
+
+    A k-th score from ranges before prunes this one's blocks from the start.
+    """
     n, k = len(ids), params.k
     # products are exact in doubles below 2^53; beyond that integers are used
     bound = float(np.abs(q).max(initial=0)) * float(np.abs(data).max(initial=0)) * max(1, q.shape[1])
@@ -80,8 +93,8 @@ def best_in_range(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, data: np.nd
     positive, negative = np.maximum(q, 0), np.minimum(q, 0)
     bounds = positive @ high.T + negative @ low.T  # summed term maxima
     order = np.argsort(-bounds, axis=1, kind="stable")
-    floor, nobody = (-np.inf if kind is np.float64 else -(1 << 62)), np.iinfo(np.int64).max
-    best, who = np.full((len(q), k), floor, kind), np.full((len(q), k), nobody)
+    floor, nobody = -(1 << 62), NOBODY
+    best, who = before[0].astype(kind), before[1].copy()
     alive = np.arange(len(q))
     for step in range(len(starts)):
         block = order[alive, step]
@@ -100,30 +113,44 @@ def best_in_range(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, data: np.nd
             cand_i = np.concatenate([who[rows], np.where(own, nobody, np.broadcast_to(ids[at:end], scores.shape))], axis=1)
             rank = np.lexsort((cand_i, -cand_s), axis=1)[:, :k]
             best[rows], who[rows] = np.take_along_axis(cand_s, rank, 1), np.take_along_axis(cand_i, rank, 1)
-    hit = who.ravel() != nobody
-    return np.repeat(q_ids, k)[hit], who.ravel()[hit], best.ravel()[hit].astype(np.int64)
+    return best.astype(np.int64), who
 
 
 def search(vectors: DataFrame, params: Params = Params()) -> DataFrame:
     """query_id, rank, vec_id and score: for each row whose id is divisible by params.every, its k best other rows.
 
-    Queries and candidates meet in blocks, ranges of candidates by batches of queries; of each range k rows a
-    query remain. A query meets only candidates of its own length.
+    The ranges of candidates stay in their tasks and the queries come to them, in batches, as many at a time as
+    batch_bytes allows; a task keeps each query's best from range to range and passes on k of them in the end. A query
+    meets only candidates of its own length. Rows alike in id and vector count once.
     """
     rows = quantise(vectors, params)
-    ranges = materialize(_pack(rows, params.chunk), "topk-ranges").withColumn("part", F.pmod(F.xxhash64("ids"), F.lit(64)))
-    batches = materialize(_pack(rows.filter(F.col("vec_id") % params.every == 0), params.queries), "topk-queries")
-    spread = batches.select("dim", F.col("ids").alias("q_ids"), F.col("data").alias("q_data"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(63).cast("long"))).alias("part"))
-    pairs = ranges.join(spread, ["dim", "part"]).select("dim", "ids", "data", "q_ids", "q_data")
-
-    def score(batches):
-        for batch in batches:
-            for row in batch.to_pylist():
+    ranges = materialize(_pack(rows, params.chunk), "topk-ranges")
+    numbered = _pack(rows.filter(F.col("vec_id") % params.every == 0), params.queries).select("dim", F.col("ids").alias("q_ids"), F.col("data").alias("q_data"), F.monotonically_increasing_id().alias("batch"))
+    batches = materialize(numbered, "topk-queries")
+    rounds, room = [[]], 0
+    for r in batches.select("batch", (F.length("q_ids") + F.length("q_data")).alias("size")).orderBy("batch").toLocalIterator():  # a row for each 1024 queries
+        if rounds[-1] and room + r["size"] > params.batch_bytes:
+            rounds.append([])
+            room = 0
+        rounds[-1].append(r["batch"])
+        room += r["size"]
+
+    def score(pairs):
+        held: dict[int, list] = {}
+        for group in pairs:
+            for row in group.to_pylist():
                 ids, q_ids = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["q_ids"], np.int64)
                 data, q = np.frombuffer(row["data"], np.int64).reshape(len(ids), row["dim"]), np.frombuffer(row["q_data"], np.int64).reshape(len(q_ids), row["dim"])
-                got = best_in_range(q_ids, q, ids, data, params)
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in got], names=["query_id", "vec_id", "score"])
+                before = held[row["batch"]][1] if row["batch"] in held else nobody_yet(len(q_ids), params.k)
+                held[row["batch"]] = [q_ids, best_in_range(q_ids, q, ids, data, before, params)]
+        for q_ids, (best, who) in held.values():
+            hit = who.ravel() != NOBODY
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (np.repeat(q_ids, params.k)[hit], who.ravel()[hit], best.ravel()[hit])], names=["query_id", "vec_id", "score"])
 
-    found = pairs.repartition(F.xxhash64("ids", "q_ids")).mapInArrow(score, "query_id long, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= params.k).select("query_id", "rank", "vec_id", "score")
+    out = None
+    for some in rounds:
+        pairs = ranges.join(F.broadcast(batches.filter(F.col("batch").between(some[0], some[-1]) if some else F.lit(False))), "dim")
+        found = materialize(pairs.select("dim", "ids", "data", "batch", "q_ids", "q_data").mapInArrow(score, "query_id long, vec_id long, score long"), "topk-found", 8)
+        out = found if out is None else out.unionByName(found)
+    return out.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= params.k).select("query_id", "rank", "vec_id", "score")
