@@ -71,6 +71,12 @@ class Mapping:
             own += [{*o, f".{k}"} for o in own] + [o - {f".{k}"} for o in own]
         return sorted({fingerprint(o) for o in own if o})
 
+    def needs(self) -> set[str]:
+        """The paths without which a record is not of this layout."""
+        if self.items is not None:
+            return {f".{self.items}[].{self.role}", f".{self.items}[].{self.text}"}
+        return {f".{k}" for _, ks in self.turns for k in ks if k not in self.optional}
+
     def read(self, record: dict) -> list[tuple[str, str]]:
         clean = lambda x: "" if x is None else x if isinstance(x, str) else json.dumps(x, ensure_ascii=False, sort_keys=True)
         out = [("system", clean(record["system"]))] if "system" in self.optional and record.get("system") else []
@@ -94,18 +100,28 @@ MAPPINGS = (
     Mapping("question_answer", turns=(("user", ("question",)), ("assistant", ("answer",))), optional=("system",)),
 )
 REGISTRY = {f: m for m in reversed(MAPPINGS) for f in m.fingerprints()}
+UNKNOWN, NO_RECORD = "no mapping describes this layout", "not a JSON object"
 
 
-def canonical(payload: str | None) -> tuple[str | None, str, list[tuple[str, str]]]:
-    """(layout, fingerprint, turns). What is no JSON object, or has a layout nobody described, has layout None and no turn."""
+def canonical(payload: str | None) -> tuple[str | None, str, list[tuple[str, str]], str | None]:
+    """(layout, fingerprint, turns, error).
+
+    A fingerprint that no mapping has selects the first mapping whose paths the record has beside others (a name, a
+    weight, tool calls): its turns are read and the other fields are left out. What has none of the layouts, or is no
+    JSON object, has layout None, no turn and an error that says so.
+    """
     try:
         record = json.loads(payload) if payload else None
     except ValueError:
         record = None
     paths = field_paths(record)
     key = fingerprint(paths)
-    mapping = REGISTRY.get(key) if isinstance(record, dict) else None
-    return (mapping.name, key, mapping.read(record)) if mapping else (None, key, [])
+    if not isinstance(record, dict):
+        return None, key, [], NO_RECORD
+    mapping = REGISTRY.get(key)
+    if mapping is None:
+        mapping = next((m for m in MAPPINGS if m.needs() <= paths), None)
+    return (mapping.name, key, mapping.read(record), None) if mapping else (None, key, [], UNKNOWN)
 
 
 def render(turns: list[tuple[str, str]]) -> tuple[str, list[tuple[int, int]]]:
@@ -147,28 +163,35 @@ def parse(formatted: str) -> list[tuple[str, str]]:
 
 
 def format_records(records: DataFrame, payload: str = "payload") -> DataFrame:
-    """``row`` with layout, fingerprint, formatted and loss_spans, from a column of JSON records."""
+    """``row`` with layout, fingerprint, formatted, loss_spans and error (null where a mapping was found), from a column of JSON records."""
 
     def setup():
         def run(payloads):
             read = [canonical(p) for p in payloads]
-            done = [render(t) for _, _, t in read]
-            return [[r[0] for r in read], [r[1] for r in read], [d[0] for d in done], [[{"start": a, "stop": b} for a, b in d[1]] for d in done]]
+            done = [render(r[2]) for r in read]
+            return [[r[0] for r in read], [r[1] for r in read], [d[0] for d in done], [[{"start": a, "stop": b} for a, b in d[1]] for d in done], [r[3] for r in read]]
 
         return run
 
-    return map_rows(records, [payload], setup, "layout string, fingerprint string, formatted string, loss_spans array<struct<start:long,stop:long>>")
+    return map_rows(records, [payload], setup, "layout string, fingerprint string, formatted string, loss_spans array<struct<start:long,stop:long>>, error string")
 
 
 def conversation_records(rows: DataFrame) -> DataFrame:
     """conv_id and one JSON record per conversation, its rows in order of turn (ties: role, then text; null first).
 
-    A conversation is one record by definition, so its rows meet in one task; conversations are spread by id.
-    Null roles and texts count as empty; repeated rows are turns of their own.
+    The layout is the plainest that can hold the conversation: a prompt and its response, turns of a human and an
+    assistant, or messages with any roles. A conversation is one record by definition, so its rows meet in one task;
+    conversations are spread by id. Null roles and texts count as empty; repeated rows are turns of their own.
     """
-    message = F.struct(F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("content"))
-    turn = F.struct(F.col("turn"), message.alias("m"))
-    return rows.groupBy("conv_id").agg(F.to_json(F.struct(F.transform(F.array_sort(F.collect_list(turn)), lambda t: t["m"]).alias("messages"))).alias("payload"))
+    turn = F.struct(F.col("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("content"))
+    made = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list(turn)).alias("turns")).withColumn("roles", F.transform("turns", lambda t: t["role"]))
+    pair = F.struct(F.get("turns", F.lit(0))["content"].alias("prompt"), F.get("turns", F.lit(1))["content"].alias("response"))
+    names = lambda t: F.struct(F.when(t["role"] == "user", "human").otherwise("gpt").alias("from"), t["content"].alias("value"))
+    two = F.struct(F.transform("turns", names).alias("conversations"))
+    any_ = F.struct(F.transform("turns", lambda t: F.struct(t["role"].alias("role"), t["content"].alias("content"))).alias("messages"))
+    plain = F.forall("roles", lambda r: r.isin("user", "assistant"))
+    payload = F.when(F.col("roles") == F.array(F.lit("user"), F.lit("assistant")), F.to_json(pair)).when(plain, F.to_json(two)).otherwise(F.to_json(any_))
+    return made.select("conv_id", payload.alias("payload"))
 
 
 def read_back(formatted: DataFrame) -> DataFrame:
