@@ -1,8 +1,9 @@
 """Compression classifier for text quality.
 
-Two zstandard dictionaries are trained, one from good and one from bad labelled text. A text is compressed
-with each; the difference of the two sizes over their sum tells which kind it resembles, and a logistic
-calibration turns it into the probability of label 1.
+Two zstandard dictionaries are trained, one from good and one from bad labelled text. A text is compressed with
+each, in pieces, so that a long text leans on the dictionary throughout and not on itself; the difference of the two
+summed sizes over their sum tells which kind it resembles, and a logistic calibration turns it into the probability
+of label 1.
 """
 
 from __future__ import annotations
@@ -23,10 +24,12 @@ FOLDS, HELD_OUT = 3, 1
 @dataclass(frozen=True)
 class Params:
     """max_rows: labelled rows of each class that are used at most, the first in order of a hash of the id.
-    max_bytes: a labelled text above this size is not used for fitting (it is scored like any other)."""
+    max_bytes: a labelled text above this size is not used for fitting (it is scored like any other), so the sample has
+    2 * max_rows * max_bytes bytes at most. piece: bytes that are compressed at a time."""
 
     max_rows: int = 3000
-    max_bytes: int = 200_000
+    max_bytes: int = 20_000
+    piece: int = 8192
     dict_bytes: int = 64 << 10
     level: int = 3
 
@@ -39,6 +42,7 @@ class Model:
     slope: float
     offset: float
     level: int
+    piece: int
 
     def scorer(self):
         kinds = [zstandard.DICT_TYPE_FULLDICT if t else zstandard.DICT_TYPE_RAWCONTENT for t in self.trained]
@@ -50,7 +54,8 @@ class Model:
 
         def difference(text: str | None) -> float:
             data = (text or "").encode("utf-8", "replace")
-            bad, good = (len(c.compress(data)) for c in own)
+            pieces = [data[i : i + self.piece] for i in range(0, len(data), self.piece)] or [b""]
+            bad, good = (sum(len(c.compress(p)) for p in pieces) for c in own)
             return (bad - good) / (bad + good)
 
         return difference
@@ -88,7 +93,7 @@ def fit(docs: DataFrame, labels: DataFrame, params: Params = Params()) -> Model:
 
     The sample is bounded by params and chosen by a hash of the id, so it does not depend on partitions.
     Half of it makes the dictionaries, the other half the calibration. Ids or labels that are null, and
-    labels other than 0 and 1, teach nothing. Without usable labels every score is 0.5; with one class the
+    labels other than 0 and 1, teach nothing; an id with both labels teaches both. Without usable labels every score is 0.5; with one class the
     score is that class's share with a pseudo-count.
     """
     usable = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"))
@@ -102,19 +107,19 @@ def fit(docs: DataFrame, labels: DataFrame, params: Params = Params()) -> Model:
     data = [(r["text"].encode("utf-8", "replace"), r["quality"]) for r in rows]
     by = {y: [t for t, q in data if q == y] for y in (0, 1)}
     if not data:
-        return Model(b"", b"", (False, False), 0.0, 0.0, params.level)
+        return Model(b"", b"", (False, False), 0.0, 0.0, params.level, params.piece)
     if not by[0] or not by[1]:
         share = (len(by[1]) + 0.5) / (len(data) + 1)
-        return Model(b"", b"", (False, False), 0.0, float(np.log(share / (1 - share))), params.level)
+        return Model(b"", b"", (False, False), 0.0, float(np.log(share / (1 - share))), params.level, params.piece)
     made, held = {}, []
     for y in (0, 1):
         made[y] = _dictionary(by[y][::2], params.dict_bytes)
         held += [(t, y) for t in (by[y][1::2] or by[y])]
-    model = Model(made[0][0], made[1][0], (made[0][1], made[1][1]), 0.0, 0.0, params.level)
+    model = Model(made[0][0], made[1][0], (made[0][1], made[1][1]), 0.0, 0.0, params.level, params.piece)
     difference = model.scorer()
     x = np.array([difference(t.decode("utf-8", "replace")) for t, _ in held])
     slope, offset = _logistic(x, np.array([y for _, y in held], float))
-    return Model(model.bad, model.good, model.trained, slope, offset, params.level)
+    return Model(model.bad, model.good, model.trained, slope, offset, params.level, params.piece)
 
 
 def score(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataFrame:

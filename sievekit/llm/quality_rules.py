@@ -115,9 +115,8 @@ def judge(docs: DataFrame, params: Params = Params()) -> DataFrame:
 
 def keep_passing(docs: DataFrame, params: Params = Params()) -> DataFrame:
     """The documents that pass the base rules and whose host passes, with their own columns."""
-    marked = annotate(docs, params)
-    slim = annotate(docs.select("text", "source"), params, ["source"]).select(F.col("row.source").alias("host"), "base_failed")
-    bad = host_verdicts(slim, params)
+    marked = materialize(annotate(docs, params).select("row", "base_failed", "word_chars"), "quality-marked")
+    bad = host_verdicts(marked.select(F.col("row.source").alias("host"), "base_failed"), params)
     bad = materialize(bad.filter(~F.col("host_kept")).select(F.col("host").alias("of")), "quality-hosts")
     passing = marked.filter(~F.col("base_failed"))
     return join_per_key(passing, F.col("row.source"), bad, "of", [F.col("row.doc_id"), F.col("word_chars")], "left_anti").select("row.*")

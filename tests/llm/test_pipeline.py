@@ -11,7 +11,7 @@ import corpus_pipeline as P
 from sievekit.llm import quality_classifier
 from sievekit.llm import queries as Q
 from sievekit.llm.common import join_per_key, materialize, table
-from tests.llm.test_queries import WORDS, prints, same_rows, water
+from tests.llm.test_queries import WORDS, same_rows, water
 
 COLUMNS = ("doc_id", "source", "text")
 
@@ -56,26 +56,30 @@ def test_quality_rules(stages):
 
 
 def test_simhash_dedup(stages):
+    """One document of each component of texts whose five-word shingles have a similarity of 0.8 or more."""
+    from tests.llm.test_near_copies import shingles
+
     _, seen, _ = stages
-    rows = [(d, s, t, prints(t)) for d, s, t in seen[2]]
-    fps = sorted({r[3] for r in rows})
-    root = {f: f for f in fps}
-    for f in fps:  # flood from each fingerprint that none before has reached
-        if root[f] == f:
-            todo = [f]
-            while todo:
-                at = todo.pop()
-                near = [g for g in fps if root[g] == g and g != f and (at ^ g).bit_count() <= 3]
-                for g in near:
-                    root[g] = f
-                todo += near
+    texts = sorted({t or "" for _, _, t in seen[2]})
+    sets, root = [shingles(t) for t in texts], list(range(len(texts)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, a in enumerate(sets):
+        for j in range(i):
+            both = len(a & sets[j])
+            if a == sets[j] or (a and sets[j] and 10 * both >= 8 * (len(a) + len(sets[j]) - both)):
+                root[find(i)] = find(j)
+    of = {t: find(i) for i, t in enumerate(texts)}
     least = {}
-    for d, _, _, f in rows:
+    for d, _, t in seen[2]:
         if d is not None:
-            least[root[f]] = min(least.get(root[f], d), d)
-    kept = set(least.values())
-    assert Counter(d for d, _, _ in seen[3] if d is not None) == Counter(dict.fromkeys(kept, 1))
-    same_rows([r for r in seen[3] if r[0] is None], [r[:3] for r in rows if r[0] is None and root[r[3]] not in least])
+            least[of[t or ""]] = min(least.get(of[t or ""], d), d)
+    assert Counter(d for d, _, _ in seen[3] if d is not None) == Counter(dict.fromkeys(set(least.values()), 1))
+    same_rows([r for r in seen[3] if r[0] is None], [r for r in seen[2] if r[0] is None and of[r[2] or ""] not in least])
     assert not Counter(seen[3]) - Counter(seen[2])
 
 
