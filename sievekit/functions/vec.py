@@ -107,9 +107,37 @@ def l2_blocks(a, b) -> Column:
     return total(per) / F.size(a)
 
 
-def abs_cos_blocks(a, b) -> Column:
-    """1 minus the absolute cosine over all blocks together."""
-    return abs_cos(F.flatten(a), F.flatten(b))
+def _over(blocks, f) -> Column:
+    """The sum of f over the blocks."""
+    return total(F.transform(blocks, f))
+
+
+def abs_cos_blocks(a, b, n_blocks: int | None = None, by_norm: bool = False) -> Column:
+    """1 minus the absolute cosine over all blocks together.
+
+    n_blocks: the product and the second norm go over the first so many blocks only, the first norm over all.
+    by_norm: the second vector keeps its length.
+    """
+    if n_blocks is None and not by_norm:
+        return abs_cos(F.flatten(a), F.flatten(b))
+    own, other = (a, b) if n_blocks is None else (F.slice(a, 1, n_blocks), F.slice(b, 1, n_blocks))
+    product = F.abs(total(F.zip_with(own, other, dot)))
+    norms = F.sqrt(_over(a, lambda x: dot(x, x)))
+    return 1 - product / (norms if by_norm else norms * F.sqrt(_over(other, lambda x: dot(x, x))))
+
+
+def abs_cos_each_block(a, b, n_blocks: int | None = None, by_norm: bool = False) -> Column:
+    """The same for each block by itself, under the norms over all of them: an array."""
+    own, other = (a, b) if n_blocks is None else (F.slice(a, 1, n_blocks), F.slice(b, 1, n_blocks))
+    norms = F.sqrt(_over(a, lambda x: dot(x, x)))
+    by = norms if by_norm else norms * F.sqrt(_over(other, lambda x: dot(x, x)))
+    return F.zip_with(own, other, lambda x, y: 1 - F.abs(dot(x, y)) / by)
+
+
+def cross_blocks(a, b) -> Column:
+    """1 minus the mean over blocks of the products of the sums of the absolute unit vectors."""
+    flat = lambda v: total(F.transform(v, lambda e: F.abs(e))) / norm(v)
+    return 1 - total(F.zip_with(a, b, lambda x, y: flat(x) * flat(y))) / F.size(a)
 
 
 def mean_dot(a, b) -> Column:
@@ -117,8 +145,15 @@ def mean_dot(a, b) -> Column:
     return dot(a, b) / F.size(a)
 
 
-#: name -> distance of two columns; users may add their own.
-METRICS = {f.__name__: f for f in (l2, abs_cos, abs_cos_by_norm, neg_cos, abs_dot, cross, l2_blocks, abs_cos_blocks, mean_dot)}
+#: name -> distance of two columns; register adds to it.
+METRICS = {f.__name__: f for f in (l2, abs_cos, abs_cos_by_norm, neg_cos, abs_dot, cross, l2_blocks, abs_cos_blocks, cross_blocks, mean_dot)}
+
+
+def register(name: str, distance) -> None:
+    """Add a distance of two columns under a name that operators take as their metric."""
+    if name in METRICS:
+        raise ValueError(f"there is a metric {name} already")
+    METRICS[name] = distance
 
 
 # --- losses per sample -----------------------------------------------------------------------------------------

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,23 +29,219 @@ def _numbered(rows, df: DataFrame) -> DataFrame:
     return df.sparkSession.createDataFrame([(i, list(r["vec"])) for i, r in enumerate(rows)], "cluster_id int, vec array<double>")
 
 
-def farthest_first(df: DataFrame, k: int, metric: str = "abs_cos", seed: int | None = None) -> DataFrame:
-    """(cluster_id, sample_id, vec): a first row (smallest id, or by ticket), then k - 1 times the row farthest from all so far.
+def _top_candidates(rows: DataFrame, chosen: dict, metric: str, m: int) -> dict:
+    """For each run the m rows farthest from its chosen ones, (near, sample_id, vec), farthest first (ties: smaller id).
 
-    Each pass reads the rows once and returns one row; the chosen ones travel as one broadcast row of k vectors at
-    most, so no state is kept between passes.
+    Each task passes on its own m, a second round of tasks those of all, so that only m rows a run reach the driver.
+    """
+    shared = rows.sparkSession.sparkContext.broadcast({run: (np.array([c[0] for c in own]), np.array([c[1] for c in own])) for run, own in chosen.items()})
+    measure, names = NUMPY_METRICS[metric], ["run", "near", "sample_id", "vec"]
+
+    def best(found: dict, run, near, ids, vecs):
+        order = np.lexsort((ids, -near))[:m]
+        before = found.get(run, (np.zeros(0), np.zeros(0, np.int64), np.zeros((0, vecs.shape[1]))))
+        near, ids, vecs = (np.concatenate([x, y[order]]) for x, y in zip(before, (near, ids, vecs), strict=True))
+        order = np.lexsort((ids, -near))[:m]
+        found[run] = near[order], ids[order], vecs[order]
+
+    def out(found: dict):
+        for run, (near, ids, vecs) in found.items():
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), run, np.int64)), pa.array(near), pa.array(ids), pa.array(list(vecs), pa.list_(pa.float64()))], names=names)
+
+    def measured(batches):
+        found: dict = {}
+        for runs, ids, vecs, _ in _numpy(batches):
+            for run in np.unique(runs).tolist():
+                own = runs == run
+                taken, centers = shared.value[run]
+                free = own & ~np.isin(ids, taken)
+                if free.any():
+                    best(found, run, measure(vecs[free], centers).min(axis=1), ids[free], vecs[free])
+        yield from out(found)
+
+    def merged(batches):
+        found: dict = {}
+        for b in batches:
+            runs, vecs = b.column(0).to_numpy(), np.stack(b.column(3).to_numpy(zero_copy_only=False)) if b.num_rows else None
+            for run in np.unique(runs).tolist():
+                own = runs == run
+                best(found, run, b.column(1).to_numpy()[own], b.column(2).to_numpy()[own], vecs[own])
+        yield from out(found)
+
+    shape = "run long, near double, sample_id long, vec array<double>"
+    got: dict = {}
+    for r in rows.mapInArrow(measured, shape).repartition("run").mapInArrow(merged, shape).collect():
+        got.setdefault(r["run"], []).append((-r["near"], r["sample_id"], r["vec"]))
+    shared.destroy()
+    return {run: sorted(own) for run, own in got.items()}
+
+
+def farthest_first_runs(rows: DataFrame, k: dict, metric: str = "abs_cos", seed: int | None = None, m: int = 64) -> dict:
+    """For each run its first row (smallest id, or by ticket), then the row farthest from all so far, up to k[run]: lists of (sample_id, vec).
+
+    rows: (run, sample_id, vec, w), written. A pass brings the m farthest rows of each run to the driver, which goes on
+    choosing among them as long as no row that stayed behind can be farther: distances to a growing set only shrink,
+    so every row that stayed is behind the m-th of the pass. So a pass gives several seeds, the same as one by one.
     """
     order = [F.col("sample_id")] if seed is None else chance.order(seed)
-    chosen = [df.orderBy(*order).select("sample_id", "vec").first()]
-    while len(chosen) < k:
-        taken = df.sparkSession.createDataFrame([([c["sample_id"] for c in chosen], [list(c["vec"]) for c in chosen])], "_ids array<long>, _taken array<array<double>>")
-        near = vec.bind(F.col("vec"), lambda v: F.array_min(F.transform("_taken", lambda c: F.round(vec.METRICS[metric](v, c), 9))))
-        rest = df.join(F.broadcast(taken)).filter(~F.array_contains("_ids", F.col("sample_id").cast("long")))
-        found = rest.select("sample_id", "vec", near.alias("near")).orderBy(F.col("near").desc(), "sample_id").first()
-        if found is None:
-            break
-        chosen.append(found)
-    return df.sparkSession.createDataFrame([(i, c["sample_id"], list(c["vec"])) for i, c in enumerate(chosen)], "cluster_id int, sample_id long, vec array<double>")
+    firsts = rows.groupBy("run").agg(F.min_by(F.struct("sample_id", "vec"), F.struct(*order)).alias("f")).collect()
+    chosen = {r["run"]: [(r["f"]["sample_id"], r["f"]["vec"])] for r in firsts}
+    open_ = {run for run in chosen if k[run] > 1}
+    measure = NUMPY_METRICS[metric]
+    while open_:
+        pools = _top_candidates(rows.filter(F.col("run").isin(list(open_))), {run: chosen[run] for run in open_}, metric, m)
+        for run in list(open_):
+            pool = pools.get(run, [])
+            if not pool:
+                open_.discard(run)
+                continue
+            last = pool[-1][:2] if len(pool) == m else (0.0, 0)
+            near, ids, vecs = -np.array([c[0] for c in pool]), np.array([c[1] for c in pool]), np.array([c[2] for c in pool])
+            while len(chosen[run]) < k[run] and len(ids):
+                at = np.lexsort((ids, -near))[0]
+                if len(pool) == m and (-near[at], ids[at]) > last:
+                    break
+                chosen[run].append((int(ids[at]), vecs[at].tolist()))
+                near = np.minimum(near, measure(vecs, vecs[at : at + 1])[:, 0])
+                near, ids, vecs = (np.delete(x, at, axis=0) for x in (near, ids, vecs))
+            if len(chosen[run]) >= k[run] or len(pool) < m:
+                open_.discard(run)
+    return chosen
+
+
+def farthest_first(df: DataFrame, k: int, metric: str = "abs_cos", seed: int | None = None) -> DataFrame:
+    """(cluster_id, sample_id, vec): a first row (smallest id, or by ticket), then k - 1 times the row farthest from all so far; fewer where rows are."""
+    found = farthest_first_runs(_rows(df), {0: k}, metric, seed).get(0, [])
+    return df.sparkSession.createDataFrame([(i, c[0], list(c[1])) for i, c in enumerate(found)], "cluster_id int, sample_id long, vec array<double>")
+
+
+# --- many runs of k-means in one job a step ----------------------------------------------------------------------
+
+
+def _l2(a, c):
+    return np.sqrt(np.stack([((a - x) ** 2).sum(1) for x in c], axis=1))
+
+
+def _norms(a):
+    return np.sqrt((a * a).sum(1))
+
+
+def _flat(a):
+    return np.abs(a).sum(1) / _norms(a)
+
+
+#: The metrics of functions.vec on whole matrices: rows by centres, rounded alike.
+NUMPY_METRICS = {
+    name: lambda a, c, f=f: np.round(f(a, c), 9)
+    for name, f in {
+        "l2": _l2,
+        "abs_cos": lambda a, c: 1 - np.abs(a @ c.T) / (_norms(a)[:, None] * _norms(c)),
+        "abs_cos_by_norm": lambda a, c: 1 - np.abs(a @ c.T) / _norms(a)[:, None],
+        "neg_cos": lambda a, c: -(a @ c.T) / (_norms(a)[:, None] * _norms(c)),
+        "abs_dot": lambda a, c: 1 - np.abs(a @ c.T),
+        "cross": lambda a, c: 1 - _flat(a)[:, None] * _flat(c) / a.shape[1] ** 2,
+    }.items()
+}
+
+
+def _rows(df: DataFrame, weight: str | None = None, run: str | None = None) -> DataFrame:
+    """(run, sample_id, vec, w) of df, written once for all steps."""
+    w = F.col(weight).cast("double") if weight else F.lit(1.0)
+    own = F.col(run).cast("long") if run else F.lit(0).cast("long")
+    return cut(df.filter(F.col("vec").isNotNull()).select(own.alias("run"), F.col("sample_id").cast("long").alias("sample_id"), "vec", w.alias("w")))
+
+
+def _numpy(batches):
+    """(runs, ids, vectors, weights) of each batch."""
+    for b in batches:
+        if b.num_rows:
+            flat = b.column(2).flatten().to_numpy(zero_copy_only=False)
+            yield b.column(0).to_numpy(), b.column(1).to_numpy(), flat.reshape(b.num_rows, -1), b.column(3).to_numpy()
+
+
+def _step(rows: DataFrame, centers: dict, metric: str, weighted: bool, by_norm: bool, every: bool) -> dict:
+    """{run: {place of centre: (mass, sum)}} after one assignment. every: each row takes part in each run, else in its own.
+
+    The centres travel to every task; each task adds up its rows by centre, and these sums are added up by a shuffle.
+    """
+    spark = rows.sparkSession
+    shared = spark.sparkContext.broadcast(centers)
+    measure, shape = NUMPY_METRICS[metric], "run long, c int, mass double, total array<double>"
+
+    def out(sums):
+        keys = list(sums)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int32()), pa.array([sums[k][0] for k in keys], pa.float64()), pa.array([sums[k][1] for k in keys], pa.list_(pa.float64()))],
+            names=["run", "c", "mass", "total"],
+        )
+
+    def add(sums, key, mass, total):
+        if key in sums:
+            sums[key][0] += mass
+            sums[key][1] += total
+        else:
+            sums[key] = [mass, total.copy()]
+
+    def local(batches):
+        sums: dict = {}
+        for runs, _, vecs, w in _numpy(batches):
+            for run, matrix in shared.value.items():
+                own = slice(None) if every else runs == run
+                v, mass = vecs[own], w[own]
+                if not len(v):
+                    continue
+                near = measure(v, matrix).argmin(axis=1)
+                if by_norm:
+                    norm = _norms(v)
+                    v, mass = (v, mass * norm) if weighted else (v / norm[:, None], mass)
+                scaled = v * w[own][:, None]
+                for c in np.unique(near).tolist():
+                    add(sums, (run, c), float(mass[near == c].sum()), scaled[near == c].sum(axis=0))
+        yield from out(sums)
+
+    def merged(batches):
+        sums: dict = {}
+        for b in batches:
+            for run, c, mass, total in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
+                add(sums, (run, c), mass, np.array(total))
+        yield from out(sums)
+
+    found: dict = {run: {} for run in centers}
+    for r in rows.mapInArrow(local, shape).repartition("run", "c").mapInArrow(merged, shape).collect():  # a row per centre
+        found[r["run"]][r["c"]] = (r["mass"], np.array(r["total"]))
+    shared.destroy()
+    return found
+
+
+def kmeans_runs(rows: DataFrame, seeds: dict, metric: str = "abs_cos", weighted: bool = False, by_norm: bool = False, tol: float = 1e-4, max_iter: int = 200, frozen: int = 0, widths: list[int] | None = None, every: bool = False) -> dict:
+    """{run: centres} after Lloyd steps of several runs at once, one job a step.
+
+    rows: (run, sample_id, vec, w), written; seeds: {run: matrix}, whose first frozen centres never move. A run ends
+    when the squared sum of its centres' shifts (each block of widths by itself) is below tol, or after max_iter
+    steps. Means need not settle under an absolute cosine: a run that comes back to earlier centres goes round from
+    there on, so only what is left of max_iter beyond whole rounds is still computed. An empty cluster keeps its centre.
+    """
+    now = {run: np.array(c, float) for run, c in seeds.items() if len(c)}
+    left, seen = dict.fromkeys(now, max_iter), {run: {} for run in now}
+    cuts = np.cumsum([0, *widths]) if widths else None
+    while active := [run for run in now if left[run] > 0]:
+        found = _step(rows, {run: now[run] for run in active}, metric, weighted, by_norm, every)
+        for run in active:
+            new = now[run].copy()
+            for c, (mass, total) in found[run].items():
+                if c >= frozen and mass != 0:
+                    new[c] = total / mass
+            moved = new - now[run]
+            shift = sum(_norms(moved[:, a:b]).sum() for a, b in (zip(cuts, cuts[1:]) if cuts is not None else [(0, moved.shape[1])]))
+            now[run], left[run] = new, left[run] - 1
+            if shift**2 < tol:
+                left[run] = 0
+                continue
+            key = hashlib.sha256(new.tobytes()).digest()
+            if key in seen[run]:
+                left[run] %= seen[run][key] - left[run]
+            seen[run][key] = left[run]
+    return now
 
 
 def lloyd_step(df: DataFrame, centers: DataFrame, metric: str = "abs_cos", weight: str | None = None, by_norm: bool = False) -> DataFrame:
@@ -61,35 +260,55 @@ def lloyd_step(df: DataFrame, centers: DataFrame, metric: str = "abs_cos", weigh
     return centers.join(moved, "cluster_id", "left").select("cluster_id", F.coalesce("_new", "vec").alias("vec"))
 
 
-def kmeans(df: DataFrame, centers: DataFrame, metric: str = "abs_cos", weight: str | None = None, by_norm: bool = False, tol: float = 1e-4, max_iter: int = 200, frozen: DataFrame | None = None) -> DataFrame:
-    """Centres after Lloyd steps until the squared sum of shifts is below tol.
+def kmeans(df: DataFrame, centers: DataFrame, metric: str = "abs_cos", weight: str | None = None, by_norm: bool = False, tol: float = 1e-4, max_iter: int = 200, frozen: DataFrame | None = None, widths: list[int] | None = None) -> DataFrame:
+    """Centres (cluster_id, vec) after Lloyd steps until the squared sum of shifts is below tol.
 
-    The k centres are the only state between steps; they come back to the driver (k rows). frozen centres take
-    part in the assignment and never move; free clusters are numbered after them.
+    frozen centres take part in the assignment and never move; free clusters are numbered after them. widths: of the
+    blocks that vec is made of (see flatten_blocks); their shifts are summed apart. A metric that users registered is
+    evaluated by lloyd_step. The k centres are the only state between steps.
     """
-    spark, shape = df.sparkSession, "cluster_id int, vec array<double>"
-    fixed = [(r["cluster_id"], r["vec"]) for r in frozen.collect()] if frozen is not None else []
-    now = sorted((r["cluster_id"] + len(fixed), r["vec"]) for r in centers.collect())
+    shape = "cluster_id int, vec array<double>"
+    order = lambda c: sorted((r["cluster_id"], r["vec"]) for r in c.select("cluster_id", "vec").collect())
+    fixed, free = (order(frozen) if frozen is not None else []), order(centers)
+    first = [*fixed, *((i + len(fixed), v) for i, v in free)]
+    if metric in NUMPY_METRICS:
+        found = kmeans_runs(_rows(df, weight), {0: [v for _, v in first]}, metric, weight is not None, by_norm, tol, max_iter, len(fixed), widths).get(0, [])
+        return df.sparkSession.createDataFrame([(i, v) for (i, _), v in zip(first, np.asarray(found).tolist(), strict=True)], shape)
+    df = cut(df)
     for _ in range(max_iter):
-        step = lloyd_step(df, spark.createDataFrame([*fixed, *now], shape), metric, weight, by_norm)
-        new = sorted((r["cluster_id"], r["vec"]) for r in step.filter(F.col("cluster_id") >= len(fixed)).collect())
-        shift = sum(sum((x - y) ** 2 for x, y in zip(a, b, strict=True)) ** 0.5 for (_, a), (_, b) in zip(now, new, strict=True))
-        now = new
+        step = lloyd_step(df, df.sparkSession.createDataFrame(first, shape), metric, weight, by_norm)
+        moved = {r["cluster_id"]: r["vec"] for r in step.collect()}
+        new = [*fixed, *((i, moved[i]) for i, _ in first[len(fixed) :])]
+        shift = sum(sum((x - y) ** 2 for x, y in zip(a, b, strict=True)) ** 0.5 for (_, a), (_, b) in zip(first, new, strict=True))
+        first = new
         if shift**2 < tol:
             break
-    return spark.createDataFrame([*fixed, *now], shape)
+    return df.sparkSession.createDataFrame(first, shape)
+
+
+def flatten_blocks(df: DataFrame, blocks: str = "blocks") -> tuple[DataFrame, list[int]]:
+    """df with vec made of its blocks, and the blocks' widths: distances over all blocks are those of the whole vector."""
+    one = df.select(F.transform(blocks, F.size).alias("w")).first()
+    return df.withColumn("vec", F.flatten(blocks)), list(one["w"]) if one else []
 
 
-def kmeans_nonempty(df: DataFrame, k: int, seeds, metric: str = "abs_cos") -> DataFrame:
-    """k-means, run again with the number of clusters that have rows until all have. seeds(df, k) gives the first centres."""
+def kmeans_nonempty(df: DataFrame, k: int, seeds=None, metric: str = "abs_cos", weight: str | None = None, by_norm: bool = False, max_iter: int = 200, widths: list[int] | None = None) -> DataFrame:
+    """k-means, run again with the number of clusters that have rows until all have. seeds(df, k) gives the first centres, farthest-first ones by default."""
+    seeds = seeds or (lambda d, n: farthest_first(d, n, metric))
     while True:
-        centers = kmeans(df, seeds(df, k), metric)
+        centers = kmeans(df, seeds(df, k).select("cluster_id", "vec"), metric, weight, by_norm, max_iter=max_iter, widths=widths)
         used = assign(df, centers, metric).agg(F.countDistinct("cluster_id")).first()[0]
-        if used in (0, k):
+        if used in (0, k) or used == centers.count():
             return centers
         k = used
 
 
+def unit_seeds(spark, k: int, width: int, seed: int = 0) -> DataFrame:
+    """k reproducible random directions as centres (cluster_id, vec): normal numbers, scaled to length 1."""
+    draws = np.random.default_rng(seed).standard_normal((k, width))
+    return spark.createDataFrame([(i, v) for i, v in enumerate((draws / _norms(draws)[:, None]).tolist())], "cluster_id int, vec array<double>")
+
+
 def silhouette(df: DataFrame, assigned: DataFrame, metric: str = "l2") -> DataFrame:
     """(sample_id, score) by all distances within df; 0 where a row has no other of its cluster, or both means are 0.
 
@@ -125,37 +344,52 @@ def silhouette_by_means(df: DataFrame, assigned: DataFrame) -> DataFrame:
     return rows.select("sample_id", F.coalesce(score, F.lit(0.0)).alias("score"))
 
 
-def best_k(df: DataFrame, ks=range(5, 100, 5), metric: str = "abs_cos", max_iter: int = 200) -> DataFrame:
-    """(k, score): the mean silhouette of a clustering for each k; the largest score names the count to take."""
-    rows = []
-    for k in ks:
-        near = assign(df, kmeans(df, farthest_first(df, k, metric).select("cluster_id", "vec"), metric, max_iter=max_iter), metric)
-        rows.append((k, silhouette_by_means(df, near).agg(F.avg("score")).first()[0]))
-    return df.sparkSession.createDataFrame(rows, "k int, score double")
-
-
-def kmeans_fixed(df: DataFrame, k: int, iterations: int, metric: str = "l2") -> DataFrame:
-    """Centres after a fixed number of steps from the k rows with the smallest ids; the centre of an empty cluster becomes 0."""
-    centers = first_seeds(df, k)
-    for _ in range(iterations):
-        moved = mean_vector(assign(df, centers, metric), "cluster_id").withColumnRenamed("vec", "_new")
-        zero = F.transform("vec", lambda x: F.lit(0.0))
-        rows = centers.join(moved, "cluster_id", "left").select("cluster_id", F.coalesce("_new", zero).alias("vec")).collect()
-        centers = df.sparkSession.createDataFrame(sorted((r[0], r[1]) for r in rows), "cluster_id int, vec array<double>")
-    return centers
+def mean_silhouette(scores: DataFrame, weights: DataFrame | None = None) -> DataFrame:
+    """(score): the mean of scores (sample_id, score), or the sum of weight times score over the number of rows."""
+    if weights is None:
+        return scores.agg(F.avg("score").alias("score"))
+    both = scores.join(weights.select("sample_id", F.col("w").alias("__w")), "sample_id")
+    return both.agg((F.sum(F.col("score") * F.col("__w")) / F.count(F.lit(1))).alias("score"))
 
 
-def kernel_step(df: DataFrame, members: DataFrame, weight: str | None = None) -> DataFrame:
-    """df with cluster_id and dist: the cluster of members (cluster_id, vec) with the largest absolute mean product."""
-    near = member_dist(df, members, weight).groupBy("sample_id").agg(F.min(F.struct(F.round("dist", 9).alias("dist"), "cluster_id")).alias("_b"))
-    return df.join(near.select("sample_id", "_b.cluster_id", "_b.dist"), "sample_id")
-
+def best_k(df: DataFrame, ks=range(5, 100, 5), metric: str = "abs_cos", max_iter: int = 200) -> DataFrame:
+    """(k, score): the mean silhouette of a clustering for each k; the largest score names the count to take.
 
-def kernel_kmeans(df: DataFrame, k: int, tol: float = 1e-4, max_iter: int = 20) -> DataFrame:
+    All clusterings run at once, one job a step, and share their seeds: the first k of a farthest-first order are the
+    order of k.
+    """
+    rows = _rows(df)
+    seeds = [v for _, v in farthest_first_runs(rows, {0: max(ks)}, metric).get(0, [])]
+    found = kmeans_runs(rows, {k: seeds[:k] for k in ks}, metric, max_iter=max_iter, every=True)
+    shape, out = "cluster_id int, vec array<double>", None
+    for k, centers in found.items():
+        near = assign(rows.select("sample_id", "vec"), df.sparkSession.createDataFrame([(i, v) for i, v in enumerate(centers.tolist())], shape), metric)
+        one = mean_silhouette(silhouette_by_means(near, near)).select(F.lit(k).alias("k"), "score")
+        out = one if out is None else out.unionByName(one)
+    return out if out is not None else df.sparkSession.createDataFrame([], "k int, score double")
+
+
+def kmeans_fixed(df: DataFrame, k: int, iterations: int, metric: str = "l2", centers: DataFrame | None = None) -> DataFrame:
+    """Centres after a fixed number of steps from the k rows with the smallest ids (or given ones); the centre of an empty cluster becomes 0."""
+    rows = _rows(df)
+    now = np.array([r["vec"] for r in (first_seeds(df, k) if centers is None else centers).orderBy("cluster_id").collect()])
+    for _ in range(iterations if len(now) else 0):
+        found = _step(rows, {0: now}, metric, False, False, False)[0]
+        now = np.array([found[c][1] / found[c][0] if c in found else np.zeros(now.shape[1]) for c in range(len(now))])
+    return df.sparkSession.createDataFrame([(i, v) for i, v in enumerate(now.tolist())], "cluster_id int, vec array<double>")
+
+
+def kernel_step(df: DataFrame, members: DataFrame, weight: str | None = None, kind: str = "dot") -> DataFrame:
+    """df with cluster_id and dist: the cluster of members (cluster_id, vec) with the largest absolute mean product, or the least mean squared distance (l2)."""
+    near = member_dist(df, members, weight, kind).groupBy("sample_id").agg(F.min(F.struct("dist", "cluster_id")).alias("_b"))
+    return df.drop("cluster_id", "dist").join(near.select("sample_id", "_b.cluster_id", "_b.dist"), "sample_id")
+
+
+def kernel_kmeans(df: DataFrame, k: int, tol: float = 1e-4, max_iter: int = 20, kind: str = "dot") -> DataFrame:
     """df with cluster_id and dist, clusters being sets of members rather than centres; ends when the mean distance moves less than tol."""
     now, last = first_seeds(df, k), None
     for _ in range(max_iter):
-        now = cut(kernel_step(df, now))
+        now = cut(kernel_step(df, now, kind=kind))
         mean = now.agg(F.avg("dist")).first()[0]
         if mean is None or (last is not None and abs(last - mean) < tol):
             break
@@ -191,6 +425,11 @@ def spectral(df: DataFrame, k_eig: int, k: int, landmarks: int = 64, sigma: floa
     return assign(placed, centers, "l2").select("sample_id", "vec", "cluster_id")
 
 
+def mean_features(df: DataFrame, assigned: DataFrame) -> DataFrame:
+    """(cluster_id, vec): the mean of the features of df over each cluster of an assignment."""
+    return mean_vector(df.select("sample_id", "vec").join(assigned.select("sample_id", "cluster_id"), "sample_id"), "cluster_id")
+
+
 def greedy_similarity(df: DataFrame, k: int) -> DataFrame:
     """(step, sample_id): each step adds the row that makes the mean absolute running similarity largest.
 

@@ -1,7 +1,7 @@
 """Distances of rows to a set of centres or chosen rows, and what is read off them.
 
-The set is broadcast where it has at most SMALL rows (checked); beyond that rows meet it block by block through
-an ordinary join on the block's number, so nothing large is sent everywhere. Distances are rounded to nine
+The set is broadcast where it has at most SMALL rows of SMALL_BYTES (checked); beyond that rows meet it block by block
+through an ordinary join on the block's number, so nothing large is sent everywhere. Distances are rounded to nine
 decimals before they are compared, and ties go to the smallest id.
 """
 
@@ -12,21 +12,27 @@ from pyspark.sql import functions as F
 
 from sievekit.functions import vec
 
-SMALL = 20_000
+SMALL, SMALL_BYTES = 20_000, 32 << 20
+
+
+def blocks_of(chosen: DataFrame, column: str = "vec") -> int:
+    """Into how many blocks a set must be cut for each to be small; 1: it may be broadcast."""
+    width = F.size(column) if chosen.schema[column].dataType.elementType.typeName() != "array" else F.size(F.flatten(column))
+    rows, numbers = chosen.agg(F.count(F.lit(1)), F.sum(width)).first()
+    return max(1, -(-rows // SMALL), -(-8 * (numbers or 0) // SMALL_BYTES))
 
 
 def pairs(a: DataFrame, b: DataFrame, metric: str, b_id: str = "cluster_id") -> DataFrame:
     """(columns of a, b_id, dist) for every row of a and of the set b (b_id, vec)."""
-    right = b.select(F.col(b_id), F.col("vec").alias("_b"))
-    many = right.limit(SMALL + 1).count()
-    if many <= SMALL:
+    right = b.select(F.col(b_id), F.col("vec").alias("__b"))
+    blocks = blocks_of(right, "__b")
+    if blocks == 1:
         joined = a.join(F.broadcast(right))
     else:
-        blocks = max(2, right.count() // SMALL)
-        right = right.withColumn("_block", F.pmod(F.xxhash64(b_id), F.lit(blocks)))
-        spread = a.withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
-        joined = spread.join(right, "_block").drop("_block")
-    return joined.withColumn("dist", F.round(vec.METRICS[metric](F.col("vec"), F.col("_b")), 9)).drop("_b")
+        right = right.withColumn("__block", F.pmod(F.xxhash64(b_id), F.lit(blocks)))
+        spread = a.withColumn("__block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
+        joined = spread.join(right, "__block").drop("__block")
+    return joined.withColumn("dist", F.round(vec.METRICS[metric](F.col("vec"), F.col("__b")), 9)).drop("__b")
 
 
 def centre_array(centers: DataFrame) -> DataFrame:
@@ -35,16 +41,23 @@ def centre_array(centers: DataFrame) -> DataFrame:
 
 
 def assign(df: DataFrame, centers: DataFrame, metric: str = "abs_cos") -> DataFrame:
-    """df with the nearest centre's cluster_id and dist. The centres travel as one array, so rows aren't multiplied."""
+    """df with the nearest centre's cluster_id and dist; both are null where there is no centre.
+
+    A small set of centres travels as one array, so rows aren't multiplied; a larger one meets the rows in blocks,
+    and each block passes on its nearest.
+    """
+    if blocks_of(centers) > 1:
+        near = pairs(df.select("sample_id", "vec"), centers, metric).groupBy("sample_id").agg(F.min(F.struct("dist", "cluster_id")).alias("__best"))
+        return df.drop("cluster_id", "dist").join(near.select("sample_id", "__best.cluster_id", "__best.dist"), "sample_id", "left")
     distance = lambda v, c: F.struct(F.round(vec.METRICS[metric](v, c["vec"]), 9).alias("dist"), c["cluster_id"].alias("cluster_id"))
     best = vec.bind(F.col("vec"), lambda v: F.array_min(F.transform("_centers", lambda c: distance(v, c))))
     return df.join(F.broadcast(centre_array(centers))).withColumn("_best", best).withColumn("cluster_id", F.col("_best.cluster_id")).withColumn("dist", F.col("_best.dist")).drop("_best", "_centers")
 
 
 def coverage(df: DataFrame, selected: DataFrame, metric: str = "abs_cos") -> DataFrame:
-    """sample_id and the distance to the nearest selected row (sample_id, vec)."""
-    chosen = selected.select(F.col("sample_id").alias("chosen_id"), "vec")
-    return pairs(df.select("sample_id", "vec"), chosen, metric, "chosen_id").groupBy("sample_id").agg(F.min("dist").alias("dist"))
+    """sample_id and the distance to the nearest selected row (sample_id, vec), for each row where anything is selected."""
+    chosen = selected.select(F.col("sample_id").alias("cluster_id"), "vec")
+    return assign(df.select("sample_id", "vec"), chosen, metric).filter(F.col("dist").isNotNull()).select("sample_id", "dist")
 
 
 def cluster_spread(distances: DataFrame) -> DataFrame:
@@ -98,16 +111,25 @@ def label_kernel(df: DataFrame) -> DataFrame:
     return df.select("label", F.col("sample_id").alias("id_a")).join(b, "label").filter("id_a < id_b").select("id_a", "id_b")
 
 
-def member_dist(df: DataFrame, assigned: DataFrame, weight: str | None = None) -> DataFrame:
-    """(sample_id, cluster_id, dist): 1 less the absolute (weighted) mean product, over the width, with a cluster's members.
+def member_dist(df: DataFrame, assigned: DataFrame, weight: str | None = None, kind: str = "dot") -> DataFrame:
+    """(sample_id, cluster_id, dist) of each row to the members of each cluster, weighted.
 
-    A mean of products is the product with the mean, so the members are summed up first and no pair is formed.
+    dot: 1 less the absolute mean product over the width. l2: the mean squared distance. Both need the members' sums
+    alone (a mean of products is the product with the mean), so no pair is formed.
     """
-    w = F.col(weight) if weight else F.lit(1.0)
-    cells = assigned.select("cluster_id", w.alias("w"), F.posexplode("vec").alias("i", "x"))
-    means = cells.groupBy("cluster_id", "i").agg((F.sum(F.col("w") * F.col("x")) / F.sum("w")).alias("x"))
-    centers = means.groupBy("cluster_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("vec"))
-    return pairs(df.select("sample_id", "vec"), centers, "mean_dot").select("sample_id", "cluster_id", (1 - F.abs("dist")).alias("dist"))
+    w = F.col(weight).cast("double") if weight else F.lit(1.0)
+    square = vec.dot(F.col("vec"), F.col("vec"))
+    cells = assigned.select("cluster_id", w.alias("w"), F.posexplode("vec").alias("i", "x")).groupBy("cluster_id", "i").agg(F.sum(F.col("w") * F.col("x")).alias("x"))
+    sums = cells.groupBy("cluster_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("sum"))
+    mass = assigned.groupBy("cluster_id").agg(F.sum(w).alias("mass"), F.sum(w * square).alias("square"))
+    table = sums.join(mass, "cluster_id").agg(F.collect_list(F.struct("cluster_id", "sum", "mass", "square")).alias("_t"))  # a row per cluster
+    product = lambda v, t: vec.dot(v, t["sum"])
+    if kind == "dot":
+        far = lambda v, t: 1 - F.abs(product(v, t) / (t["mass"] * F.size(v)))
+    else:
+        far = lambda v, t: F.greatest(vec.dot(v, v) - 2 * product(v, t) / t["mass"] + t["square"] / t["mass"], F.lit(0.0))
+    each = vec.bind(F.col("vec"), lambda v: F.transform("_t", lambda t: F.struct(t["cluster_id"].alias("cluster_id"), F.round(far(v, t), 9).alias("dist"))))
+    return df.select("sample_id", "vec").join(F.broadcast(table)).select("sample_id", F.explode(each).alias("e")).select("sample_id", "e.cluster_id", "e.dist")
 
 
 def rescale_by_center_norm(distances: DataFrame, centers: DataFrame) -> DataFrame:

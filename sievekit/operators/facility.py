@@ -1,8 +1,9 @@
 """Greedy facility location: the rows that best stand for their class.
 
 The similarity of two rows of a class is the class' largest squared distance less theirs; across classes it is
-0. A class is cut into chunks of bounded size, each chunk picks for itself, and the picks of all chunks meet in
-the next round until one chunk is left; a class that fits one chunk is solved exactly as the plain greedy is.
+0. Each pick adds most to the sum of every row's best similarity to a pick. A class of at most CHUNK rows is
+solved by one task; a larger one by a job for each pick, in which blocks of its rows meet blocks of its candidates
+and the gains are added up. Both are the plain greedy, so the size of a class changes no pick.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,7 +22,7 @@ from sievekit.operators.represent import batch_mean
 from sievekit.sources.tables import cut
 
 CHUNK = 2000
-_PICKS = "label int, sample_id long, vec array<double>, step int, gain double"
+_PICKS = "label int, sample_id long, step int, gain double"
 
 
 def greedy(x: np.ndarray, n: int) -> Iterator[tuple[int, float]]:
@@ -38,31 +40,91 @@ def greedy(x: np.ndarray, n: int) -> Iterator[tuple[int, float]]:
         best = np.maximum(best, sim[:, at])
 
 
-def _round(df: DataFrame, budgets: DataFrame) -> DataFrame:
+def _whole(df: DataFrame, goals: DataFrame) -> DataFrame:
+    """The picks of classes that fit a task."""
+
     def pick(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("sample_id", ignore_index=True)
         found = list(greedy(np.stack(part["vec"].to_numpy()), int(part["budget"].iloc[0])))
-        out = part.iloc[[i for i, _ in found]][["label", "sample_id", "vec"]].copy()
+        out = part.iloc[[i for i, _ in found]][["label", "sample_id"]].copy()
         out["step"], out["gain"] = range(1, len(found) + 1), [g for _, g in found]
         return out
 
-    return df.join(F.broadcast(budgets), "label").groupBy("label", "_chunk").applyInPandas(pick, _PICKS)
+    return df.join(F.broadcast(goals), "label").groupBy("label").applyInPandas(pick, _PICKS)
+
+
+def _pack(df: DataFrame, block: int) -> DataFrame:
+    """(label, block, ids, data): the rows of each class in matrices of about block rows, written."""
+
+    def pack(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("sample_id")
+        data = np.stack(part["vec"].to_numpy())
+        return pd.DataFrame([[part["label"].iloc[0], part["block"].iloc[0], part["sample_id"].to_numpy(np.int64).tobytes(), data.astype(np.float64).tobytes()]], columns=["label", "block", "ids", "data"])
+
+    return cut(df.groupBy("label", "block").applyInPandas(pack, "label int, block long, ids binary, data binary"))
+
+
+def _squared(row, a: str, b: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The squared distances between two blocks of a row of a join, and both blocks' ids."""
+    ids = [np.frombuffer(row[f"{x}ids"], np.int64) for x in (a, b)]
+    x, y = (np.frombuffer(row[f"{n}data"], np.float64).reshape(len(i), -1) for n, i in zip((a, b), ids, strict=True))
+    return np.maximum((x * x).sum(1)[:, None] + (y * y).sum(1) - 2 * (x @ y.T), 0), x, ids[1]
+
+
+def _in_blocks(df: DataFrame, goals: DataFrame, block: int) -> DataFrame:
+    """The picks of classes too large for a task, one job a pick."""
+    spark = df.sparkSession
+    sizes = df.groupBy("label").agg(F.ceil(F.count(F.lit(1)) / block).alias("blocks"))
+    dealt = df.join(F.broadcast(sizes), "label").withColumn("block", F.pmod(F.xxhash64("sample_id"), F.col("blocks")).cast("long"))
+    packed = _pack(dealt.select("label", "block", "sample_id", "vec"), block)
+    other = packed.select("label", F.col("ids").alias("cids"), F.col("data").alias("cdata"))
+    both = packed.join(other, "label").repartition(F.xxhash64("ids", "cids"))
+
+    def largest(batches):
+        for b in batches:
+            for row in b.to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array([row["label"]], pa.int32()), pa.array([float(_squared(row, "", "c")[0].max())])], names=["label", "top"])
+
+    tops = {r["label"]: r["top"] for r in both.mapInArrow(largest, "label int, top double").groupBy("label").agg(F.max("top").alias("top")).collect()}
+    budgets = {r["label"]: r["budget"] for r in goals.collect() if r["label"] in tops}
+    picks: dict[int, list[tuple[int, np.ndarray, float]]] = {y: [] for y in budgets}
+    while open_ := [y for y in budgets if len(picks[y]) < budgets[y]]:
+        shared = spark.sparkContext.broadcast({y: (tops[y], np.array([p[0] for p in picks[y]]), np.array([p[1] for p in picks[y]])) for y in open_})
+
+        def gains(batches, shared=shared):
+            for b in batches:
+                for row in b.to_pylist():
+                    d2, rows, ids = _squared(row, "", "c")
+                    top, taken, chosen = shared.value[row["label"]]
+                    best = np.zeros(len(rows))
+                    for v in chosen:
+                        best = np.maximum(best, top - np.maximum((rows * rows).sum(1) + (v * v).sum() - 2 * (rows @ v), 0))
+                    free = ~np.isin(ids, taken)
+                    sums = np.maximum(top - d2 - best[:, None], 0).sum(0)[free]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(sums), row["label"], np.int32)), pa.array(ids[free]), pa.array(sums)], names=["label", "sample_id", "gain"])
+
+        found = both.filter(F.col("label").isin(open_)).mapInArrow(gains, "label int, sample_id long, gain double")
+        found = found.groupBy("label", "sample_id").agg(F.round(F.sum("gain"), 9).alias("gain"))
+        best = found.groupBy("label").agg(F.max_by(F.struct("sample_id", "gain"), F.struct("gain", -F.col("sample_id"))).alias("b")).select("label", "b.*")
+        taken = best.join(df.select("label", "sample_id", "vec"), ["label", "sample_id"]).collect()  # a row per class
+        for r in taken:
+            picks[r["label"]].append((r["sample_id"], np.array(r["vec"]), r["gain"]))
+        for y in set(open_) - {r["label"] for r in taken}:
+            budgets[y] = len(picks[y])  # no candidate is left
+    rows = [(y, p[0], i, p[2]) for y, own in picks.items() for i, p in enumerate(own, 1)]
+    return spark.createDataFrame(rows, _PICKS)
 
 
 def sequence(df: DataFrame, budgets: DataFrame, chunk: int = CHUNK) -> DataFrame:
-    """(label, sample_id, step, gain): the picks of each class in order, budgets (label, budget) of them at most."""
+    """(label, sample_id, step, gain): the picks of each class in order, budgets (label, budget) of them at most. Ids must not repeat in a class."""
     rows = df.select(F.col("label").cast("int").alias("label"), "sample_id", "vec").filter("label IS NOT NULL AND vec IS NOT NULL")
-    goals = budgets.select(F.col("label").cast("int").alias("label"), F.col("budget").cast("int").alias("budget"))
-    largest = goals.agg(F.max("budget")).first()[0] or 1
-    chunk = max(chunk, 2 * largest)  # so that each round at least halves what is left
-    while True:
-        sizes = rows.groupBy("label").agg(F.count(F.lit(1)).alias("_c")).withColumn("_n", F.ceil(F.col("_c") / chunk))
-        most = sizes.agg(F.max("_n")).first()[0] or 1
-        place = F.pmod(F.xxhash64("sample_id"), F.col("_n"))
-        rows = _round(rows.join(F.broadcast(sizes), "label").withColumn("_chunk", place).drop("_c", "_n"), goals)
-        if most <= 1:
-            return rows.select("label", "sample_id", "step", "gain")
-        rows = cut(rows.select("label", "sample_id", "vec"))
+    goals = budgets.select(F.col("label").cast("int").alias("label"), F.col("budget").cast("int").alias("budget")).filter("budget > 0")
+    sizes = cut(rows.groupBy("label").agg(F.count(F.lit(1)).alias("c")).join(F.broadcast(goals.select("label")), "label"))  # a row per class
+    small, large = (rows.join(F.broadcast(sizes.filter(c).select("label")), "label", "left_semi") for c in (F.col("c") <= chunk, F.col("c") > chunk))
+    out = _whole(small, goals)
+    if sizes.filter(F.col("c") > chunk).limit(1).count() == 0:
+        return out
+    return out.unionByName(_in_blocks(cut(large), goals, max(1, chunk // 2)))
 
 
 def per_class(df: DataFrame, budgets: DataFrame, chunk: int = CHUNK) -> DataFrame:

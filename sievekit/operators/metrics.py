@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sievekit.functions import vec
+from sievekit.operators import ranks
 from sievekit.operators.distance import centre_array, pairs
 
 
@@ -16,6 +17,14 @@ def evaluate(df: DataFrame) -> DataFrame:
     return out.withColumn("accuracy", 100 * F.col("correct") / F.col("n"))
 
 
+def evaluate_binary(df: DataFrame, output: str = "output", threshold: float = 0.5) -> DataFrame:
+    """n, mean cross-entropy, correct and accuracy in percent where the output is one probability: 1 above the threshold."""
+    y, p = F.col("label").cast("double"), F.least(F.greatest(F.col(output), F.lit(1e-12)), F.lit(1 - 1e-12))
+    right = ((F.col(output) > threshold).cast("int") == F.col("label")).cast("long")
+    out = df.agg(F.count(F.lit(1)).alias("n"), F.avg(-y * F.log(p) - (1 - y) * F.log(1 - p)).alias("loss"), F.sum(right).alias("correct"))
+    return out.withColumn("accuracy", 100 * F.col("correct") / F.col("n"))
+
+
 def confusion(df: DataFrame) -> DataFrame:
     return df.groupBy("label", F.col("predicted")).agg(F.count(F.lit(1)).alias("n"))
 
@@ -31,16 +40,21 @@ def quadratic_kappa(df: DataFrame) -> DataFrame:
 def roc_auc(df: DataFrame) -> DataFrame:
     """(label, auc) one against the rest, from (label, scores array); ties count half.
 
-    Equal scores are counted together first, and the running counts go over distinct scores of a class.
+    Equal scores are counted together first, and the running counts go over distinct scores of a class, which are sorted
+    in ranges, so that no task has a whole class.
     """
     long = df.select("label", F.posexplode("scores").alias("cls", "score"))
     counted = long.groupBy("cls", "score").agg(F.sum((F.col("label") == F.col("cls")).cast("long")).alias("pos"), F.sum((F.col("label") != F.col("cls")).cast("long")).alias("neg"))
-    below = Window.partitionBy("cls").orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
-    counted = counted.withColumn("under", F.coalesce(F.sum("neg").over(below), F.lit(0)))
+    counted = ranks.running_sum(counted, "cls", [F.col("score")], "neg", "under")
     out = counted.groupBy("cls").agg((F.sum(F.col("pos") * (F.col("under") + F.col("neg") / 2)) / (F.sum("pos") * F.sum("neg"))).alias("auc"))
     return out.select(F.col("cls").alias("label"), "auc")
 
 
+def macro_auc(df: DataFrame) -> DataFrame:
+    """(auc): the plain mean over the classes that have both rows of their own and others."""
+    return roc_auc(df).agg(F.avg("auc").alias("auc"))
+
+
 def topk_accuracy(df: DataFrame, ks: tuple[int, ...] = (1, 5)) -> DataFrame:
     """(k, accuracy in percent): the true class is among the k largest logits (ties count for it)."""
     place = 1 + F.size(F.filter("logits", lambda z: z > F.get("logits", F.col("label"))))
@@ -48,14 +62,38 @@ def topk_accuracy(df: DataFrame, ks: tuple[int, ...] = (1, 5)) -> DataFrame:
     return counts.select(F.explode(F.array(*(F.struct(F.lit(k).alias("k"), (100 * F.col(f"_{k}") / F.col("n")).alias("accuracy")) for k in ks))).alias("r")).select("r.*")
 
 
-def knn_vote(test: DataFrame, train: DataFrame, k: int, sigma: float) -> DataFrame:
-    """(sample_id, predicted, votes): the class with most votes exp(sim / sigma) among the k rows with the largest inner products."""
+def _nearest(test: DataFrame, train: DataFrame, k: int, metric: str) -> DataFrame:
+    """(sample_id, near_id, near_label, sim) of the k training rows with the largest similarity (ties: smaller id).
+
+    The training rows meet the test rows in blocks, and each task keeps k a test row before anything is shuffled.
+    """
     right = train.select(F.col("sample_id").alias("near_id"), "vec", F.col("label").alias("near_label"))
-    sims = pairs(test.select("sample_id", "vec"), right, "neg_cos", "near_id").withColumn("sim", -F.col("dist"))
-    ranked = sims.withColumn("_r", F.row_number().over(Window.partitionBy("sample_id").orderBy(F.col("sim").desc(), "near_id"))).filter(F.col("_r") <= k)
-    votes = ranked.join(right.select("near_id", "near_label"), "near_id").groupBy("sample_id", "near_label").agg(F.round(F.sum(F.exp(F.col("sim") / sigma)), 6).alias("votes"))
-    best = votes.withColumn("_r", F.row_number().over(Window.partitionBy("sample_id").orderBy(F.col("votes").desc(), "near_label"))).filter("_r = 1")
-    return best.select("sample_id", F.col("near_label").alias("predicted"), "votes")
+    block = F.pmod(F.xxhash64("near_id"), F.lit(64))
+    sims = pairs(test.select("sample_id", "vec"), right.select("near_id", "vec"), metric, "near_id")
+    sims = sims.select("sample_id", "near_id", (F.col("dist") if metric == "mean_dot" else -F.col("dist")).alias("sim"), block.alias("block"))
+    order = [F.desc("sim"), F.asc("near_id")]
+    near = sims.withColumn("r", F.row_number().over(Window.partitionBy("sample_id", "block").orderBy(*order))).filter(F.col("r") <= k)
+    near = near.withColumn("r", F.row_number().over(Window.partitionBy("sample_id").orderBy(*order))).filter(F.col("r") <= k)
+    return near.select("sample_id", "near_id", "sim").join(right.select("near_id", "near_label"), "near_id")
+
+
+def knn_votes(test: DataFrame, train: DataFrame, k: int, sigma: float, top: int = 1) -> DataFrame:
+    """(sample_id, place, predicted, votes): the top classes by votes exp(sim / sigma) of the k rows with the largest cosines."""
+    votes = _nearest(test, train, k, "neg_cos").groupBy("sample_id", F.col("near_label").alias("predicted")).agg(F.round(F.sum(F.exp(F.col("sim") / sigma)), 6).alias("votes"))
+    return votes.withColumn("place", F.row_number().over(Window.partitionBy("sample_id").orderBy(F.desc("votes"), "predicted"))).filter(F.col("place") <= top)
+
+
+def knn_vote(test: DataFrame, train: DataFrame, k: int, sigma: float) -> DataFrame:
+    """(sample_id, predicted, votes): the class with most votes."""
+    return knn_votes(test, train, k, sigma).select("sample_id", "predicted", "votes")
+
+
+def knn_accuracy(test: DataFrame, train: DataFrame, k: int, sigma: float, ks: tuple[int, ...] = (1, 5)) -> DataFrame:
+    """(k, accuracy in percent): the test row's own class is among its first k by votes."""
+    placed = test.select("sample_id", "label").join(knn_votes(test, train, k, sigma, max(ks)), "sample_id", "left")
+    hit = placed.groupBy("sample_id").agg(F.min(F.when(F.col("predicted") == F.col("label"), F.col("place"))).alias("place"))
+    share = hit.agg(*(F.avg((F.coalesce("place", F.lit(max(ks) + 1)) <= n).cast("double")).alias(f"a{n}") for n in ks))
+    return share.select(F.explode(F.array(*(F.struct(F.lit(n).alias("k"), (100 * F.col(f"a{n}")).alias("accuracy")) for n in ks))).alias("r")).select("r.*")
 
 
 def best_so_far(history: DataFrame, by: str = "run") -> DataFrame:
@@ -64,11 +102,18 @@ def best_so_far(history: DataFrame, by: str = "run") -> DataFrame:
     return history.withColumn("_b", F.max(F.struct("metric", "epoch")).over(order)).withColumn("best_metric", F.col("_b.metric")).withColumn("best_epoch", F.col("_b.epoch")).drop("_b")
 
 
-def early_stop(history: DataFrame, tie: str = "last", by: str = "run") -> DataFrame:
-    """The epoch of the best validation metric of each run (the last or the first of equals) and its test metric."""
-    sign = 1 if tie == "last" else -1
-    best = history.groupBy(by).agg(F.max_by(F.struct("epoch", "test_metric"), F.struct("metric", sign * F.col("epoch"))).alias("b"))
-    return best.select(by, "b.epoch", "b.test_metric")
+def early_stop(history: DataFrame, tie: str = "last", by: str = "run", rule: str = "metric") -> DataFrame:
+    """The epoch of the best validation metric of each run, or of the least loss (the last or the first of equals), and its test metric."""
+    if tie not in ("last", "first") or rule not in ("metric", "loss"):
+        raise ValueError(f"unknown rule {rule} or tie {tie}")
+    best, sign = (F.col("metric") if rule == "metric" else -F.col("loss")), 1 if tie == "last" else -1
+    found = history.groupBy(by).agg(F.max_by(F.struct("epoch", "test_metric"), F.struct(best, sign * F.col("epoch"))).alias("b"))
+    return found.select(by, "b.epoch", "b.test_metric")
+
+
+def distinct_labels(df: DataFrame, split: str = "split") -> DataFrame:
+    """(split, labels): how many labels each split has."""
+    return df.groupBy(split).agg(F.countDistinct("label").alias("labels"))
 
 
 def class_shares(df: DataFrame, split: str = "split") -> DataFrame:
@@ -83,11 +128,7 @@ def running_average(df: DataFrame, by: str = "run") -> DataFrame:
 
 def nn_accuracy(test: DataFrame, train: DataFrame) -> DataFrame:
     """(n, accuracy in percent): the label of the training row with the largest product (ties: smaller id) against the own."""
-    right = train.select(F.col("sample_id").alias("near_id"), "vec")
-    labels = train.select(F.col("sample_id").alias("near_id"), F.col("label").alias("near_label"))
-    sims = pairs(test.select("sample_id", "label", "vec"), right, "mean_dot", "near_id")
-    best = sims.groupBy("sample_id", "label").agg(F.max(F.struct(F.col("dist"), (-F.col("near_id")).alias("m"))).alias("b"))
-    hits = best.select("label", (-F.col("b.m")).alias("near_id")).join(labels, "near_id")
+    hits = test.select("sample_id", "label").join(_nearest(test, train, 1, "mean_dot"), "sample_id")
     return hits.agg(F.count(F.lit(1)).alias("n"), (100 * F.avg((F.col("label") == F.col("near_label")).cast("double"))).alias("accuracy"))
 
 

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import hashlib
 
+from pyspark.ml.functions import predict_batch_udf
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sievekit.functions import chance, vec
 
@@ -76,3 +78,12 @@ def grad_product(train: DataFrame, meta: DataFrame) -> DataFrame:
     """(sample_id, product): each meta row's mean product with the training rows, which is its product with their mean."""
     mean = mean_vector(train.select(F.lit(1).alias("_k"), "vec"), "_k").select(F.col("vec").alias("_m"))
     return meta.join(F.broadcast(mean)).select("sample_id", vec.dot(F.col("vec"), F.col("_m")).alias("product"))
+
+
+def predict(df: DataFrame, make_model, column: str = "vec", batch: int = 1024) -> DataFrame:
+    """df with logits from a user's model: make_model() runs once a worker and gives a function from a matrix of rows to one of outputs."""
+    width = df.select(F.max(F.size(column))).first()[0]
+    if width is None:
+        return df.withColumn("logits", F.array().cast("array<double>"))
+    udf = predict_batch_udf(make_model, return_type=T.ArrayType(T.DoubleType()), batch_size=batch, input_tensor_shapes=[[width]])
+    return df.withColumn("logits", udf(F.col(column)))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,13 +12,25 @@ from sievekit.functions import chance, vec
 LEAST = 1e-7
 
 
-def init_weights(df: DataFrame, how: str = "uniform", seed: int = 0, constant: float = 1.0) -> DataFrame:
-    """(sample_id, w)."""
+def init_weights(df: DataFrame, how: str = "uniform", seed: int = 0, constant: float = 1.0, cached: DataFrame | None = None) -> DataFrame:
+    """(sample_id, w): uniform, constant, or the positive part of a normal number, scaled to mean 1 (gaussian).
+
+    cached (sample_id, w) goes before, where it has the row.
+    """
     if how == "uniform":
-        return df.select("sample_id", chance.uniform(seed).alias("w"))
-    if how == "constant":
-        return df.select("sample_id", F.lit(constant).alias("w"))
-    raise ValueError(f"unknown start {how}")
+        out = df.select("sample_id", chance.uniform(seed).alias("w"))
+    elif how == "constant":
+        out = df.select("sample_id", F.lit(constant).alias("w"))
+    elif how == "gaussian":
+        radius = F.sqrt(-2 * F.log(F.greatest(chance.uniform(seed), F.lit(2.0**-33))))
+        draws = df.select("sample_id", F.greatest(radius * F.cos(2 * math.pi * chance.uniform(seed + 1)), F.lit(0.0)).alias("w"))
+        mean = draws.agg(F.avg("w").alias("__m"))
+        out = draws.join(F.broadcast(mean)).select("sample_id", F.when(F.col("__m") > 0, F.col("w") / F.col("__m")).otherwise(0.0).alias("w"))
+    else:
+        raise ValueError(f"unknown start {how}")
+    if cached is None:
+        return out
+    return out.join(cached.select("sample_id", F.col("w").alias("__w")), "sample_id", "left").select("sample_id", F.coalesce("__w", "w").alias("w"))
 
 
 def weight_deltas(snapshots: DataFrame) -> DataFrame:
@@ -46,18 +60,36 @@ def decayed_step(df: DataFrame, decay: float) -> DataFrame:
     return df.withColumn("w", F.greatest(F.col("w") / decay - F.col("grad"), F.lit(1e-5)))
 
 
-def meta_step(train: DataFrame, meta: DataFrame, k: int, lr: float, meta_lr: float, batch: int, momentum: float = 0.0) -> DataFrame:
+def decayed_rate(meta_lr: float, epoch: int, milestones: tuple[int, ...] = (120,)) -> float:
+    """The meta rate of an epoch: a tenth from each milestone on."""
+    return meta_lr * 0.1 ** sum(epoch >= m for m in milestones)
+
+
+def _mean_gradient(df: DataFrame, k: int, weight=None, name: str = "__g") -> DataFrame:
+    """One row: the mean of (weight times) the head's gradient, features by classes, flattened."""
+    g = vec.ce_gradient(F.col("logits"), F.col("label"), k)
+    x = F.col("x") if weight is None else F.col("x") * F.col("w")
+    cells = df.select(*([weight.alias("w")] if weight is not None else []), F.posexplode(vec.outer(F.col("vec"), g)).alias("i", "x")).groupBy("i").agg(F.avg(x).alias("x"))
+    return cells.agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias(name))
+
+
+def meta_step(train: DataFrame, meta: DataFrame, k: int, lr: float, meta_lr: float, batch: int, momentum: float = 0.0, virtual: bool = True) -> DataFrame:
     """(sample_id, w): each training weight moves by the product of its gradient with the mean meta gradient.
 
-    For a linear head on vec with logits the gradient is vec by (probabilities - one-hot); the mean meta
-    gradient is one small matrix (width by k) that travels to the rows.
+    For a linear head on vec with logits the gradient is vec by (probabilities - one-hot). The meta gradient is taken
+    after a virtual step: the head moves by lr times the weighted mean training gradient, and the meta rows' logits
+    with it. With Nesterov momentum both steps count (1 + momentum) times. Both mean gradients are one small matrix
+    (width by k) that travels to the rows. Weights end in [1e-7, 1].
     """
-    g = vec.ce_gradient(F.col("logits"), F.col("label"), k)
-    cells = meta.select(F.posexplode(vec.outer(F.col("vec"), g)).alias("i", "x")).groupBy("i").agg(F.avg("x").alias("x"))
-    mean = cells.agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("_g"))
-    product = vec.dot(vec.outer(F.col("vec"), g), F.col("_g"))
-    moved = F.col("w") + meta_lr * ((1 + momentum) * lr / batch) * product
-    return train.join(F.broadcast(mean)).select("sample_id", F.least(F.greatest(moved, F.lit(LEAST)), F.lit(1.0)).alias("w"))
+    factor = (1 + momentum) * lr
+    if virtual:
+        step = _mean_gradient(train, k, F.col("w"), "__step")
+        row = lambda i: F.slice("__step", i * k + 1, k)
+        moved = F.aggregate(F.sequence(F.lit(0), F.size("vec") - 1), F.col("logits"), lambda z, i: F.zip_with(z, row(i), lambda a, g: a - factor * F.get("vec", i) * g))
+        meta = meta.join(F.broadcast(step)).select("vec", "label", moved.alias("logits"))
+    product = vec.dot(vec.outer(F.col("vec"), vec.ce_gradient(F.col("logits"), F.col("label"), k)), F.col("__g"))
+    moved = F.col("w") + meta_lr * (factor / batch) * product
+    return train.join(F.broadcast(_mean_gradient(meta, k))).select("sample_id", F.least(F.greatest(moved, F.lit(LEAST)), F.lit(1.0)).alias("w"))
 
 
 def sample_loss(df: DataFrame, kind: str, k: int, beta: float = 0.95) -> DataFrame:
@@ -73,25 +105,43 @@ def glc_matrix(meta: DataFrame) -> DataFrame:
     return cells.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("row"))
 
 
-def train_head(df: DataFrame, k: int, lr: float, epochs: int, weight: str | None = None) -> DataFrame:
-    """(epoch, loss, accuracy, head): full-gradient training of a softmax head on vec, from zero.
+def glc_loss(df: DataFrame, matrix: DataFrame) -> DataFrame:
+    """(sample_id, loss): the cross-entropy of the outputs times the correction matrix (label, row), a row per class from 0."""
+    table = matrix.agg(F.transform(F.array_sort(F.collect_list(F.struct("label", "row"))), lambda s: s["row"]).alias("__c"))
+    zero = F.transform(F.get("__c", F.lit(0)), lambda x: F.lit(0.0))
+    product = F.aggregate(F.sequence(F.lit(0), F.size("__c") - 1), zero, lambda acc, i: F.zip_with(acc, F.get("__c", i), lambda a, c: a + F.get("logits", i) * c))
+    return df.join(F.broadcast(table)).select("sample_id", vec.cross_entropy(product, F.col("label")).alias("loss"))
+
+
+def train_head(df: DataFrame, k: int, lr: float, epochs: int, weight: str | None = None, momentum: float = 0.0, start: list[float] | None = None, validation: DataFrame | None = None) -> DataFrame:
+    """(epoch, loss, accuracy, head): full-gradient training of a softmax head on vec, from zero or from a head to fine-tune.
 
     An epoch is one aggregate of k by d cells, which is all that comes to the driver. The (weighted) gradient is
-    divided by the number of rows; loss and accuracy are those before the epoch's step.
+    divided by the number of rows; loss and accuracy are those before the epoch's step, of the validation rows
+    (label, vec) where there are some. momentum is Nesterov's. A head is its k rows one after the other.
     """
-    w = F.col(weight) if weight else F.lit(1.0)
     width = df.select(F.max(F.size("vec"))).first()[0] or 0
-    head, out = [[0.0] * width for _ in range(k)], []
+    head = [0.0] * (k * width) if start is None else list(start)
+    if len(head) != k * width:
+        raise ValueError(f"a head of {len(head)} numbers does not fit {k} classes of {width}")
+    spark, w, speed, out = df.sparkSession, (F.col(weight).cast("double") if weight else F.lit(1.0)), [0.0] * len(head), []
+    right = F.avg((vec.argmax(F.col("logits")) == F.col("label")).cast("double"))
     for epoch in range(epochs):
-        rows = F.array(*(F.array(*map(F.lit, r)) for r in head))
-        scored = df.select("label", "vec", w.alias("w"), vec.bind(F.col("vec"), lambda v: F.transform(rows, lambda r: vec.dot(v, r))).alias("logits"))
-        scored = scored.withColumn("g", vec.ce_gradient(F.col("logits"), F.col("label"), k))
-        cells = scored.select("w", "vec", F.posexplode("g").alias("j", "g")).select("j", F.posexplode(F.transform("vec", lambda x: x * F.col("g") * F.col("w"))).alias("i", "x"))
-        stats = scored.agg(F.count(F.lit(1)).alias("n"), F.avg(vec.cross_entropy(F.col("logits"), F.col("label"))).alias("loss"), F.avg((vec.argmax(F.col("logits")) == F.col("label")).cast("double")).alias("right")).first()
-        out.append((epoch, stats["loss"], 100 * (stats["right"] or 0.0), [x for r in head for x in r]))
-        for r in cells.groupBy("j", "i").agg(F.sum("x").alias("x")).collect():
-            head[r["j"]][r["i"]] -= lr * r["x"] / stats["n"]
-    return df.sparkSession.createDataFrame(out, "epoch int, loss double, accuracy double, head array<double>")
+        table = spark.createDataFrame([(head,)], "__h array<double>")
+
+        def scored(rows, *more, table=table):
+            z = F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda j: vec.dot(F.col("vec"), F.slice("__h", j * width + 1, width)))
+            return rows.join(F.broadcast(table)).select("label", "vec", *more, z.alias("logits"))
+
+        done = scored(df, w.alias("w")).withColumn("g", vec.ce_gradient(F.col("logits"), F.col("label"), k))
+        seen = done if validation is None else scored(validation)
+        stats = seen.agg(F.avg(vec.cross_entropy(F.col("logits"), F.col("label"))).alias("loss"), right.alias("right")).first()
+        out.append((epoch, stats["loss"], 100 * (stats["right"] or 0.0), list(head)))
+        cells = done.select(F.posexplode(vec.outer(F.col("g"), F.col("vec"))).alias("i", "x"), "w").groupBy("i").agg((F.sum(F.col("x") * F.col("w")) / F.count(F.lit(1))).alias("x"))
+        for r in cells.collect():
+            speed[r["i"]] = momentum * speed[r["i"]] + r["x"]
+            head[r["i"]] -= lr * (r["x"] + momentum * speed[r["i"]])
+    return spark.createDataFrame(out, "epoch int, loss double, accuracy double, head array<double>")
 
 
 def train_stats(df: DataFrame) -> DataFrame:

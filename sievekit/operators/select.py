@@ -6,20 +6,31 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sievekit.functions import chance, vec
-from sievekit.operators.cluster import farthest_first, kmeans
+from sievekit.operators import ranks
+from sievekit.operators.cluster import _rows, farthest_first, farthest_first_runs, flatten_blocks, kmeans, kmeans_nonempty, kmeans_runs
 from sievekit.operators.distance import assign, coverage, pairs
-from sievekit.operators.represent import gradient, sample_blocks
-from sievekit.operators.splits import sample_columns
+from sievekit.operators.represent import gradient, sample_blocks, stack_checkpoints
+from sievekit.operators.splits import sample_block_columns
 from sievekit.sources.tables import cut
 
 
+def _farthest(distances: DataFrame, n: int) -> DataFrame:
+    return ranks.first(distances, [F.desc("dist"), F.asc("sample_id")], n)
+
+
 def _top(df: DataFrame, score, n: int, ascending: bool = False) -> DataFrame:
     scored = df.withColumn("score", F.round(score, 6))
-    return scored.orderBy(F.col("score").asc() if ascending else F.col("score").desc(), "sample_id").limit(n)
+    return ranks.first(scored, [F.col("score").asc() if ascending else F.col("score").desc(), F.col("sample_id")], n)
 
 
-def select_uncertain(df: DataFrame, n: int) -> DataFrame:
-    return _top(df, vec.uncertainty(F.col("logits")), n).select("sample_id", "score")
+def select_uncertain(df: DataFrame, n: int, batch: int | None = None) -> DataFrame:
+    """The n highest scores. batch: every row has the mean score of its batch of so many consecutive ids."""
+    score = vec.uncertainty(F.col("logits"))
+    if batch is None:
+        return _top(df, score, n).select("sample_id", "score")
+    placed = ranks.numbered(df.select("sample_id", score.alias("s")), [F.col("sample_id")], "place").withColumn("batch", F.floor(F.col("place") / batch))
+    means = placed.groupBy("batch").agg(F.avg("s").alias("mean"))
+    return _top(placed.join(means, "batch"), F.col("mean"), n).select("sample_id", "score")
 
 
 def select_certain(df: DataFrame, n: int) -> DataFrame:
@@ -45,7 +56,10 @@ def select_margin_by_class(df: DataFrame, n: int, k: int, max_gap: float = 0.05)
 
 
 def nearest_to_centers(df: DataFrame, centers: DataFrame, n: int, k: int, metric: str = "abs_cos", members_only: bool = False) -> DataFrame:
-    """(cluster_id, sample_id, dist): the int(n / k) rows nearest each centre, over all rows or its own members only."""
+    """(cluster_id, sample_id, dist): the int(n / k) rows nearest each centre, over all rows or its own members only.
+
+    Each task ranks its own rows first and passes on so many a centre.
+    """
     each = n // k
     dist = assign(df, centers, metric).select("sample_id", "cluster_id", "dist") if members_only else pairs(df.select("sample_id", "vec"), centers, metric)
     ranked = dist.withColumn("_r", F.row_number().over(Window.partitionBy("cluster_id").orderBy("dist", "sample_id")))
@@ -53,12 +67,11 @@ def nearest_to_centers(df: DataFrame, centers: DataFrame, n: int, k: int, metric
 
 
 def farthest_fraction(df: DataFrame, selected: DataFrame, fraction: float = 0.25, metric: str = "abs_cos") -> DataFrame:
-    n = int(df.count() * fraction)
-    return coverage(df, selected, metric).orderBy(F.col("dist").desc(), "sample_id").limit(n)
+    return _farthest(coverage(df, selected, metric), int(df.count() * fraction))
 
 
 def uncovered_top(candidates: DataFrame, existing: DataFrame, m: int, metric: str = "abs_cos") -> DataFrame:
-    return coverage(candidates, existing, metric).orderBy(F.col("dist").desc(), "sample_id").limit(m)
+    return _farthest(coverage(candidates, existing, metric), m)
 
 
 def uncovered_radius(candidates: DataFrame, existing: DataFrame, radius: float, metric: str = "abs_cos") -> DataFrame:
@@ -83,6 +96,19 @@ def select_by_weight_change(deltas: DataFrame, n: int) -> DataFrame:
     return _top(deltas.groupBy("sample_id").agg(F.sum("delta").alias("delta")), F.abs("delta"), n).select("sample_id", "score")
 
 
+def select_by_trajectory(deltas: DataFrame, n: int, k: int, max_iter: int = 200) -> DataFrame:
+    """(sample_id, cluster_id, score): as select_by_weight_change, but one row of each cluster of the trajectories at most.
+
+    A trajectory is the row's changes in order of epoch; rows that miss an epoch have 0 there.
+    """
+    epochs = sorted(r[0] for r in deltas.select("epoch").distinct().collect())  # a row per epoch
+    cells = deltas.groupBy("sample_id").agg(F.map_from_entries(F.collect_list(F.struct("epoch", "delta"))).alias("m"), F.sum("delta").alias("total"))
+    rows = cut(cells.select("sample_id", F.array(*(F.coalesce(F.element_at("m", F.lit(e)), F.lit(0.0)) for e in epochs)).alias("vec"), F.round(F.abs("total"), 6).alias("score")))
+    near = assign(rows, kmeans(rows, farthest_first(rows, k, "l2"), "l2", max_iter=max_iter), "l2")
+    best = near.groupBy("cluster_id").agg(F.max_by(F.struct("sample_id", "score"), F.struct("score", -F.col("sample_id"))).alias("b")).select("b.sample_id", "cluster_id", "b.score")
+    return best.orderBy(F.desc("score"), "sample_id").limit(n)
+
+
 def class_budgets(df: DataFrame, budget: int) -> DataFrame:
     """(label, budget): one per class, the rest in proportion, rounded down, what is left by largest remainder (ties: smaller label).
     Where there are more classes than budget, the classes with the smallest tickets get one each."""
@@ -105,7 +131,13 @@ def coreset_gamma(sims: DataFrame) -> DataFrame:
 
 def pool_query(df: DataFrame, n: int, pool: int = 10_000, seed: int = 0) -> DataFrame:
     """The n lowest scores among a random pool."""
-    return df.orderBy(*chance.order(seed)).limit(pool).orderBy("score", "sample_id").limit(n)
+    return ranks.first(ranks.first(df, chance.order(seed), pool), [F.col("score"), F.col("sample_id")], n)
+
+
+def pool_split(df: DataFrame, n: int, pool: int = 10_000, seed: int = 0) -> tuple[DataFrame, DataFrame]:
+    """What pool_query picks, and all other rows, which go back to the pool."""
+    picked = pool_query(df, n, pool, seed)
+    return picked, df.join(picked.select("sample_id"), "sample_id", "left_anti")
 
 
 def repair_labels(df: DataFrame, m: int = 10) -> DataFrame:
@@ -140,9 +172,9 @@ def select_boundary_and_rep(df: DataFrame, n: int, k: int, max_iter: int = 200)
 
 def _cluster_picks(df: DataFrame, n: int, metric: str, max_iter: int) -> DataFrame:
     """One row nearest each of n centres of df, with its columns sample_id and vec."""
-    centers = kmeans(df, farthest_first(df, n, metric).select("cluster_id", "vec"), metric, max_iter=max_iter)
+    centers = kmeans(df, farthest_first(df, n, metric), metric, max_iter=max_iter)
     ids = nearest_to_centers(df, centers, n, n, metric).select("sample_id").distinct()
-    return df.join(F.broadcast(ids), "sample_id", "left_semi").select("sample_id", "vec")
+    return df.join(ids, "sample_id", "left_semi").select("sample_id", "vec")
 
 
 def outlier_picks(df: DataFrame, selected: DataFrame, n: int, threshold: float = 0.8, repeat: bool = False, metric: str = "abs_cos", max_iter: int = 200) -> DataFrame:
@@ -159,13 +191,21 @@ def outlier_picks(df: DataFrame, selected: DataFrame, n: int, threshold: float =
 
 
 def select_by_class(df: DataFrame, n: int, metric: str = "abs_cos", max_iter: int = 200) -> DataFrame:
-    """(label, sample_id): int(n / classes) representatives of each class, clustered on its own."""
-    labels = sorted(r[0] for r in df.select("label").distinct().collect() if r[0] is not None)
-    parts = [_cluster_picks(df.filter(F.col("label") == y), n // len(labels), metric, max_iter).select(F.lit(y).alias("label"), "sample_id") for y in labels if n >= len(labels)]
-    out = parts[0] if parts else df.select("label", "sample_id").limit(0)
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    """(label, sample_id): int(n / classes) representatives of each class, clustered on its own.
+
+    All classes are clustered at once, one job a step; a row takes part in its own class only.
+    """
+    rows = _rows(df, run="label")
+    many = rows.select("run").distinct().count()
+    each = n // many if many else 0
+    if not each:
+        return df.select("label", "sample_id").limit(0)
+    seeds = farthest_first_runs(rows, {r["run"]: each for r in rows.select("run").distinct().collect()}, metric)
+    found = kmeans_runs(rows, {run: [v for _, v in own] for run, own in seeds.items()}, metric, max_iter=max_iter)
+    centers = df.sparkSession.createDataFrame([(int(run), i, v) for run, c in found.items() for i, v in enumerate(c.tolist())], "run long, cluster_id int, c array<double>")
+    dist = F.round(vec.METRICS[metric](F.col("vec"), F.col("c")), 9)
+    near = rows.join(F.broadcast(centers), "run").groupBy("run", "cluster_id").agg(F.min_by("sample_id", F.struct(dist, "sample_id")).alias("sample_id"))  # n centres at most
+    return near.select(F.col("run").cast(df.schema["label"].dataType).alias("label"), "sample_id").distinct()
 
 
 def radius_cover(df: DataFrame, n: int, metric: str = "abs_cos", max_iter: int = 200, fraction: float = 0.5) -> DataFrame:
@@ -177,7 +217,7 @@ def radius_cover(df: DataFrame, n: int, metric: str = "abs_cos", max_iter: int =
         have = chosen.count()
         if have >= n - 1:
             return chosen
-        far = df.join(F.broadcast(farthest_fraction(df, chosen, fraction, metric).select("sample_id")), "sample_id", "left_semi")
+        far = df.join(farthest_fraction(df, chosen, fraction, metric).select("sample_id"), "sample_id", "left_semi")
         found = _cluster_picks(far, n - have, metric, max_iter)
         new = found.join(uncovered_radius(found, chosen, radius, metric).select("sample_id"), "sample_id", "left_semi")
         chosen = cut(chosen.unionByName(new))
@@ -195,31 +235,106 @@ def select_incremental(df: DataFrame, existing: DataFrame, n: int, total: int |
     return found.select("sample_id") if total is None else uncovered_top(found, existing, max(total - have, 0), metric).select("sample_id")
 
 
-def select_gbc(df: DataFrame, n: int, k: int, classes: int, columns: int | None = None, m: int = 2, seed: int = 0, max_iter: int = 200) -> DataFrame:
-    """Representatives by gradients: the head's gradient by its bias and weights as two blocks, m blocks drawn by importance,
-    a subset of their columns, then clustered as vectors."""
-    head = gradient(df, classes).select("sample_id", F.col("vec").alias("_g0"))
-    both = df.join(head, "sample_id").withColumn("blocks", F.array(F.col("_g0"), vec.outer(F.col("_g0"), F.col("vec"))))
-    flat = sample_blocks(both, m, seed).select("sample_id", F.flatten("blocks").alias("vec"))
-    if columns is not None:
-        flat = sample_columns(flat, columns, flat.select(F.size("vec")).first()[0], seed)
-    return select_representatives(cut(flat), n, k, max_iter=max_iter)
-
-
-def select_representatives(df: DataFrame, n: int, k: int, total: int | None = None, fraction: float = 0.25, metric: str = "abs_cos", max_iter: int = 200) -> DataFrame:
-    """Representative ids: cluster from farthest-first seeds, take the rows nearest each centre; with a total, cluster the
-    farthest part again for what is missing until it is reached or nothing new is found."""
-    wanted, chosen, rest, need = total or n, None, df, n
+# --- representatives ---------------------------------------------------------------------------------------------
+
+
+def representatives(df: DataFrame, n: int, k: int, metric: str = "abs_cos", weight: str | None = None, by_norm: bool = False, max_iter: int = 200, widths: list[int] | None = None) -> DataFrame:
+    """The ids of the int(n / k) rows nearest each of k centres from farthest-first seeds; without empty clusters, so fewer than n where some were."""
+    centers = kmeans_nonempty(df, k, metric=metric, weight=weight, by_norm=by_norm, max_iter=max_iter, widths=widths)
+    return nearest_to_centers(df, centers, n, k, metric).select("sample_id").distinct()
+
+
+def coverage_loop(df: DataFrame, n: int, total: int | None, select, fraction: float = 0.25, metric: str = "abs_cos") -> DataFrame:
+    """select(rows, n), then again for what is missing among the farthest part of the rows that are left, until total are found.
+
+    Each round narrows the rows of the round before to those farthest from all picks so far. It ends as well when
+    there are no rows left to narrow, or a round finds nothing new. The picks number total at most, or what select gave.
+    """
+    rest, chosen, need = df, None, n
     while True:
-        centers = kmeans(rest, farthest_first(rest, min(k, need), metric).select("cluster_id", "vec"), metric, max_iter=max_iter)
-        clusters = centers.count()
-        near = nearest_to_centers(rest, centers, max(need, clusters), clusters, metric).select("sample_id").distinct()
+        found = select(rest, need)
+        merged = found if chosen is None else chosen.unionByName(found).distinct()
         before = 0 if chosen is None else chosen.count()
-        merged = near if chosen is None else chosen.unionByName(near).distinct()
-        ids = [r[0] for r in merged.orderBy("sample_id").limit(max(wanted, n)).collect()]  # as many as were asked for
-        chosen = df.sparkSession.createDataFrame([(i,) for i in ids], "sample_id long")
-        if total is None or len(ids) >= total or len(ids) == before:
+        chosen = cut(merged.select("sample_id"))
+        have = chosen.count()
+        if total is None or have >= total or have == before:
+            return chosen if total is None or have <= total else chosen.orderBy("sample_id").limit(total)
+        picked = df.join(chosen, "sample_id", "left_semi").select("sample_id", "vec")
+        far = farthest_fraction(rest, picked, fraction, metric).select("sample_id")
+        rest, need = cut(rest.join(far, "sample_id", "left_semi")), total - have
+        if rest.limit(1).count() == 0:
             return chosen
-        picked = df.join(F.broadcast(chosen), "sample_id", "left_semi")
-        far = farthest_fraction(df, picked, fraction, metric).select("sample_id")
-        rest, need = df.join(far, "sample_id", "left_semi"), total - len(ids)
+
+
+def select_representatives(df: DataFrame, n: int, k: int, total: int | None = None, fraction: float = 0.25, metric: str = "abs_cos", max_iter: int = 200, weight: str | None = None, by_norm: bool = False, widths: list[int] | None = None) -> DataFrame:
+    """Representative ids: n from k clusters; with a total, a cluster for each one that is missing, among the farthest rows left, until it is reached."""
+
+    def one(rows: DataFrame, many: int) -> DataFrame:
+        return representatives(rows, many, k if many == n else many, metric, weight, by_norm, max_iter, widths)
+
+    return coverage_loop(df, n, total, one, fraction, metric)
+
+
+def select_rbc(df: DataFrame, n: int, k: int, total: int | None = None, columns: int | None = None, weights: DataFrame | None = None, start: int | None = None, period: int = 20, by_norm: bool = True, seed: int = 0, max_iter: int = 200) -> DataFrame:
+    """Representatives by features and outputs: the rank-one vector of features and probabilities, a subset of its columns
+    (the same for all), the same of further checkpoints as blocks, then weighted clusters and the coverage loop.
+
+    df: (sample_id, vec, logits), with epoch where there are checkpoints: start, start + period, ... become the blocks.
+    weights: (sample_id, w). by_norm: means are taken of unit vectors.
+    """
+    made = df.withColumn("vec", vec.outer(F.col("vec"), vec.softmax(F.col("logits"))))
+    blocks = made.select("sample_id", F.array("vec").alias("blocks")) if start is None else stack_checkpoints(made, start, period)
+    return _by_blocks(blocks, n, k, total, columns, weights, by_norm, seed, max_iter)
+
+
+def _by_blocks(blocks: DataFrame, n: int, k: int, total: int | None, columns: int | None, weights: DataFrame | None, by_norm: bool, seed: int, max_iter: int) -> DataFrame:
+    flat, widths = flatten_blocks(blocks)
+    if columns is not None and widths:
+        flat, widths = flatten_blocks(sample_block_columns(blocks, columns, widths, seed))
+    weight = None
+    if weights is not None:
+        flat, weight = flat.join(weights.select("sample_id", "w"), "sample_id"), "w"
+    flat = cut(flat.select("sample_id", "vec", *([weight] if weight else [])))
+    return select_representatives(flat, n, k, total, max_iter=max_iter, weight=weight, by_norm=by_norm, widths=widths)
+
+
+def select_gbc(df: DataFrame, n: int, k: int, classes: int, columns: int | None = None, m: int = 2, seed: int = 0, max_iter: int = 200, total: int | None = None, weights: DataFrame | None = None, full_loss: bool = False, start: int | None = None, period: int = 20) -> DataFrame:
+    """Representatives by gradients: the head's gradient by its bias and weights as two blocks, m blocks drawn by importance,
+    a subset of their columns, the same of further checkpoints, then clustered as vectors.
+
+    full_loss: the loss with the own logit added back. start, period, weights, total: as in select_rbc.
+    """
+    head = gradient(df, classes, full_loss=full_loss)
+    both = head.withColumn("__g0", F.col("vec")).drop("vec").withColumnRenamed("__g0", "__g")
+    keys = ["sample_id"] + (["epoch"] if start is not None else [])
+    joined = df.select(*keys, "vec").join(both.select(*keys, "__g"), keys).withColumn("blocks", F.array(F.col("__g"), vec.outer(F.col("__g"), F.col("vec"))))
+    drawn = sample_blocks(cut(joined.select(*keys, "blocks")), m, seed)
+    if start is None:
+        return _by_blocks(drawn, n, k, total, columns, weights, False, seed, max_iter)
+    stacked = stack_checkpoints(drawn.withColumn("vec", F.flatten("blocks")), start, period)
+    return _by_blocks(stacked, n, k, total, columns, weights, False, seed, max_iter)
+
+
+#: name -> callable(df, n, **options) that gives ids; register_selector adds to it.
+SELECTORS = {
+    "uncertain": select_uncertain,
+    "certain": select_certain,
+    "confident": select_confident,
+    "margin": select_margin,
+    "representatives": select_representatives,
+    "rbc": select_rbc,
+    "gbc": select_gbc,
+}
+
+
+def register_selector(name: str, selector) -> None:
+    if name in SELECTORS:
+        raise ValueError(f"there is a selector {name} already")
+    SELECTORS[name] = selector
+
+
+def select(df: DataFrame, how: str, n: int, **options) -> DataFrame:
+    """The ids that a selector picks by name; options that it doesn't know are an error."""
+    if how not in SELECTORS:
+        raise ValueError(f"unknown selector {how}; there are {', '.join(sorted(SELECTORS))}")
+    return SELECTORS[how](df, n, **options).select("sample_id")

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sievekit.functions import chance, vec
+from sievekit.operators import cluster, distance, ranks
+from sievekit.sources import tables
 
 
 def subset(df: DataFrame, ids: DataFrame, labels: DataFrame | None = None) -> DataFrame:
@@ -27,7 +30,7 @@ def split_train_meta(df: DataFrame, ids: DataFrame, include_meta: bool = False)
 
 
 def holdout_count(df: DataFrame, n: int, seed: int = 0) -> DataFrame:
-    return df.orderBy(*chance.order(seed)).limit(n)
+    return ranks.first(df, chance.order(seed), n)
 
 
 def holdout_rate(df: DataFrame, rate: float, seed: int = 0) -> DataFrame:
@@ -35,26 +38,27 @@ def holdout_rate(df: DataFrame, rate: float, seed: int = 0) -> DataFrame:
 
 
 def _ranked(df: DataFrame, seed: int) -> DataFrame:
-    return df.withColumn("_rank", F.row_number().over(Window.partitionBy("label").orderBy(*chance.order(seed))))
+    return ranks.within(df, "label", chance.order(seed), "__rank")
 
 
 def _within_quota(df: DataFrame, quota: DataFrame, seed: int) -> DataFrame:
     """The first rows of each label by ticket, as many as quota (label, quota: a row per class) says."""
-    return _ranked(df, seed).join(F.broadcast(quota), "label").filter(F.col("_rank") <= F.col("quota")).select(*df.columns)
+    return _ranked(df, seed).join(F.broadcast(quota.select("label", F.col("quota").alias("__quota"))), "label").filter(F.col("__rank") <= F.col("__quota")).select(*df.columns)
 
 
-def holdout_by_class(df: DataFrame, n: int, seed: int = 0) -> DataFrame:
-    """n rows in proportion to the classes, rounded down; the last class takes the remainder."""
+def holdout_by_class(df: DataFrame, n: int, seed: int = 0, equal: bool = False) -> DataFrame:
+    """n rows in proportion to the classes (or int(n / classes) of each where equal), rounded down; the last class takes the remainder."""
     counts = df.groupBy("label").agg(F.count(F.lit(1)).alias("c"))
     every = Window.partitionBy()
-    quota = counts.withColumn("quota", F.floor(F.lit(n) * F.col("c") / F.sum("c").over(every)))
+    share = F.lit(n) / F.count(F.lit(1)).over(every) if equal else F.lit(n) * F.col("c") / F.sum("c").over(every)
+    quota = counts.withColumn("quota", F.floor(share))
     last = F.col("label") == F.max("label").over(every)
     quota = quota.withColumn("quota", F.when(last, n - F.sum("quota").over(every) + F.col("quota")).otherwise(F.col("quota")))
     return _within_quota(df, quota.select("label", "quota"), seed)
 
 
 def cap_per_class(df: DataFrame, n: int = 45, seed: int = 0) -> DataFrame:
-    return _ranked(df, seed).filter(F.col("_rank") <= n).drop("_rank")
+    return _ranked(df, seed).filter(F.col("__rank") <= n).drop("__rank")
 
 
 def long_tail(df: DataFrame, factor: float, seed: int = 0) -> DataFrame:
@@ -74,12 +78,19 @@ def sample_columns(df: DataFrame, c: int, width: int, seed: int = 0) -> DataFram
     """The same c features of every row, in their order; all where c reaches the width."""
     if c >= width:
         return df
-    import hashlib
-
     chosen = sorted(sorted(range(width), key=lambda i: (hashlib.md5(f"{seed}:{i}".encode()).hexdigest(), i))[:c])
     return df.withColumn("vec", vec.take(F.col("vec"), chosen))
 
 
+def sample_block_columns(df: DataFrame, c: int, widths: list[int], seed: int = 0) -> DataFrame:
+    """As sample_columns for a column blocks: each block draws c of its own features, the same for every row."""
+    parts = []
+    for b, width in enumerate(widths):
+        chosen = sorted(sorted(range(width), key=lambda i: (hashlib.md5(f"{seed}:{b}:{i}".encode()).hexdigest(), i))[:c]) if c < width else list(range(width))
+        parts.append(vec.take(F.get("blocks", F.lit(b)), chosen))
+    return df.withColumn("blocks", F.array(*parts))
+
+
 def fill_random(df: DataFrame, selected: DataFrame, n: int, seed: int = 0) -> DataFrame:
     return holdout_count(df.join(selected.select("sample_id"), "sample_id", "left_anti"), n, seed)
 
@@ -147,18 +158,33 @@ def flip_adversarial(df: DataFrame, scores: DataFrame, rate: float, k: int, seed
     """ceil(n * rate) rows get a uniform label below k - 1: first rows with a negative silhouette (sample_id, score), then others, each by ticket."""
     n = math.ceil(df.count() * rate)
     tier = df.select("sample_id").join(scores, "sample_id", "left").select("sample_id", (~(F.coalesce("score", F.lit(0.0)) < 0)).alias("_tier"))
-    ids = tier.orderBy("_tier", *chance.order(seed)).limit(n).select("sample_id", F.lit(True).alias("_hit"))
+    ids = ranks.first(tier, [F.col("_tier"), *chance.order(seed)], n).select("sample_id", F.lit(True).alias("_hit"))
     new = F.floor(chance.uniform(seed + 1) * (k - 1)).cast("int")
     return df.join(ids, "sample_id", "left").withColumn("label", F.when(F.col("_hit"), new).otherwise(F.col("label"))).drop("_hit")
 
 
-def corrupt(df: DataFrame, kind: str, rate: float, k: int, seed: int = 0, permutation: list[int] | None = None) -> DataFrame:
+def corrupt(df: DataFrame, kind: str, rate: float, k: int, seed: int = 0, permutation: list[int] | None = None, clusters: int = 10, store: str | None = None) -> DataFrame:
+    """df with corrupted labels: uniform, matrix, other, biased or adversarial (by the silhouettes of a clustering of vec).
+
+    store: a folder for the labels. What it holds is used again, so that every run sees the same corruption.
+    """
+    saved = tables.load_splits(df.sparkSession, store)["clean_labels"] if store else None
+    if saved is not None:
+        return tables.overlay_labels(df, saved)
     if kind == "uniform":
-        return flip_random(df, rate, k, seed)
-    if kind == "matrix":
-        return flip_matrix(df, uniform_matrix(k, rate), seed)
-    if kind == "other":
-        return flip_other(df, rate, k, seed)
-    if kind == "biased":
-        return flip_permute(df, rate, permutation or [(i + 1) % k for i in range(k)], seed)
-    raise ValueError(f"unknown corruption {kind}")
+        out = flip_random(df, rate, k, seed)
+    elif kind == "matrix":
+        out = flip_matrix(df, uniform_matrix(k, rate), seed)
+    elif kind == "other":
+        out = flip_other(df, rate, k, seed)
+    elif kind == "biased":
+        out = flip_permute(df, rate, permutation or [(i + 1) % k for i in range(k)], seed)
+    elif kind == "adversarial":
+        near = distance.assign(df, cluster.kmeans(df, cluster.farthest_first(df, clusters, "l2"), "l2"), "l2")
+        out = flip_adversarial(df, cluster.silhouette_by_means(df, near), rate, k, seed)
+    else:
+        raise ValueError(f"unknown corruption {kind}")
+    if store:
+        tables.save_splits({"clean_labels": out.select("sample_id", "label")}, store)
+        return tables.overlay_labels(df, tables.load_splits(df.sparkSession, store)["clean_labels"])
+    return out

@@ -13,9 +13,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """sample_id, label, vec: every embedding in doubles, of lengths 1 to 2."""
+    """sample_id, label, vec: every embedding in doubles, of lengths 1 to 2, cut to multiples of 2**-16: sums of products are exact, in any order."""
     e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("sample_id"), "label", vec.as_double(F.col("embedding")).alias("vec"))
-    return e.withColumn("vec", vec.scale(F.col("vec"), 1 + (F.col("sample_id") % 5) / 4))
+    by = 1 + (F.col("sample_id") % 5) / 4
+    return e.withColumn("vec", F.transform("vec", lambda x: F.floor(x * by * 65536.0) / 65536.0))
 
 
 def logits(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,7 +33,16 @@ def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select(F.col("event_id").alias("sample_id"), (F.col("user_id") % 5).cast("int").alias("label"), "value", F.dayofyear("ts").alias("day"))
 
 
-SQL_VECTORS = """v AS (SELECT vec_id AS sample_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE) * (1 + (vec_id % 5) / 4)) AS vec FROM embeddings)"""
+def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """sample_id, label, vec: the largest of four numbers of every order's lines by number (which repeat), in multiples of 2**-10; many rows for the same work."""
+    top = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(*(F.max(c).alias(c) for c in ("l_quantity", "l_extendedprice", "l_discount", "l_tax")))
+    x = F.array(F.col("l_quantity"), F.col("l_extendedprice") / 1000, F.col("l_discount") * 100, F.col("l_tax") * 100)
+    own = top.select((F.col("l_orderkey") * 16 + F.col("l_linenumber")).alias("sample_id"), (F.col("l_linenumber") % 5).cast("int").alias("label"), x.alias("vec"))
+    return own.withColumn("vec", F.transform("vec", lambda e: F.floor(e * 1024.0) / 1024.0))
+
+
+SQL_LINES = """v AS (SELECT l_orderkey * 16 + l_linenumber AS sample_id, CAST(l_linenumber % 5 AS INTEGER) AS label, list_transform([max(l_quantity), max(l_extendedprice) / 1000, max(l_discount) * 100, max(l_tax) * 100], lambda e: floor(e * 1024) / 1024) AS vec FROM lineitem GROUP BY l_orderkey, l_linenumber)"""
+SQL_VECTORS = """v AS (SELECT vec_id AS sample_id, label, list_transform(embedding, lambda x: floor(CAST(x AS DOUBLE) * (1 + (vec_id % 5) / 4) * 65536) / 65536) AS vec FROM embeddings)"""
 SQL_LOGITS = (
     SQL_VECTORS
     + """, cells AS (SELECT label, i, round(avg(vec[i]), 9) AS x FROM v, (SELECT unnest(range(1, 65)) AS i) GROUP BY ALL),

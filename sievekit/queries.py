@@ -30,7 +30,7 @@ def query(sql: str | None = None):
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Representatives of the labelled vectors, split into training and meta rows."""
     v = P.vectors(spark, sf_dir)
-    ids = select.select_representatives(v, 20, 10, max_iter=5)
+    ids = select.select_representatives(v, 20, 10)
     return splits.split_train_meta(v.withColumn("clean_label", F.col("label")), ids).groupBy("split", "label").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -45,10 +45,9 @@ def ids_of(df: DataFrame, every: int) -> DataFrame:
 # --- sources -------------------------------------------------------------------------------------------------
 
 
-@query("SELECT doc_id, quality FROM labels WHERE doc_id IN (SELECT doc_id FROM documents WHERE lang = 'en')")
+@query("SELECT doc_id, quality FROM labels WHERE doc_id IN (SELECT doc_id FROM documents)")
 def s2_manifest(spark, sf):
-    docs = P.table(spark, sf, "documents").filter("lang = 'en'")
-    return tables.read_manifest(P.table(spark, sf, "labels").select("doc_id", "quality"), docs, "doc_id")
+    return tables.read_manifest(P.table(spark, sf, "labels").select("doc_id", "quality"), P.table(spark, sf, "documents"), "doc_id")
 
 
 @query("SELECT d.doc_id AS sample_id, coalesce(l.toxic, 2) AS label FROM documents d LEFT JOIN labels l USING (doc_id)")
@@ -101,6 +100,13 @@ def p5_holdout_by_class(spark, sf):
     return splits.holdout_by_class(P.labelled(spark, sf).select("sample_id", "label"), 333, 5)
 
 
+@query(f"""WITH {P.SQL_LABELLED}, {_BY_CLASS}, q AS (SELECT label, CAST(floor(333 / count(*) OVER ()) AS BIGINT) AS q FROM (SELECT DISTINCT label FROM l)),
+f AS (SELECT label, CASE WHEN label = max(label) OVER () THEN 333 - sum(q) OVER () + q ELSE q END AS quota FROM q)
+SELECT sample_id, label FROM r JOIN f USING (label) WHERE k <= quota""")
+def p5_holdout_equal(spark, sf):
+    return splits.holdout_by_class(P.labelled(spark, sf).select("sample_id", "label"), 333, 5, equal=True)
+
+
 @query(f"WITH {P.SQL_LABELLED}, {_BY_CLASS} SELECT sample_id, label FROM r WHERE k <= 45")
 def p6_cap_per_class(spark, sf):
     return splits.cap_per_class(P.labelled(spark, sf).select("sample_id", "label"), 45, 5)
@@ -126,6 +132,14 @@ def p9_sample_columns(spark, sf):
     return d.select("sample_id", r6(vec.total(F.col("vec"))).alias("total"), r6(F.col("vec")[0]).alias("head"))
 
 
+@query(f"""WITH {P.SQL_VECTORS}, i AS (SELECT b, i, row_number() OVER (PARTITION BY b ORDER BY md5('6:' || b || ':' || i), i) AS r FROM (SELECT unnest(range(0, 2)) AS b), (SELECT unnest(range(0, 32)) AS i))
+SELECT sample_id, round(sum(vec[32 * b + i + 1]) FILTER (b = 0), 6) AS first, round(sum(vec[32 * b + i + 1]) FILTER (b = 1), 6) AS second FROM v, i WHERE r <= 5 GROUP BY 1""")
+def p9_sample_block_columns(spark, sf):
+    v = P.vectors(spark, sf).withColumn("blocks", F.array(F.slice("vec", 1, 32), F.slice("vec", 33, 32)))
+    d = splits.sample_block_columns(v, 5, [32, 32], 6)
+    return d.select("sample_id", r6(vec.total(F.col("blocks")[0])).alias("first"), r6(vec.total(F.col("blocks")[1])).alias("second"))
+
+
 @query(f"WITH {P.SQL_LABELLED} SELECT sample_id FROM l WHERE sample_id % 3 <> 0 ORDER BY {P.sql_ticket(7)}, sample_id LIMIT 100")
 def p10_fill_random(spark, sf):
     l = P.labelled(spark, sf)
@@ -235,6 +249,27 @@ def d10_class_similarity(spark, sf):
     return distance.class_similarity(P.vectors(spark, sf)).withColumn("sim", r6(F.col("sim")))
 
 
+@query(f"WITH {P.SQL_LINES}, {_CENTERS}, {_pairs('l2')}, {_NEAREST} SELECT sample_id, cluster_id, round(dist, 6) AS dist FROM n")
+def d12_assign_lines(spark, sf):
+    v = P.lines(spark, sf)
+    return distance.assign(v, cluster.first_seeds(v, 10), "l2").select("sample_id", "cluster_id", r6(F.col("dist")).alias("dist"))
+
+
+@query(f"WITH {P.SQL_LINES}, c AS (SELECT sample_id AS cluster_id, vec FROM v WHERE sample_id < 160), {_pairs('l2')}, g AS (SELECT sample_id, min(dist) AS dist FROM d GROUP BY 1), r AS (SELECT *, row_number() OVER (ORDER BY dist DESC, sample_id) AS r FROM g) SELECT sample_id, round(dist, 6) AS dist FROM r WHERE r <= floor((SELECT count(*) FROM v) / 4)")
+def l11_farthest_lines(spark, sf):
+    v = P.lines(spark, sf)
+    return select.farthest_fraction(v, v.filter("sample_id < 160"), metric="l2").withColumn("dist", r6(F.col("dist")))
+
+
+@query(f"""WITH {P.SQL_LINES}, {_CENTERS}, {_pairs('l2')}, {_NEAREST},
+m AS (SELECT cluster_id, i, avg(vec[i]) AS x FROM n JOIN v USING (sample_id), (SELECT unnest(range(1, 5)) AS i) GROUP BY ALL)
+SELECT c.cluster_id, CAST(k.i - 1 AS INTEGER) AS i, round(coalesce(m.x, c.vec[k.i]), 6) AS x FROM c CROSS JOIN (SELECT unnest(range(1, 5)) AS i) k LEFT JOIN m ON m.cluster_id = c.cluster_id AND m.i = k.i""")
+def c3_step_lines(spark, sf):
+    v = P.lines(spark, sf)
+    out = cluster.kmeans(v, cluster.first_seeds(v, 10), "l2", max_iter=1)
+    return out.select("cluster_id", F.posexplode("vec").alias("i", "x")).withColumn("x", r6(F.col("x")))
+
+
 # --- clustering ----------------------------------------------------------------------------------------------
 
 
@@ -250,7 +285,7 @@ def c3_lloyd_step(spark, sf):
 @query()
 def c3_kmeans(spark, sf):
     v = P.vectors(spark, sf)
-    centers = cluster.kmeans(v, cluster.farthest_first(v, 10).select("cluster_id", "vec"), max_iter=5)
+    centers = cluster.kmeans(v, cluster.farthest_first(v, 10))
     return distance.assign(v, centers).groupBy("cluster_id").agg(F.count(F.lit(1)).alias("n"), r6(F.avg("dist")).alias("mean_dist"))
 
 
@@ -264,12 +299,12 @@ def c1_farthest_first(spark, sf):
 
 
 @query(f"""WITH {P.SQL_VECTORS}, {_CENTERS}, {_pairs('abs_cos')}, {_NEAREST}, b AS (SELECT a.sample_id, a.cluster_id AS own, t.cluster_id AS theirs, round(list_distance(va.vec, vb.vec), 9) AS dist
-FROM n a JOIN n t ON a.sample_id <> t.sample_id JOIN v va ON va.sample_id = a.sample_id JOIN v vb ON vb.sample_id = t.sample_id WHERE a.label = 3 AND t.label = 3),
+FROM n a JOIN n t ON a.sample_id <> t.sample_id JOIN v va ON va.sample_id = a.sample_id JOIN v vb ON vb.sample_id = t.sample_id ),
 m AS (SELECT sample_id, own, theirs, avg(dist) AS m FROM b GROUP BY ALL), s AS (SELECT sample_id, max(CASE WHEN own = theirs THEN m END) AS a, min(CASE WHEN own <> theirs THEN m END) AS b FROM m GROUP BY 1)
 SELECT sample_id, round(coalesce((b - a) / greatest(a, b), 0), 6) AS score FROM s""")
 def c11_silhouette(spark, sf):
     v = P.vectors(spark, sf)
-    one = distance.assign(v, cluster.first_seeds(v, 10)).filter("label = 3")
+    one = distance.assign(v, cluster.first_seeds(v, 10))
     return cluster.silhouette(one, one).select("sample_id", r6(F.col("score")).alias("score"))
 
 
@@ -304,6 +339,11 @@ def l1_uncertain(spark, sf):
     return select.select_uncertain(P.logits(spark, sf), 20)
 
 
+@query(f"WITH {P.SQL_LOGITS}, b AS (SELECT sample_id, -list_inner_product(logits, logp) AS s, (row_number() OVER (ORDER BY sample_id) - 1) // 32 AS batch FROM p) SELECT sample_id, round(avg(s) OVER (PARTITION BY batch), 6) AS score FROM b ORDER BY score DESC, sample_id LIMIT 40")
+def l1_uncertain_by_batch(spark, sf):
+    return select.select_uncertain(P.logits(spark, sf), 40, batch=32)
+
+
 @query(f"WITH {P.SQL_LOGITS} SELECT sample_id, {_SCORE} FROM p ORDER BY score, sample_id LIMIT 20")
 def l2_certain(spark, sf):
     return select.select_certain(P.logits(spark, sf), 20)
@@ -346,7 +386,7 @@ def l7_nearest_members(spark, sf):
 
 @query()
 def l8_representatives(spark, sf):
-    return select.select_representatives(P.vectors(spark, sf), 20, 10, 40, max_iter=5)
+    return select.select_representatives(P.vectors(spark, sf), 20, 10, 40)
 
 
 @query(f"WITH {P.SQL_VECTORS}, {_COVER}, r AS (SELECT *, row_number() OVER (ORDER BY dist DESC, sample_id) AS r FROM g) SELECT sample_id, round(dist, 6) AS dist FROM r WHERE r <= floor((SELECT count(*) FROM v) / 4)")
@@ -355,10 +395,10 @@ def l11_farthest_fraction(spark, sf):
     return select.farthest_fraction(v, ids_of(v, 25)).withColumn("dist", r6(F.col("dist")))
 
 
-@query(f"WITH {P.SQL_VECTORS}, {_COVER} SELECT sample_id, round(dist, 6) AS dist FROM (SELECT * FROM g WHERE sample_id % 3 = 0 ORDER BY dist DESC, sample_id LIMIT 15)")
+@query(f"WITH {P.SQL_VECTORS}, {_COVER} SELECT sample_id, round(dist, 6) AS dist FROM (SELECT * FROM g WHERE sample_id % 25 <> 0 ORDER BY dist DESC, sample_id LIMIT 15)")
 def l12_uncovered_top(spark, sf):
     v = P.vectors(spark, sf)
-    return select.uncovered_top(ids_of(v, 3), ids_of(v, 25), 15).withColumn("dist", r6(F.col("dist")))
+    return select.uncovered_top(v.filter("sample_id % 25 <> 0"), ids_of(v, 25), 15).withColumn("dist", r6(F.col("dist")))
 
 
 @query(f"WITH {P.SQL_VECTORS}, {_COVER} SELECT sample_id, round(dist, 6) AS dist FROM g WHERE dist > 0.6")
@@ -414,8 +454,21 @@ def w1_init_weights(spark, sf):
     return reweight.init_weights(P.labelled(spark, sf), seed=2).withColumn("w", F.round("w", 9))
 
 
-@query(f"""WITH {P.SQL_LOGITS}, g AS (SELECT sample_id, vec, list_transform(list_zip(probs, range(0, 10)), lambda z: z[1] - CASE WHEN z[2] = label THEN 1 ELSE 0 END) AS g FROM p),
-m AS (SELECT i, j, avg(vec[i] * g[j]) AS x FROM g, (SELECT unnest(range(1, 65)) AS i), (SELECT unnest(range(1, 11)) AS j) WHERE sample_id % 10 = 0 GROUP BY ALL),
+@query(f"WITH {P.SQL_LABELLED}, g AS (SELECT sample_id, greatest(sqrt(-2 * ln(greatest({P.sql_uniform(2)}, pow(2, -33)))) * cos(2 * pi() * {P.sql_uniform(3)}), 0) AS w FROM l) SELECT sample_id, round(CASE WHEN sample_id % 4 = 0 THEN 0.25 ELSE w / (SELECT avg(w) FROM g) END, 6) AS w FROM g")
+def w1_init_gaussian_cached(spark, sf):
+    l = P.labelled(spark, sf)
+    cached = ids_of(l, 4).select("sample_id", F.lit(0.25).alias("w"))
+    return reweight.init_weights(l, "gaussian", 2, cached=cached).withColumn("w", r6(F.col("w")))
+
+
+_GRAD = "list_transform(list_zip({}, range(0, 10)), lambda z: z[1] - CASE WHEN z[2] = label THEN 1 ELSE 0 END)"
+
+
+@query(f"""WITH {P.SQL_LOGITS}, g AS (SELECT sample_id, label, vec, logits, {_GRAD.format('probs')} AS g FROM p),
+s AS (SELECT j, list(x ORDER BY i) AS x FROM (SELECT i, j, avg(vec[i] * g[j] * 0.5) AS x FROM g, (SELECT unnest(range(1, 65)) AS i), (SELECT unnest(range(1, 11)) AS j) WHERE sample_id % 10 <> 0 GROUP BY ALL) GROUP BY 1),
+u AS (SELECT sample_id, label, vec, list(logits[j] - 0.1 * list_inner_product(vec, x) ORDER BY j) AS z FROM g, s WHERE sample_id % 10 = 0 GROUP BY 1, 2, 3),
+q AS (SELECT label, vec, list_transform(z, lambda x: exp(x - list_max(z)) / list_sum(list_transform(z, lambda y: exp(y - list_max(z))))) AS p FROM u), h AS (SELECT vec, {_GRAD.format('p')} AS g FROM q),
+m AS (SELECT i, j, avg(vec[i] * g[j]) AS x FROM h, (SELECT unnest(range(1, 65)) AS i), (SELECT unnest(range(1, 11)) AS j) GROUP BY ALL),
 d AS (SELECT sample_id, sum(vec[i] * g[j] * x) AS d FROM g, m WHERE sample_id % 10 <> 0 GROUP BY 1)
 SELECT sample_id, round(least(greatest(0.5 + 20 * (0.1 / 32) * d, 1e-7), 1), 6) AS w FROM d""")
 def w2_meta_step(spark, sf):
@@ -437,6 +490,14 @@ def w4_normalize(spark, sf):
     return reweight.normalize_weights(e, "sum").select("event_id", r6(F.col("w")).alias("w"))
 
 
+@query("SELECT event_id, round(least(greatest(value / 50 - 0.5, 0), 1) / count(*) OVER (PARTITION BY event_id // 100), 6) AS clip, round(exp((value / 50 - max(value / 50) OVER w) / 0.7) / sum(exp((value / 50) / 0.7)) OVER w * exp(max(value / 50) OVER w / 0.7), 6) AS softmax FROM events WINDOW w AS (PARTITION BY event_id // 100)")
+def w4_normalize_clip_softmax(spark, sf):
+    e = P.table(spark, sf, "events").select("event_id", F.floor(F.col("event_id") / 100).alias("batch"), (F.col("value") / 50).alias("x"))
+    clip = reweight.normalize_weights(e.withColumn("w", F.col("x") - 0.5), "clip").select("event_id", r6(F.col("w")).alias("clip"))
+    soft = reweight.normalize_weights(e.withColumn("w", F.col("x")), "softmax", temperature=0.7).select("event_id", r6(F.col("w")).alias("softmax"))
+    return clip.join(soft, "event_id")
+
+
 @query("SELECT event_id, round(greatest(value / 100 / 1.5 - 0.2, 1e-5), 6) AS w FROM events")
 def w5_decayed_step(spark, sf):
     e = P.table(spark, sf, "events").select("event_id", (F.col("value") / 100).alias("w"), F.lit(0.2).alias("grad"))
@@ -469,6 +530,14 @@ def w8_glc_matrix(spark, sf):
     return reweight.glc_matrix(P.logits(spark, sf)).select("label", F.posexplode("row").alias("j", "x")).withColumn("x", r6(F.col("x")))
 
 
+@query(f"""WITH {P.SQL_LOGITS}, c AS (SELECT label AS k, list(x ORDER BY j) AS row FROM (SELECT label, j, avg(logits[j]) AS x FROM z, (SELECT unnest(range(1, 11)) AS j) GROUP BY ALL) GROUP BY 1),
+y AS (SELECT z.sample_id, z.label, j, sum(z.logits[k + 1] * c.row[j]) AS x FROM z, c, (SELECT unnest(range(1, 11)) AS j) GROUP BY ALL), l AS (SELECT sample_id, label, list(x ORDER BY j) AS y FROM y GROUP BY 1, 2)
+SELECT sample_id, round(ln(list_sum(list_transform(y, lambda e: exp(e - list_max(y))))) + list_max(y) - y[label + 1], 5) AS loss FROM l""")
+def w8_glc_loss(spark, sf):
+    z = P.logits(spark, sf)
+    return reweight.glc_loss(z, reweight.glc_matrix(z)).withColumn("loss", F.round("loss", 5))
+
+
 # --- evaluation ----------------------------------------------------------------------------------------------
 
 _PRED = "CAST(list_position(logits, list_max(logits)) - 1 AS INTEGER)"
@@ -493,6 +562,19 @@ def m3_roc_auc(spark, sf):
     return metrics.roc_auc(z).withColumn("auc", r6(F.col("auc")))
 
 
+@query(f"""WITH {P.SQL_LOGITS}, s AS (SELECT label AS y, CAST(j AS INTEGER) AS label, round(logits[j + 1], 1) AS s FROM z, (SELECT unnest(range(0, 10)) AS j)),
+a AS (SELECT a.label, avg(CASE WHEN a.s > b.s THEN 1.0 WHEN a.s = b.s THEN 0.5 ELSE 0.0 END) AS auc FROM s a JOIN s b ON a.label = b.label WHERE a.y = a.label AND b.y <> b.label GROUP BY 1) SELECT round(avg(auc), 6) AS auc FROM a""")
+def m3_macro_auc(spark, sf):
+    z = P.logits(spark, sf).withColumn("scores", F.transform("logits", lambda x: F.round(x, 1)))
+    return metrics.macro_auc(z).withColumn("auc", r6(F.col("auc")))
+
+
+@query("WITH e AS (SELECT value / 100 AS p, CAST(user_id % 2 AS INTEGER) AS y FROM events), s AS (SELECT count(*) AS n, avg(-y * ln(least(greatest(p, 1e-12), 1 - 1e-12)) - (1 - y) * ln(1 - least(greatest(p, 1e-12), 1 - 1e-12))) AS loss, count(*) FILTER (CAST(p > 0.5 AS INTEGER) = y) AS correct FROM e) SELECT n, round(loss, 6) AS loss, correct, round(100 * correct / n, 6) AS accuracy FROM s")
+def m1_evaluate_binary(spark, sf):
+    e = P.table(spark, sf, "events").select((F.col("value") / 100).alias("output"), (F.col("user_id") % 2).cast("int").alias("label"))
+    return metrics.evaluate_binary(e).withColumn("loss", r6(F.col("loss"))).withColumn("accuracy", r6(F.col("accuracy")))
+
+
 @query(f"WITH {P.SQL_LOGITS}, s AS (SELECT 1 + len(list_filter(logits, lambda x: x > logits[label + 1])) AS place FROM z) SELECT CAST(k AS INTEGER) AS k, round(100 * count(*) FILTER (place <= k) / count(*), 6) AS accuracy FROM s, (SELECT unnest([1, 5]) AS k) GROUP BY k")
 def m4_topk_accuracy(spark, sf):
     return metrics.topk_accuracy(P.logits(spark, sf)).withColumn("accuracy", r6(F.col("accuracy")))
@@ -506,6 +588,15 @@ def m6_knn_vote(spark, sf):
     return metrics.knn_vote(ids_of(v, 10), v.filter("sample_id % 10 <> 0"), 20, 0.5)
 
 
+@query(f"""WITH {P.SQL_VECTORS}, s AS (SELECT v.sample_id, v.label AS own, c.sample_id AS near_id, c.label, -round({_DIST['neg_cos']}, 9) AS sim FROM v, v c WHERE v.sample_id % 10 = 0 AND c.sample_id % 10 <> 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY sample_id ORDER BY sim DESC, near_id) AS r FROM s), t AS (SELECT sample_id, own, label, round(sum(exp(sim / 0.5)), 6) AS votes FROM r WHERE r <= 20 GROUP BY 1, 2, 3),
+b AS (SELECT *, row_number() OVER (PARTITION BY sample_id ORDER BY votes DESC, label) AS r FROM t), h AS (SELECT sample_id, coalesce(min(r) FILTER (own = label), 99) AS place FROM b GROUP BY 1)
+SELECT CAST(k AS INTEGER) AS k, round(100 * avg(CASE WHEN place <= k THEN 1.0 ELSE 0.0 END), 6) AS accuracy FROM h, (SELECT unnest([1, 5]) AS k) GROUP BY 1""")
+def m6_knn_accuracy(spark, sf):
+    v = P.vectors(spark, sf)
+    return metrics.knn_accuracy(ids_of(v, 10), v.filter("sample_id % 10 <> 0"), 20, 0.5).withColumn("accuracy", r6(F.col("accuracy")))
+
+
 _HIST = "h AS (SELECT user_id % 20 AS run, CAST(dayofyear(ts) AS INTEGER) AS epoch, round(avg(value), 3) AS metric, round(max(value), 3) AS test_metric FROM events GROUP BY 1, 2)"
 
 
@@ -524,6 +615,16 @@ def m8_early_stop(spark, sf):
     return metrics.early_stop(_history(spark, sf))
 
 
+@query(f"WITH {_HIST} SELECT run, arg_min(epoch, (test_metric, epoch)) AS epoch, arg_min(test_metric, (test_metric, epoch)) AS test_metric FROM h GROUP BY 1")
+def m8_early_stop_least_loss(spark, sf):
+    return metrics.early_stop(_history(spark, sf).withColumn("loss", F.col("test_metric")), "first", rule="loss")
+
+
+@query("SELECT user_id % 20 AS split, count(DISTINCT event_type) AS labels FROM events GROUP BY 1")
+def m9_distinct_labels(spark, sf):
+    return metrics.distinct_labels(P.table(spark, sf, "events").select((F.col("user_id") % 20).alias("split"), F.col("event_type").alias("label")))
+
+
 @query(f"WITH {P.SQL_LABELLED} SELECT split, label, n, round(n / sum(n) OVER (PARTITION BY split), 6) AS share FROM (SELECT CASE WHEN sample_id % 5 = 0 THEN 'meta' ELSE 'train' END AS split, label, count(*) AS n FROM l GROUP BY 1, 2)")
 def m9_class_shares(spark, sf):
     l = P.labelled(spark, sf).withColumn("split", F.when(F.col("sample_id") % 5 == 0, "meta").otherwise("train"))
@@ -604,6 +705,29 @@ def d4_abs_cos_blocks(spark, sf):
     return distance.pairs(v.withColumn("vec", half), cluster.first_seeds(v, 10).withColumn("vec", half), "abs_cos_blocks").select("sample_id", "cluster_id", r6(F.col("dist")).alias("dist"))
 
 
+_HALVES = "list_inner_product(v.vec[1:32], c.vec[1:32])", "list_inner_product(v.vec[33:64], c.vec[33:64])"
+
+
+@query(f"WITH {P.SQL_VECTORS}, {_CENTERS} SELECT sample_id, cluster_id, round(1 - abs({_HALVES[0]}) / ({_NORM.format('v.vec')} * {_NORM.format('c.vec[1:32]')}), 6) AS prefix, round(1 - abs({_HALVES[0]} + {_HALVES[1]}) / {_NORM.format('v.vec')}, 6) AS by_norm, round(1 - abs({_HALVES[0]}) / ({_NORM.format('v.vec')} * {_NORM.format('c.vec')}), 6) AS first, round(1 - abs({_HALVES[1]}) / ({_NORM.format('v.vec')} * {_NORM.format('c.vec')}), 6) AS second FROM v, c")
+def d4_abs_cos_blocks_options(spark, sf):
+    half = F.array(F.slice("vec", 1, 32), F.slice("vec", 33, 32))
+    v = P.vectors(spark, sf)
+    b = cluster.first_seeds(v, 10).select("cluster_id", half.alias("b"))
+    rows, x, y = v.withColumn("vec", half).join(F.broadcast(b)), F.col("vec"), F.col("b")
+    each = vec.abs_cos_each_block(x, y)
+    return rows.select("sample_id", "cluster_id", r6(vec.abs_cos_blocks(x, y, 1)).alias("prefix"), r6(vec.abs_cos_blocks(x, y, by_norm=True)).alias("by_norm"), r6(each[0]).alias("first"), r6(each[1]).alias("second"))
+
+
+_FLATS = [f"list_sum(list_transform({t}.vec[{r}], lambda x: abs(x))) / {_NORM.format(f'{t}.vec[{r}]')}" for r in ("1:32", "33:64") for t in ("v", "c")]
+
+
+@query(f"WITH {P.SQL_VECTORS}, {_CENTERS} SELECT sample_id, cluster_id, round(round(1 - (({_FLATS[0]}) * ({_FLATS[1]}) + ({_FLATS[2]}) * ({_FLATS[3]})) / 2, 9), 6) AS dist FROM v, c")
+def d7_cross_blocks(spark, sf):
+    half = F.array(F.slice("vec", 1, 32), F.slice("vec", 33, 32))
+    v = P.vectors(spark, sf)
+    return distance.pairs(v.withColumn("vec", half), cluster.first_seeds(v, 10).withColumn("vec", half), "cross_blocks").select("sample_id", "cluster_id", r6(F.col("dist")).alias("dist"))
+
+
 # --- more clustering -----------------------------------------------------------------------------------------
 
 
@@ -639,9 +763,26 @@ def c8_kernel_step(spark, sf):
     return cluster.kernel_step(v, v.withColumn("cluster_id", F.col("label"))).select("sample_id", "cluster_id", r6(F.col("dist")).alias("dist"))
 
 
+@query(f"""WITH {P.SQL_VECTORS}, d AS (SELECT v.sample_id, b.label AS cluster_id, round(avg(list_sum(list_transform(list_zip(v.vec, b.vec), lambda z: (z[1] - z[2]) * (z[1] - z[2])))), 9) AS dist FROM v, v b GROUP BY 1, 2)
+SELECT sample_id, arg_min(cluster_id, (dist, cluster_id)) AS cluster_id, round(min(dist), 5) AS dist FROM d GROUP BY 1""")
+def c8_kernel_step_l2(spark, sf):
+    v = P.vectors(spark, sf)
+    return cluster.kernel_step(v, v.withColumn("cluster_id", F.col("label")), kind="l2").select("sample_id", "cluster_id", F.round("dist", 5).alias("dist"))
+
+
+@query(f"""WITH {P.SQL_VECTORS}, {_CENTERS}, {_pairs('abs_cos')}, {_NEAREST},
+m AS (SELECT cluster_id, i, sum(vec[i] * (1 + sample_id % 3)) / sum({_NORM.format('vec')} * (1 + sample_id % 3)) AS x FROM n JOIN v USING (sample_id), (SELECT unnest(range(1, 65)) AS i) GROUP BY ALL)
+SELECT cluster_id, CAST(i - 1 AS INTEGER) AS i, round(x, 6) AS x FROM (SELECT c.cluster_id, k.i, coalesce(m.x, c.vec[k.i]) AS x FROM c CROSS JOIN (SELECT unnest(range(1, 65)) AS i) k LEFT JOIN m ON m.cluster_id = c.cluster_id AND m.i = k.i)""")
+def c5_blocks_weighted_step(spark, sf):
+    """One step over two blocks with one assignment: the blocks' means together are the whole vector's."""
+    v, widths = cluster.flatten_blocks(P.vectors(spark, sf).withColumn("blocks", F.array(F.slice("vec", 1, 32), F.slice("vec", 33, 32))).withColumn("weight", 1.0 + F.col("sample_id") % 3))
+    out = cluster.kmeans(v, cluster.first_seeds(v, 10), weight="weight", by_norm=True, max_iter=1, widths=widths)
+    return out.select("cluster_id", F.posexplode("vec").alias("i", "x")).withColumn("x", r6(F.col("x")))
+
+
 @query()
 def c8_kernel_kmeans(spark, sf):
-    return cluster.kernel_kmeans(P.vectors(spark, sf), 10, max_iter=5).select("sample_id", "cluster_id", r6(F.col("dist")).alias("dist"))
+    return cluster.kernel_kmeans(P.vectors(spark, sf), 10).select("sample_id", "cluster_id", r6(F.col("dist")).alias("dist"))
 
 
 @query(f"""WITH {P.SQL_VECTORS}, {_CENTERS}, {_pairs('l2')}, {_NEAREST}, m AS (SELECT cluster_id, i, avg(vec[i]) AS x FROM n JOIN v USING (sample_id), (SELECT unnest(range(1, 65)) AS i) GROUP BY ALL)
@@ -653,7 +794,7 @@ def c9_kmeans_fixed(spark, sf):
 
 @query()
 def c10_spectral(spark, sf):
-    out = cluster.spectral(P.vectors(spark, sf), 8, 8, iterations=3)
+    out = cluster.spectral(P.vectors(spark, sf), 8, 8)
     return out.select("sample_id", "cluster_id", F.size("vec").alias("width"))
 
 
@@ -666,7 +807,7 @@ def c11_silhouette_by_means(spark, sf):
 
 @query()
 def c12_best_k(spark, sf):
-    return cluster.best_k(P.vectors(spark, sf), (5, 10), max_iter=2).withColumn("score", r6(F.col("score")))
+    return cluster.best_k(P.vectors(spark, sf)).withColumn("score", r6(F.col("score")))
 
 
 @query(f"""WITH {P.SQL_VECTORS}, a AS (SELECT a.sample_id, any_value(a.vec) AS vec, round(avg(round(abs(list_inner_product(a.vec, b.vec) / 64), 9)), 9) AS m FROM v a, v b GROUP BY 1), f AS (SELECT * FROM a ORDER BY m DESC, sample_id LIMIT 1),
@@ -713,7 +854,9 @@ def r6_block_probabilities(spark, sf):
     return represent.block_probabilities(_blocks(P.vectors(spark, sf))).withColumn("prob", r6(F.col("prob")))
 
 
-@query()
+@query(f"""WITH {P.SQL_VECTORS}, s AS (SELECT b, avg(list_inner_product(vec[8 * b + 1:8 * b + 8], vec[8 * b + 1:8 * b + 8]) / 8) AS s FROM v, (SELECT unnest(range(0, 8)) AS b) GROUP BY 1),
+c AS (SELECT b, s / sum(s) OVER () AS prob, sum(s) OVER (ORDER BY b) / sum(s) OVER () AS cum FROM s), d AS (SELECT draw, coalesce(min(b) FILTER ({P.sql_uniform(27, 'draw')} < cum), 7) AS b FROM c, (SELECT unnest(range(0, 5)) AS draw) GROUP BY 1)
+SELECT sample_id, CAST(5 AS INTEGER) AS blocks, round(vec[8 * b + 1] / sqrt(prob), 6) AS head FROM v, d JOIN c USING (b) WHERE draw = 0""")
 def r6_sample_blocks(spark, sf):
     out = represent.sample_blocks(_blocks(P.vectors(spark, sf)), 5, 27)
     return out.select("sample_id", F.size("blocks").alias("blocks"), r6(F.col("blocks")[0][0]).alias("head"))
@@ -748,24 +891,30 @@ def r9_grad_product(spark, sf):
 
 @query()
 def l6_boundary_and_rep(spark, sf):
-    return select.select_boundary_and_rep(P.logits(spark, sf), 20, 6, max_iter=2)
+    return select.select_boundary_and_rep(P.logits(spark, sf), 20, 6)
 
 
 @query()
 def l9_gradient_representatives(spark, sf):
-    return select.select_gbc(P.logits(spark, sf), 20, 10, K, 64, max_iter=2)
+    return select.select_gbc(P.logits(spark, sf), 20, 10, K, 64)
 
 
-@query(f"WITH {P.SQL_VECTORS}, {_COVER} SELECT sample_id, round(dist, 6) AS dist FROM (SELECT * FROM g WHERE sample_id % 3 = 0 ORDER BY dist DESC, sample_id LIMIT greatest(CASE WHEN (SELECT count(*) FROM v WHERE sample_id % 25 = 0) > 100 THEN 0 ELSE 110 - (SELECT count(*) FROM v WHERE sample_id % 25 = 0) END, 0))")
+@query(f"WITH {P.SQL_VECTORS}, {_COVER} SELECT sample_id, round(dist, 6) AS dist FROM (SELECT * FROM g WHERE sample_id % 25 <> 0 ORDER BY dist DESC, sample_id LIMIT greatest(CASE WHEN (SELECT count(*) FROM v WHERE sample_id % 25 = 0) > 100 THEN 0 ELSE 110 - (SELECT count(*) FROM v WHERE sample_id % 25 = 0) END, 0))")
 def l14_new_picks(spark, sf):
     v = P.vectors(spark, sf)
-    return select.new_picks(ids_of(v, 3), ids_of(v, 25), 100, 110).withColumn("dist", r6(F.col("dist")))
+    return select.new_picks(v.filter("sample_id % 25 <> 0"), ids_of(v, 25), 100, 110).withColumn("dist", r6(F.col("dist")))
 
 
 @query()
 def l15_outlier_picks(spark, sf):
     v = P.vectors(spark, sf)
-    return select.outlier_picks(v, ids_of(v, 100), 25, 0.6, max_iter=2).select("sample_id")
+    return select.outlier_picks(v, ids_of(v, 100), 25, 0.6).select("sample_id")
+
+
+@query()
+def l15_outlier_picks_repeated(spark, sf):
+    v = P.vectors(spark, sf)
+    return select.outlier_picks(v, ids_of(v, 100), 25, 0.6, repeat=True).select("sample_id")
 
 
 @query(f"WITH {P.SQL_VECTORS}, g AS (SELECT v.sample_id, min(round(list_distance(v.vec, c.vec), 9)) AS dist FROM v, v c WHERE c.sample_id % 25 = 0 GROUP BY 1) SELECT sample_id, round(dist, 6) AS dist FROM (SELECT * FROM g ORDER BY dist DESC, sample_id LIMIT 12)")
@@ -776,7 +925,7 @@ def l16_under_represented(spark, sf):
 
 @query()
 def l17_select_by_class(spark, sf):
-    return select.select_by_class(P.vectors(spark, sf), 20, max_iter=1)
+    return select.select_by_class(P.vectors(spark, sf), 20)
 
 
 _FL = """sq AS (SELECT a.label, a.sample_id AS i, b.sample_id AS c, list_sum(list_transform(list_zip(a.vec, b.vec), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS d2 FROM v a JOIN v b ON a.label = b.label),
@@ -796,7 +945,9 @@ def l22_facility_supervised(spark, sf):
     return facility.supervised(P.vectors(spark, sf), 7).withColumn("gain", F.round("gain", 4))
 
 
-@query()
+@query(f"""WITH {P.SQL_VECTORS.replace('v AS', 'e AS', 1)}, r AS (SELECT *, (row_number() OVER (ORDER BY {P.sql_ticket(26)}, sample_id) - 1) // 32 AS batch FROM e),
+v AS (SELECT CAST(0 AS INTEGER) AS label, batch AS sample_id, list(x ORDER BY i) AS vec FROM (SELECT batch, i, avg(vec[i]) AS x FROM r, (SELECT unnest(range(1, 65)) AS i) GROUP BY ALL) GROUP BY 2), {_FL}
+SELECT sample_id, batch FROM r WHERE batch IN (SELECT sample_id FROM picks)""")
 def l23_facility_per_batch(spark, sf):
     return facility.per_batch(P.vectors(spark, sf), 60, 32, 26).select("sample_id", "batch")
 
@@ -816,13 +967,13 @@ def l29_grow_meta(spark, sf):
 
 @query()
 def l30_radius_cover(spark, sf):
-    return select.radius_cover(P.vectors(spark, sf), 16, max_iter=2).select("sample_id")
+    return select.radius_cover(P.vectors(spark, sf), 16).select("sample_id")
 
 
 @query()
 def l31_incremental(spark, sf):
     v = P.vectors(spark, sf)
-    return select.select_incremental(v, v.filter("sample_id < 10"), 20, 18, max_iter=2)
+    return select.select_incremental(v, v.filter("sample_id < 10"), 20, 18)
 
 
 # --- training and more evaluation ----------------------------------------------------------------------------

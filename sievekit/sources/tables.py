@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
+from functools import cache
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -23,6 +26,18 @@ def read_manifest(labels: DataFrame, objects: DataFrame, key: str) -> DataFrame:
     return labels.join(objects.select(key), key, "left_semi")
 
 
+def list_objects(spark: SparkSession, glob: str, key: str = "file_name") -> DataFrame:
+    """(key, path, length) of the files that match; their content isn't read."""
+    found = spark.read.format("binaryFile").load(glob).select("path", "length")
+    return found.select(F.element_at(F.split("path", "/"), -1).alias(key), "path", "length")
+
+
+def read_csv_manifest(spark: SparkSession, path: str, objects: str, key: str = "file_name", label: str = "label") -> DataFrame:
+    """(key, label, path) of the rows of a CSV manifest with a header whose file is among the objects (a glob)."""
+    rows = spark.read.csv(path, header=True).select(F.col(key), F.col(label).cast("int").alias("label"))
+    return rows.join(list_objects(spark, objects, key).select(key, "path"), key)
+
+
 def overlay_labels(df: DataFrame, other: DataFrame) -> DataFrame:
     """Labels of other (sample_id, label) where it has one, else df's own."""
     new = other.select("sample_id", F.col("label").alias("_new"))
@@ -54,6 +69,11 @@ def save_weights(df: DataFrame, path: str, epoch: int) -> None:
     df.select("sample_id", "w").write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
 
 
+def promote_weights(spark: SparkSession, path: str, best: int, to: str) -> None:
+    """Write the weights of the best epoch to a place of their own, to start from."""
+    load_weights(spark, path, best).select("sample_id", "w").write.mode("overwrite").parquet(to)
+
+
 def load_weights(spark: SparkSession, path: str, epoch: int | None = None) -> DataFrame:
     """One epoch's weights, the latest where epoch is None; only its partition is read."""
     every = spark.read.parquet(path)
@@ -73,10 +93,18 @@ def read_run_logs(spark: SparkSession, glob: str) -> DataFrame:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df written to the checkpoint folder, so that its plan ends there; the folder is a temporary one where none is set (one machine)."""
-    spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="sievekit-"))
-    elif spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir"))
+    """df written to the checkpoint folder, so that its plan ends there. On a local master the folder may be unset: then it is a temporary one of this process."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not shared and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        context.setCheckpointDir(shared or _local_folder())
     return df.checkpoint()
+
+
+@cache
+def _local_folder() -> str:
+    path = tempfile.mkdtemp(prefix="sievekit-")
+    atexit.register(shutil.rmtree, path, ignore_errors=True)
+    return path
