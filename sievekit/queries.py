@@ -198,10 +198,10 @@ def _pairs(metric: str) -> str:
 def _distance(name: str, metric: str):
     def run(spark, sf):
         v = P.vectors(spark, sf)
-        return distance.pairs(v, cluster.first_seeds(v, 10), metric).select("sample_id", "cluster_id", r6(F.col("dist")).alias("dist"))
+        return distance.pairs(v, cluster.first_seeds(v, 10), metric).select("sample_id", "cluster_id", "dist")
 
     run.__name__ = name
-    query(f"WITH {P.SQL_VECTORS}, {_CENTERS}, {_pairs(metric)} SELECT sample_id, cluster_id, round(dist, 6) AS dist FROM d")(run)
+    query(f"WITH {P.SQL_VECTORS}, {_CENTERS}, {_pairs(metric)} SELECT sample_id, cluster_id, dist FROM d")(run)
 
 
 for _name, _metric in (("d1_l2", "l2"), ("d3_abs_cos", "abs_cos"), ("d3_abs_cos_by_norm", "abs_cos_by_norm"), ("d5_neg_cos", "neg_cos"), ("d6_abs_dot", "abs_dot"), ("d7_cross", "cross")):
@@ -209,56 +209,56 @@ for _name, _metric in (("d1_l2", "l2"), ("d3_abs_cos", "abs_cos"), ("d3_abs_cos_
 
 
 @query(f"""WITH {P.SQL_VECTORS} SELECT v.sample_id, c.sample_id AS chosen_id, round((SELECT avg(x) FROM (SELECT unnest([
-list_sum(list_transform(list_zip(v.vec[1:32], c.vec[1:32]), lambda z: (z[1] - z[2]) * (z[1] - z[2]))), list_sum(list_transform(list_zip(v.vec[33:64], c.vec[33:64]), lambda z: (z[1] - z[2]) * (z[1] - z[2])))]) AS x)), 6) AS dist
+list_sum(list_transform(list_zip(v.vec[1:32], c.vec[1:32]), lambda z: (z[1] - z[2]) * (z[1] - z[2]))), list_sum(list_transform(list_zip(v.vec[33:64], c.vec[33:64]), lambda z: (z[1] - z[2]) * (z[1] - z[2])))]) AS x)), 9) AS dist
 FROM v, v c WHERE c.sample_id < 5""")
 def d2_l2_blocks(spark, sf):
     v = P.vectors(spark, sf).withColumn("vec", F.array(F.slice("vec", 1, 32), F.slice("vec", 33, 32)))
     chosen = v.filter("sample_id < 5").select(F.col("sample_id").alias("chosen_id"), "vec")
-    return distance.pairs(v, chosen, "l2_blocks", "chosen_id").select("sample_id", "chosen_id", r6(F.col("dist")).alias("dist"))
+    return distance.pairs(v, chosen, "l2_blocks", "chosen_id").select("sample_id", "chosen_id", "dist")
 
 
 _NEAREST = "n AS (SELECT sample_id, label, arg_min(cluster_id, (dist, cluster_id)) AS cluster_id, min(dist) AS dist FROM d GROUP BY 1, 2)"
 
 
-@query(f"WITH {P.SQL_VECTORS}, {_CENTERS}, {_pairs('abs_cos')}, {_NEAREST} SELECT sample_id, cluster_id, round(dist, 6) AS dist FROM n")
+@query(f"WITH {P.SQL_VECTORS}, {_CENTERS}, {_pairs('abs_cos')}, {_NEAREST} SELECT sample_id, cluster_id, dist FROM n")
 def d12_assign(spark, sf):
     v = P.vectors(spark, sf)
-    return distance.assign(v, cluster.first_seeds(v, 10)).select("sample_id", "cluster_id", r6(F.col("dist")).alias("dist"))
+    return distance.assign(v, cluster.first_seeds(v, 10)).select("sample_id", "cluster_id", "dist")
 
 
 _COVER = f"c AS (SELECT sample_id AS cluster_id, vec FROM v WHERE sample_id % 25 = 0), {_pairs('abs_cos')}, g AS (SELECT sample_id, min(dist) AS dist FROM d GROUP BY 1)"
 
 
-@query(f"WITH {P.SQL_VECTORS}, {_COVER} SELECT sample_id, round(dist, 6) AS dist FROM g")
+@query(f"WITH {P.SQL_VECTORS}, {_COVER} SELECT sample_id, dist FROM g")
 def d13_coverage(spark, sf):
     v = P.vectors(spark, sf)
-    return distance.coverage(v, ids_of(v, 25)).select("sample_id", r6(F.col("dist")).alias("dist"))
+    return distance.coverage(v, ids_of(v, 25)).select("sample_id", "dist")
 
 
 @query(f"""WITH {P.SQL_VECTORS}, {_CENTERS}, {_pairs('abs_cos')}, r AS (SELECT *, row_number() OVER w AS r, lead(dist) OVER w AS nxt FROM d WINDOW w AS (PARTITION BY sample_id ORDER BY dist, cluster_id))
-SELECT cluster_id, round(max(dist), 6) AS max_own, round(min(nxt), 6) AS min_second FROM r WHERE r = 1 GROUP BY 1""")
+SELECT cluster_id, max(dist) AS max_own, min(nxt) AS min_second FROM r WHERE r = 1 GROUP BY 1""")
 def d15_cluster_spread(spark, sf):
     v = P.vectors(spark, sf)
     s = distance.cluster_spread(distance.pairs(v, cluster.first_seeds(v, 10), "abs_cos"))
-    return s.select("cluster_id", r6(F.col("max_own")).alias("max_own"), r6(F.col("min_second")).alias("min_second"))
+    return s.select("cluster_id", "max_own", "min_second")
 
 
 @query(f"""WITH {P.SQL_VECTORS}, d AS (SELECT a.label, a.sample_id AS id_a, b.sample_id AS id_b, round(list_sum(list_transform(list_zip(a.vec, b.vec), lambda z: (z[1] - z[2]) * (z[1] - z[2]))), 9) AS d2
-FROM v a JOIN v b ON a.label = b.label AND a.sample_id < b.sample_id) SELECT label, id_a, id_b, round(max(d2) OVER (PARTITION BY label) - d2, 6) AS sim FROM d""")
+FROM v a JOIN v b ON a.label = b.label AND a.sample_id < b.sample_id) SELECT label, id_a, id_b, round(max(d2) OVER (PARTITION BY label) - d2, 9) AS sim FROM d""")
 def d10_class_similarity(spark, sf):
-    return distance.class_similarity(P.vectors(spark, sf)).withColumn("sim", r6(F.col("sim")))
+    return distance.class_similarity(P.vectors(spark, sf)).withColumn("sim", F.round("sim", 9))
 
 
-@query(f"WITH {P.SQL_LINES}, {_CENTERS}, {_pairs('l2')}, {_NEAREST} SELECT sample_id, cluster_id, round(dist, 6) AS dist FROM n")
+@query(f"WITH {P.SQL_LINES}, {_CENTERS}, {_pairs('l2')}, {_NEAREST} SELECT sample_id, cluster_id, dist FROM n")
 def d12_assign_lines(spark, sf):
     v = P.lines(spark, sf)
-    return distance.assign(v, cluster.first_seeds(v, 10), "l2").select("sample_id", "cluster_id", r6(F.col("dist")).alias("dist"))
+    return distance.assign(v, cluster.first_seeds(v, 10), "l2").select("sample_id", "cluster_id", "dist")
 
 
-@query(f"WITH {P.SQL_LINES}, c AS (SELECT sample_id AS cluster_id, vec FROM v WHERE sample_id < 160), {_pairs('l2')}, g AS (SELECT sample_id, min(dist) AS dist FROM d GROUP BY 1), r AS (SELECT *, row_number() OVER (ORDER BY dist DESC, sample_id) AS r FROM g) SELECT sample_id, round(dist, 6) AS dist FROM r WHERE r <= floor((SELECT count(*) FROM v) / 4)")
+@query(f"WITH {P.SQL_LINES}, c AS (SELECT sample_id AS cluster_id, vec FROM v WHERE sample_id < 160), {_pairs('l2')}, g AS (SELECT sample_id, min(dist) AS dist FROM d GROUP BY 1), r AS (SELECT *, row_number() OVER (ORDER BY dist DESC, sample_id) AS r FROM g) SELECT sample_id, dist FROM r WHERE r <= floor((SELECT count(*) FROM v) / 4)")
 def l11_farthest_lines(spark, sf):
     v = P.lines(spark, sf)
-    return select.farthest_fraction(v, v.filter("sample_id < 160"), metric="l2").withColumn("dist", r6(F.col("dist")))
+    return select.farthest_fraction(v, v.filter("sample_id < 160"), metric="l2")
 
 
 @query(f"""WITH {P.SQL_LINES}, {_CENTERS}, {_pairs('l2')}, {_NEAREST},
@@ -372,16 +372,16 @@ def l5_margin_by_class(spark, sf):
 _RANK = "k AS (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY dist, sample_id) AS r FROM {})"
 
 
-@query(f"WITH {P.SQL_VECTORS}, {_CENTERS}, {_pairs('abs_cos')}, {_RANK.format('d')} SELECT cluster_id, sample_id, round(dist, 6) AS dist FROM k WHERE r <= 5")
+@query(f"WITH {P.SQL_VECTORS}, {_CENTERS}, {_pairs('abs_cos')}, {_RANK.format('d')} SELECT cluster_id, sample_id, dist FROM k WHERE r <= 5")
 def l7_nearest_to_centers(spark, sf):
     v = P.vectors(spark, sf)
-    return select.nearest_to_centers(v, cluster.first_seeds(v, 10), 50, 10).withColumn("dist", r6(F.col("dist")))
+    return select.nearest_to_centers(v, cluster.first_seeds(v, 10), 50, 10)
 
 
-@query(f"WITH {P.SQL_VECTORS}, {_CENTERS}, {_pairs('abs_cos')}, {_NEAREST}, {_RANK.format('n')} SELECT cluster_id, sample_id, round(dist, 6) AS dist FROM k WHERE r <= 5")
+@query(f"WITH {P.SQL_VECTORS}, {_CENTERS}, {_pairs('abs_cos')}, {_NEAREST}, {_RANK.format('n')} SELECT cluster_id, sample_id, dist FROM k WHERE r <= 5")
 def l7_nearest_members(spark, sf):
     v = P.vectors(spark, sf)
-    return select.nearest_to_centers(v, cluster.first_seeds(v, 10), 50, 10, members_only=True).withColumn("dist", r6(F.col("dist")))
+    return select.nearest_to_centers(v, cluster.first_seeds(v, 10), 50, 10, members_only=True)
 
 
 @query()
@@ -389,30 +389,30 @@ def l8_representatives(spark, sf):
     return select.select_representatives(P.vectors(spark, sf), 20, 10, 40)
 
 
-@query(f"WITH {P.SQL_VECTORS}, {_COVER}, r AS (SELECT *, row_number() OVER (ORDER BY dist DESC, sample_id) AS r FROM g) SELECT sample_id, round(dist, 6) AS dist FROM r WHERE r <= floor((SELECT count(*) FROM v) / 4)")
+@query(f"WITH {P.SQL_VECTORS}, {_COVER}, r AS (SELECT *, row_number() OVER (ORDER BY dist DESC, sample_id) AS r FROM g) SELECT sample_id, dist FROM r WHERE r <= floor((SELECT count(*) FROM v) / 4)")
 def l11_farthest_fraction(spark, sf):
     v = P.vectors(spark, sf)
-    return select.farthest_fraction(v, ids_of(v, 25)).withColumn("dist", r6(F.col("dist")))
+    return select.farthest_fraction(v, ids_of(v, 25))
 
 
-@query(f"WITH {P.SQL_VECTORS}, {_COVER} SELECT sample_id, round(dist, 6) AS dist FROM (SELECT * FROM g WHERE sample_id % 25 <> 0 ORDER BY dist DESC, sample_id LIMIT 15)")
+@query(f"WITH {P.SQL_VECTORS}, {_COVER} SELECT sample_id, dist FROM (SELECT * FROM g WHERE sample_id % 25 <> 0 ORDER BY dist DESC, sample_id LIMIT 15)")
 def l12_uncovered_top(spark, sf):
     v = P.vectors(spark, sf)
-    return select.uncovered_top(v.filter("sample_id % 25 <> 0"), ids_of(v, 25), 15).withColumn("dist", r6(F.col("dist")))
+    return select.uncovered_top(v.filter("sample_id % 25 <> 0"), ids_of(v, 25), 15)
 
 
-@query(f"WITH {P.SQL_VECTORS}, {_COVER} SELECT sample_id, round(dist, 6) AS dist FROM g WHERE dist > 0.6")
+@query(f"WITH {P.SQL_VECTORS}, {_COVER} SELECT sample_id, dist FROM g WHERE dist > 0.6")
 def l13_uncovered_radius(spark, sf):
     v = P.vectors(spark, sf)
-    return select.uncovered_radius(v, ids_of(v, 25), 0.6).withColumn("dist", r6(F.col("dist")))
+    return select.uncovered_radius(v, ids_of(v, 25), 0.6)
 
 
 @query(f"""WITH {P.SQL_VECTORS}, {_CENTERS}, {_pairs('abs_cos')}, {_NEAREST}, e AS (SELECT v.sample_id, min(round({_DIST['abs_cos']}, 9)) AS cover FROM v, v c WHERE c.sample_id % 25 = 0 GROUP BY 1),
 k AS (SELECT n.cluster_id, n.sample_id, cover, row_number() OVER (PARTITION BY n.cluster_id ORDER BY cover DESC, n.sample_id) AS r FROM n JOIN e USING (sample_id))
-SELECT cluster_id, sample_id, round(cover, 6) AS cover FROM (SELECT * FROM k WHERE r = 1 ORDER BY cover DESC, sample_id LIMIT 6)""")
+SELECT cluster_id, sample_id, cover FROM (SELECT * FROM k WHERE r = 1 ORDER BY cover DESC, sample_id LIMIT 6)""")
 def l18_one_per_cluster(spark, sf):
     v = P.vectors(spark, sf)
-    return select.farthest_one_per_cluster(v, cluster.first_seeds(v, 10), ids_of(v, 25), 6).withColumn("cover", r6(F.col("cover")))
+    return select.farthest_one_per_cluster(v, cluster.first_seeds(v, 10), ids_of(v, 25), 6)
 
 
 @query("WITH d AS (SELECT user_id AS sample_id, abs(round(sum(value - 50), 6)) AS score FROM events GROUP BY 1) SELECT sample_id, score FROM d ORDER BY score DESC, sample_id LIMIT 25")
@@ -631,10 +631,10 @@ def m9_class_shares(spark, sf):
     return metrics.class_shares(l).withColumn("share", r6(F.col("share")))
 
 
-@query("SELECT user_id AS run, event_id AS step, round(sum(value * (1 + event_id % 3)) OVER w / sum(1 + event_id % 3) OVER w, 6) AS average FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)")
+@query("SELECT user_id AS run, event_id AS step, round(sum(value * (1 + event_id % 3)) OVER w / sum(1 + event_id % 3) OVER w, 9) AS average FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)")
 def m13_running_average(spark, sf):
     e = P.table(spark, sf, "events").select(F.col("user_id").alias("run"), F.col("event_id").alias("step"), "value", (1 + F.col("event_id") % 3).alias("n"))
-    return metrics.running_average(e).select("run", "step", r6(F.col("average")).alias("average"))
+    return metrics.running_average(e).select("run", "step", F.round("average", 9).alias("average"))
 
 
 # --- all pairs and kernels -----------------------------------------------------------------------------------
@@ -651,19 +651,19 @@ def p12_bootstrap(spark, sf):
     return splits.bootstrap(P.vectors(spark, sf), 300, 21).select("draw", "sample_id", "label")
 
 
-@query(f"WITH {P.SQL_VECTORS} SELECT a.sample_id AS id_a, b.sample_id AS id_b, round(round(list_inner_product(a.vec, b.vec) / 64, 9), 6) AS sim FROM v a, v b")
+@query(f"WITH {P.SQL_VECTORS} SELECT a.sample_id AS id_a, b.sample_id AS id_b, round(list_inner_product(a.vec, b.vec) / 64, 9) AS sim FROM v a, v b")
 def d8_gram(spark, sf):
-    return distance.gram(P.vectors(spark, sf)).withColumn("sim", r6(F.col("sim")))
+    return distance.gram(P.vectors(spark, sf))
 
 
-@query(f"WITH {P.SQL_VECTORS} SELECT a.sample_id AS id_a, b.sample_id AS id_b, round(round(list_distance(a.vec, b.vec), 9), 6) AS dist FROM v a, v b WHERE a.sample_id < b.sample_id")
+@query(f"WITH {P.SQL_VECTORS} SELECT a.sample_id AS id_a, b.sample_id AS id_b, round(list_distance(a.vec, b.vec), 9) AS dist FROM v a, v b WHERE a.sample_id < b.sample_id")
 def d8_all_pairs_l2(spark, sf):
-    return distance.all_pairs_l2(P.vectors(spark, sf)).withColumn("dist", r6(F.col("dist")))
+    return distance.all_pairs_l2(P.vectors(spark, sf))
 
 
-@query(f"WITH {P.SQL_VECTORS}, u AS (SELECT sample_id, vec, {_NORM.format('vec')} AS n FROM v) SELECT a.sample_id AS id_a, b.sample_id AS id_b, round((1 - round(1 - abs(list_inner_product(a.vec, b.vec)) / (a.n * b.n), 9)) / 0.5, 6) AS sim FROM u a, u b WHERE a.sample_id < b.sample_id")
+@query(f"WITH {P.SQL_VECTORS}, u AS (SELECT sample_id, vec, {_NORM.format('vec')} AS n FROM v) SELECT a.sample_id AS id_a, b.sample_id AS id_b, round((1 - round(1 - abs(list_inner_product(a.vec, b.vec)) / (a.n * b.n), 9)) / 0.5, 9) AS sim FROM u a, u b WHERE a.sample_id < b.sample_id")
 def d9_affinity(spark, sf):
-    return distance.affinity(P.vectors(spark, sf), 0.5).withColumn("sim", r6(F.col("sim")))
+    return distance.affinity(P.vectors(spark, sf), 0.5).withColumn("sim", F.round("sim", 9))
 
 
 @query(f"WITH {P.SQL_VECTORS} SELECT a.sample_id AS id_a, b.sample_id AS id_b FROM v a JOIN v b ON a.label = b.label AND a.sample_id < b.sample_id")
@@ -671,11 +671,11 @@ def d11_label_kernel(spark, sf):
     return distance.label_kernel(P.vectors(spark, sf))
 
 
-@query(f"WITH {P.SQL_VECTORS} SELECT v.sample_id, b.label AS cluster_id, round(1 - abs(sum(list_inner_product(v.vec, b.vec) / 64 * (1 + b.sample_id % 3)) / sum(1 + b.sample_id % 3)), 6) AS dist FROM v, v b GROUP BY 1, 2")
+@query(f"WITH {P.SQL_VECTORS} SELECT v.sample_id, b.label AS cluster_id, round(1 - abs(sum(list_inner_product(v.vec, b.vec) / 64 * (1 + b.sample_id % 3)) / sum(1 + b.sample_id % 3)), 9) AS dist FROM v, v b GROUP BY 1, 2")
 def d14_member_dist(spark, sf):
     v = P.vectors(spark, sf)
     members = v.withColumn("cluster_id", F.col("label")).withColumn("weight", 1.0 + F.col("sample_id") % 3)
-    return distance.member_dist(v, members, "weight").withColumn("dist", r6(F.col("dist")))
+    return distance.member_dist(v, members, "weight")
 
 
 @query(f"WITH {P.SQL_VECTORS} SELECT round(min({_NORM.format('vec')}), 6) AS min_norm, round(max({_NORM.format('vec')}), 6) AS max_norm FROM v")
@@ -683,12 +683,12 @@ def d15_norm_range(spark, sf):
     return distance.norm_range(P.vectors(spark, sf)).select(r6(F.col("min_norm")).alias("min_norm"), r6(F.col("max_norm")).alias("max_norm"))
 
 
-@query(f"WITH {P.SQL_VECTORS}, {_CENTERS}, {_pairs('l2')}, n AS (SELECT cluster_id, {_NORM.format('vec')} AS n FROM c) SELECT sample_id, cluster_id, round(dist * (SELECT max(n) FROM n) / n, 6) AS dist FROM d JOIN n USING (cluster_id)")
+@query(f"WITH {P.SQL_VECTORS}, {_CENTERS}, {_pairs('l2')}, n AS (SELECT cluster_id, {_NORM.format('vec')} AS n FROM c) SELECT sample_id, cluster_id, round(dist * ((SELECT max(n) FROM n) / n), 9) AS dist FROM d JOIN n USING (cluster_id)")
 def d16_rescale(spark, sf):
     v = P.vectors(spark, sf)
     centers = cluster.first_seeds(v, 10)
     out = distance.rescale_by_center_norm(distance.pairs(v, centers, "l2"), centers)
-    return out.select("sample_id", "cluster_id", r6(F.col("dist")).alias("dist"))
+    return out.select("sample_id", "cluster_id", "dist")
 
 
 @query(f"""WITH {P.SQL_VECTORS}, t AS (SELECT max({_NORM.format('vec')}) AS top FROM v), s AS (SELECT sample_id, list_transform(vec, lambda x: x / (2 * top)) AS vec FROM v, t)
@@ -698,11 +698,11 @@ def d17_scale_and_extend(spark, sf):
     return distance.scale_and_extend(P.vectors(spark, sf)).select("sample_id", F.size(x).alias("width"), r6(x[0]).alias("head"), r6(x[64]).alias("first"), r6(x[72]).alias("last"))
 
 
-@query(f"WITH {P.SQL_VECTORS}, {_CENTERS}, {_pairs('abs_cos')} SELECT sample_id, cluster_id, round(dist, 6) AS dist FROM d")
+@query(f"WITH {P.SQL_VECTORS}, {_CENTERS}, {_pairs('abs_cos')} SELECT sample_id, cluster_id, dist FROM d")
 def d4_abs_cos_blocks(spark, sf):
     half = F.array(F.slice("vec", 1, 32), F.slice("vec", 33, 32))
     v = P.vectors(spark, sf)
-    return distance.pairs(v.withColumn("vec", half), cluster.first_seeds(v, 10).withColumn("vec", half), "abs_cos_blocks").select("sample_id", "cluster_id", r6(F.col("dist")).alias("dist"))
+    return distance.pairs(v.withColumn("vec", half), cluster.first_seeds(v, 10).withColumn("vec", half), "abs_cos_blocks").select("sample_id", "cluster_id", "dist")
 
 
 _HALVES = "list_inner_product(v.vec[1:32], c.vec[1:32])", "list_inner_product(v.vec[33:64], c.vec[33:64])"
@@ -721,11 +721,11 @@ def d4_abs_cos_blocks_options(spark, sf):
 _FLATS = [f"list_sum(list_transform({t}.vec[{r}], lambda x: abs(x))) / {_NORM.format(f'{t}.vec[{r}]')}" for r in ("1:32", "33:64") for t in ("v", "c")]
 
 
-@query(f"WITH {P.SQL_VECTORS}, {_CENTERS} SELECT sample_id, cluster_id, round(round(1 - (({_FLATS[0]}) * ({_FLATS[1]}) + ({_FLATS[2]}) * ({_FLATS[3]})) / 2, 9), 6) AS dist FROM v, c")
+@query(f"WITH {P.SQL_VECTORS}, {_CENTERS} SELECT sample_id, cluster_id, round(1 - (({_FLATS[0]}) * ({_FLATS[1]}) + ({_FLATS[2]}) * ({_FLATS[3]})) / 2, 9) AS dist FROM v, c")
 def d7_cross_blocks(spark, sf):
     half = F.array(F.slice("vec", 1, 32), F.slice("vec", 33, 32))
     v = P.vectors(spark, sf)
-    return distance.pairs(v.withColumn("vec", half), cluster.first_seeds(v, 10).withColumn("vec", half), "cross_blocks").select("sample_id", "cluster_id", r6(F.col("dist")).alias("dist"))
+    return distance.pairs(v.withColumn("vec", half), cluster.first_seeds(v, 10).withColumn("vec", half), "cross_blocks").select("sample_id", "cluster_id", "dist")
 
 
 # --- more clustering -----------------------------------------------------------------------------------------
@@ -757,10 +757,10 @@ def c6_frozen_step(spark, sf):
 
 
 @query(f"""WITH {P.SQL_VECTORS}, d AS (SELECT v.sample_id, b.label AS cluster_id, round(1 - abs(avg(list_inner_product(v.vec, b.vec) / 64)), 9) AS dist FROM v, v b GROUP BY 1, 2)
-SELECT sample_id, arg_min(cluster_id, (dist, cluster_id)) AS cluster_id, round(min(dist), 6) AS dist FROM d GROUP BY 1""")
+SELECT sample_id, arg_min(cluster_id, (dist, cluster_id)) AS cluster_id, min(dist) AS dist FROM d GROUP BY 1""")
 def c8_kernel_step(spark, sf):
     v = P.vectors(spark, sf)
-    return cluster.kernel_step(v, v.withColumn("cluster_id", F.col("label"))).select("sample_id", "cluster_id", r6(F.col("dist")).alias("dist"))
+    return cluster.kernel_step(v, v.withColumn("cluster_id", F.col("label"))).select("sample_id", "cluster_id", "dist")
 
 
 @query(f"""WITH {P.SQL_VECTORS}, d AS (SELECT v.sample_id, b.label AS cluster_id, round(avg(list_sum(list_transform(list_zip(v.vec, b.vec), lambda z: (z[1] - z[2]) * (z[1] - z[2])))), 9) AS dist FROM v, v b GROUP BY 1, 2)
@@ -782,7 +782,7 @@ def c5_blocks_weighted_step(spark, sf):
 
 @query()
 def c8_kernel_kmeans(spark, sf):
-    return cluster.kernel_kmeans(P.vectors(spark, sf), 10).select("sample_id", "cluster_id", r6(F.col("dist")).alias("dist"))
+    return cluster.kernel_kmeans(P.vectors(spark, sf), 10).select("sample_id", "cluster_id", "dist")
 
 
 @query(f"""WITH {P.SQL_VECTORS}, {_CENTERS}, {_pairs('l2')}, {_NEAREST}, m AS (SELECT cluster_id, i, avg(vec[i]) AS x FROM n JOIN v USING (sample_id), (SELECT unnest(range(1, 65)) AS i) GROUP BY ALL)
@@ -899,10 +899,10 @@ def l9_gradient_representatives(spark, sf):
     return select.select_gbc(P.logits(spark, sf), 20, 10, K, 64)
 
 
-@query(f"WITH {P.SQL_VECTORS}, {_COVER} SELECT sample_id, round(dist, 6) AS dist FROM (SELECT * FROM g WHERE sample_id % 25 <> 0 ORDER BY dist DESC, sample_id LIMIT greatest(CASE WHEN (SELECT count(*) FROM v WHERE sample_id % 25 = 0) > 100 THEN 0 ELSE 110 - (SELECT count(*) FROM v WHERE sample_id % 25 = 0) END, 0))")
+@query(f"WITH {P.SQL_VECTORS}, {_COVER} SELECT sample_id, dist FROM (SELECT * FROM g WHERE sample_id % 25 <> 0 ORDER BY dist DESC, sample_id LIMIT greatest(CASE WHEN (SELECT count(*) FROM v WHERE sample_id % 25 = 0) > 100 THEN 0 ELSE 110 - (SELECT count(*) FROM v WHERE sample_id % 25 = 0) END, 0))")
 def l14_new_picks(spark, sf):
     v = P.vectors(spark, sf)
-    return select.new_picks(v.filter("sample_id % 25 <> 0"), ids_of(v, 25), 100, 110).withColumn("dist", r6(F.col("dist")))
+    return select.new_picks(v.filter("sample_id % 25 <> 0"), ids_of(v, 25), 100, 110)
 
 
 @query()
@@ -917,10 +917,10 @@ def l15_outlier_picks_repeated(spark, sf):
     return select.outlier_picks(v, ids_of(v, 100), 25, 0.6, repeat=True).select("sample_id")
 
 
-@query(f"WITH {P.SQL_VECTORS}, g AS (SELECT v.sample_id, min(round(list_distance(v.vec, c.vec), 9)) AS dist FROM v, v c WHERE c.sample_id % 25 = 0 GROUP BY 1) SELECT sample_id, round(dist, 6) AS dist FROM (SELECT * FROM g ORDER BY dist DESC, sample_id LIMIT 12)")
+@query(f"WITH {P.SQL_VECTORS}, g AS (SELECT v.sample_id, min(round(list_distance(v.vec, c.vec), 9)) AS dist FROM v, v c WHERE c.sample_id % 25 = 0 GROUP BY 1) SELECT sample_id, dist FROM (SELECT * FROM g ORDER BY dist DESC, sample_id LIMIT 12)")
 def l16_under_represented(spark, sf):
     v = P.vectors(spark, sf)
-    return select.under_represented(v, ids_of(v, 25), 12).withColumn("dist", r6(F.col("dist")))
+    return select.under_represented(v, ids_of(v, 25), 12)
 
 
 @query()
