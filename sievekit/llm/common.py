@@ -69,14 +69,15 @@ def small_batches(spark: SparkSession, rows: int = 1000):
     return settings(spark, spark__sql__execution__arrow__maxRecordsPerBatch=str(min(now, rows) if now > 0 else rows))
 
 
-def materialize(df: DataFrame, label: str, batch: int = 1000) -> DataFrame:
+def materialize(df: DataFrame, label: str, batch: int = 1000, row_group: int = 128 << 20) -> DataFrame:
     """Write df as a table in the shared folder and read it back, so that a lost executor costs no recomputation.
 
-    batch: most rows of an Arrow batch meanwhile, fewer for rows that are large.
+    batch: most rows of an Arrow batch meanwhile, fewer for rows that are large. row_group: bytes that a task holds
+    before it writes them.
     """
     path = scratch_path(df.sparkSession, label)
     with small_batches(df.sparkSession, batch):
-        df.write.parquet(path)
+        df.write.option("parquet.block.size", str(row_group)).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
