@@ -15,7 +15,8 @@ from sievekit.sources.tables import cut
 
 
 def _farthest(distances: DataFrame, n: int) -> DataFrame:
-    return ranks.first(distances, [F.desc("dist"), F.asc("sample_id")], n)
+    """The n largest distances. Many are sorted in ranges, which reads them twice, so they are written before."""
+    return ranks.first(distances if n <= ranks.FEW else cut(distances), [F.desc("dist"), F.asc("sample_id")], n)
 
 
 def _top(df: DataFrame, score, n: int, ascending: bool = False) -> DataFrame:
