@@ -78,9 +78,46 @@ def materialize(df: DataFrame, label: str, batch: int = 1000, row_group: int = 1
     path = scratch_path(df.sparkSession, label)
     with small_batches(df.sparkSession, batch):
         df.write.option("parquet.block.size", str(row_group)).parquet(path)
+    for open_ in _OPEN:
+        open_.paths.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def drop(spark: SparkSession, *written: DataFrame | str) -> None:
+    """Delete written tables that nothing reads any more (frames that materialize returned, or their paths)."""
+    for one in written:
+        name = one if isinstance(one, str) else one.inputFiles()[0].rpartition("/")[0] if one.inputFiles() else None
+        if name:
+            path = spark._jvm.org.apache.hadoop.fs.Path(name)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+_OPEN: list[scratch] = []
+
+
+class scratch:
+    """Deletes the tables that materialize wrote inside a with block when it ends, but for those given to keep.
+
+    What the block returns must be written, or come from kept tables alone.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths, self.kept = spark, [], set()
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        """df, the last table that was written, which stays."""
+        self.kept.add(self.paths[-1])
+        return df
+
+    def __enter__(self) -> scratch:
+        _OPEN.append(self)
+        return self
+
+    def __exit__(self, *_) -> None:
+        _OPEN.remove(self)
+        drop(self.spark, *(p for p in self.paths if p not in self.kept))
+
+
 def join_per_key(df: DataFrame, key: Column, per_key: DataFrame, of: str, spread: list[Column], how: str = "left", few_rows: int = FEW_ROWS) -> DataFrame:
     """df joined with per_key, a written table with one row for each value of its column ``of``; null keys match.
 

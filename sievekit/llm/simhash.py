@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sievekit.llm.common import map_rows, materialize
+from sievekit.llm.common import drop, map_rows, materialize
 
 
 @dataclass(frozen=True)
@@ -206,7 +206,8 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.join(low, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.col("b").alias("x"), "m").unionByName(low.select(F.col("a").alias("x"), "m"))
-        now = materialize(small.filter("x <> m").select(F.col("x").alias("a"), F.col("m").alias("b")).distinct(), "links")
+        before, now = now, materialize(small.filter("x <> m").select(F.col("x").alias("a"), F.col("m").alias("b")).distinct(), "links")
+        drop(edges.sparkSession, before)
         state = tuple(now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         if state == seen:
             return now.select(F.col("a").alias("fp"), F.col("b").alias("root"))
