@@ -3,7 +3,7 @@
 A word's parts are held as a short array of ids with a second array of the ranks of neighbours. The smallest
 rank is found by a scan, its boundary is deleted, and the ranks of the two new neighbours are looked up, until
 no pair has a rank. Words above SHORT parts use the same merges through a heap, which gives the same ids
-without the square of the length. Words seen before in a task come from a bounded table.
+without the square of the length. Words seen before in a worker come from a bounded table of two generations.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ from sievekit.llm.common import map_rows
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _L, _N, _S = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff", "0-9\xb2\xb3\xb9\xbc-\xbe", "\t-\r \x85\xa0"
 LATIN = f"'(?:[stmd]|re|ve|ll)| ?[{_L}]+| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+"
-SHORT, CACHE = 128, 100_000
+SHORT, CACHE = 128, 300_000
 NO_RANK = 1 << 60
 
 
@@ -59,6 +59,7 @@ class Tokenizer:
         self.split_special = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.split, self.latin = regex.compile(PATTERN).findall, re.compile(LATIN).findall
         self.cache: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def merge_short(self, ids: list[int]) -> list[int]:
         get = self.merges.get
@@ -98,12 +99,14 @@ class Tokenizer:
         return [x for x in ids if x >= 0]
 
     def encode_word(self, word: str) -> bytes:
-        ids = [self.byte_id[b] for b in word.encode("utf-8", "replace")]
-        ids = self.merge_short(ids) if len(ids) <= SHORT else self.merge_long(ids)
-        packed = np.array(ids, "<u4").tobytes()
+        packed = self.older.get(word)
+        if packed is None:
+            ids = [self.byte_id[b] for b in word.encode("utf-8", "replace")]
+            ids = self.merge_short(ids) if len(ids) <= SHORT else self.merge_long(ids)
+            packed = np.array(ids, "<u4").tobytes()
         if len(word) <= 64:
-            if len(self.cache) >= CACHE:
-                self.cache.clear()
+            if len(self.cache) >= CACHE:  # words in use come over from the older generation one by one
+                self.older, self.cache = self.cache, {}
             self.cache[word] = packed
         return packed
 
