@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievekit.llm import bpe, chat, licenses, lm, mixing, quality_classifier, quality_rules, sharding, simhash, topk
-from sievekit.llm.common import table
+from sievekit.llm import bpe, chat, licenses, lm, mixing, packing, quality_classifier, quality_rules, repair, sharding, simhash, spelling, topk
+from sievekit.llm.common import materialize, table
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
@@ -66,7 +66,21 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_license_scan, op3_bpe, op4_topk, op5_chat_format, op6_simhash, op7_quality_rules, op8_lm_score, op9_mixing, op10_sharding)}
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(spelling.word_counts(table(spark, sf_dir, "documents")))
+
+
+def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = packing.pieces(table(spark, sf_dir, "documents"), tokenizer_path(), keep=["doc_id"])
+    slim = made.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+    return packing.steps(materialize(slim, "pack-pieces")).select("row.doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "context", "step")
+
+
+def op13_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.repair_damaged(table(spark, sf_dir, "conversations"))
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_license_scan, op3_bpe, op4_topk, op5_chat_format, op6_simhash, op7_quality_rules, op8_lm_score, op9_mixing, op10_sharding, op11_spelling, op12_packing, op13_repair)}
 
 ORACLES: dict[str, str] = {}
 
