@@ -27,6 +27,9 @@ SLICE = 1000
 #: Rows and key bytes up to which a table with a row per key is broadcast, and the places a key has beyond that.
 FEW_ROWS, FEW_BYTES, SALTS = 200_000, 32 << 20, 64
 
+#: Rows up to which a table of a few numbers a row is broadcast.
+FEW_NUMBERS = 500_000
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -134,6 +137,11 @@ def join_per_key(df: DataFrame, key: Column, per_key: DataFrame, of: str, spread
     return salted.join(copies, same & (F.col("_salt") == F.col("_place")), how).drop("_salt", "_place")
 
 
+def join_counted(df: DataFrame, numbers: DataFrame, on, how: str = "inner", few: int = FEW_NUMBERS) -> DataFrame:
+    """df joined with a written table of a few numbers a row, which travels to every task where its counted rows are few, so that df stays where it is."""
+    return df.join(F.broadcast(numbers) if numbers.count() <= few else numbers, on, how)
+
+
 def id_modulus(doc_id: str | Column, mod: int) -> Column:
     """crc32 of the id as text, modulo mod; a null id counts as empty text."""
     col = F.col(doc_id) if isinstance(doc_id, str) else doc_id

@@ -17,7 +17,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sievekit.llm.common import join_per_key, materialize
+from sievekit.llm.common import join_counted, join_per_key, materialize
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -88,6 +88,9 @@ def _meet(acc: Column, x: Column) -> Column:
     return F.when(c["p"] < 0, fresh).otherwise(met)
 
 
+_UNIT = ("source", "key", "k", "mass")
+
+
 def _level(units: DataFrame, number: int, chunks: Column, params: Params) -> DataFrame:
     """source and n_units with ``cur`` (residual) and ``done`` (decided) of each chunk of units (source, n_units, key, k, mass, p)."""
     kind = "struct<key:bigint,k:bigint,mass:bigint,u:double,p:double>"
@@ -102,23 +105,23 @@ def _level(units: DataFrame, number: int, chunks: Column, params: Params) -> Dat
 
 
 def _tree(units: DataFrame, largest: int, label: str, params: Params) -> DataFrame:
-    """(source, key, k, extra) for each unit, from (source, key, k, mass, p, n_units).
+    """(source, key, k, mass, extra) for each unit, from (source, key, k, mass, p, n_units).
 
     largest: units of the largest source; it sets the number of levels, which grows with its logarithm.
     """
     decided, number = [], 0
     certain = (F.col("p") <= 0) | (F.col("p") >= 1)
-    decided.append(units.filter(certain).select("source", "key", "k", F.col("p").cast("int").alias("extra")))
+    decided.append(units.filter(certain).select(*_UNIT, F.col("p").cast("int").alias("extra")))
     now = units.filter(~certain)
     while True:
         chunks = F.greatest(F.ceil(F.col("n_units") / F.lit(float(params.fan ** (number + 1)))), F.lit(1)).cast("long")
         done = materialize(_level(now, number, chunks, params), f"mixing-{label}-{number}")
-        decided.append(done.select("source", F.explode("done").alias("d")).select("source", "d.key", "d.k", F.col("d.p").cast("int").alias("extra")))
+        decided.append(done.select("source", F.explode("done").alias("d")).select("source", "d.key", "d.k", "d.mass", F.col("d.p").cast("int").alias("extra")))
         number += 1
         now = done.filter("cur.p >= 0").select("source", "n_units", "cur.key", "cur.k", "cur.mass", "cur.p")
         if params.fan**number >= largest:
             u = _uniform(F.lit(params.seed), F.lit(-1), "key", "k")
-            decided.append(now.select("source", "key", "k", (u < F.col("p")).cast("int").alias("extra")))
+            decided.append(now.select(*_UNIT, (u < F.col("p")).cast("int").alias("extra")))
             break
     out = decided[0]
     for d in decided[1:]:
@@ -126,9 +129,17 @@ def _tree(units: DataFrame, largest: int, label: str, params: Params) -> DataFra
     return out
 
 
-def row_key(docs: DataFrame) -> Column:
-    """A hash of all of a row's columns: rows alike in it are alike in everything."""
-    return F.xxhash64(*(F.col(f"`{c}`") for c in docs.columns))
+def row_key(docs: DataFrame, seed: int = 0) -> Column:
+    """A hash of all of a row's columns and of which of them are null (hashes pass over nulls). Two with different seeds tell any rows apart that differ."""
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    return F.xxhash64(F.lit(seed), *columns, *(c.isNull() for c in columns))
+
+
+def _same_unit(a: DataFrame, b: DataFrame, how: str = "inner") -> DataFrame:
+    """a joined with b (_UNIT and more) where all of key, k, mass and source agree: a key alone may be that of two rows."""
+    other = b.select(*(F.col(c).alias(f"_{c}") for c in _UNIT), *(c for c in b.columns if c not in _UNIT))
+    same = [F.col(c) == F.col(f"_{c}") for c in ("key", "k", "mass")] + [F.col("source").eqNullSafe(F.col("_source"))]
+    return a.join(other, same, how).drop(*(f"_{c}" for c in _UNIT))
 
 
 def _each(rows: DataFrame, many: str, name: str, params: Params) -> DataFrame:
@@ -141,14 +152,14 @@ def _each(rows: DataFrame, many: str, name: str, params: Params) -> DataFrame:
 
 
 def plan(docs: DataFrame, params: Params = Params()) -> DataFrame:
-    """key, k, doc_id, source, mass (size in words), source_size, target and copies of each row.
+    """key, check, k, doc_id, source, mass (size in words), source_size, target and copies of each row.
 
     Rows alike in all columns share a key and are numbered by k, so that each is rounded on its own. Null ids are an
     id, null sources a source; texts without words take no part and get the certain copies. Reruns agree, however
     the rows are dealt: chance comes from hashes of the seed, the key and the number.
     """
-    slim = docs.select(row_key(docs).alias("key"), F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("mass"))
-    units = slim.groupBy("key", "doc_id", "source", "mass").agg(F.count(F.lit(1)).alias("n"))
+    slim = docs.select(row_key(docs).alias("key"), row_key(docs, 1).alias("check"), F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("mass"))
+    units = slim.groupBy("key", "check", "doc_id", "source", "mass").agg(F.count(F.lit(1)).alias("n"))
     units = materialize(_each(materialize(units, "mixing-rows"), "n", "k", params).drop("n"), "mixing-units")
     goals = targets(units, params)
     largest = goals.agg(F.max("n_units")).first()[0] or 1
@@ -161,16 +172,16 @@ def plan(docs: DataFrame, params: Params = Params()) -> DataFrame:
     tall = alive.filter(F.col("mass") > F.col("mean_mass"))
     first = materialize(_tree(tall.select("source", "key", "k", "mass", "p", "n_units"), largest, "tall", params), "mixing-tall")
     # what the tall ones took more or less than their due is the others' to make up
-    over = first.join(tall.select("key", "k", "mass", "p"), ["key", "k"]).groupBy("source").agg(F.sum((F.col("extra") - F.col("p")) * F.col("mass")).alias("over"))
+    over = _same_unit(first, tall.select(*_UNIT, "p")).groupBy("source").agg(F.sum((F.col("extra") - F.col("p")) * F.col("mass")).alias("over"))
     low = alive.filter(F.col("mass") <= F.col("mean_mass"))
     room = low.groupBy("source").agg(F.sum("mass").alias("room")).withColumnRenamed("source", "of")
     shift = room.join(over, F.col("of").eqNullSafe(F.col("source")), "left").select("of", (F.coalesce("over", F.lit(0.0)) / F.col("room")).alias("shift"))
     low = join_per_key(low, F.col("source"), materialize(shift, "mixing-shift"), "of", spread).drop("of")
     moved = F.when((F.col("p") > 0), F.least(F.greatest(F.col("p") - F.coalesce("shift", F.lit(0.0)), F.lit(0.0)), F.lit(1.0))).otherwise(F.col("p"))
     second = _tree(low.withColumn("p", moved).select("source", "key", "k", "mass", "p", "n_units"), largest, "low", params)
-    out = full.join(first.unionByName(second).select("key", "k", "extra"), ["key", "k"], "left")
+    out = _same_unit(full, first.unionByName(second), "left")
     copies = F.least(F.col("whole") + F.coalesce("extra", F.lit(0)), F.lit(params.cap))
-    return out.select("key", "k", "doc_id", "source", "mass", "source_size", "target", copies.cast("int").alias("copies"))
+    return out.select("key", "check", "k", "doc_id", "source", "mass", "source_size", "target", copies.cast("int").alias("copies"))
 
 
 def mix(docs: DataFrame, params: Params = Params()) -> DataFrame:
@@ -184,13 +195,13 @@ def mixed_documents(docs: DataFrame, params: Params = Params()) -> DataFrame:
 
     Rows alike in everything are brought together first and copied as often as all of them are taken.
     """
-    chosen = plan(docs, params).groupBy("key").agg(F.count(F.lit(1)).alias("alike"), F.sum("copies").alias("copies")).filter("copies > 0")
+    chosen = plan(docs, params).groupBy("key", "check").agg(F.count(F.lit(1)).alias("alike"), F.sum("copies").alias("copies")).filter("copies > 0")
     chosen = materialize(chosen, "mixing-chosen")
-    packed = docs.select(row_key(docs).alias("key"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
-    single = packed.join(chosen.filter("alike = 1").select("key", "copies"), "key").select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
-    repeated = materialize(chosen.filter("alike > 1").select(F.col("key").alias("of"), F.col("copies")), "mixing-repeated") if chosen.filter("alike > 1").limit(1).count() else None
+    packed = docs.select(row_key(docs).alias("key"), row_key(docs, 1).alias("check"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    single = join_counted(packed, chosen.filter("alike = 1").select("key", "check", "copies"), ["key", "check"]).select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
+    repeated = materialize(chosen.filter("alike > 1").select(F.col("key").alias("of"), F.col("check").alias("_check"), "copies"), "mixing-repeated") if chosen.filter("alike > 1").limit(1).count() else None
     if repeated is None:
         return single.select("row.*")
-    together = join_per_key(packed, F.col("key"), repeated, "of", [F.monotonically_increasing_id()], "inner").drop("of")
-    together = together.groupBy("key", "copies").agg(F.first("row").alias("row"))
+    together = join_per_key(packed, F.col("key"), repeated, "of", [F.monotonically_increasing_id()], "inner").filter("check = _check").drop("of", "_check")
+    together = together.groupBy("key", "check", "copies").agg(F.first("row").alias("row"))
     return single.select("row.*").unionByName(_each(together, "copies", "_k", params).select("row.*"))

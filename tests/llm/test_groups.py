@@ -87,3 +87,18 @@ def test_targets_with_many_sources(spark):
     order = sorted(found, key=lambda s: (s is None, s or ""))
     want = water([found[s][0] for s in order], [(5, 2, 1)[k % 3] for k in range(len(order))])
     assert all(abs(found[s][1] - float(w)) < 1e-6 * max(1, float(w)) for s, w in zip(order, want, strict=True))
+
+
+def test_rows_that_differ_in_which_column_is_null(spark):
+    """Hashes pass over nulls: rows that would share one stay apart, and each is in the mix as often as it is taken."""
+    from sievekit.llm import mixing
+
+    rows = [(5, "x", None), (5, None, "x"), (5, "x", "x"), (None, "x", "5")] * 2 + [(i, "a b c " * (i % 4), "x") for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    taken = Counter()
+    for r in mixing.plan(docs).collect():
+        taken[r.doc_id, r.source, r.mass] += r.copies
+    got = Counter((r.doc_id, r.source, len((r.text or "").split())) for r in mixing.mixed_documents(docs).collect())
+    assert got == +taken and got[5, None, 1] and set(mixing.mixed_documents(docs).select("text", "source").distinct().collect()) >= {("x", None)}
+    keys = docs.select(mixing.row_key(docs).alias("a"), mixing.row_key(docs, 1).alias("b")).distinct()
+    assert keys.count() == docs.distinct().count()
