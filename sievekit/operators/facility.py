@@ -2,8 +2,10 @@
 
 The similarity of two rows of a class is the class' largest squared distance less theirs; across classes it is
 0. Each pick adds most to the sum of every row's best similarity to a pick. A class of at most CHUNK rows is
-solved by one task; a larger one by a job for each pick, in which blocks of its rows meet blocks of its candidates
-and the gains are added up. Both are the plain greedy, so the size of a class changes no pick.
+solved by one task. A larger one is solved lazily: gains only fall as picks are made, so a gain that was measured once
+bounds the gain of now, and only candidates whose bound is at the top are measured again. The first bounds are exact gains
+and need sums over the class alone; the class' rows stay packed in blocks that are written once. Both ways are the
+plain greedy, so the size of a class changes no pick.
 """
 
 from __future__ import annotations
@@ -18,10 +20,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sievekit.functions import chance
+from sievekit.operators import blocks
 from sievekit.operators.represent import batch_mean
 from sievekit.sources.tables import cut
 
-CHUNK = 2000
+#: Largest class of one task; candidates whose bounds are on the driver at once, and those of them measured in a job; picks after which rows keep their best similarity.
+CHUNK, POOL, MEASURED, FOLD = 2000, 1024, 32, 16
 _PICKS = "label int, sample_id long, step int, gain double"
 
 
@@ -53,78 +57,233 @@ def _whole(df: DataFrame, goals: DataFrame) -> DataFrame:
     return df.join(F.broadcast(goals), "label").groupBy("label").applyInPandas(pick, _PICKS)
 
 
-def _pack(df: DataFrame, block: int) -> DataFrame:
-    """(label, block, ids, data): the rows of each class in matrices of about block rows, written."""
+# --- large classes -----------------------------------------------------------------------------------------------
 
-    def pack(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("sample_id")
-        data = np.stack(part["vec"].to_numpy())
-        return pd.DataFrame([[part["label"].iloc[0], part["block"].iloc[0], part["sample_id"].to_numpy(np.int64).tobytes(), data.astype(np.float64).tobytes()]], columns=["label", "block", "ids", "data"])
 
-    return cut(df.groupBy("label", "block").applyInPandas(pack, "label int, block long, ids binary, data binary"))
+def _squared(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    return np.maximum((x * x).sum(1)[:, None] + (y * y).sum(1) - 2 * (x @ y.T), 0)
 
 
-def _squared(row, a: str, b: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The squared distances between two blocks of a row of a join, and both blocks' ids."""
-    ids = [np.frombuffer(row[f"{x}ids"], np.int64) for x in (a, b)]
-    x, y = (np.frombuffer(row[f"{n}data"], np.float64).reshape(len(i), -1) for n, i in zip((a, b), ids, strict=True))
-    return np.maximum((x * x).sum(1)[:, None] + (y * y).sum(1) - 2 * (x @ y.T), 0), x, ids[1]
+def _sums(packed: DataFrame) -> dict[int, tuple[int, float, np.ndarray]]:
+    """By class: its rows, the sum of their squared norms and the sum of their vectors. Each task adds up its blocks first."""
 
+    def add(incoming):
+        sums: dict = {}
+        for batch in incoming:
+            for row in batch.to_pylist():
+                x = blocks.unpack(row, {})["vec"]
+                n, square, total = sums.get(row["label"], (0, 0.0, 0.0))
+                sums[row["label"]] = n + len(x), square + float((x * x).sum()), total + x.sum(0)
+        yield pa.RecordBatch.from_pylist([{"label": k, "x": [float(n), s, *t]} for k, (n, s, t) in sums.items()], schema=pa.schema([("label", pa.int32()), ("x", pa.list_(pa.float64()))]))
 
-def _in_blocks(df: DataFrame, goals: DataFrame, block: int) -> DataFrame:
-    """The picks of classes too large for a task, one job a pick."""
+    cells = packed.mapInArrow(add, "label int, x array<double>").select("label", F.posexplode("x").alias("i", "x")).groupBy("label", "i").agg(F.sum("x").alias("x"))
+    out: dict = {}
+    for r in cells.groupBy("label").agg(F.array_sort(F.collect_list(F.struct("i", "x"))).alias("c")).collect():  # a row per class
+        n, square, *total = (c["x"] for c in r["c"])
+        out[r["label"]] = int(n), square, np.array(total)
+    return out
+
+
+def _diameters(packed: DataFrame, sums: dict) -> dict[int, float]:
+    """The largest squared distance of two rows of each class.
+
+    Two rows are at most the sum of their distances to the mean apart. A first pass finds the row farthest from the
+    mean, a second the row farthest from that one; pairs of blocks whose two largest radii can't exceed this don't meet.
+    """
+    means = {y: t / n for y, (n, _, t) in sums.items()}
+    far = packed.sparkSession.sparkContext.broadcast(means)
+
+    def ends(incoming):
+        for batch in incoming:
+            for row in batch.to_pylist():
+                x = blocks.unpack(row, {})["vec"]
+                d = _squared(x, far.value[row["label"]][None, :])[:, 0]
+                at = int(d.argmax())
+                yield pa.RecordBatch.from_pylist([{"label": row["label"], "block": row["block"], "radius": float(np.sqrt(d[at])), "end": x[at].tolist()}], schema=pa.schema([("label", pa.int32()), ("block", pa.int64()), ("radius", pa.float64()), ("end", pa.list_(pa.float64()))]))
+
+    radii = cut(packed.mapInArrow(ends, "label int, block long, radius double, end array<double>"))
+    tips = {r["label"]: np.array(r["end"]) for r in radii.groupBy("label").agg(F.max_by("end", "radius").alias("end")).collect()}
+    tip = packed.sparkSession.sparkContext.broadcast(tips)
+
+    def reach(incoming):
+        for batch in incoming:
+            for row in batch.to_pylist():
+                yield pa.RecordBatch.from_pylist([{"label": row["label"], "d": float(_squared(blocks.unpack(row, {})["vec"], tip.value[row["label"]][None, :]).max())}], schema=pa.schema([("label", pa.int32()), ("d", pa.float64())]))
+
+    low = cut(packed.mapInArrow(reach, "label int, d double").groupBy("label").agg(F.max("d").alias("d")))  # a row per class
+    left = radii.select("label", F.col("block").alias("a"), F.col("radius").alias("ra")).join(radii.select("label", F.col("block").alias("b"), F.col("radius").alias("rb")), "label").filter("a <= b")
+    open_ = left.join(F.broadcast(low), "label").filter((F.col("ra") + F.col("rb")) * (F.col("ra") + F.col("rb")) > F.col("d")).select("label", "a", "b")
+    own = packed.select("label", F.col("block").alias("a"), F.col("n").alias("na"), F.col("vec").alias("va"))
+    other = packed.select("label", F.col("block").alias("b"), F.col("n").alias("nb"), F.col("vec").alias("vb"))
+    both = open_.join(own, ["label", "a"]).join(other, ["label", "b"]).select("label", "na", "va", "nb", "vb")
+
+    def widest(incoming):
+        best: dict[int, float] = {}
+        for batch in incoming:
+            for row in batch.to_pylist():
+                x, y = (np.frombuffer(row[f"v{c}"], np.float64).reshape(row[f"n{c}"], -1) for c in "ab")
+                best[row["label"]] = max(best.get(row["label"], 0.0), float(_squared(x, y).max()))
+        yield pa.RecordBatch.from_pylist([{"label": k, "d": d} for k, d in best.items()], schema=pa.schema([("label", pa.int32()), ("d", pa.float64())]))
+
+    met = cut(both.mapInArrow(widest, "label int, d double"), blocks.BATCH)
+    out = {r["label"]: r["d"] for r in low.unionByName(met).groupBy("label").agg(F.max("d").alias("d")).collect()}
+    far.destroy()
+    tip.destroy()
+    return out
+
+
+def _bounds(packed: DataFrame, sums: dict, tops: dict) -> DataFrame:
+    """(label, sample_id, bound), written: the gain of each row as a first pick, which is linear in what the class sums up to, as no similarity is below 0."""
+    shared = packed.sparkSession.sparkContext.broadcast({y: (*s, tops[y]) for y, s in sums.items()})
+
+    def gains(incoming):
+        for batch in incoming:
+            for row in batch.to_pylist():
+                own = blocks.unpack(row, {"sample_id": "i8"})
+                n, square, total, top = shared.value[row["label"]]
+                x = own["vec"]
+                gain = np.round(n * top - square - n * (x * x).sum(1) + 2 * (x @ total), 9)
+                yield from blocks.batches([np.full(len(x), row["label"], np.int32), own["sample_id"], gain], ["label", "sample_id", "bound"])
+
+    return cut(packed.mapInArrow(gains, "label int, sample_id long, bound double"))
+
+
+class _Lazy:
+    """The picks of one class: a pool of candidates with bounds, the highest first, and the bound of what is outside it."""
+
+    def __init__(self, budget: int):
+        self.budget, self.picks, self.since, self.done = budget, [], [], False
+        self.pool: dict[int, tuple[float, int]] = {}  # sample_id: bound, picks when it was measured
+        self.vectors: dict[int, np.ndarray] = {}
+        self.outside: tuple[float, int] | None = (math.inf, 0)
+
+    def order(self) -> list[int]:
+        return sorted(self.pool, key=lambda i: (-self.pool[i][0], i))
+
+    def beyond(self, i: int) -> bool:
+        """No row outside the pool can come before candidate i."""
+        return self.outside is None or (-self.pool[i][0], i) < (-self.outside[0], self.outside[1])
+
+    def advance(self) -> list[int]:
+        """Take candidates whose gain is sure; the candidates to measure next, or none where the pool must grow or all is done."""
+        while len(self.picks) < self.budget and self.pool:
+            order = self.order()
+            if not self.beyond(order[0]):
+                return []
+            bound, when = self.pool[order[0]]
+            if when < len(self.picks):
+                return [i for i in order[:MEASURED] if self.pool[i][1] < len(self.picks) and self.beyond(i)]
+            self.picks.append((order[0], bound))
+            self.since.append(self.vectors.pop(order[0]))
+            del self.pool[order[0]]
+        self.done = len(self.picks) >= self.budget or self.outside is None and not self.pool
+        return []
+
+
+def _measure(packed: DataFrame, asked: dict[int, tuple[float, np.ndarray, np.ndarray]]) -> dict[int, np.ndarray]:
+    """By class: the gains of candidates now. asked: the class' top, the picks since rows last kept their best, the candidates."""
+    shared = packed.sparkSession.sparkContext.broadcast(asked)
+
+    def gains(incoming):
+        sums: dict[int, np.ndarray] = {}
+        for batch in incoming:
+            for row in batch.to_pylist():
+                top, since, wanted = shared.value[row["label"]]
+                own = blocks.unpack(row, {"best": "f8"})
+                best = own["best"]
+                if len(since):
+                    best = np.maximum(best, top - _squared(own["vec"], since).min(1))
+                gain = np.maximum(top - _squared(own["vec"], wanted) - best[:, None], 0).sum(0)
+                sums[row["label"]] = gain + sums.get(row["label"], 0.0)
+        yield pa.RecordBatch.from_pylist([{"label": k, "x": x.tolist()} for k, x in sums.items()], schema=pa.schema([("label", pa.int32()), ("x", pa.list_(pa.float64()))]))
+
+    few = packed.filter(F.col("label").isin(list(asked))).mapInArrow(gains, "label int, x array<double>")
+    cells = few.select("label", F.posexplode("x").alias("i", "x")).groupBy("label", "i").agg(F.round(F.sum("x"), 9).alias("x"))
+    out = {y: np.zeros(len(wanted)) for y, (_, _, wanted) in asked.items()}
+    for r in cells.collect():  # MEASURED rows a class
+        out[r["label"]][r["i"]] = r["x"]
+    shared.destroy()
+    return out
+
+
+def _keep_best(packed: DataFrame, picked: dict[int, tuple[float, np.ndarray]]) -> DataFrame:
+    """packed, written anew with each row's best similarity to the picks so far."""
+    shared = packed.sparkSession.sparkContext.broadcast(picked)
+    at = packed.columns.index("best")
+
+    def fold(incoming):
+        for batch in incoming:
+            best = []
+            for row in batch.to_pylist():
+                own = blocks.unpack(row, {"best": "f8"})
+                top, since = shared.value.get(row["label"], (0.0, ()))
+                best.append((np.maximum(own["best"], top - _squared(own["vec"], since).min(1)) if len(since) else own["best"]).tobytes())
+            yield batch.set_column(at, "best", pa.array(best, pa.binary()))
+
+    return cut(packed.mapInArrow(fold, packed.schema), blocks.BATCH)
+
+
+def lazy(df: DataFrame, goals: dict[int, int], rows: int = blocks.ROWS, pool: int = POOL, measured: dict[int, int] | None = None) -> DataFrame:
+    """The picks of each class of df (label int, sample_id, vec), goals[label] of them at most, all classes in one job a round.
+
+    A round takes what is sure, then measures the top candidates against all rows, or brings more candidates to the pool.
+    measured: takes the number of candidates measured by class.
+    """
     spark = df.sparkSession
-    sizes = df.groupBy("label").agg(F.ceil(F.count(F.lit(1)) / block).alias("blocks"))
-    dealt = df.join(F.broadcast(sizes), "label").withColumn("block", F.pmod(F.xxhash64("sample_id"), F.col("blocks")).cast("long"))
-    packed = _pack(dealt.select("label", "block", "sample_id", "vec"), block)
-    other = packed.select("label", F.col("ids").alias("cids"), F.col("data").alias("cdata"))
-    both = packed.join(other, "label").repartition(F.xxhash64("ids", "cids"))
-
-    def largest(batches):
-        for b in batches:
-            for row in b.to_pylist():
-                yield pa.RecordBatch.from_arrays([pa.array([row["label"]], pa.int32()), pa.array([float(_squared(row, "", "c")[0].max())])], names=["label", "top"])
-
-    tops = {r["label"]: r["top"] for r in both.mapInArrow(largest, "label int, top double").groupBy("label").agg(F.max("top").alias("top")).collect()}
-    budgets = {r["label"]: r["budget"] for r in goals.collect() if r["label"] in tops}
-    picks: dict[int, list[tuple[int, np.ndarray, float]]] = {y: [] for y in budgets}
-    while open_ := [y for y in budgets if len(picks[y]) < budgets[y]]:
-        shared = spark.sparkContext.broadcast({y: (tops[y], np.array([p[0] for p in picks[y]]), np.array([p[1] for p in picks[y]])) for y in open_})
-
-        def gains(batches, shared=shared):
-            for b in batches:
-                for row in b.to_pylist():
-                    d2, rows, ids = _squared(row, "", "c")
-                    top, taken, chosen = shared.value[row["label"]]
-                    best = np.zeros(len(rows))
-                    for v in chosen:
-                        best = np.maximum(best, top - np.maximum((rows * rows).sum(1) + (v * v).sum() - 2 * (rows @ v), 0))
-                    free = ~np.isin(ids, taken)
-                    sums = np.maximum(top - d2 - best[:, None], 0).sum(0)[free]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(sums), row["label"], np.int32)), pa.array(ids[free]), pa.array(sums)], names=["label", "sample_id", "gain"])
-
-        found = both.filter(F.col("label").isin(open_)).mapInArrow(gains, "label int, sample_id long, gain double")
-        found = found.groupBy("label", "sample_id").agg(F.round(F.sum("gain"), 9).alias("gain"))
-        best = found.groupBy("label").agg(F.max_by(F.struct("sample_id", "gain"), F.struct("gain", -F.col("sample_id"))).alias("b")).select("label", "b.*")
-        taken = best.join(df.select("label", "sample_id", "vec"), ["label", "sample_id"]).collect()  # a row per class
-        for r in taken:
-            picks[r["label"]].append((r["sample_id"], np.array(r["vec"]), r["gain"]))
-        for y in set(open_) - {r["label"] for r in taken}:
-            budgets[y] = len(picks[y])  # no candidate is left
-    rows = [(y, p[0], i, p[2]) for y, own in picks.items() for i, p in enumerate(own, 1)]
-    return spark.createDataFrame(rows, _PICKS)
+    packed = blocks.pack(df.withColumn("best", F.lit(0.0)), {"sample_id": "i8", "best": "f8"}, ["label"], rows)
+    sums = _sums(packed)
+    tops = _diameters(packed, sums)
+    bounds = _bounds(packed, sums, tops)
+    classes = {y: _Lazy(budget) for y, budget in goals.items() if y in sums}
+    while True:
+        asked = {y: wanted for y, c in classes.items() if (wanted := c.advance())}
+        short = [y for y, c in classes.items() if not c.done and y not in asked]
+        if not asked and not short:
+            break
+        if short:
+            _fill(df, bounds, {y: classes[y] for y in short}, pool)
+            continue
+        if max(len(classes[y].since) for y in asked) >= FOLD:
+            packed = _keep_best(packed, {y: (tops[y], np.array(c.since)) for y, c in classes.items() if c.since})
+            for c in classes.values():
+                c.since = []
+        width = len(next(iter(sums.values()))[2])
+        found = _measure(packed, {y: (tops[y], np.array(classes[y].since).reshape(-1, width), np.array([classes[y].vectors[i] for i in wanted])) for y, wanted in asked.items()})
+        for y, wanted in asked.items():
+            classes[y].pool |= {i: (float(g), len(classes[y].picks)) for i, g in zip(wanted, found[y].tolist(), strict=True)}
+            if measured is not None:
+                measured[y] = measured.get(y, 0) + len(wanted)
+    out = [(y, i, step, gain) for y, c in classes.items() for step, (i, gain) in enumerate(c.picks, 1)]
+    return spark.createDataFrame(out, _PICKS)
+
+
+def _fill(df: DataFrame, bounds: DataFrame, classes: dict[int, _Lazy], pool: int) -> None:
+    """Bring the next rows by first bound into the pools, pool a class, and with them the bound of what stays outside."""
+    for y, c in classes.items():
+        beyond = bounds.filter(F.col("label") == y)
+        if c.outside is not None and c.outside[0] < math.inf:
+            last, at = c.outside
+            beyond = beyond.filter((F.col("bound") < last) | (F.col("bound") == last) & (F.col("sample_id") >= at))
+        rows = beyond.orderBy(F.desc("bound"), "sample_id").limit(pool + 1).collect()
+        c.outside = (rows[pool]["bound"], rows[pool]["sample_id"]) if len(rows) > pool else None
+        ids = df.sparkSession.createDataFrame([(r["sample_id"],) for r in rows[:pool]], "sample_id long")
+        own = df.filter(F.col("label") == y).join(F.broadcast(ids), "sample_id", "left_semi")
+        c.vectors |= {r["sample_id"]: np.array(r["vec"]) for r in own.select("sample_id", "vec").collect()}  # pool rows
+        c.pool |= {r["sample_id"]: (r["bound"], 0) for r in rows[:pool]}
+
+
+# --- operators ---------------------------------------------------------------------------------------------------
 
 
 def sequence(df: DataFrame, budgets: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """(label, sample_id, step, gain): the picks of each class in order, budgets (label, budget) of them at most. Ids must not repeat in a class."""
-    rows = df.select(F.col("label").cast("int").alias("label"), "sample_id", "vec").filter("label IS NOT NULL AND vec IS NOT NULL")
+    rows = df.select(F.col("label").cast("int").alias("label"), F.col("sample_id").cast("long").alias("sample_id"), "vec").filter("label IS NOT NULL AND vec IS NOT NULL")
     goals = budgets.select(F.col("label").cast("int").alias("label"), F.col("budget").cast("int").alias("budget")).filter("budget > 0")
-    sizes = cut(rows.groupBy("label").agg(F.count(F.lit(1)).alias("c")).join(F.broadcast(goals.select("label")), "label"))  # a row per class
+    sizes = cut(rows.groupBy("label").agg(F.count(F.lit(1)).alias("c")).join(F.broadcast(goals), "label"))  # a row per class
     small, large = (rows.join(F.broadcast(sizes.filter(c).select("label")), "label", "left_semi") for c in (F.col("c") <= chunk, F.col("c") > chunk))
     out = _whole(small, goals)
-    if sizes.filter(F.col("c") > chunk).limit(1).count() == 0:
-        return out
-    return out.unionByName(_in_blocks(cut(large), goals, max(1, chunk // 2)))
+    wanted = {r["label"]: r["budget"] for r in sizes.filter(F.col("c") > chunk).collect()}
+    return out.unionByName(lazy(cut(large), wanted)) if wanted else out
 
 
 def per_class(df: DataFrame, budgets: DataFrame, chunk: int = CHUNK) -> DataFrame:
@@ -150,5 +309,5 @@ def per_batch(df: DataFrame, budget: int, batch: int, seed: int = 0) -> DataFram
 
 
 def active(df: DataFrame, budgets: DataFrame, chunk: int = CHUNK) -> DataFrame:
-    """per_class with the predicted label in place of the label."""
+    """sequence with the predicted label in place of the label."""
     return sequence(df.withColumn("label", F.col("predicted")), budgets, chunk)

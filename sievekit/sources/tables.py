@@ -92,15 +92,26 @@ def read_run_logs(spark: SparkSession, glob: str) -> DataFrame:
     return logs.filter(F.col("line").rlike(shape)).select("path", found[0].cast("int").alias("epoch"), found[1].cast("double").alias("loss"), found[2].cast("double").alias("metric"))
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df written to the checkpoint folder, so that its plan ends there. On a local master the folder may be unset: then it is a temporary one of this process."""
+def cut(df: DataFrame, batch: int | None = None) -> DataFrame:
+    """df written to the checkpoint folder, so that its plan ends there. On a local master the folder may be unset: then it is a temporary one of this process.
+
+    batch: the most rows of an Arrow batch meanwhile, fewer for rows that are large.
+    """
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
         shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
         if not shared and not context.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         context.setCheckpointDir(shared or _local_folder())
-    return df.checkpoint()
+    if batch is None:
+        return df.checkpoint()
+    name, conf = "spark.sql.execution.arrow.maxRecordsPerBatch", df.sparkSession.conf
+    before = conf.get(name)
+    conf.set(name, str(batch))
+    try:
+        return df.checkpoint()
+    finally:
+        conf.set(name, before)
 
 
 @cache
