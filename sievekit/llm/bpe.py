@@ -24,7 +24,7 @@ from sievekit.llm.common import map_rows
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _L, _N, _S = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff", "0-9\xb2\xb3\xb9\xbc-\xbe", "\t-\r \x85\xa0"
 LATIN = f"'(?:[stmd]|re|ve|ll)| ?[{_L}]+| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+"
-SHORT, CACHE = 128, 300_000
+SHORT, CACHE = 128, 450_000
 NO_RANK = 1 << 60
 
 
@@ -35,6 +35,15 @@ def byte_characters() -> list[str]:
     return [chr(b) if b in plain else chr(next(rest)) for b in range(256)]
 
 
+def _latin(text: str) -> bool:
+    """No character is above U+00FF."""
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
 class Tokenizer:
     """Encodes and decodes as the file at path says; the file is read where this object is made."""
 
@@ -111,7 +120,7 @@ class Tokenizer:
         return packed
 
     def words(self, text: str) -> list[str]:
-        if text.isascii() or max(text) <= "\xff":
+        if text.isascii() or _latin(text):
             return self.latin(text)
         if any(unicodedata.category(c) == "Cn" for c in set(text)):
             # characters that this Python does not know may be letters to the tokenizers library: it splits these texts
