@@ -72,6 +72,12 @@ def take(vec, indices: list[int]) -> Column:
 
 
 # --- distances between two vectors -----------------------------------------------------------------------------
+# A vector of zeros has cosine 0 with every vector, and a share of it is 0, so its angular distances are 1 (neg_cos: 0).
+
+
+def over(a, b) -> Column:
+    """a / b, 0 where b is 0."""
+    return F.coalesce(F.try_divide(a, b), F.when(a.isNotNull() & b.isNotNull(), F.lit(0.0)))
 
 
 def l2(a, b) -> Column:
@@ -79,16 +85,16 @@ def l2(a, b) -> Column:
 
 
 def abs_cos(a, b) -> Column:
-    return 1 - F.abs(dot(a, b)) / (norm(a) * norm(b))
+    return 1 - over(F.abs(dot(a, b)), norm(a) * norm(b))
 
 
 def abs_cos_by_norm(a, b) -> Column:
     """As abs_cos, but the second vector keeps its length."""
-    return 1 - F.abs(dot(a, b)) / norm(a)
+    return 1 - over(F.abs(dot(a, b)), norm(a))
 
 
 def neg_cos(a, b) -> Column:
-    return -dot(a, b) / (norm(a) * norm(b))
+    return -over(dot(a, b), norm(a) * norm(b))
 
 
 def abs_dot(a, b) -> Column:
@@ -97,7 +103,7 @@ def abs_dot(a, b) -> Column:
 
 def cross(a, b) -> Column:
     """1 minus the product of the sums of the absolute unit vectors over the squared length."""
-    flat = lambda v: total(F.transform(v, lambda e: F.abs(e))) / norm(v)
+    flat = lambda v: over(total(F.transform(v, lambda e: F.abs(e))), norm(v))
     return 1 - flat(a) * flat(b) / (F.size(a) * F.size(a))
 
 
@@ -123,7 +129,7 @@ def abs_cos_blocks(a, b, n_blocks: int | None = None, by_norm: bool = False) ->
     own, other = (a, b) if n_blocks is None else (F.slice(a, 1, n_blocks), F.slice(b, 1, n_blocks))
     product = F.abs(total(F.zip_with(own, other, dot)))
     norms = F.sqrt(_over(a, lambda x: dot(x, x)))
-    return 1 - product / (norms if by_norm else norms * F.sqrt(_over(other, lambda x: dot(x, x))))
+    return 1 - over(product, norms if by_norm else norms * F.sqrt(_over(other, lambda x: dot(x, x))))
 
 
 def abs_cos_each_block(a, b, n_blocks: int | None = None, by_norm: bool = False) -> Column:
@@ -131,12 +137,12 @@ def abs_cos_each_block(a, b, n_blocks: int | None = None, by_norm: bool = False)
     own, other = (a, b) if n_blocks is None else (F.slice(a, 1, n_blocks), F.slice(b, 1, n_blocks))
     norms = F.sqrt(_over(a, lambda x: dot(x, x)))
     by = norms if by_norm else norms * F.sqrt(_over(other, lambda x: dot(x, x)))
-    return F.zip_with(own, other, lambda x, y: 1 - F.abs(dot(x, y)) / by)
+    return F.zip_with(own, other, lambda x, y: 1 - over(F.abs(dot(x, y)), by))
 
 
 def cross_blocks(a, b) -> Column:
     """1 minus the mean over blocks of the products of the sums of the absolute unit vectors."""
-    flat = lambda v: total(F.transform(v, lambda e: F.abs(e))) / norm(v)
+    flat = lambda v: over(total(F.transform(v, lambda e: F.abs(e))), norm(v))
     return 1 - total(F.zip_with(a, b, lambda x, y: flat(x) * flat(y))) / F.size(a)
 
 

@@ -22,19 +22,23 @@ ROWS, STRIPE, BATCH, OUT = 1000, 16, 16, 50_000
 Block = dict[str, np.ndarray]
 
 
-def matrix(column) -> np.ndarray:
-    """The rows of an Arrow list column as a matrix. Vectors of several widths, and null components, are an error."""
+def matrix(column, like: int | None = None) -> np.ndarray:
+    """The rows of an Arrow list column as a matrix. Vectors of several widths (or not of width like), and null components, are an error."""
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     flat = column.flatten()
     if column.null_count or flat.null_count:
         raise ValueError("a vector or one of its components is null")
     n = len(column)
     width = len(flat) // n if n else 0
-    if n and (np.asarray(column.value_lengths()) != width).any():
+    if n and ((np.asarray(column.value_lengths()) != width).any() or like not in (None, width)):
         raise ValueError("vectors of several widths")
     return flat.to_numpy(zero_copy_only=False).astype(np.float64, copy=False).reshape(n, width)
 
 
+def arrow_type(kind) -> pa.DataType:
+    return to_arrow_type(kind)
+
+
 def pack(df: DataFrame, columns: dict[str, str], by: list[str] | None = None, rows: int = ROWS) -> DataFrame:
     """(by, block, n, vec, and columns), written: rows of df in matrices of about so many, each column (name -> NumPy type, without nulls) packed as bytes.
 
@@ -54,7 +58,7 @@ def pack(df: DataFrame, columns: dict[str, str], by: list[str] | None = None, ro
     slim = dealt.select(*names, "vec", *(c for c in columns))
     shape = ", ".join([*(f"{c} {df.schema[c].dataType.simpleString()}" for c in by), "block long", "n int", "vec binary", *(f"{c} binary" for c in columns)])
 
-    fields = [pa.field(c, to_arrow_type(df.schema[c].dataType)) for c in by]
+    fields = [pa.field(c, arrow_type(df.schema[c].dataType)) for c in by]
     out = pa.schema([*fields, pa.field("block", pa.int64()), pa.field("n", pa.int32()), *(pa.field(c, pa.binary()) for c in ("vec", *columns))])
 
     def packed(key, table):

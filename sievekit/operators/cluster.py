@@ -10,6 +10,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sievekit.functions import chance, vec
+from sievekit.functions.arrays import NUMPY_METRICS
+from sievekit.functions.arrays import norms as _norms
+from sievekit.operators import blocks
 from sievekit.operators.distance import assign, centre_array, member_dist, pairs
 from sievekit.operators.represent import mean_vector
 from sievekit.sources.tables import cut
@@ -118,32 +121,6 @@ def farthest_first(df: DataFrame, k: int, metric: str = "abs_cos", seed: int | N
 # --- many runs of k-means in one job a step ----------------------------------------------------------------------
 
 
-def _l2(a, c):
-    return np.sqrt(np.stack([((a - x) ** 2).sum(1) for x in c], axis=1))
-
-
-def _norms(a):
-    return np.sqrt((a * a).sum(1))
-
-
-def _flat(a):
-    return np.abs(a).sum(1) / _norms(a)
-
-
-#: The metrics of functions.vec on whole matrices: rows by centres, rounded alike.
-NUMPY_METRICS = {
-    name: lambda a, c, f=f: np.round(f(a, c), 9)
-    for name, f in {
-        "l2": _l2,
-        "abs_cos": lambda a, c: 1 - np.abs(a @ c.T) / (_norms(a)[:, None] * _norms(c)),
-        "abs_cos_by_norm": lambda a, c: 1 - np.abs(a @ c.T) / _norms(a)[:, None],
-        "neg_cos": lambda a, c: -(a @ c.T) / (_norms(a)[:, None] * _norms(c)),
-        "abs_dot": lambda a, c: 1 - np.abs(a @ c.T),
-        "cross": lambda a, c: 1 - _flat(a)[:, None] * _flat(c) / a.shape[1] ** 2,
-    }.items()
-}
-
-
 def _rows(df: DataFrame, weight: str | None = None, run: str | None = None) -> DataFrame:
     """(run, sample_id, vec, w) of df, written once for all steps."""
     w = F.col(weight).cast("double") if weight else F.lit(1.0)
@@ -155,8 +132,7 @@ def _numpy(batches):
     """(runs, ids, vectors, weights) of each batch."""
     for b in batches:
         if b.num_rows:
-            flat = b.column(2).flatten().to_numpy(zero_copy_only=False)
-            yield b.column(0).to_numpy(), b.column(1).to_numpy(), flat.reshape(b.num_rows, -1), b.column(3).to_numpy()
+            yield b.column(0).to_numpy(), b.column(1).to_numpy(), blocks.matrix(b.column(2)), b.column(3).to_numpy()
 
 
 def _step(rows: DataFrame, centers: dict, metric: str, weighted: bool, by_norm: bool, every: bool) -> dict:
@@ -312,16 +288,29 @@ def unit_seeds(spark, k: int, width: int, seed: int = 0) -> DataFrame:
 def silhouette(df: DataFrame, assigned: DataFrame, metric: str = "l2") -> DataFrame:
     """(sample_id, score) by all distances within df; 0 where a row has no other of its cluster, or both means are 0.
 
-    The rows must be a bounded sample or one stratum: the work is the square of their number.
+    Rows meet in blocks, and each meeting passes on a sum per row and cluster, so no pair leaves a task; what is shuffled is rows x
+    clusters for each stripe of blocks. The arithmetic is still the square of the rows; for squared distances silhouette_by_means has none of it.
     """
-    left = df.select("sample_id", "vec").join(assigned.select("sample_id", F.col("cluster_id").alias("own")), "sample_id")
-    other = df.select(F.col("sample_id").alias("other_id"), "vec")
-    dist = pairs(left, other, metric, "other_id").filter("sample_id <> other_id")
-    dist = dist.join(assigned.select(F.col("sample_id").alias("other_id"), F.col("cluster_id").alias("theirs")), "other_id")
-    means = dist.groupBy("sample_id", "own", "theirs").agg(F.avg("dist").alias("m"))
+    columns = {"sample_id": "i8", "cluster_id": "i8"}
+    packed = blocks.pack(df.select("sample_id", "vec").join(assigned.select("sample_id", F.col("cluster_id").cast("long").alias("cluster_id")), "sample_id"), columns)
+
+    def step(_, own, other):
+        far = NUMPY_METRICS[metric](own["vec"], other["vec"])
+        many = np.broadcast_to(own["sample_id"][:, None] != other["sample_id"], far.shape)
+        clusters, place = np.unique(other["cluster_id"], return_inverse=True)
+        member = np.zeros((len(place), len(clusters)))
+        member[np.arange(len(place)), place] = 1
+        sums, counts = (np.where(many, far, 0.0) @ member).ravel(), (many.astype(float) @ member).ravel()
+        wide = len(clusters)
+        arrays = [np.repeat(own["sample_id"], wide), np.repeat(own["cluster_id"], wide), np.tile(clusters, len(far)), sums, counts]
+        yield from blocks.batches(arrays, ["sample_id", "own", "theirs", "s", "n"])
+
+    parts = blocks.meet(packed, packed, columns, lambda: None, step, "sample_id long, own long, theirs long, s double, n double")
+    means = parts.groupBy("sample_id", "own", "theirs").agg(F.sum("s").alias("s"), F.sum("n").alias("n")).filter("n > 0").withColumn("m", F.col("s") / F.col("n"))
     ab = means.groupBy("sample_id").agg(F.max(F.when(F.col("own") == F.col("theirs"), F.col("m"))).alias("a"), F.min(F.when(F.col("own") != F.col("theirs"), F.col("m"))).alias("b"))
-    score = (F.col("b") - F.col("a")) / F.greatest("a", "b")
-    return ab.select("sample_id", F.coalesce(F.when(F.greatest("a", "b") > 0, score), F.lit(0.0)).alias("score"))
+    score = F.when(F.greatest("a", "b") > 0, (F.col("b") - F.col("a")) / F.greatest("a", "b"))
+    found = ab.select(F.col("sample_id").alias("__id"), F.when(F.col("a").isNotNull(), score).alias("score"))
+    return df.select("sample_id").join(found, F.col("sample_id") == F.col("__id"), "left").select("sample_id", F.coalesce("score", F.lit(0.0)).alias("score"))
 
 
 def silhouette_by_means(df: DataFrame, assigned: DataFrame) -> DataFrame:

@@ -1,16 +1,22 @@
 """Distances of rows to a set of centres or chosen rows, and what is read off them.
 
-The set is broadcast where it has at most SMALL rows of SMALL_BYTES (checked); beyond that rows meet it block by block
-through an ordinary join on the block's number, so nothing large is sent everywhere. Distances are rounded to nine
-decimals before they are compared, and ties go to the smallest id.
+The set is sent to all tasks where it has at most SMALL rows of SMALL_BYTES (checked); there a batch of rows meets it
+as one matrix product. Beyond that rows and set meet in blocks, which the triangle inequality rules out where it can (operators.nearest).
+Distances are rounded to nine decimals before they are compared, and ties go to the smallest id. Vectors of several widths
+are an error; a null vector is near nothing.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sievekit.functions import vec
+from sievekit.functions.arrays import NUMPY_METRICS
+from sievekit.operators import blocks
 
 SMALL, SMALL_BYTES = 20_000, 32 << 20
 
@@ -41,17 +47,57 @@ def centre_array(centers: DataFrame) -> DataFrame:
 
 
 def assign(df: DataFrame, centers: DataFrame, metric: str = "abs_cos") -> DataFrame:
-    """df with the nearest centre's cluster_id and dist; both are null where there is no centre.
+    """df with the nearest centre's cluster_id and dist; both are null where there is no centre or no vector.
 
-    A small set of centres travels as one array, so rows aren't multiplied; a larger one meets the rows in blocks,
-    and each block passes on its nearest.
+    Rows pass through with all their columns. Of a set too large to be sent, each row finds its nearest by nearest.nearest
+    or, under other metrics, in blocks that each pass on their nearest; there, rows with one id must have one vector.
     """
-    if blocks_of(centers) > 1:
-        near = pairs(df.select("sample_id", "vec"), centers, metric).groupBy("sample_id").agg(F.min(F.struct("dist", "cluster_id")).alias("__best"))
-        return df.drop("cluster_id", "dist").join(near.select("sample_id", "__best.cluster_id", "__best.dist"), "sample_id", "left")
-    distance = lambda v, c: F.struct(F.round(vec.METRICS[metric](v, c["vec"]), 9).alias("dist"), c["cluster_id"].alias("cluster_id"))
-    best = vec.bind(F.col("vec"), lambda v: F.array_min(F.transform("_centers", lambda c: distance(v, c))))
-    return df.join(F.broadcast(centre_array(centers))).withColumn("_best", best).withColumn("cluster_id", F.col("_best.cluster_id")).withColumn("dist", F.col("_best.dist")).drop("_best", "_centers")
+    many = blocks_of(centers)
+    if many > 1:
+        from sievekit.operators import nearest
+
+        if metric in nearest.GEOMETRIES:
+            near = nearest.nearest(df.select("sample_id", "vec"), centers.select(F.col("cluster_id").alias("sample_id"), "vec"), 1, metric)
+            near = near.select(F.col("sample_id").alias("__id"), "dist", F.col("near_id").cast(centers.schema["cluster_id"].dataType).alias("cluster_id"))
+        else:
+            near = pairs(df.select("sample_id", "vec"), centers, metric).groupBy("sample_id").agg(F.min(F.struct("dist", "cluster_id")).alias("b"))
+            near = near.select(F.col("sample_id").alias("__id"), "b.dist", "b.cluster_id")
+        return df.drop("cluster_id", "dist").join(near, F.col("sample_id") == F.col("__id"), "left").drop("__id").select(*_kept(df), "cluster_id", "dist")
+    if metric not in NUMPY_METRICS:
+        distance = lambda v, c: F.struct(F.round(vec.METRICS[metric](v, c["vec"]), 9).alias("dist"), c["cluster_id"].alias("cluster_id"))
+        best = vec.bind(F.col("vec"), lambda v: F.array_min(F.transform("__centers", lambda c: distance(v, c))))
+        table = centre_array(centers).withColumnRenamed("_centers", "__centers")
+        found = df.drop("cluster_id", "dist").join(F.broadcast(table)).withColumn("__best", best)
+        return found.select(*_kept(df), F.col("__best.cluster_id").alias("cluster_id"), F.col("__best.dist").alias("dist"))
+    own = sorted((r["cluster_id"], r["vec"]) for r in centers.select("cluster_id", "vec").filter("vec IS NOT NULL").collect())  # SMALL at most
+    shared = df.sparkSession.sparkContext.broadcast((np.array([c for c, _ in own]), np.array([v for _, v in own], float)))
+    kept = _kept(df)
+    schema = T.StructType([*(df.schema[c] for c in kept), T.StructField("cluster_id", centers.schema["cluster_id"].dataType), T.StructField("dist", T.DoubleType())])
+    arrow = blocks.arrow_type(centers.schema["cluster_id"].dataType)
+
+    def near(incoming):
+        ids, matrix = shared.value
+        for batch in incoming:
+            columns = [batch.column(batch.schema.get_field_index(c)) for c in kept]
+            vecs = batch.column(batch.schema.get_field_index("vec"))
+            known = vecs.is_valid()
+            best, dist = np.zeros(len(vecs), np.int64), np.zeros(len(vecs))
+            if len(ids) and vecs.null_count < len(vecs):
+                rows = np.flatnonzero(np.asarray(known))
+                for at in range(0, len(rows), 1000):
+                    part = rows[at : at + 1000]
+                    far = NUMPY_METRICS[metric](blocks.matrix(vecs.take(pa.array(part)), matrix.shape[1]), matrix)
+                    best[part] = far.argmin(axis=1)
+                    dist[part] = far.min(axis=1)
+            gone = ~np.asarray(known) if len(ids) else np.ones(len(vecs), bool)
+            found = pa.array(ids[best] if len(ids) else best, mask=gone).cast(arrow)
+            yield pa.RecordBatch.from_arrays([*columns, found, pa.array(dist, mask=gone)], names=[*kept, "cluster_id", "dist"])
+
+    return df.drop("cluster_id", "dist").mapInArrow(near, schema)
+
+
+def _kept(df: DataFrame) -> list[str]:
+    return [c for c in df.columns if c not in ("cluster_id", "dist")]
 
 
 def coverage(df: DataFrame, selected: DataFrame, metric: str = "abs_cos") -> DataFrame:
@@ -82,27 +128,36 @@ def class_similarity(df: DataFrame) -> DataFrame:
 # --- all pairs ---------------------------------------------------------------------------------------------------
 
 
+def _products(a: DataFrame, b: DataFrame | None, value, halves: bool) -> DataFrame:
+    """(id_a, id_b, sim): value(matrix, matrix) for every row of a with every row of b (a itself by default), or for pairs a < b alone, in blocks."""
+    columns = {"sample_id": "i8"}
+    left = blocks.pack(a, columns)
+    right = left if b is None else blocks.pack(b, columns)
+
+    def step(_, own, other):
+        sims = value(own["vec"], other["vec"])
+        i, j = np.nonzero(own["sample_id"][:, None] < other["sample_id"]) if halves else (np.repeat(np.arange(len(sims)), sims.shape[1]), np.tile(np.arange(sims.shape[1]), len(sims)))
+        yield from blocks.batches([own["sample_id"][i], other["sample_id"][j], sims[i, j]], ["id_a", "id_b", "sim"])
+
+    return blocks.meet(left, right, columns, lambda: None, step, "id_a long, id_b long, sim double")
+
+
 def gram(a: DataFrame, b: DataFrame | None = None) -> DataFrame:
     """(id_a, id_b, sim): product over the width for every row of a with every row of b (a itself by default).
 
     The result has a row per pair by definition; operators that only need sums over pairs don't call this.
     """
-    left = a.select(F.col("sample_id").alias("id_a"), "vec")
-    right = (a if b is None else b).select(F.col("sample_id").alias("id_b"), "vec")
-    return pairs(left, right, "mean_dot", "id_b").select("id_a", "id_b", F.col("dist").alias("sim"))
+    return _products(a, b, NUMPY_METRICS["mean_dot"], False)
 
 
 def all_pairs_l2(df: DataFrame) -> DataFrame:
     """(id_a, id_b, dist) for pairs a < b."""
-    right = df.select(F.col("sample_id").alias("id_b"), "vec")
-    return pairs(df.select(F.col("sample_id").alias("id_a"), "vec"), right, "l2", "id_b").filter("id_a < id_b").select("id_a", "id_b", "dist")
+    return _products(df, None, NUMPY_METRICS["l2"], True).withColumnRenamed("sim", "dist")
 
 
 def affinity(df: DataFrame, sigma: float) -> DataFrame:
     """(id_a, id_b, sim): absolute cosine over sigma for pairs a < b; the diagonal is zero and the rest symmetric."""
-    right = df.select(F.col("sample_id").alias("id_b"), "vec")
-    both = pairs(df.select(F.col("sample_id").alias("id_a"), "vec"), right, "abs_cos", "id_b").filter("id_a < id_b")
-    return both.select("id_a", "id_b", ((1 - F.col("dist")) / sigma).alias("sim"))
+    return _products(df, None, lambda x, y: (1 - NUMPY_METRICS["abs_cos"](x, y)) / sigma, True)
 
 
 def label_kernel(df: DataFrame) -> DataFrame:

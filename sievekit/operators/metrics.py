@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sievekit.functions import vec
-from sievekit.operators import ranks
-from sievekit.operators.distance import centre_array, pairs
+from sievekit.functions.arrays import NUMPY_METRICS
+from sievekit.operators import blocks, nearest, ranks
+from sievekit.operators.distance import centre_array
 
 
 def evaluate(df: DataFrame) -> DataFrame:
@@ -30,15 +32,15 @@ def confusion(df: DataFrame) -> DataFrame:
 
 
 def quadratic_kappa(df: DataFrame) -> DataFrame:
-    """1 less observed over expected squared disagreement, in one pass of sums: sum over pairs of (y - p)^2 needs only the moments."""
+    """1 less observed over expected squared disagreement, in one pass of sums: sum over pairs of (y - p)^2 needs only the moments. Null where none is expected (one class alone)."""
     y, p = F.col("label").cast("double"), F.col("predicted").cast("double")
     s = df.agg(F.count(F.lit(1)).alias("n"), F.sum((y - p) * (y - p)).alias("d"), F.sum(y).alias("y1"), F.sum(p).alias("p1"), F.sum(y * y).alias("y2"), F.sum(p * p).alias("p2"))
-    expected = (F.col("n") * (F.col("y2") + F.col("p2")) - 2 * F.col("y1") * F.col("p1")) / F.col("n")
-    return s.select((1 - F.col("d") / expected).alias("kappa"))
+    expected = (F.col("n") * (F.col("y2") + F.col("p2")) - 2 * F.col("y1") * F.col("p1")) / F.nullif(F.col("n"), F.lit(0))
+    return s.select((1 - F.try_divide(F.col("d"), expected)).alias("kappa"))
 
 
 def roc_auc(df: DataFrame) -> DataFrame:
-    """(label, auc) one against the rest, from (label, scores array); ties count half.
+    """(label, auc) one against the rest, from (label, scores array); ties count half. Null for a class without rows, or with all of them.
 
     Equal scores are counted together first, and the running counts go over distinct scores of a class, which are sorted
     in ranges, so that no task has a whole class.
@@ -46,7 +48,7 @@ def roc_auc(df: DataFrame) -> DataFrame:
     long = df.select("label", F.posexplode("scores").alias("cls", "score"))
     counted = long.groupBy("cls", "score").agg(F.sum((F.col("label") == F.col("cls")).cast("long")).alias("pos"), F.sum((F.col("label") != F.col("cls")).cast("long")).alias("neg"))
     counted = ranks.running_sum(counted, "cls", [F.col("score")], "neg", "under")
-    out = counted.groupBy("cls").agg((F.sum(F.col("pos") * (F.col("under") + F.col("neg") / 2)) / (F.sum("pos") * F.sum("neg"))).alias("auc"))
+    out = counted.groupBy("cls").agg(F.try_divide(F.sum(F.col("pos") * (F.col("under") + F.col("neg") / 2)), F.sum("pos") * F.sum("neg")).alias("auc"))
     return out.select(F.col("cls").alias("label"), "auc")
 
 
@@ -63,18 +65,10 @@ def topk_accuracy(df: DataFrame, ks: tuple[int, ...] = (1, 5)) -> DataFrame:
 
 
 def _nearest(test: DataFrame, train: DataFrame, k: int, metric: str) -> DataFrame:
-    """(sample_id, near_id, near_label, sim) of the k training rows with the largest similarity (ties: smaller id).
-
-    The training rows meet the test rows in blocks, and each task keeps k a test row before anything is shuffled.
-    """
-    right = train.select(F.col("sample_id").alias("near_id"), "vec", F.col("label").alias("near_label"))
-    block = F.pmod(F.xxhash64("near_id"), F.lit(64))
-    sims = pairs(test.select("sample_id", "vec"), right.select("near_id", "vec"), metric, "near_id")
-    sims = sims.select("sample_id", "near_id", (F.col("dist") if metric == "mean_dot" else -F.col("dist")).alias("sim"), block.alias("block"))
-    order = [F.desc("sim"), F.asc("near_id")]
-    near = sims.withColumn("r", F.row_number().over(Window.partitionBy("sample_id", "block").orderBy(*order))).filter(F.col("r") <= k)
-    near = near.withColumn("r", F.row_number().over(Window.partitionBy("sample_id").orderBy(*order))).filter(F.col("r") <= k)
-    return near.select("sample_id", "near_id", "sim").join(right.select("near_id", "near_label"), "near_id")
+    """(sample_id, near_id, near_label, sim) of the k training rows with the largest similarity (ties: smaller id)."""
+    near = nearest.nearest(test.select("sample_id", "vec"), train.select("sample_id", "vec"), k, metric)
+    of = train.select(F.col("sample_id").alias("near_id"), F.col("label").alias("near_label"))
+    return near.select("sample_id", "near_id", (-F.col("dist")).alias("sim")).join(of, "near_id")
 
 
 def knn_votes(test: DataFrame, train: DataFrame, k: int, sigma: float, top: int = 1) -> DataFrame:
@@ -133,8 +127,8 @@ def nn_accuracy(test: DataFrame, train: DataFrame) -> DataFrame:
 
 
 def d_value(cells: DataFrame) -> DataFrame:
-    """(n, least, low): of D = (1 + r) / (1 - r) with r the absolute sum over the sum of absolutes of each sample's d, its minimum and 0.1 % quantile."""
-    r = F.abs(F.sum("d")) / F.sum(F.abs("d"))
+    """(n, least, low): of D = (1 + r) / (1 - r) with r the absolute sum over the sum of absolutes of each sample's d, its minimum and 0.1 % quantile. Samples whose d are all zero have no D."""
+    r = F.try_divide(F.abs(F.sum("d")), F.sum(F.abs("d")))
     per = cells.groupBy("sample_id").agg(r.alias("r")).filter("r < 1").select(((1 + F.col("r")) / (1 - F.col("r"))).alias("v"))
     return per.agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("least"), F.percentile("v", F.lit(0.001)).alias("low"))
 
@@ -155,9 +149,18 @@ def cross_view(a: DataFrame, assigned_b: DataFrame, centers_b: DataFrame, t: flo
 
 
 def weighted_similarity_bound(left: DataFrame, right: DataFrame) -> DataFrame:
-    """(largest, largest_abs) over pairs of (g_i . g_j) times the absolute cosine of the vectors; right is a chosen set."""
-    a = left.select("sample_id", "g", "vec")
-    b = right.select(F.col("sample_id").alias("other_id"), "vec")
-    sims = pairs(a, b, "abs_cos", "other_id").join(right.select(F.col("sample_id").alias("other_id"), F.col("g").alias("_h")), "other_id")
-    value = vec.dot(F.col("g"), F.col("_h")) * (1 - F.col("dist"))
-    return sims.select(value.alias("v")).agg(F.max("v").alias("largest"), F.max(F.abs("v")).alias("largest_abs"))
+    """(largest, largest_abs) over pairs of (g_i . g_j) times the absolute cosine of the vectors; right is a chosen set. Null without pairs.
+
+    Rows meet in blocks as two matrix products, and each meeting passes on its extremes alone.
+    """
+    first = left.select(F.size("vec").alias("w")).first()
+    wide = first["w"] if first else 0
+    a, b = (blocks.pack(side.select("sample_id", F.concat("vec", "g").alias("vec")), {"sample_id": "i8"}) for side in (left, right))
+
+    def step(_, own, other):
+        x, y = own["vec"], other["vec"]
+        value = (x[:, wide:] @ y[:, wide:].T) * (1 - NUMPY_METRICS["abs_cos"](x[:, :wide], y[:, :wide]))
+        yield from blocks.batches([np.array([value.max()]), np.array([np.abs(value).max()])], ["largest", "largest_abs"])
+
+    met = blocks.meet(a, b, {"sample_id": "i8"}, lambda: None, step, "largest double, largest_abs double")
+    return met.agg(F.max("largest").alias("largest"), F.max("largest_abs").alias("largest_abs"))

@@ -36,11 +36,11 @@ def gradient(df: DataFrame, k: int, linear_layer: bool = False, full_loss: bool
 
 
 def block_probabilities(df: DataFrame, blocks: str = "blocks") -> DataFrame:
-    """(block, prob): mean squared norm of each block over its width, as shares of the sum."""
+    """(block, prob): mean squared norm of each block over its width, as shares of the sum; equal shares where all are zero."""
     squares = df.select(F.posexplode(blocks).alias("block", "_b")).select("block", (vec.dot(F.col("_b"), F.col("_b")) / F.size("_b")).alias("s"))
     means = squares.groupBy("block").agg(F.avg("s").alias("s"))
-    whole = means.agg(F.sum("s").alias("_t"))
-    return means.join(F.broadcast(whole)).select("block", (F.col("s") / F.col("_t")).alias("prob"))
+    whole = means.agg(F.sum("s").alias("_t"), F.count(F.lit(1)).alias("_n"))
+    return means.join(F.broadcast(whole)).select("block", F.coalesce(F.try_divide("s", "_t"), 1 / F.col("_n")).alias("prob"))
 
 
 def sample_blocks(df: DataFrame, m: int = 5, seed: int = 0, blocks: str = "blocks") -> DataFrame:
