@@ -11,7 +11,9 @@ from __future__ import annotations
 import heapq
 import json
 import re
+import struct
 import unicodedata
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +27,7 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 _L, _N, _S = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff", "0-9\xb2\xb3\xb9\xbc-\xbe", "\t-\r \x85\xa0"
 LATIN = f"'(?:[stmd]|re|ve|ll)| ?[{_L}]+| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+"
 SHORT, CACHE = 128, 450_000
-NO_RANK = 1 << 60
+NO_RANK, _ID = 1 << 62, (1 << 32) - 1
 
 
 def byte_characters() -> list[str]:
@@ -53,10 +55,10 @@ class Tokenizer:
         vocab = spec["model"]["vocab"]
         chars = byte_characters()
         self.byte_id = [vocab.get(c) for c in chars]
-        self.merges: dict[int, tuple[int, int]] = {}
+        self.merges: dict[int, int] = {}  # a pair's two ids: its rank, then the id that it becomes
         for rank, pair in enumerate(spec["model"]["merges"]):
             a, b = pair if isinstance(pair, list) else pair.split(" ")
-            self.merges.setdefault(vocab[a] << 32 | vocab[b], (rank, vocab[a + b]))
+            self.merges.setdefault(vocab[a] << 32 | vocab[b], rank << 32 | vocab[a + b])
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         back = {c: b for b, c in enumerate(chars)}
         self.piece = {i: bytes(back[c] for c in token) if all(c in back for c in token) else token.encode() for token, i in vocab.items()}
@@ -72,25 +74,24 @@ class Tokenizer:
 
     def merge_short(self, ids: list[int]) -> list[int]:
         get = self.merges.get
-        none = (NO_RANK, -1)
-        ranks = [get(a << 32 | b, none) for a, b in zip(ids, ids[1:])]
+        ranks = [get(a << 32 | b, NO_RANK) for a, b in pairwise(ids)]
         while ranks:
             best = min(ranks)  # of equal ranks the leftmost is found next
-            if best[0] == NO_RANK:
+            if best == NO_RANK:
                 break
             i = ranks.index(best)
-            ids[i] = best[1]
+            ids[i] = best & _ID
             del ids[i + 1], ranks[i]
             if i:
-                ranks[i - 1] = get(ids[i - 1] << 32 | ids[i], none)
+                ranks[i - 1] = get(ids[i - 1] << 32 | ids[i], NO_RANK)
             if i < len(ranks):
-                ranks[i] = get(ids[i] << 32 | ids[i + 1], none)
+                ranks[i] = get(ids[i] << 32 | ids[i + 1], NO_RANK)
         return ids
 
     def merge_long(self, ids: list[int]) -> list[int]:
         n, get = len(ids), self.merges.get
         after, before = [*range(1, n), -1], [-1, *range(n - 1)]
-        heap = [(m[0], i, ids[i], ids[i + 1], m[1]) for i in range(n - 1) if (m := get(ids[i] << 32 | ids[i + 1]))]
+        heap = [(m >> 32, i, ids[i], ids[i + 1], m & _ID) for i in range(n - 1) if (m := get(ids[i] << 32 | ids[i + 1]))]
         heapq.heapify(heap)
         while heap:
             _, i, a, b, new = heapq.heappop(heap)
@@ -102,9 +103,9 @@ class Tokenizer:
             if k >= 0:
                 before[k] = i
                 if m := get(new << 32 | ids[k]):
-                    heapq.heappush(heap, (m[0], i, new, ids[k], m[1]))
+                    heapq.heappush(heap, (m >> 32, i, new, ids[k], m & _ID))
             if (h := before[i]) >= 0 and (m := get(ids[h] << 32 | new)):
-                heapq.heappush(heap, (m[0], h, ids[h], new, m[1]))
+                heapq.heappush(heap, (m >> 32, h, ids[h], new, m & _ID))
         return [x for x in ids if x >= 0]
 
     def encode_word(self, word: str) -> bytes:
@@ -112,7 +113,7 @@ class Tokenizer:
         if packed is None:
             ids = [self.byte_id[b] for b in word.encode("utf-8", "replace")]
             ids = self.merge_short(ids) if len(ids) <= SHORT else self.merge_long(ids)
-            packed = np.array(ids, "<u4").tobytes()
+            packed = struct.pack(f"<{len(ids)}I", *ids)
         if len(word) <= 64:
             if len(self.cache) >= CACHE:  # words in use come over from the older generation one by one
                 self.older, self.cache = self.cache, {}
