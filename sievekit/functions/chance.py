@@ -18,14 +18,24 @@ def order(seed: int, sample_id="sample_id") -> list[Column]:
     return [ticket(seed, sample_id), F.col(sample_id)]
 
 
+#: What the first of keys lies in.
+SPAN = (0, (1 << 60) - 1)
+
+
+def keys(seed: int, sample_id="sample_id") -> list[Column]:
+    """Whole numbers that put rows in the order of their tickets, then ids; a null id comes first."""
+    part = lambda at, n: F.conv(F.substring(ticket(seed, sample_id), at, n), 16, 10).cast("long")
+    return [part(1, 15), part(16, 15), part(31, 2), F.coalesce(F.col(sample_id).cast("long"), F.lit(-(1 << 63)))]
+
+
 def dense_index(df: DataFrame, seed: int = 0, name: str = "index") -> DataFrame:
     """df with its place (from 0) in ticket order.
 
     Rows are numbered inside the 4096 groups of their ticket's first three digits; the groups' offsets are a
     running sum over those 4096 counts, so no window sees all rows.
     """
-    lead = df.withColumn("_t", ticket(seed)).withColumn("_g", F.substring("_t", 1, 3))
-    counts = lead.groupBy("_g").agg(F.count(F.lit(1)).alias("_c"))
-    offsets = counts.select("_g", (F.sum("_c").over(Window.orderBy("_g")) - F.col("_c")).alias("_o"))
-    placed = lead.withColumn("_k", F.row_number().over(Window.partitionBy("_g").orderBy("_t", "sample_id")))
-    return placed.join(F.broadcast(offsets), "_g").withColumn(name, F.col("_o") + F.col("_k") - 1).drop("_t", "_g", "_k", "_o")
+    lead = df.withColumn("__t", ticket(seed)).withColumn("__g", F.substring("__t", 1, 3))
+    counts = lead.groupBy("__g").agg(F.count(F.lit(1)).alias("__c"))
+    offsets = counts.select("__g", (F.sum("__c").over(Window.orderBy("__g")) - F.col("__c")).alias("__o"))
+    placed = lead.withColumn("__k", F.row_number().over(Window.partitionBy("__g").orderBy("__t", "sample_id")))
+    return placed.join(F.broadcast(offsets), "__g").withColumn(name, F.col("__o") + F.col("__k") - 1).drop("__t", "__g", "__k", "__o")

@@ -15,8 +15,10 @@ from sievekit.sources.tables import cut
 
 
 def _farthest(distances: DataFrame, n: int) -> DataFrame:
-    """The n largest distances. Many are sorted in ranges, which reads them twice, so they are written before."""
-    return ranks.first(distances if n <= ranks.FEW else cut(distances), [F.desc("dist"), F.asc("sample_id")], n)
+    """The n largest distances (rounded to nine decimals, ties to the smaller id). Many are found by counting, which reads them several times, so they are written before."""
+    if n <= ranks.FEW:
+        return distances.orderBy(F.desc("dist"), "sample_id").limit(max(n, 0))
+    return ranks.within_quota(cut(distances), F.lit(0), [-F.round(F.col("dist") * 1e9), F.col("sample_id")], {0: n})
 
 
 def _top(df: DataFrame, score, n: int, ascending: bool = False) -> DataFrame:
@@ -52,8 +54,8 @@ def select_margin_by_class(df: DataFrame, n: int, k: int, max_gap: float = 0.05)
     """Rightly predicted rows with a small gap, int(n / k) per class."""
     gap = F.round(vec.top2_gap(vec.softmax(F.col("logits"))), 6)
     right = df.filter(vec.argmax(F.col("logits")) == F.col("label")).withColumn("score", gap).filter(F.col("score") < max_gap)
-    ranked = right.withColumn("_r", F.row_number().over(Window.partitionBy("label").orderBy("score", "sample_id")))
-    return ranked.filter(F.col("_r") <= n // k).select("sample_id", "label", "score")
+    ranked = right.withColumn("__r", F.row_number().over(Window.partitionBy("label").orderBy("score", "sample_id")))
+    return ranked.filter(F.col("__r") <= n // k).select("sample_id", "label", "score")
 
 
 def nearest_to_centers(df: DataFrame, centers: DataFrame, n: int, k: int, metric: str = "abs_cos", members_only: bool = False) -> DataFrame:
@@ -63,8 +65,8 @@ def nearest_to_centers(df: DataFrame, centers: DataFrame, n: int, k: int, metric
     """
     each = n // k
     dist = assign(df, centers, metric).select("sample_id", "cluster_id", "dist") if members_only else pairs(df.select("sample_id", "vec"), centers, metric)
-    ranked = dist.withColumn("_r", F.row_number().over(Window.partitionBy("cluster_id").orderBy("dist", "sample_id")))
-    return ranked.filter(F.col("_r") <= each).select("cluster_id", "sample_id", "dist")
+    ranked = dist.withColumn("__r", F.row_number().over(Window.partitionBy("cluster_id").orderBy("dist", "sample_id")))
+    return ranked.filter(F.col("__r") <= each).select("cluster_id", "sample_id", "dist")
 
 
 def farthest_fraction(df: DataFrame, selected: DataFrame, fraction: float = 0.25, metric: str = "abs_cos") -> DataFrame:
@@ -88,7 +90,7 @@ def farthest_one_per_cluster(df: DataFrame, centers: DataFrame, existing: DataFr
     """The farthest row of each cluster from the existing ones, then the n farthest of these."""
     far = coverage(df, existing, metric).withColumnRenamed("dist", "cover")
     best = assign(df, centers, metric).select("sample_id", "cluster_id").join(far, "sample_id")
-    best = best.withColumn("_r", F.row_number().over(Window.partitionBy("cluster_id").orderBy(F.col("cover").desc(), "sample_id"))).filter("_r = 1")
+    best = best.withColumn("__r", F.row_number().over(Window.partitionBy("cluster_id").orderBy(F.col("cover").desc(), "sample_id"))).filter("__r = 1")
     return best.orderBy(F.col("cover").desc(), "sample_id").limit(n).select("cluster_id", "sample_id", "cover")
 
 
@@ -143,8 +145,9 @@ def pool_split(df: DataFrame, n: int, pool: int = 10_000, seed: int = 0) -> tupl
 
 def repair_labels(df: DataFrame, m: int = 10) -> DataFrame:
     """The m most uncertain rows get their clean label."""
-    picked = select_uncertain(df, m).select("sample_id", F.lit(True).alias("_p"))
-    return df.join(picked, "sample_id", "left").withColumn("label", F.when(F.col("_p"), F.col("clean_label")).otherwise(F.col("label"))).drop("_p")
+    picked = select_uncertain(df, m).select(F.col("sample_id").alias("__id")).distinct()
+    joined = df.join(F.broadcast(picked), F.col("sample_id") == F.col("__id"), "left")  # m rows
+    return joined.withColumn("label", F.when(F.col("__id").isNotNull(), F.col("clean_label")).otherwise(F.col("label"))).drop("__id")
 
 
 def grow_meta(train: DataFrame, meta: DataFrame, m: int = 5) -> DataFrame:

@@ -14,12 +14,9 @@ from sievekit.sources import tables
 
 
 def subset(df: DataFrame, ids: DataFrame, labels: DataFrame | None = None) -> DataFrame:
-    """Rows whose id is in ids, with labels of (sample_id, label) where given."""
+    """Rows whose id is in ids, with labels of (sample_id, label) where given. Ids of labels that repeat take their smallest label, so that rows stay what they are."""
     out = df.join(ids.select("sample_id"), "sample_id", "left_semi")
-    if labels is None:
-        return out
-    new = labels.select("sample_id", F.col("label").alias("_new"))
-    return out.join(new, "sample_id", "left").withColumn("label", F.coalesce("_new", "label")).drop("_new")
+    return out if labels is None else tables.overlay_labels(out, labels)
 
 
 def split_train_meta(df: DataFrame, ids: DataFrame, include_meta: bool = False) -> DataFrame:
@@ -30,20 +27,17 @@ def split_train_meta(df: DataFrame, ids: DataFrame, include_meta: bool = False)
 
 
 def holdout_count(df: DataFrame, n: int, seed: int = 0) -> DataFrame:
-    return ranks.first(df, chance.order(seed), n)
+    """n rows by ticket: a top-n where they are few, else those up to the n-th ticket, found by counting."""
+    return df.orderBy(*chance.order(seed)).limit(max(n, 0)) if n <= ranks.FEW else ranks.within_quota(df, F.lit(0), chance.keys(seed), {0: n}, span=chance.SPAN)
 
 
 def holdout_rate(df: DataFrame, rate: float, seed: int = 0) -> DataFrame:
     return holdout_count(df, int(df.count() * rate), seed)
 
 
-def _ranked(df: DataFrame, seed: int) -> DataFrame:
-    return ranks.within(df, "label", chance.order(seed), "__rank")
-
-
 def _within_quota(df: DataFrame, quota: DataFrame, seed: int) -> DataFrame:
     """The first rows of each label by ticket, as many as quota (label, quota: a row per class) says."""
-    return _ranked(df, seed).join(F.broadcast(quota.select("label", F.col("quota").alias("__quota"))), "label").filter(F.col("__rank") <= F.col("__quota")).select(*df.columns)
+    return ranks.within_quota(df, F.col("label"), chance.keys(seed), {r["label"]: r["quota"] for r in quota.select("label", "quota").collect()}, span=chance.SPAN)
 
 
 def holdout_by_class(df: DataFrame, n: int, seed: int = 0, equal: bool = False) -> DataFrame:
@@ -58,7 +52,7 @@ def holdout_by_class(df: DataFrame, n: int, seed: int = 0, equal: bool = False)
 
 
 def cap_per_class(df: DataFrame, n: int = 45, seed: int = 0) -> DataFrame:
-    return _ranked(df, seed).filter(F.col("__rank") <= n).drop("__rank")
+    return _within_quota(df, df.select("label").distinct().withColumn("quota", F.lit(n)), seed)
 
 
 def long_tail(df: DataFrame, factor: float, seed: int = 0) -> DataFrame:
@@ -101,27 +95,35 @@ def binarize_label(df: DataFrame, threshold: int = 2) -> DataFrame:
 
 def bootstrap(df: DataFrame, n: int, seed: int = 0) -> DataFrame:
     """n draws with replacement: the rows of df with ``draw`` (from 0). Each draw is a place in ticket order."""
-    rows = chance.dense_index(df, seed, "_i")
-    size = df.agg(F.count(F.lit(1)).alias("_n"))
+    rows = chance.dense_index(df, seed, "__i")
+    size = df.agg(F.count(F.lit(1)).alias("__n"))
     draws = df.sparkSession.range(n).withColumnRenamed("id", "draw").join(F.broadcast(size))
-    draws = draws.withColumn("_i", F.floor(chance.uniform(seed + 1, "draw") * F.col("_n"))).drop("_n")
-    return draws.join(rows, "_i").drop("_i")
+    draws = draws.withColumn("__i", F.floor(chance.uniform(seed + 1, "draw") * F.col("__n"))).drop("__n")
+    return draws.join(rows, "__i").drop("__i")
 
 
 # --- label corruption ------------------------------------------------------------------------------------------
 
 
 def _chosen(df: DataFrame, rate: float, seed: int) -> DataFrame:
-    """df with ``_hit`` on exactly int(n * rate) rows, the first by ticket."""
-    ids = holdout_rate(df.select("sample_id"), rate, seed).withColumn("_hit", F.lit(True))
-    return df.join(ids, "sample_id", "left").withColumn("_hit", F.coalesce("_hit", F.lit(False)))
+    """df with ``__hit``: the first int(n * rate) rows by ticket. Rows that repeat an id share its ticket, and are hit together where the last ticket is theirs."""
+    return _hit(df, chance.keys(seed), int(df.count() * rate), chance.SPAN)
+
+
+def _hit(df: DataFrame, keys: list, n: int, span: tuple[int, int] | None = None) -> DataFrame:
+    """df with ``__hit`` where its keys are at most those of the n-th row in their order."""
+    numbers = [k.cast("long").alias(f"k{i}") for i, k in enumerate(keys)]
+    found = ranks.last_row(df.select(*numbers), len(keys), n, span=span)
+    if found is None:
+        return df.withColumn("__hit", F.lit(False))
+    return df.withColumn("__hit", F.struct(*numbers) <= F.struct(*(F.lit(v).cast("long").alias(f"k{i}") for i, v in enumerate(found))))
 
 
 def flip_random(df: DataFrame, rate: float, k: int, seed: int = 0, high: int | None = None) -> DataFrame:
     """Chosen rows get a uniform label below high (k - 1 by default, so the last class is never drawn)."""
     top = k - 1 if high is None else high
     new = F.floor(chance.uniform(seed + 1) * top).cast("int")
-    return _chosen(df, rate, seed).withColumn("label", F.when(F.col("_hit"), new).otherwise(F.col("label"))).drop("_hit")
+    return _chosen(df, rate, seed).withColumn("label", F.when(F.col("__hit"), new).otherwise(F.col("label"))).drop("__hit")
 
 
 def flip_matrix(df: DataFrame, matrix: list[list[float]], seed: int = 0) -> DataFrame:
@@ -145,22 +147,23 @@ def uniform_matrix(k: int, rate: float) -> list[list[float]]:
 def flip_other(df: DataFrame, rate: float, k: int, seed: int = 0) -> DataFrame:
     """Chosen rows get a uniform label that isn't their own."""
     new = F.pmod(F.col("label") + 1 + F.floor(chance.uniform(seed + 1) * (k - 1)), F.lit(k)).cast("int")
-    return _chosen(df, rate, seed).withColumn("label", F.when(F.col("_hit"), new).otherwise(F.col("label"))).drop("_hit")
+    return _chosen(df, rate, seed).withColumn("label", F.when(F.col("__hit"), new).otherwise(F.col("label"))).drop("__hit")
 
 
 def flip_permute(df: DataFrame, rate: float, permutation: list[int], seed: int = 0) -> DataFrame:
     """Chosen rows get the label that one fixed permutation gives their own."""
     new = F.get(F.array(*map(F.lit, permutation)), F.col("label")).cast("int")
-    return _chosen(df, rate, seed).withColumn("label", F.when(F.col("_hit"), new).otherwise(F.col("label"))).drop("_hit")
+    return _chosen(df, rate, seed).withColumn("label", F.when(F.col("__hit"), new).otherwise(F.col("label"))).drop("__hit")
 
 
 def flip_adversarial(df: DataFrame, scores: DataFrame, rate: float, k: int, seed: int = 0) -> DataFrame:
     """ceil(n * rate) rows get a uniform label below k - 1: first rows with a negative silhouette (sample_id, score), then others, each by ticket."""
     n = math.ceil(df.count() * rate)
-    tier = df.select("sample_id").join(scores, "sample_id", "left").select("sample_id", (~(F.coalesce("score", F.lit(0.0)) < 0)).alias("_tier"))
-    ids = ranks.first(tier, [F.col("_tier"), *chance.order(seed)], n).select("sample_id", F.lit(True).alias("_hit"))
+    low = scores.groupBy("sample_id").agg(F.min("score").alias("__score")).select(F.col("sample_id").alias("__id"), "__score")
+    tiered = df.join(low, F.col("sample_id") == F.col("__id"), "left").withColumn("__tier", (~(F.coalesce("__score", F.lit(0.0)) < 0)).cast("long")).drop("__id", "__score")
     new = F.floor(chance.uniform(seed + 1) * (k - 1)).cast("int")
-    return df.join(ids, "sample_id", "left").withColumn("label", F.when(F.col("_hit"), new).otherwise(F.col("label"))).drop("_hit")
+    hit = _hit(tiered, [F.col("__tier"), *chance.keys(seed)], n)
+    return hit.withColumn("label", F.when(F.col("__hit"), new).otherwise(F.col("label"))).drop("__hit", "__tier")
 
 
 def corrupt(df: DataFrame, kind: str, rate: float, k: int, seed: int = 0, permutation: list[int] | None = None, clusters: int = 10, store: str | None = None) -> DataFrame:

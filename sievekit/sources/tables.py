@@ -39,9 +39,9 @@ def read_csv_manifest(spark: SparkSession, path: str, objects: str, key: str = "
 
 
 def overlay_labels(df: DataFrame, other: DataFrame) -> DataFrame:
-    """Labels of other (sample_id, label) where it has one, else df's own."""
-    new = other.select("sample_id", F.col("label").alias("_new"))
-    return df.join(new, "sample_id", "left").withColumn("label", F.coalesce("_new", "label")).drop("_new")
+    """Labels of other (sample_id, label) where it has one, else df's own. An id that repeats in other takes its smallest label, so no row of df is repeated."""
+    new = other.groupBy(F.col("sample_id").alias("__id")).agg(F.min("label").alias("__new"))
+    return df.join(new, F.col("sample_id") == F.col("__id"), "left").withColumn("label", F.coalesce("__new", "label")).drop("__id", "__new")
 
 
 def save_splits(splits: dict[str, DataFrame], path: str) -> None:
