@@ -12,12 +12,17 @@ from pyspark.sql import functions as F
 from sievekit.functions import chance, vec
 from sievekit.functions.arrays import NUMPY_METRICS
 from sievekit.functions.arrays import norms as _norms
-from sievekit.operators import blocks
+from sievekit.operators import blocks, sums
 from sievekit.operators.distance import assign, centre_array, member_dist, pairs
 from sievekit.operators.represent import mean_vector
+from sievekit.operators.spectral import eigenvectors
 from sievekit.sources.tables import cut
 
 
+#: Tasks whose candidates meet in one.
+FAN = 32
+
+
 def random_seeds(df: DataFrame, k: int, seed: int = 0) -> DataFrame:
     """k rows by ticket, as centres numbered in that order."""
     return _numbered(df.orderBy(*chance.order(seed)).limit(k).select("sample_id", "vec").collect(), df)
@@ -35,7 +40,7 @@ def _numbered(rows, df: DataFrame) -> DataFrame:
 def _top_candidates(rows: DataFrame, chosen: dict, metric: str, m: int) -> dict:
     """For each run the m rows farthest from its chosen ones, (near, sample_id, vec), farthest first (ties: smaller id).
 
-    Each task passes on its own m, a second round of tasks those of all, so that only m rows a run reach the driver.
+    Each task passes on its own m, and FAN tasks' candidates meet in a tree, so that only m rows a run reach the driver.
     """
     shared = rows.sparkSession.sparkContext.broadcast({run: (np.array([c[0] for c in own]), np.array([c[1] for c in own])) for run, own in chosen.items()})
     measure, names = NUMPY_METRICS[metric], ["run", "near", "sample_id", "vec"]
@@ -73,7 +78,12 @@ def _top_candidates(rows: DataFrame, chosen: dict, metric: str, m: int) -> dict:
 
     shape = "run long, near double, sample_id long, vec array<double>"
     got: dict = {}
-    for r in rows.mapInArrow(measured, shape).repartition("run").mapInArrow(merged, shape).collect():
+    parts = rows.mapInArrow(measured, shape)
+    tasks = rows.rdd.getNumPartitions()
+    while tasks > 1:  # so many tasks' candidates meet in one, and those of such meetings again
+        tasks = -(-tasks // FAN)
+        parts = parts.repartition(tasks).mapInArrow(merged, shape)
+    for r in parts.collect():
         got.setdefault(r["run"], []).append((-r["near"], r["sample_id"], r["vec"]))
     shared.destroy()
     return {run: sorted(own) for run, own in got.items()}
@@ -135,57 +145,45 @@ def _numpy(batches):
             yield b.column(0).to_numpy(), b.column(1).to_numpy(), blocks.matrix(b.column(2)), b.column(3).to_numpy()
 
 
-def _step(rows: DataFrame, centers: dict, metric: str, weighted: bool, by_norm: bool, every: bool) -> dict:
+def _packed(rows: DataFrame) -> DataFrame:
+    """The rows of _rows in matrices by run, which the steps read."""
+    return blocks.pack(rows, {"w": "f8"}, ["run"])
+
+
+def _step(packed: DataFrame, centers: dict, metric: str, weighted: bool, by_norm: bool, every: bool) -> dict:
     """{run: {place of centre: (mass, sum)}} after one assignment. every: each row takes part in each run, else in its own.
 
-    The centres travel to every task; each task adds up its rows by centre, and these sums are added up by a shuffle.
+    The centres travel to every task; each task adds up its rows by centre and passes on one array a run.
     """
-    spark = rows.sparkSession
-    shared = spark.sparkContext.broadcast(centers)
-    measure, shape = NUMPY_METRICS[metric], "run long, c int, mass double, total array<double>"
-
-    def out(sums):
-        keys = list(sums)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int32()), pa.array([sums[k][0] for k in keys], pa.float64()), pa.array([sums[k][1] for k in keys], pa.list_(pa.float64()))],
-            names=["run", "c", "mass", "total"],
-        )
-
-    def add(sums, key, mass, total):
-        if key in sums:
-            sums[key][0] += mass
-            sums[key][1] += total
-        else:
-            sums[key] = [mass, total.copy()]
+    shared = packed.sparkSession.sparkContext.broadcast(centers)
+    measure = NUMPY_METRICS[metric]
 
     def local(batches):
-        sums: dict = {}
-        for runs, _, vecs, w in _numpy(batches):
-            for run, matrix in shared.value.items():
-                own = slice(None) if every else runs == run
-                v, mass = vecs[own], w[own]
-                if not len(v):
-                    continue
-                near = measure(v, matrix).argmin(axis=1)
-                if by_norm:
-                    norm = _norms(v)
-                    v, mass = (v, mass * norm) if weighted else (v / norm[:, None], mass)
-                scaled = v * w[own][:, None]
-                for c in np.unique(near).tolist():
-                    add(sums, (run, c), float(mass[near == c].sum()), scaled[near == c].sum(axis=0))
-        yield from out(sums)
-
-    def merged(batches):
-        sums: dict = {}
-        for b in batches:
-            for run, c, mass, total in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
-                add(sums, (run, c), mass, np.array(total))
-        yield from out(sums)
-
-    found: dict = {run: {} for run in centers}
-    for r in rows.mapInArrow(local, shape).repartition("run", "c").mapInArrow(merged, shape).collect():  # a row per centre
-        found[r["run"]][r["c"]] = (r["mass"], np.array(r["total"]))
+        for batch in batches:
+            for row in batch.select(["run", "n", "vec", "w"]).to_pylist():
+                own = blocks.unpack(row, {"w": "f8"})
+                v, w = own["vec"], own["w"]
+                norm = _norms(v) if by_norm else None
+                scaled = v * w[:, None]
+                mass = w
+                if by_norm and weighted:
+                    mass = w * norm
+                elif by_norm:
+                    scaled = np.divide(scaled, norm[:, None], out=np.zeros_like(scaled), where=norm[:, None] != 0)
+                for run in shared.value if every else [r for r in (row["run"],) if r in shared.value]:
+                    near = measure(v, shared.value[run]).argmin(axis=1)
+                    member = np.zeros((len(shared.value[run]), len(v)))
+                    member[near, np.arange(len(v))] = 1
+                    yield run, np.concatenate([member @ mass, member.sum(1), (member @ scaled).ravel()])
+
+    numbers = sum(c.shape[0] * (c.shape[1] + 2) for c in centers.values())
+    got = sums.collect(packed, local, numbers)
     shared.destroy()
+    found: dict = {}
+    for run, matrix in centers.items():
+        k, d = matrix.shape
+        x = got.get(run, np.zeros(k * (d + 2)))
+        found[run] = {c: (float(x[c]), x[2 * k + c * d : 2 * k + (c + 1) * d]) for c in range(k) if x[k + c] > 0}
     return found
 
 
@@ -199,9 +197,10 @@ def kmeans_runs(rows: DataFrame, seeds: dict, metric: str = "abs_cos", weighted:
     """
     now = {run: np.array(c, float) for run, c in seeds.items() if len(c)}
     left, seen = dict.fromkeys(now, max_iter), {run: {} for run in now}
+    packed = _packed(rows) if now else None
     cuts = np.cumsum([0, *widths]) if widths else None
     while active := [run for run in now if left[run] > 0]:
-        found = _step(rows, {run: now[run] for run in active}, metric, weighted, by_norm, every)
+        found = _step(packed, {run: now[run] for run in active}, metric, weighted, by_norm, every)
         for run in active:
             new = now[run].copy()
             for c, (mass, total) in found[run].items():
@@ -362,8 +361,9 @@ def kmeans_fixed(df: DataFrame, k: int, iterations: int, metric: str = "l2", cen
     """Centres after a fixed number of steps from the k rows with the smallest ids (or given ones); the centre of an empty cluster becomes 0."""
     rows = _rows(df)
     now = np.array([r["vec"] for r in (first_seeds(df, k) if centers is None else centers).orderBy("cluster_id").collect()])
+    packed = _packed(rows)
     for _ in range(iterations if len(now) else 0):
-        found = _step(rows, {0: now}, metric, False, False, False)[0]
+        found = _step(packed, {0: now}, metric, False, False, False)[0]
         now = np.array([found[c][1] / found[c][0] if c in found else np.zeros(now.shape[1]) for c in range(len(now))])
     return df.sparkSession.createDataFrame([(i, v) for i, v in enumerate(now.tolist())], "cluster_id int, vec array<double>")
 
@@ -386,12 +386,22 @@ def kernel_kmeans(df: DataFrame, k: int, tol: float = 1e-4, max_iter: int = 20,
     return now
 
 
-def spectral(df: DataFrame, k_eig: int, k: int, landmarks: int = 64, sigma: float = 1.0, iterations: int = 10, seed: int = 0) -> DataFrame:
+def spectral(df: DataFrame, k_eig: int, k: int, neighbours: int = 20, landmarks: int | None = None, sigma: float = 1.0, iterations: int = 10, seed: int = 0) -> DataFrame:
     """(sample_id, vec, cluster_id): k-means in the space of the normalised affinity's largest eigenvectors.
 
-    The affinity |cos| / sigma of all rows to a number of landmark rows stands for the square matrix (Nystrom):
-    degrees come from the landmarks' column sums, and only the landmarks' own square matrix, whose size is a
-    parameter, is decomposed on the driver. Every row is placed and clustered; the work is linear in the rows.
+    The affinity is that of each row's nearest neighbours (operators.spectral), or, with landmarks, an approximation of
+    the whole affinity by so many rows. iterations: of k-means.
+    """
+    placed = cut(_by_landmarks(df, k_eig, landmarks, sigma, seed)) if landmarks else eigenvectors(df, k_eig, neighbours, sigma, seed=seed)[0]
+    centers = kmeans(placed, farthest_first(placed, k, "l2").select("cluster_id", "vec"), "l2", max_iter=iterations)
+    return assign(placed, centers, "l2").select("sample_id", "vec", "cluster_id")
+
+
+def _by_landmarks(df: DataFrame, k_eig: int, landmarks: int, sigma: float, seed: int) -> DataFrame:
+    """(sample_id, vec): the eigenvectors from the affinity |cos| / sigma of all rows to a number of landmark rows, which stands for the square matrix (Nystrom).
+
+    Degrees come from the landmarks' column sums, and only the landmarks' own square matrix, whose size is a
+    parameter, is decomposed on the driver. The work is linear in the rows.
     """
     marks = random_seeds(df, landmarks, seed)
     table = centre_array(marks)
@@ -409,9 +419,7 @@ def spectral(df: DataFrame, k_eig: int, k: int, landmarks: int = 64, sigma: floa
     basis = vectors[:, top] / np.sqrt(np.maximum(values[top], 1e-12))
     basis *= np.where(basis[np.abs(basis).argmax(0), range(basis.shape[1])] < 0, -1, 1)
     axes = F.array(*(F.array(*map(F.lit, column.tolist())) for column in basis.T))
-    placed = cut(unit.select("sample_id", vec.bind(F.col("z"), lambda z: F.transform(axes, lambda a: vec.dot(z, a))).alias("vec")))
-    centers = kmeans(placed, farthest_first(placed, k, "l2").select("cluster_id", "vec"), "l2", max_iter=iterations)
-    return assign(placed, centers, "l2").select("sample_id", "vec", "cluster_id")
+    return unit.select("sample_id", vec.bind(F.col("z"), lambda z: F.transform(axes, lambda a: vec.dot(z, a))).alias("vec"))
 
 
 def mean_features(df: DataFrame, assigned: DataFrame) -> DataFrame:
