@@ -68,6 +68,18 @@ def stack_checkpoints(df: DataFrame, start: int, period: int, most: int = 5) ->
     return wanted.groupBy("sample_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("epoch", "vec"))), lambda s: s["vec"]).alias("blocks"))
 
 
+def stack_tables(samples: DataFrame, checkpoints: list[DataFrame], most: int = 5) -> DataFrame:
+    """(sample_id, blocks): the vectors (sample_id, vec, an id once) of up to five checkpoints in their order, for each of the samples that one has; a row that one misses has a block less.
+
+    Tables that are bucketed by id in the same number (tables.save_bucketed) are merged where they lie.
+    """
+    out, columns = samples.select("sample_id"), []
+    for i, one in enumerate(checkpoints[:most]):
+        columns.append(f"__v{i}")
+        out = out.join(one.select("sample_id", F.col("vec").alias(columns[-1])), "sample_id", "left")
+    return out.select("sample_id", F.filter(F.array(*columns), lambda b: b.isNotNull()).alias("blocks")).filter(F.size("blocks") > 0)
+
+
 def mean_passes(df: DataFrame) -> DataFrame:
     """(sample_id, probs, predicted): class probabilities averaged over stochastic passes (a row per sample and pass)."""
     probs = mean_vector(df.select("sample_id", vec.softmax(F.col("logits")).alias("vec")), "sample_id")

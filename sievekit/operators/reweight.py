@@ -4,10 +4,14 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sievekit.functions import chance, vec
+from sievekit.operators import blocks, sums
+from sievekit.sources.tables import cut
 
 LEAST = 1e-7
 
@@ -66,11 +70,23 @@ def decayed_rate(meta_lr: float, epoch: int, milestones: tuple[int, ...] = (120,
 
 
 def _mean_gradient(df: DataFrame, k: int, weight=None, name: str = "__g") -> DataFrame:
-    """One row: the mean of (weight times) the head's gradient, features by classes, flattened."""
+    """One row: the mean of (weight times) the head's gradient, features by classes, flattened. Each task adds up its rows' products as one matrix product a batch."""
     g = vec.ce_gradient(F.col("logits"), F.col("label"), k)
-    x = F.col("x") if weight is None else F.col("x") * F.col("w")
-    cells = df.select(*([weight.alias("w")] if weight is not None else []), F.posexplode(vec.outer(F.col("vec"), g)).alias("i", "x")).groupBy("i").agg(F.avg(x).alias("x"))
-    return cells.agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias(name))
+    rows = df.select(F.col("vec"), g.alias("g"), (F.lit(1.0) if weight is None else weight.cast("double")).alias("w")).filter("vec IS NOT NULL AND g IS NOT NULL AND w IS NOT NULL")
+
+    def add(batches):
+        total, n = None, 0
+        for b in batches:
+            if b.num_rows:
+                x, y, w = blocks.matrix(b.column(0)), blocks.matrix(b.column(1)), b.column(2).to_numpy()
+                part = x.T @ (y * w[:, None])
+                total, n = part if total is None else total + part, n + len(w)
+        if n:
+            yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([total.ravel().tolist()], pa.list_(pa.float64()))], names=["n", "x"])
+
+    cells = rows.mapInArrow(add, "n long, x array<double>").select("n", F.posexplode("x").alias("i", "x"))
+    means = cells.groupBy("i").agg((F.sum("x") / F.sum("n")).alias("x"))
+    return means.agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias(name))
 
 
 def meta_step(train: DataFrame, meta: DataFrame, k: int, lr: float, meta_lr: float, batch: int, momentum: float = 0.0, virtual: bool = True) -> DataFrame:
@@ -113,34 +129,67 @@ def glc_loss(df: DataFrame, matrix: DataFrame) -> DataFrame:
     return df.join(F.broadcast(table)).select("sample_id", vec.cross_entropy(product, F.col("label")).alias("loss"))
 
 
-def train_head(df: DataFrame, k: int, lr: float, epochs: int, weight: str | None = None, momentum: float = 0.0, start: list[float] | None = None, validation: DataFrame | None = None) -> DataFrame:
-    """(epoch, loss, accuracy, head): full-gradient training of a softmax head on vec, from zero or from a head to fine-tune.
+def _softmax(z: np.ndarray) -> np.ndarray:
+    e = np.exp(z - z.max(axis=1, keepdims=True))
+    return e / e.sum(axis=1, keepdims=True)
+
 
-    An epoch is one aggregate of k by d cells, which is all that comes to the driver. The (weighted) gradient is
-    divided by the number of rows; loss and accuracy are those before the epoch's step, of the validation rows
-    (label, vec) where there are some. momentum is Nesterov's. A head is its k rows one after the other.
+def train_head(df: DataFrame, k: int, lr: float, epochs: int, weight: str | None = None, momentum: float = 0.0, start: list[float] | None = None, validation: DataFrame | None = None, batch: int | None = None, seed: int = 0) -> DataFrame:
+    """(epoch, loss, accuracy, head): training of a softmax head on vec, from zero or from a head to fine-tune.
+
+    A step takes all rows, or batch rows, which follow each other in an order by ticket that is another for each epoch (the last
+    batch of an epoch may be smaller). Each task adds up the gradient of its rows, packed in matrices; k by d numbers come
+    to the driver. Steps follow each other, so batches are worth a job each when they are large. The (weighted) gradient is
+    divided by the number of rows; loss and accuracy are those before the epoch's first step, of the validation rows
+    (label, vec) where there are some. momentum is Nesterov's. A head is its k rows one after the other. Rows without a vector or a label take no part.
     """
     width = df.select(F.max(F.size("vec"))).first()[0] or 0
-    head = [0.0] * (k * width) if start is None else list(start)
+    head = np.zeros(k * width) if start is None else np.array(start, float)
     if len(head) != k * width:
         raise ValueError(f"a head of {len(head)} numbers does not fit {k} classes of {width}")
-    spark, w, speed, out = df.sparkSession, (F.col(weight).cast("double") if weight else F.lit(1.0)), [0.0] * len(head), []
-    right = F.avg((vec.argmax(F.col("logits")) == F.col("label")).cast("double"))
+    spark, speed, out = df.sparkSession, np.zeros(len(head)), []
+    w = F.col(weight).cast("double") if weight else F.lit(1.0)
+    columns = {"label": "i8", "w": "f8"}
+    rows = df.filter("vec IS NOT NULL AND label IS NOT NULL").select("sample_id", "vec", F.col("label").cast("long").alias("label"), w.alias("w"))
+    rows = cut(rows) if batch else rows
+    whole = blocks.pack(rows, columns)
+    seen = whole if validation is None else blocks.pack(validation.filter("vec IS NOT NULL AND label IS NOT NULL").select(F.monotonically_increasing_id().alias("sample_id"), "vec", F.col("label").cast("long").alias("label"), F.lit(1.0).alias("w")), columns)
+
+    def measured(packed: DataFrame) -> np.ndarray:
+        """Rows, loss and hits summed, then the gradient, for the head as it is."""
+        shared = spark.sparkContext.broadcast(head.reshape(k, width).copy())
+
+        def of(batches):
+            for b in batches:
+                for row in b.select(["n", "vec", "label", "w"]).to_pylist():
+                    own = blocks.unpack(row, columns)
+                    z = own["vec"] @ shared.value.T
+                    p, y, at = _softmax(z), own["label"], np.arange(len(z))
+                    loss = -np.log(np.maximum(p[at, y], 1e-300)).sum()
+                    hits = (z.argmax(axis=1) == y).sum()
+                    p[at, y] -= 1
+                    yield 0, np.concatenate([[len(z), loss, hits], ((p * own["w"][:, None]).T @ own["vec"]).ravel()])
+
+        found = sums.collect(packed, of, 3 + len(head)).get(0, np.zeros(3 + len(head)))
+        shared.destroy()
+        return found
+
     for epoch in range(epochs):
-        table = spark.createDataFrame([(head,)], "__h array<double>")
-
-        def scored(rows, *more, table=table):
-            z = F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda j: vec.dot(F.col("vec"), F.slice("__h", j * width + 1, width)))
-            return rows.join(F.broadcast(table)).select("label", "vec", *more, z.alias("logits"))
-
-        done = scored(df, w.alias("w")).withColumn("g", vec.ce_gradient(F.col("logits"), F.col("label"), k))
-        seen = done if validation is None else scored(validation)
-        stats = seen.agg(F.avg(vec.cross_entropy(F.col("logits"), F.col("label"))).alias("loss"), right.alias("right")).first()
-        out.append((epoch, stats["loss"], 100 * (stats["right"] or 0.0), list(head)))
-        cells = done.select(F.posexplode(vec.outer(F.col("g"), F.col("vec"))).alias("i", "x"), "w").groupBy("i").agg((F.sum(F.col("x") * F.col("w")) / F.count(F.lit(1))).alias("x"))
-        for r in cells.collect():
-            speed[r["i"]] = momentum * speed[r["i"]] + r["x"]
-            head[r["i"]] -= lr * (r["x"] + momentum * speed[r["i"]])
+        first = measured(seen)
+        out.append((epoch, float(first[1] / first[0]) if first[0] else None, float(100 * first[2] / first[0]) if first[0] else 0.0, head.tolist()))
+        if batch:
+            placed = chance.dense_index(rows, seed + epoch, "__at").withColumn("batch", F.floor(F.col("__at") / batch)).drop("__at")
+            packed = blocks.pack(placed, columns, ["batch"])
+            steps = (packed.filter(F.col("batch") == b) for b in range(-(-rows.count() // batch)))
+        else:
+            steps = (whole,)
+        for one in steps:
+            found = first if one is seen else measured(one)
+            if not found[0]:
+                continue
+            g = found[3:] / found[0]
+            speed = momentum * speed + g
+            head = head - lr * (g + momentum * speed)
     return spark.createDataFrame(out, "epoch int, loss double, accuracy double, head array<double>")
 
 

@@ -302,17 +302,24 @@ def _by_blocks(blocks: DataFrame, n: int, k: int, total: int | None, columns: in
     return select_representatives(flat, n, k, total, max_iter=max_iter, weight=weight, by_norm=by_norm, widths=widths)
 
 
-def select_gbc(df: DataFrame, n: int, k: int, classes: int, columns: int | None = None, m: int = 2, seed: int = 0, max_iter: int = 200, total: int | None = None, weights: DataFrame | None = None, full_loss: bool = False, start: int | None = None, period: int = 20) -> DataFrame:
+def select_gbc(df: DataFrame, n: int, k: int, classes: int, columns: int | None = None, m: int = 2, seed: int = 0, max_iter: int = 200, total: int | None = None, weights: DataFrame | None = None, full_loss: bool = False, start: int | None = None, period: int = 20, blocks: str | None = None) -> DataFrame:
     """Representatives by gradients: the head's gradient by its bias and weights as two blocks, m blocks drawn by importance,
     a subset of their columns, the same of further checkpoints, then clustered as vectors.
 
-    full_loss: the loss with the own logit added back. start, period, weights, total: as in select_rbc.
+    full_loss: the loss with the own logit added back. start, period, weights, total: as in select_rbc. blocks: a column of
+    gradient blocks (an array of arrays) that takes the place of the head's.
     """
+    if blocks is not None:
+        own = df.select("sample_id", *(["epoch"] if start is not None else []), F.col(blocks).alias("blocks"))
+        return _drawn(sample_blocks(cut(own), m, seed), n, k, total, columns, weights, seed, max_iter, start, period)
     head = gradient(df, classes, full_loss=full_loss)
     both = head.withColumn("__g0", F.col("vec")).drop("vec").withColumnRenamed("__g0", "__g")
     keys = ["sample_id"] + (["epoch"] if start is not None else [])
     joined = df.select(*keys, "vec").join(both.select(*keys, "__g"), keys).withColumn("blocks", F.array(F.col("__g"), vec.outer(F.col("__g"), F.col("vec"))))
-    drawn = sample_blocks(cut(joined.select(*keys, "blocks")), m, seed)
+    return _drawn(sample_blocks(cut(joined.select(*keys, "blocks")), m, seed), n, k, total, columns, weights, seed, max_iter, start, period)
+
+
+def _drawn(drawn: DataFrame, n: int, k: int, total: int | None, columns: int | None, weights: DataFrame | None, seed: int, max_iter: int, start: int | None, period: int) -> DataFrame:
     if start is None:
         return _by_blocks(drawn, n, k, total, columns, weights, False, seed, max_iter)
     stacked = stack_checkpoints(drawn.withColumn("vec", F.flatten("blocks")), start, period)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievekit.functions import vec
-from sievekit.operators import cluster, distance, facility, metrics, represent, reweight, select, splits
+from sievekit.operators import cluster, distance, facility, metrics, nearest, represent, reweight, select, spectral, splits
 from sievekit.plans import frames as P
 from sievekit.sources import tables
 
@@ -1029,3 +1029,145 @@ def m12_similarity_bound(spark, sf):
     v = P.vectors(spark, sf).withColumn("g", F.slice("vec", 1, 8))
     out = metrics.weighted_similarity_bound(v, ids_of(v, 25))
     return out.select(r6(F.col("largest")).alias("largest"), r6(F.col("largest_abs")).alias("largest_abs"))
+
+
+# --- stores: written to the scratch folder and read again ------------------------------------------------------
+
+
+@query(f"WITH {P.SQL_LABELLED} SELECT CASE WHEN sample_id % 10 = 0 THEN 'meta' ELSE 'train' END AS split, sample_id, label FROM l UNION ALL SELECT 'clean_labels', sample_id, label FROM l WHERE sample_id % 10 = 0")
+def s4_split_store(spark, sf):
+    l, at = P.labelled(spark, sf).select("sample_id", "label"), tables.scratch_path(spark, "splits")
+    meta = l.filter("sample_id % 10 = 0")
+    tables.save_splits({"train": l.filter("sample_id % 10 <> 0"), "meta": meta, "clean_labels": meta}, at)
+    out = None
+    for name, df in tables.load_splits(spark, at).items():
+        if df is not None:
+            one = df.select(F.lit(name).alias("split"), "sample_id", "label")
+            out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query("""WITH w AS (SELECT e, event_id AS sample_id, value / 100 * CASE e WHEN 1 THEN 9 ELSE e + 1 END AS w FROM events, (SELECT unnest([0, 1, 7]) AS e))
+SELECT 'latest' AS kind, CAST(7 AS INTEGER) AS epoch, sample_id, round(w, 6) AS w FROM w WHERE e = 7 UNION ALL SELECT 'again', 1, sample_id, round(w, 6) FROM w WHERE e = 1 UNION ALL SELECT 'promoted', 0, sample_id, round(w, 6) FROM w WHERE e = 0""")
+def s5_weight_epochs(spark, sf):
+    """Three epochs, one of them written again, the latest resumed, one promoted."""
+    at = tables.scratch_path(spark, "weights")
+    weights = lambda by: P.table(spark, sf, "events").select(F.col("event_id").alias("sample_id"), (F.col("value") / 100 * by).alias("w"))
+    for epoch, by in ((0, 1), (1, 2), (7, 8), (1, 9)):
+        tables.save_weights(weights(by), at, epoch)
+    tables.promote_weights(spark, at, 0, f"{at}-best")
+    found = {"latest": tables.load_weights(spark, at), "again": tables.load_weights(spark, at, 1), "promoted": spark.read.parquet(f"{at}-best").withColumn("epoch", F.lit(0))}
+    one, two, three = (df.select(F.lit(name).alias("kind"), F.col("epoch").cast("int").alias("epoch"), "sample_id", r6(F.col("w")).alias("w")) for name, df in found.items())
+    return one.unionByName(two).unionByName(three)
+
+
+@query("SELECT CAST(user_id % 40 AS INTEGER) AS run, CAST(max(dayofyear(ts)) AS INTEGER) AS epoch, round(avg(value), 4) AS loss, round(max(value), 4) AS metric FROM events GROUP BY 1")
+def s7_run_logs(spark, sf):
+    """A log for each run, with the line that reports its last epoch, read back by that line."""
+    at, e = tables.scratch_path(spark, "logs"), P.table(spark, sf, "events")
+    runs = e.groupBy((F.col("user_id") % 40).cast("int").alias("run")).agg(F.max(F.dayofyear("ts")).alias("epoch"), F.round(F.avg("value"), 4).alias("loss"), F.round(F.max("value"), 4).alias("metric"))
+    text = F.concat_ws("\n", F.lit("start"), F.concat(F.lit("final test performance is in epoch "), F.col("epoch"), F.lit(": "), F.col("loss"), F.lit(", "), F.col("metric")), F.lit(""))
+    runs.select("run", text.alias("value")).write.partitionBy("run").text(at)
+    logs = tables.read_run_logs(spark, f"{at}/run=*/*.txt")
+    return logs.select(F.regexp_extract("path", r"run=(\d+)/", 1).cast("int").alias("run"), "epoch", "loss", "metric")
+
+
+@query(ORACLES["n4_flip_permute"])
+def n6_corrupt_stored(spark, sf):
+    """Corruption by kind, whose labels are stored: a second call with another seed sees the first one's."""
+    l, at = P.labelled(spark, sf), tables.scratch_path(spark, "labels")
+    splits.corrupt(l, "biased", 0.2, 5, 8, [3, 0, 4, 1, 2], store=at)
+    return splits.corrupt(l, "uniform", 0.5, 5, 9, store=at).select("sample_id", "label")
+
+
+# --- compositions, hooks and registries ------------------------------------------------------------------------
+
+
+@query(f"""WITH {P.SQL_VECTORS}, a AS (SELECT * FROM v ORDER BY sample_id LIMIT 6), far AS (SELECT v.sample_id, min(round(1 - abs(list_inner_product(v.vec, a.vec)) / ({_NORM.format('v.vec')} * {_NORM.format('a.vec')}), 9)) AS dist FROM v, a GROUP BY 1),
+part AS (SELECT sample_id FROM (SELECT *, row_number() OVER (ORDER BY dist DESC, sample_id) AS r FROM far) WHERE r <= floor((SELECT count(*) FROM v) / 4))
+SELECT sample_id FROM a UNION SELECT sample_id FROM (SELECT sample_id FROM part ORDER BY sample_id LIMIT 3)""")
+def l10_coverage_loop(spark, sf):
+    """The loop with a selection that SQL can say: the smallest ids, then the smallest among the farthest quarter for what is missing."""
+    return select.coverage_loop(P.vectors(spark, sf).select("sample_id", "vec"), 6, 9, lambda rows, n: rows.select("sample_id").orderBy("sample_id").limit(n))
+
+
+@query()
+def l8_rbc(spark, sf):
+    """Rank-one vectors of features and outputs, some of their columns, two checkpoints, weights, means by norm, and the coverage loop."""
+    z = P.logits(spark, sf)
+    epochs = z.withColumn("epoch", F.lit(0)).unionByName(z.withColumn("logits", F.transform("logits", lambda x: x / 2)).withColumn("epoch", F.lit(20)))
+    weights = z.select("sample_id", (1.0 + F.col("sample_id") % 3).alias("w"))
+    return select.select_rbc(epochs, 20, 10, 30, columns=48, weights=weights, start=0, max_iter=20)
+
+
+@query()
+def l9_gbc_user_blocks(spark, sf):
+    """Gradient blocks that the user brings."""
+    halves = F.array(F.slice("vec", 1, 32), F.slice("vec", 33, 32))
+    return select.select_gbc(P.logits(spark, sf).withColumn("blocks", halves), 20, 10, K, 24, blocks="blocks", max_iter=20)
+
+
+@query("SELECT CAST(greatest(0, least(100, 60 - count(*) FILTER (vec_id % 10 = 0))) AS INTEGER) AS n FROM embeddings")
+def l26_remaining_budget(spark, sf):
+    n = select.remaining_budget(P.vectors(spark, sf).filter("sample_id % 10 = 0"), 100, 60)
+    return spark.createDataFrame([(n,)], "n int")
+
+
+@query(ORACLES["c3_lloyd_step"])
+def c7_nonempty_step(spark, sf):
+    """One step from the rows with the smallest ids, after which no cluster is empty, so that it isn't run again with fewer."""
+    out = cluster.kmeans_nonempty(P.vectors(spark, sf), 10, cluster.first_seeds, max_iter=1)
+    return out.select("cluster_id", F.posexplode("vec").alias("i", "x")).withColumn("x", r6(F.col("x")))
+
+
+@query(f"""WITH {P.SQL_VECTORS}, u AS (SELECT sample_id, vec, {_NORM.format('vec')} AS n FROM v), s AS (SELECT a.sample_id AS i, b.sample_id AS j, round(1 - abs(list_inner_product(a.vec, b.vec)) / (a.n * b.n), 9) AS d FROM u a JOIN u b ON a.sample_id <> b.sample_id),
+k AS (SELECT i, j, 1 - d AS w FROM s QUALIFY row_number() OVER (PARTITION BY i ORDER BY d, j) <= 5), g AS (SELECT i, j, max(w) AS w FROM (SELECT i, j, w FROM k UNION ALL SELECT j, i, w FROM k) GROUP BY 1, 2)
+SELECT i AS sample_id, round(sum(w), 6) AS degree FROM g GROUP BY 1""")
+def c10_degrees(spark, sf):
+    return spectral.degrees(spectral.neighbour_graph(P.vectors(spark, sf), 5)).select("sample_id", r6(F.col("degree")).alias("degree"))
+
+
+@query(f"WITH {P.SQL_VECTORS}, d AS (SELECT a.sample_id, b.sample_id AS near_id, round(list_distance(a.vec, b.vec), 9) AS dist FROM v a JOIN v b ON a.sample_id % 20 = 0 AND b.sample_id % 20 <> 0) SELECT sample_id, near_id, round(dist, 6) AS dist FROM d QUALIFY row_number() OVER (PARTITION BY sample_id ORDER BY dist, near_id) <= 3")
+def d12_nearest_rows(spark, sf):
+    """The three nearest of all other rows for every twentieth one, with cells ruled out."""
+    v = P.vectors(spark, sf)
+    return nearest.nearest(v.filter("sample_id % 20 = 0"), v.filter("sample_id % 20 <> 0"), 3, "l2").select("sample_id", "near_id", r6(F.col("dist")).alias("dist"))
+
+
+@query(f"WITH w AS (WITH {P.SQL_LOGITS} SELECT sample_id, {_PRED} AS label, vec FROM p), v AS (SELECT * FROM w), {_FL} SELECT label, sample_id, CAST(step AS INTEGER) AS step, round(gain, 4) AS gain FROM picks")
+def l25_facility_active_two(spark, sf):
+    z = P.logits(spark, sf).withColumn("predicted", vec.argmax(F.col("logits")))
+    budgets = z.select(F.col("predicted").alias("label")).distinct().withColumn("budget", F.lit(2))
+    return facility.active(z, budgets).withColumn("gain", F.round("gain", 4))
+
+
+@query(f"WITH {P.SQL_VECTORS}, {_CENTERS}, d AS (SELECT v.sample_id, c.cluster_id, round(list_sum(list_transform(list_zip(v.vec, c.vec), lambda z: abs(z[1] - z[2]))), 9) AS dist FROM v, c) SELECT sample_id, cluster_id, round(dist, 6) AS dist FROM d QUALIFY row_number() OVER (PARTITION BY sample_id ORDER BY dist, cluster_id) = 1")
+def u1_registered_metric(spark, sf):
+    """Assignment under a distance that a user registers."""
+    if "city_block" not in vec.METRICS:
+        vec.register("city_block", lambda a, b: vec.total(F.zip_with(a, b, lambda x, y: F.abs(x - y))))
+    v = P.vectors(spark, sf)
+    return distance.assign(v, cluster.first_seeds(v, 10), "city_block").select("sample_id", "cluster_id", r6(F.col("dist")).alias("dist"))
+
+
+@query(f"WITH {P.SQL_VECTORS} SELECT sample_id FROM v ORDER BY round(list_sum(vec), 6) DESC, sample_id LIMIT 25")
+def u2_registered_selector(spark, sf):
+    """A selection that a user registers, by its name."""
+    if "largest_sum" not in select.SELECTORS:
+        select.register_selector("largest_sum", lambda df, n: df.orderBy(F.round(vec.total(F.col("vec")), 6).desc(), "sample_id").limit(n))
+    return select.select(P.vectors(spark, sf), "largest_sum", 25)
+
+
+@query(f"WITH {P.SQL_VECTORS} SELECT sample_id, round(vec[1] + 2 * vec[2], 6) AS a, round(vec[1] - vec[2], 6) AS b FROM v")
+def u3_model_hook(spark, sf):
+    """Outputs of a model that a user brings."""
+
+    def make_model():
+        import numpy as np
+
+        matrix = np.zeros((64, 2))
+        matrix[:2] = [[1, 1], [2, -1]]
+        return lambda rows: np.asarray(rows, float) @ matrix
+
+    z = F.col("logits")
+    return represent.predict(P.vectors(spark, sf), make_model).select("sample_id", r6(z[0]).alias("a"), r6(z[1]).alias("b"))

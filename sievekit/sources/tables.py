@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+import uuid
 from functools import cache
 
 from pyspark.errors import AnalysisException
@@ -65,21 +66,49 @@ def load_splits(spark: SparkSession, path: str) -> dict[str, DataFrame | None]:
 
 
 def save_weights(df: DataFrame, path: str, epoch: int) -> None:
-    """Replace one epoch's partition of the weights (sample_id, w)."""
-    df.select("sample_id", "w").write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
+    """Replace the epoch's partition of the weights (sample_id, w); the other epochs stay as they are, also where df is made from them."""
+    rows = df.select("sample_id", "w", F.lit(epoch).cast("int").alias("epoch"))
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("epoch").parquet(path)
+
+
+def _files(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+def saved_epochs(spark: SparkSession, path: str) -> list[int]:
+    """The epochs that have weights, from the names of their folders: no weight is read. None where nothing is saved."""
+    files, at = _files(spark, path)
+    names = [f.getPath().getName() for f in files.listStatus(at)] if files.exists(at) else []
+    return sorted(int(n.removeprefix("epoch=")) for n in names if n.startswith("epoch="))
 
 
 def promote_weights(spark: SparkSession, path: str, best: int, to: str) -> None:
-    """Write the weights of the best epoch to a place of their own, to start from."""
-    load_weights(spark, path, best).select("sample_id", "w").write.mode("overwrite").parquet(to)
+    """The weights of the best epoch at a place of their own, to start from. They are written beside it and renamed, so that a reader sees the old ones or the new ones, whole."""
+    files, at = _files(spark, to)
+    new, old = (_files(spark, f"{to.rstrip('/')}.{name}")[1] for name in ("new", "old"))
+    load_weights(spark, path, best).select("sample_id", "w").write.mode("overwrite").parquet(new.toString())
+    files.delete(old, True)
+    if files.exists(at):
+        files.rename(at, old)
+    if not files.rename(new, at):
+        raise OSError(f"{new.toString()} could not be renamed to {to}")
+    files.delete(old, True)
 
 
 def load_weights(spark: SparkSession, path: str, epoch: int | None = None) -> DataFrame:
-    """One epoch's weights, the latest where epoch is None; only its partition is read."""
-    every = spark.read.parquet(path)
+    """(sample_id, w, epoch): one epoch's weights, the latest where epoch is None; only its partition is read."""
     if epoch is None:
-        epoch = every.agg(F.max("epoch")).first()[0]
-    return every.filter(F.col("epoch") == epoch)
+        epochs = saved_epochs(spark, path)
+        if not epochs:
+            raise ValueError(f"no weights are saved under {path}")
+        epoch = epochs[-1]
+    return spark.read.parquet(path).filter(F.col("epoch") == epoch)
+
+
+def save_bucketed(df: DataFrame, name: str, path: str, buckets: int = 64) -> None:
+    """A table (sample_id, vec) bucketed and sorted by id, its files under path: such tables meet without a shuffle."""
+    df.select("sample_id", "vec").write.mode("overwrite").option("path", path).bucketBy(buckets, "sample_id").sortBy("sample_id").saveAsTable(name)
 
 
 def read_run_logs(spark: SparkSession, glob: str) -> DataFrame:
@@ -114,6 +143,14 @@ def cut(df: DataFrame, batch: int | None = None) -> DataFrame:
         conf.set(name, before)
 
 
+def scratch_path(spark: SparkSession, label: str) -> str:
+    """A new path in the folder that all executors share, spark.checkpoint.dir; on a local master, where that may be unset, in a temporary one of this process."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return f"{(shared or 'file://' + _local_folder()).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
 @cache
 def _local_folder() -> str:
     path = tempfile.mkdtemp(prefix="sievekit-")
