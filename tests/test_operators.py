@@ -312,10 +312,10 @@ def test_rbc_and_gbc_are_made_of_their_parts(spark, small):
             break
     d = cos(whole, c)
     used = len(set(d.argmin(1).tolist()))
-    if used == 5:
-        want = {int(np.lexsort((EVERY, d[:, k]))[0]) for k in range(5)}
-        weights = small.select("sample_id", "w")
-        assert ids_of(select.select_rbc(epochs, 5, 5, columns=10, weights=weights, start=0, max_iter=STEPS)) == want
+    assert used == 5  # else fewer clusters are tried again
+    want = {int(np.lexsort((EVERY, d[:, k]))[0]) for k in range(5)}
+    weights = small.select("sample_id", "w")
+    assert ids_of(select.select_rbc(epochs, 5, 5, columns=10, weights=weights, start=0, max_iter=STEPS)) == want
     labelled = small.withColumn("label", F.col("sample_id").cast("int") % 4)
     for full in (False, True):
         got = ids_of(select.select_gbc(labelled, 6, 6, 4, columns=5, max_iter=3, full_loss=full, total=8))
@@ -324,6 +324,58 @@ def test_rbc_and_gbc_are_made_of_their_parts(spark, small):
     assert 1 <= len(stacked) <= 4
 
 
+def test_gbc_by_hand(small):
+    """Blocks that the user brings, and the head's own: drawn by importance, flattened, clustered, the nearest row of each centre."""
+    x = matrix()
+    mine = small.withColumn("blocks", F.array(F.slice("vec", 1, 3), F.slice("vec", 4, 3)))
+    labelled = small.withColumn("label", F.col("sample_id").cast("int") % 4)
+    p = np.exp(x[:, :4] - x[:, :4].max(1, keepdims=True))
+    g = p / p.sum(1, keepdims=True) - np.eye(4)[EVERY % 4]
+    head = [g, (g[:, :, None] * x[:, None, :]).reshape(90, -1)]
+    for blocks, got in (([x[:, :3], x[:, 3:]], select.select_gbc(mine, 4, 4, 4, blocks="blocks", max_iter=STEPS)), (head, select.select_gbc(labelled, 4, 4, 4, max_iter=STEPS))):
+        share = np.array([(b * b).sum(1).mean() / b.shape[1] for b in blocks])
+        share /= share.sum()
+        import hashlib
+
+        drawn = []
+        for i in range(2):
+            u = int(hashlib.md5(f"0:{i}".encode()).hexdigest()[:8], 16) / (1 << 32)
+            b = int(np.searchsorted(np.cumsum(share), u, "right"))
+            drawn.append(blocks[b] / np.sqrt(share[b]))
+        whole = np.concatenate(drawn, axis=1)
+        cuts = np.cumsum([0, *(b.shape[1] for b in drawn)])
+        c = whole[seeds(whole, EVERY, 4)]
+        for _ in range(STEPS):
+            near, old = cos(whole, c).argmin(1), c.copy()
+            for k in set(near.tolist()):
+                c[k] = whole[near == k].mean(0)
+            if sum(np.sqrt(((c - old)[:, a:b] ** 2).sum(1)).sum() for a, b in zip(cuts, cuts[1:])) ** 2 < 1e-4:
+                break
+        d = cos(whole, c)
+        assert len(set(d.argmin(1).tolist())) == 4
+        assert ids_of(got) == {int(np.lexsort((EVERY, d[:, k]))[0]) for k in range(4)}
+
+
+def test_zero_vectors_and_lone_classes(spark, small):
+    """Stated values where there is nothing to divide by."""
+    zero = small.limit(3).withColumn("vec", F.array(*[F.lit(0.0)] * 6)).withColumn("sample_id", F.col("sample_id") + 1000)
+    rows = small.unionByName(zero)
+    centers = cluster.first_seeds(small, 3)
+    for metric, want in (("abs_cos", 1.0), ("neg_cos", 0.0), ("cross", 1.0), ("abs_cos_by_norm", 1.0)):
+        got = {r.dist for r in distance.assign(rows, centers, metric).filter("sample_id >= 1000").collect()}
+        row = rows.filter("sample_id >= 1000").join(F.broadcast(centers.withColumnRenamed("vec", "c"))).select(F.round(vec.METRICS[metric](F.col("vec"), F.col("c")), 9).alias("d"))
+        assert got == {want} == {r.d for r in row.collect()}, metric
+    assert distance.coverage(rows, small.limit(2)).count() == 93
+    assert len(select.select_representatives(rows, 4, 4, max_iter=3).collect()) >= 1
+    one = spark.createDataFrame([(1, 1, [0.5, 0.5])] * 3, "label int, predicted int, scores array<double>")
+    assert metrics.quadratic_kappa(one).first()[0] is None
+    assert [(r.label, r.auc) for r in metrics.roc_auc(one).orderBy("label").collect()] == [(0, None), (1, None)] and metrics.macro_auc(one).first()[0] is None
+    cells = spark.createDataFrame([(1, 0.0), (1, 0.0), (2, 1.0), (2, -0.5)], "sample_id long, d double")
+    assert metrics.d_value(cells).first().n == 1
+    blank = spark.createDataFrame([(1, [[0.0], [0.0, 0.0]])], "sample_id long, blocks array<array<double>>")
+    assert [r.prob for r in represent.block_probabilities(blank).collect()] == [0.5, 0.5] and represent.sample_blocks(blank, 2).count() == 1
+
+
 def test_trajectories(spark):
     rows = [(i, e, (1.0 if i < 5 else -2.0) * (1 + 0.01 * i) * (e + 1)) for i in range(10) for e in range(3) if (i, e) != (9, 1)]
     got = select.select_by_trajectory(spark.createDataFrame(rows, "sample_id long, epoch int, delta double"), 5, 2).collect()
