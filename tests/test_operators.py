@@ -190,6 +190,25 @@ def test_best_k_runs_each_k(small):
         assert abs(got[k] - np.mean(scores)) < 1e-6
 
 
+@pytest.mark.parametrize("kind", ["dot", "l2"])
+def test_kernel_kmeans_by_hand(small, kind):
+    """Clusters as sets of members: the mean product (or squared distance) with them, from the rows with the smallest ids."""
+    x = matrix()
+    member, last = np.where(EVERY < 4, EVERY, -1), None
+    for _ in range(6):
+        far = np.full((90, 4), np.inf)
+        for c in set(member.tolist()) - {-1}:
+            own = x[member == c]
+            far[:, c] = 1 - np.abs((x @ own.T / 6).mean(1)) if kind == "dot" else ((x[:, None] - own[None]) ** 2).sum(2).mean(1)
+        far = np.round(far, 9)
+        member, mean = far.argmin(1), far.min(1).mean()
+        if last is not None and abs(last - mean) < 1e-4:
+            break
+        last = mean
+    got = {r.sample_id: r.cluster_id for r in cluster.kernel_kmeans(small, 4, max_iter=6, kind=kind).collect()}
+    assert [got[i] for i in range(90)] == member.tolist()
+
+
 def test_kernel_kmeans_covers_every_row(small):
     for kind in ("dot", "l2"):
         rows = cluster.kernel_kmeans(small, 5, max_iter=3, kind=kind).collect()
