@@ -150,7 +150,10 @@ def train_head(df: DataFrame, k: int, lr: float, epochs: int, weight: str | None
     spark, speed, out = df.sparkSession, np.zeros(len(head)), []
     w = F.col(weight).cast("double") if weight else F.lit(1.0)
     columns = {"label": "i8", "w": "f8"}
-    rows = df.filter("vec IS NOT NULL AND label IS NOT NULL").select("sample_id", "vec", F.col("label").cast("long").alias("label"), w.alias("w"))
+    if batch and "sample_id" not in df.columns:
+        raise ValueError("batches follow the order of sample_id, which df has not")
+    own = F.col("sample_id") if "sample_id" in df.columns else F.monotonically_increasing_id()  # only deals rows to blocks
+    rows = df.filter("vec IS NOT NULL AND label IS NOT NULL").select(own.alias("sample_id"), "vec", F.col("label").cast("long").alias("label"), w.alias("w"))
     rows = cut(rows) if batch else rows
     whole = blocks.pack(rows, columns)
     seen = whole if validation is None else blocks.pack(validation.filter("vec IS NOT NULL AND label IS NOT NULL").select(F.monotonically_increasing_id().alias("sample_id"), "vec", F.col("label").cast("long").alias("label"), F.lit(1.0).alias("w")), columns)
