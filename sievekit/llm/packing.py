@@ -28,13 +28,15 @@ from sievekit.llm.common import SLICE, materialize
 @dataclass(frozen=True)
 class Params:
     """window: tokens of the longest tier; least: of the shortest; both powers of two. cell_tokens: about the tokens
-    that are packed together. step_tokens: of a step group, a multiple of window. end_id: closes a document."""
+    that are packed together. step_tokens: of a step group, a multiple of window. end_id: closes a document.
+    kept_words: words whose ids a worker keeps, in each of two generations."""
 
     window: int = 1024
     least: int = 64
     cell_tokens: int = 2_000_000
     step_tokens: int = 1 << 19
     end_id: int = 0
+    kept_words: int = 300_000
 
 
 class Rests:
@@ -132,7 +134,7 @@ def pieces(docs: DataFrame, path: str, params: Params = Params(), keep: list[str
     end = params.end_id.to_bytes(4, "little")
 
     def run(batches):
-        encode, task, number, places = tokenizer(path).encode, TaskContext.get().partitionId(), 0, {}
+        encode, task, number, places = tokenizer(path, params.kept_words).encode_all, TaskContext.get().partitionId(), 0, {}
 
         def packed(rows, coded):
             nonlocal number
@@ -160,7 +162,7 @@ def pieces(docs: DataFrame, path: str, params: Params = Params(), keep: list[str
         for batch in batches:
             for begin in range(0, batch.num_rows, SLICE):
                 part = batch.slice(begin, SLICE)
-                own = [encode(t) + end for t in part.column(1).to_pylist()]
+                own = [ids + end for ids in encode(part.column(1).to_pylist())]
                 rows.append(part.column(0))
                 coded += own
                 held += sum(map(len, own)) // 4
