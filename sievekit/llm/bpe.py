@@ -66,10 +66,10 @@ class Tokenizer:
             a, b = pair if isinstance(pair, list) else pair.split(" ")
             self.merges.setdefault(vocab[a] << 32 | vocab[b], rank << 32 | vocab[a + b])
         made = np.array(sorted((pair, m >> 32, m & _ID) for pair, m in self.merges.items()) + [((1 << 63) - 1, NO_RANK, 0)], np.int64)
-        self.pair_keys, self.pair_ranks = np.ascontiguousarray(made[:, 0]), np.ascontiguousarray(made[:, 1])
-        self.merged_ids = np.full(len(spec["model"]["merges"]), -1)
+        self.pair_keys, self.pair_ranks = np.ascontiguousarray(made[:, 0]), made[:, 1].astype(np.int32)
+        self.merged_ids = np.full(len(spec["model"]["merges"]), -1, np.int32)
         self.merged_ids[made[:-1, 1]] = made[:-1, 2]
-        self.byte_ids = np.array([*self.byte_id, -1], np.int64)  # the last stands for no byte
+        self.byte_ids = np.array([*self.byte_id, -1], np.int32)  # the last stands for no byte
         self.byte_ranks = self.ranks(*np.meshgrid(self.byte_ids, self.byte_ids, indexing="ij"))
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         back = {c: b for b, c in enumerate(chars)}
@@ -93,7 +93,7 @@ class Tokenizer:
     def merge_side_by_side(self, words: list[bytes], width: int) -> list[bytes]:
         """The packed ids of words of 1 to width bytes, in their order."""
         size, width = np.array([len(w) for w in words]), width + 1  # the last place stays empty
-        data = np.full((len(words), width), 256)
+        data = np.full((len(words), width), 256, np.int16)
         data[np.arange(width) < size[:, None]] = np.frombuffer(b"".join(words), np.uint8)
         ids, ranks = self.byte_ids[data], self.byte_ranks[data[:, :-1], data[:, 1:]]
         out, live = [b""] * len(words), np.arange(len(words))
