@@ -21,7 +21,7 @@ def passing_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies, by five-word shingles and similarity 0.8 (op6's query has its own contract)."""
+    """One document of each group of near copies, by SimHash with BK-trees over five-word shingles and MinHash for pairs beyond its radius, all held to similarity 0.8 (op6's query has its own contract)."""
     return near_copies.keep_one(docs)
 
 

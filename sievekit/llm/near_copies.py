@@ -1,9 +1,10 @@
 """One document of each group of near copies: texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
 
-A radius of fingerprint bits that finds such pairs (about ten bits differ at 0.8) is no filter for BK-trees, so the
-candidates come from MinHash: texts that agree on all rows of a band meet, which pairs at 0.8 miss with a chance
-of 7 in a million and closer pairs less. Texts that share a band are then compared by their exact sets (see links), unless
-they are connected already. Links join documents to components.
+Near-dedup by SimHash: each text has a fingerprint of its shingles, and BK-trees find the fingerprints within the radius
+(see simhash). What they connect is compared by exact sets. A radius that finds every pair at 0.8 (about ten bits differ) is
+no filter for BK-trees, so the pairs beyond the radius come from MinHash: texts that agree on all rows of a band meet,
+which pairs at 0.8 miss with a chance of 7 in a million and closer pairs less. Those are compared by their exact sets too
+(see links), unless they are connected already. Links join documents to components.
 """
 
 from __future__ import annotations
@@ -16,17 +17,19 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sievekit.llm.common import FEW_ROWS, drop, join_counted, join_per_key, map_rows, materialize, scratch
+from sievekit.llm import simhash
+from sievekit.llm.common import FEW_ROWS, drop, join_counted, join_per_key, map_rows, materialize, releasing, scratch, small_reads
 from sievekit.llm.simhash import components, union
 
 
 @dataclass(frozen=True)
 class Params:
     """words: of a shingle. per_mille: least Jaccard similarity in thousandths, so that it is compared exactly.
-    bands of rows hashes each. block, block_shingles: about the most texts and shingles of a block."""
+    radius: bits by which fingerprints that BK-trees find differ at most. bands of rows hashes each. block, block_shingles: about the most texts and shingles of a block."""
 
     words: int = 5
     per_mille: int = 800
+    radius: int = 3
     bands: int = 30
     rows: int = 5
     block: int = 512
@@ -63,7 +66,7 @@ def band_keys(params: Params = Params()):
 
 
 def sketches(docs: DataFrame, params: Params = Params()) -> DataFrame:
-    """doc_id, text_hash, sid (of the set), size and keys, one row per document. The sets themselves stay behind."""
+    """doc_id, text_hash, sid (of the set), size, fp (the set's fingerprint as a signed long) and keys, one row per document. The sets themselves stay behind."""
 
     def setup():
         keys = band_keys(params)
@@ -71,13 +74,14 @@ def sketches(docs: DataFrame, params: Params = Params()) -> DataFrame:
         def run(texts):
             sets = [shingles(t, params) for t in texts]
             sid = np.array([xxhash.xxh64_intdigest(s.tobytes(), params.seed) for s in sets], np.uint64).view(np.int64)
-            return pa.array(sid), [len(s) for s in sets], [keys(s) for s in sets]
+            fp = np.array([simhash.majority(s) for s in sets], np.uint64).view(np.int64)
+            return pa.array(sid), [len(s) for s in sets], pa.array(fp), [keys(s) for s in sets]
 
         return run
 
     slim = docs.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"))
-    flat = map_rows(slim, ["text"], setup, "sid long, size long, keys array<long>", ["doc_id", "text_hash"])
-    return flat.select("row.doc_id", "row.text_hash", "sid", "size", "keys")
+    flat = map_rows(slim, ["text"], setup, "sid long, size long, fp long, keys array<long>", ["doc_id", "text_hash"])
+    return flat.select("row.doc_id", "row.text_hash", "sid", "size", "fp", "keys")
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame, params: Params = Params()) -> DataFrame:
@@ -125,6 +129,20 @@ def met_groups(nodes: DataFrame) -> DataFrame:
     return keyed.join(hubs.select("key", F.col("h.sid").alias("hub"), F.col("h.size").alias("hub_size")), "key").select("key", "sid", "size", "hub", "hub_size")
 
 
+def fingerprint_spokes(nodes: DataFrame, params: Params) -> DataFrame:
+    """(sid, hub), a written table: each set whose fingerprint is connected to others by BK-trees, and the smallest set of that component, if their sizes fit."""
+    whole = nodes.filter("size > 0").select("sid", "size", "fp")
+    found = materialize(simhash.links(whole.select("fp").distinct(), simhash.Params(words=params.words, radius=params.radius)), "near-stars", 200)
+    roots = components(found)
+    named = whole.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    hubs = named.groupBy("root").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("sid", "size")).alias("h")).filter("c > 1")
+    hubs = hubs.select("root", F.col("h.sid").alias("hub"), F.col("h.size").alias("hub_size"))
+    fits = 1000 * F.least("size", "hub_size") >= params.per_mille * F.greatest("size", "hub_size")
+    out = materialize(named.join(hubs, "root").filter((F.col("sid") != F.col("hub")) & fits).select("sid", "hub"), "near-spokes")
+    drop(nodes.sparkSession, found, roots)
+    return out
+
+
 def _hashes(packed) -> np.ndarray:
     return np.frombuffer(packed, np.uint64)
 
@@ -156,7 +174,7 @@ def alike(edges: DataFrame, sets: DataFrame, params: Params) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in found], names=["a", "b"])
 
     ordered = rows.repartition("hub", "cell").sortWithinPartitions("hub", "cell", "turn")
-    return ordered.mapInArrow(compare, "a long, b long")
+    return ordered.mapInArrow(releasing(compare), "a long, b long")
 
 
 def alike_within(groups: DataFrame, sets: DataFrame, params: Params) -> DataFrame:
@@ -190,13 +208,14 @@ def alike_within(groups: DataFrame, sets: DataFrame, params: Params) -> DataFram
             yield out()
 
     ordered = cells.repartition(*[F.col(n) for n in names]).sortWithinPartitions(*names)
-    return ordered.mapInArrow(search, "a long, b long").distinct()
+    return ordered.mapInArrow(releasing(search), "a long, b long").distinct()
 
 
 def links(docs: DataFrame, nodes: DataFrame, params: Params = Params()) -> DataFrame:
-    """(a, b): a written table of stars that connect all sets (by sid) which share a band and are similar enough.
+    """(a, b): a written table of stars that connect all sets (by sid) which are similar enough and have near fingerprints or share a band.
 
-    Three passes, each over what the ones before left unconnected: each set against the smallest hub of its bands,
+    First each set against the smallest one that BK-trees connect its fingerprint to. Then, for pairs beyond the radius,
+    three passes, each over what the ones before left unconnected: each set against the smallest hub of its bands,
     then against its other hubs, then the sets that aren't hubs against each other inside their bands' groups.
     Sets that are connected already aren't compared again, so a large group of near copies costs a comparison a member.
     Pairs whose sizes alone rule them out are dropped before any set travels.
@@ -204,10 +223,18 @@ def links(docs: DataFrame, nodes: DataFrame, params: Params = Params()) -> DataF
     groups = materialize(met_groups(nodes), "near-groups")
     fits = 1000 * F.least("size", "hub_size") >= params.per_mille * F.greatest("size", "hub_size")
     spokes = materialize(groups.filter((F.col("sid") != F.col("hub")) & fits).select("sid", "hub").distinct(), "near-spokes")
-    wanted = nodes.join(groups.select("sid").distinct(), "sid").select("sid", F.col("text_hash").alias("of"))
+    by_print = fingerprint_spokes(nodes, params)
+    met = groups.select("sid").unionByName(by_print.select("sid")).unionByName(by_print.select(F.col("hub").alias("sid"))).distinct()
+    wanted = nodes.join(met, "sid").select("sid", F.col("text_hash").alias("of"))
     sets = materialize(sets_of(docs, materialize(wanted, "near-wanted"), params), "near-sets", 200)
+    close = materialize(alike(by_print, sets, params), "near-links", 200)
+    roots = roots_of(close)
+    apart = materialize(_apart(spokes, roots).select("sid", "hub"), "near-spokes")
+    drop(docs.sparkSession, by_print, roots, spokes)
+    spokes = apart
     first = materialize(spokes.groupBy("sid").agg(F.min("hub").alias("hub")), "near-first")
-    found = materialize(alike(first, sets, params), "near-links", 200)
+    found = materialize(close.unionByName(alike(first, sets, params)), "near-links", 200)
+    drop(docs.sparkSession, close)
     roots = roots_of(found)
     # what is left of the spokes
     rest = spokes.join(first, ["sid", "hub"], "left_anti")
@@ -240,7 +267,7 @@ def group(docs: DataFrame, prints: DataFrame, params: Params = Params()) -> Data
 
     Null ids are passed over where the component has another id. Equal sets count once in the search.
     """
-    nodes = prints.groupBy("sid").agg(F.min("doc_id").alias("first_id"), F.min("text_hash").alias("text_hash"), F.first("size").alias("size"), F.first("keys").alias("keys"))
+    nodes = prints.groupBy("sid").agg(F.min("doc_id").alias("first_id"), F.min("text_hash").alias("text_hash"), F.first("size").alias("size"), F.first("fp").alias("fp"), F.first("keys").alias("keys"))
     nodes = materialize(nodes, "near-nodes")
     linked_by = links(docs, nodes, params)
     roots = roots_of(linked_by)
@@ -256,7 +283,7 @@ def keep_one(docs: DataFrame, params: Params = Params()) -> DataFrame:
     Rows that repeat a kept id leave one row, the first by a hash of the text. Rows without an id stay, unless
     their component has a document with one.
     """
-    with scratch(docs.sparkSession) as used:
+    with scratch(docs.sparkSession) as used, small_reads(docs.sparkSession):
         prints = materialize(sketches(docs, params), "near-prints")
         grouped = prints.select("doc_id", "text_hash", "sid").join(group(docs, prints, params), "sid").drop("sid")
         found = used.keep(materialize(grouped, "near-found"))

@@ -45,7 +45,11 @@ def fingerprint(text: str | None, params: Params = Params()) -> int:
     k = params.words
     shingles = map(b" ".join, zip(*(words[i:] for i in range(k)), strict=False)) if len(words) >= k else [b" ".join(words)]
     digest, seed = xxhash.xxh64_intdigest, params.seed
-    hashes = np.array([digest(s, seed) for s in shingles], np.uint64)
+    return majority(np.array([digest(s, seed) for s in shingles], np.uint64))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The fingerprint of some hashes: bit j is 1 if it is set in over half of them."""
     ones = np.zeros(64, np.int64)
     for at in range(0, len(hashes), 1 << 16):
         part = hashes[at : at + (1 << 16)].view(np.uint8).reshape(-1, 8)

@@ -106,3 +106,22 @@ def test_scratch_goes(spark):
         left = [p for p in used.paths if os.path.exists(p.removeprefix("file://"))]
         assert len(used.paths) > 15 and len(left) <= 5 and got.count()
     assert not any(os.path.exists(p.removeprefix("file://")) for p in used.paths)
+
+
+def test_fingerprints_and_trees_find_the_closest(spark):
+    """Near copies whose fingerprints are within the radius come from SimHash and BK-trees: each stands beside a set of its component of fingerprints."""
+    from sievekit.llm import near_copies
+    from sievekit.llm.common import materialize
+
+    rows = texts()
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    prints = materialize(near_copies.sketches(docs), "test-prints").filter("size > 0").dropDuplicates(["sid"])
+    fp = {r.sid: r.fp & (1 << 64) - 1 for r in prints.collect()}
+    got = {(r.sid, r.hub) for r in near_copies.fingerprint_spokes(prints, near_copies.Params()).collect()}
+    near = {(a, b) for a in fp for b in fp if b < a and (fp[a] ^ fp[b]).bit_count() <= 3}
+    size, root = {r.sid: r.size for r in prints.collect()}, {s: s for s in fp}
+    for a, b in near:
+        x, y = root[a], root[b]
+        root = {s: min(x, y) if r in (x, y) else r for s, r in root.items()}
+    assert len(got) > 20
+    assert got == {(s, r) for s, r in root.items() if s != r and 1000 * min(size[s], size[r]) >= 800 * max(size[s], size[r])}
