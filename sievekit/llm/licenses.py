@@ -87,25 +87,36 @@ def signature_rules() -> list[Rule]:
 COMMON = set("a an and any are as at be by can file for from has have in is it may must no not of on or org public same shall software terms that the this to under use version with you".split())
 
 
+def _pieces(runs: list[str]) -> set[str]:
+    """What may serve as the cue of an alternative with these literals."""
+    pieces = {p for r in runs for p in re.findall(r" ?[^ ]+ ?", r)}
+    longest = max(runs, key=len)
+    rare = {p for p in pieces if len(p.strip()) > 2 and p.strip() not in COMMON}
+    return rare or {f"{a}  {b}" for a, b in zip(longest.split(), longest.split()[1:])} or {longest}
+
+
 def cues(rules: list[Rule]) -> list[str]:
     """A few words, or parts of one, of which every match of any rule contains one: the one that most open alternatives have comes first.
 
     Two words together are a cue where an alternative has common words only.
     """
-    open_ = []
-    for rule in rules:
-        for runs in _literals(rule.pattern):
-            pieces = {p for r in runs for p in re.findall(r" ?[^ ]+ ?", r)}
-            rare = {p for p in pieces if len(p.strip()) > 2 and p.strip() not in COMMON}
-            longest = max(runs, key=len)
-            open_.append(rare or {f"{a}  {b}" for a, b in zip(longest.split(), longest.split()[1:])} or {longest})
+    open_ = [_pieces(runs) for rule in rules for runs in _literals(rule.pattern)]
     found = []
     while open_:
         many = Counter(p for pieces in open_ for p in pieces)
         best = max(many, key=lambda p: (many[p], len(p), p))
         found.append(best)
         open_ = [pieces for pieces in open_ if not any(best in p for p in pieces)]
-    return found
+    return [c for c in found if not any(o != c and o in c for o in found)]
+
+
+def _keywords_by_cue(rules: list[Rule]) -> dict[str, list[str]]:
+    """For each cue the keywords of the alternatives whose matches all contain it; each alternative counts under one cue."""
+    found = {c: set() for c in cues(rules)}
+    for rule in rules:
+        for keyword, runs in zip(rule.keywords, _literals(rule.pattern), strict=True):
+            found[next(c for c in found if any(c in p for p in _pieces(runs)))].add(keyword)
+    return {c: sorted(words) for c, words in found.items()}
 
 
 #: Characters that Unicode's lower case turns into a-z, and a letter that it leaves alone.
@@ -115,12 +126,12 @@ BEGIN, END = "\x01", "\x02"
 
 
 def words_column(text: Column) -> Column:
-    """The words with two blanks between them, A-Z in lower case.
+    """The array of words, A-Z in lower case.
 
     Letters beyond A-Z may be lower-cased as well: no rule and no phrase has one, and they are parts of words either way.
     """
     lower = F.lower(F.replace(F.replace(F.coalesce(text, F.lit("")), F.lit(KELVIN), F.lit(LEFT_ALONE)), F.lit(DOTTED_I), F.lit(LEFT_ALONE)))
-    return F.trim(F.regexp_replace(lower, NO_WORD, "  "))
+    return F.array_remove(F.split(lower, NO_WORD, -1), "")
 
 
 def _count_words(laid: Column) -> Column:
@@ -179,15 +190,22 @@ def detect(docs: DataFrame, rules: list[Rule] | None = None, gated: bool = True)
     listed = F.from_json(F.lit(json.dumps([r.__dict__ for r in rules])), schema)
     base_pattern = " (?:" + "|".join(p.replace(" ", "  ") for p, _ in BASE) + ") "
     laid, none = F.col("laid"), F.array().cast("array<string>")
-    keywords = sorted({w for r in rules for w in r.keywords})
+    by_cue = _keywords_by_cue(rules)
+    whole = [c for c in by_cue if re.fullmatch(" [^ ]+ ", c)]
+    strings = lambda xs: F.array(*map(F.lit, xs)).cast("array<string>")
     has = lambda pieces: reduce(or_, (F.contains(laid, F.lit(p)) for p in pieces), F.lit(False))
     df = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
-    df = df.withColumn("norm", words_column(F.col("row.text")))
-    df = df.withColumn("laid", F.when(F.col("norm") == "", "").otherwise(F.concat(F.lit(" "), F.col("norm"), F.lit(" ")))).drop("norm")
-    df = df.withColumn("n_words", _count_words(laid))
-    df = df.withColumn("parts", F.when(has(sorted({f" {p.split()[-1]} " for p, _ in BASE})), _marked(laid, F.lit(base_pattern))).otherwise(none))
-    hits = F.filter(F.array(*map(F.lit, keywords)).cast("array<string>"), lambda w: F.contains(laid, w))
-    df = df.withColumn("hits", F.when(has(cues(rules)), hits).otherwise(none) if gated else F.array(F.lit("")))
+    df = df.withColumn("words", words_column(F.col("row.text")))
+    df = df.withColumn("n_words", F.size("words").cast("long"))
+    df = df.withColumn("laid", F.when(F.col("n_words") == 0, "").otherwise(F.concat(F.lit(" "), F.array_join("words", "  "), F.lit(" "))))
+    last_words = strings(sorted({p.split()[-1] for p, _ in BASE}))
+    df = df.withColumn("parts", F.when(F.arrays_overlap("words", last_words), _marked(laid, F.lit(base_pattern))).otherwise(none))
+    # cues that are whole words are looked up among the words, the others in the layout; a keyword only where its cue was found
+    some = F.arrays_overlap("words", strings(c.strip() for c in whole)) | has(c for c in by_cue if c not in whole)
+    listed_cues = F.array(*(F.struct(F.lit(c).alias("cue"), strings(words).alias("keywords")) for c, words in by_cue.items()))
+    wanted = F.array_distinct(F.flatten(F.transform(F.filter(listed_cues, lambda c: F.contains(laid, c["cue"])), lambda c: c["keywords"])))
+    hits = F.filter(wanted, lambda w: F.contains(laid, w))
+    df = df.withColumn("hits", F.when(some, hits).otherwise(none) if gated else F.array(F.lit("")))
     running = F.filter(listed, lambda r: F.arrays_overlap(r["keywords"], F.col("hits"))) if gated else listed
     df = df.withColumn("raw", F.when(F.size("hits") > 0, F.array_sort(F.flatten(F.transform(running, lambda r: _intervals(laid, r))))))
     df = df.withColumn("detections", F.transform(_suppressed(F.col("raw")), lambda i: F.get("raw", i)))

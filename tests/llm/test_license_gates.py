@@ -60,3 +60,23 @@ def test_gated_and_ungated_detections_agree(spark):
     assert got == want and all(got.values())
     for i, label in enumerate(SHORT.values()):
         assert label in {d.label for d in got[i]}, (texts[i], got[i])
+
+
+def test_keywords_are_looked_for_where_their_cue_is():
+    """Every match of an alternative has its cue and, under that, its keyword; no cue is found wherever another one is; few keywords hang on one word."""
+    rules = licenses.signature_rules()
+    by_cue = licenses._keywords_by_cue(rules)
+    assert {w for words in by_cue.values() for w in words} == {w for r in rules for w in r.keywords}
+    assert not any(a != b and a in b for a in by_cue for b in by_cue)
+    for rule, s in samples():
+        assert any(c in s and any(w in s and w in rule.keywords for w in words) for c, words in by_cue.items()), (rule, s)
+    assert len(by_cue[" mit "]) < 20
+
+
+def test_words_and_layout(spark):
+    """Words at the edges, none at all, and blanks that are no word."""
+    texts = ["--MIT, license--", "", None, " \n", "é-1", "a"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = [tuple(r) for r in docs.orderBy("doc_id").select(licenses.words_column(F.col("text"))).collect()]
+    assert got == [(["mit", "license"],), ([],), ([],), ([],), (["é", "1"],), (["a"],)]
+    assert [r.n_words for r in licenses.scan(docs).orderBy("doc_id").collect()] == [2, 0, 0, 0, 2, 1]
