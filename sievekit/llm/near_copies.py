@@ -155,7 +155,8 @@ def alike(edges: DataFrame, sets: DataFrame, params: Params) -> DataFrame:
     cells = edges.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / params.block).cast("int").alias("cells"))
     spokes = edges.join(cells, "hub").select("hub", F.pmod(F.xxhash64("sid"), F.col("cells")).cast("int").alias("cell"), F.lit(1).alias("turn"), "sid")
     own = cells.select("hub", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)).alias("cell"), F.lit(0).alias("turn"), F.col("hub").alias("sid"))
-    rows = join_counted(sets, spokes.unionByName(own), "sid").select("hub", "cell", "turn", "sid", "hashes")
+    most = 2 * edges.count()  # no hub has more cells than edges
+    rows = join_counted(sets, spokes.unionByName(own), "sid", rows=most).select("hub", "cell", "turn", "sid", "hashes")
 
     def compare(batches):
         at, whole = None, None
@@ -230,23 +231,23 @@ def links(docs: DataFrame, nodes: DataFrame, params: Params = Params()) -> DataF
     close = materialize(alike(by_print, sets, params), "near-links", 200)
     roots = roots_of(close)
     apart = materialize(_apart(spokes, roots).select("sid", "hub"), "near-spokes")
-    drop(docs.sparkSession, by_print, roots, spokes)
+    drop(docs.sparkSession, by_print, close, spokes)
     spokes = apart
     first = materialize(spokes.groupBy("sid").agg(F.min("hub").alias("hub")), "near-first")
-    found = materialize(close.unionByName(alike(first, sets, params)), "near-links", 200)
-    drop(docs.sparkSession, close)
+    found = materialize(_stars(roots).unionByName(alike(first, sets, params)), "near-links", 200)
+    drop(docs.sparkSession, roots)
     roots = roots_of(found)
     # what is left of the spokes
     rest = spokes.join(first, ["sid", "hub"], "left_anti")
     rest = materialize(_apart(rest, roots).select("sid", "hub"), "near-spokes")
-    more = materialize(found.unionByName(alike(rest, sets, params)), "near-links", 200)
+    more = materialize(_stars(roots).unionByName(alike(rest, sets, params)), "near-links", 200)
     drop(docs.sparkSession, found, roots, spokes, first, rest)
     roots = roots_of(more)
     others = groups.filter("sid <> hub").select("key", "sid", "size").join(roots, "sid", "left").withColumn("root", F.coalesce("root", "sid"))
     mixed = others.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("c"), F.bit_xor(F.xxhash64("sid")).alias("x")).filter("lo <> hi")
     once = mixed.groupBy("c", "x").agg(F.min("key").alias("key")).select("key")  # bands with the same members
     open_ = materialize(groups.filter("sid <> hub").select("key", "sid", "size").join(once, "key"), "near-open")
-    out = materialize(more.unionByName(alike_within(open_, sets, params)), "near-links", 200)
+    out = materialize(_stars(roots).unionByName(alike_within(open_, sets, params)), "near-links", 200)
     drop(docs.sparkSession, groups, sets, more, roots, open_)
     return out
 
@@ -256,6 +257,11 @@ def roots_of(edges: DataFrame) -> DataFrame:
     return components(edges).withColumnRenamed("fp", "sid")
 
 
+def _stars(roots: DataFrame) -> DataFrame:
+    """Links (a, b) that connect what roots (sid, root) has connected."""
+    return roots.select(F.col("sid").alias("a"), F.col("root").alias("b"))
+
+
 def _apart(edges: DataFrame, roots: DataFrame) -> DataFrame:
     """The edges (sid, hub) whose ends have different roots (a set without one is its own)."""
     named = edges.join(roots.withColumnRenamed("root", "ra"), "sid", "left").join(roots.select(F.col("sid").alias("hub"), F.col("root").alias("rb")), "hub", "left")

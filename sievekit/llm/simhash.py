@@ -196,26 +196,31 @@ def links(nodes: DataFrame, params: Params = Params()) -> DataFrame:
     return ordered.select(*names, "fp").mapInArrow(search, "a long, b long").distinct()
 
 
+def are_stars(edges: DataFrame) -> bool:
+    """Whether each a of edges (a, b) has one b, which is no a itself."""
+    ends = F.explode(F.array(F.struct(F.col("a").alias("v"), F.lit(1).alias("up")), F.struct(F.col("b").alias("v"), F.lit(0).alias("up"))))
+    seen = edges.select(ends.alias("e")).groupBy("e.v").agg(F.sum("e.up").alias("ups"), F.min("e.up").alias("least"))
+    return seen.filter("ups > 1 OR (ups = 1 AND least = 0)").isEmpty()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(fp, root) for every fingerprint in edges (a, b), root the smallest of its component.
 
-    Rounds of large-star and small-star; each leaves a written table, and the rounds end when nothing changes.
-    Their number grows with the logarithm of the components' size.
+    Rounds of large-star and small-star, until only stars are left, which a round would not change. Their number
+    grows with the logarithm of the components' size. Each half of a round leaves a written table, so that nothing
+    is computed twice and plans stay small: planning is most of what the rounds take of the driver's memory.
     """
     now = materialize(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct(), "links")
-    seen = None
-    while True:
-        both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.join(low, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+    while not are_stars(now):
+        both = F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"))))
+        low = now.select(both.alias("e")).groupBy(F.col("e.a").alias("b")).agg(F.least(F.min("e.b"), F.col("b")).alias("m"))
+        large = materialize(now.join(low, "b").select("a", F.col("m").alias("b")), "links")
+        drop(edges.sparkSession, now)
         low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").select(F.col("b").alias("x"), "m").unionByName(low.select(F.col("a").alias("x"), "m"))
-        before, now = now, materialize(small.filter("x <> m").select(F.col("x").alias("a"), F.col("m").alias("b")).distinct(), "links")
-        drop(edges.sparkSession, before)
-        state = tuple(now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
-        if state == seen:
-            return now.select(F.col("a").alias("fp"), F.col("b").alias("root"))
-        seen = state
+        small = large.join(low, "a").select(F.explode(F.array("b", "a")).alias("a"), F.col("m").alias("b"))
+        now = materialize(small.filter("a <> b").distinct(), "links")
+        drop(edges.sparkSession, large)
+    return now.select(F.col("a").alias("fp"), F.col("b").alias("root"))
 
 
 def group(prints: DataFrame, params: Params = Params()) -> DataFrame:

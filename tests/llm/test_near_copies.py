@@ -125,3 +125,26 @@ def test_fingerprints_and_trees_find_the_closest(spark):
         root = {s: min(x, y) if r in (x, y) else r for s, r in root.items()}
     assert len(got) > 20
     assert got == {(s, r) for s, r in root.items() if s != r and 1000 * min(size[s], size[r]) >= 800 * max(size[s], size[r])}
+
+
+def test_components_plan_little(spark):
+    """Components are those of a plain search; edges that are stars already cost no round, and a long path and a dense graph few jobs."""
+    from sievekit.llm.simhash import components
+
+    rng = random.Random(4)
+    stars = [(10 * i + k, 10 * i) for i in range(40) for k in range(1, 9)]
+    path = [(k + 1, k) for k in range(1000, 1200)]
+    mess = [(rng.randrange(-500, 0), rng.randrange(-500, 0)) for _ in range(700)] + [(-7, -7), (-8, -9), (-9, -8)]
+    sc = spark.sparkContext
+    for edges, most in ((stars, 6), (stars + path + mess, 80), ([], 6)):
+        root = {v: v for e in edges for v in e}
+        for a, b in edges:
+            x, y = root[a], root[b]
+            root = {v: min(x, y) if r in (x, y) else r for v, r in root.items()} if x != y else root
+        rows = spark.createDataFrame(rng.sample(edges, len(edges)), "a long, b long").repartition(5)
+        sc.setJobGroup(f"components-{most}-{len(edges)}", "")
+        got = components(rows)
+        jobs = len(sc.statusTracker().getJobIdsForGroup(f"components-{most}-{len(edges)}"))
+        sc.setLocalProperty("spark.jobGroup.id", None)
+        assert Counter((r.fp, r.root) for r in got.collect()) == Counter((v, r) for v, r in root.items() if v != r)
+        assert 0 < jobs <= most
