@@ -44,3 +44,12 @@ def test_all_pairs_are_not_written(spark, rows, written):
     got = pairs(distance.all_pairs_l2(spark.createDataFrame(rows, SHAPE)))
     assert got == pytest.approx(expected(rows, "l2", True), abs=2e-9)
     assert written and not any("id_a" in columns for columns in written)
+
+
+def test_gram_is_not_written(spark, rows, written):
+    df = spark.createDataFrame(rows, SHAPE)
+    assert pairs(distance.gram(df)) == pytest.approx(expected(rows, "mean_dot", False), abs=2e-9)
+    assert written and not any("id_a" in columns for columns in written)
+    other = df.filter("sample_id % 2 = 0")
+    assert distance.gram(df, other).count() == 70 * other.count()
+    assert distance.gram(df.limit(0)).collect() == [] and distance.gram(df, other.limit(0)).collect() == []
