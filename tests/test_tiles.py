@@ -53,3 +53,9 @@ def test_gram_is_not_written(spark, rows, written):
     other = df.filter("sample_id % 2 = 0")
     assert distance.gram(df, other).count() == 70 * other.count()
     assert distance.gram(df.limit(0)).collect() == [] and distance.gram(df, other.limit(0)).collect() == []
+
+
+def test_affinity_is_not_written(spark, rows, written):
+    got = pairs(distance.affinity(spark.createDataFrame(rows, SHAPE), 0.5))
+    assert got == pytest.approx(expected(rows, "abs_cos", True, lambda d: (1 - d) / 0.5), abs=4e-9)
+    assert written and not any("id_a" in columns for columns in written)
