@@ -2,9 +2,11 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from sievekit import queries as Q
 from sievekit.functions.arrays import NUMPY_METRICS
-from sievekit.operators import blocks, distance
+from sievekit.operators import blocks, cluster, distance, select
 from sievekit.sources.tables import cut
 
 SHAPE = "sample_id long, label int, vec array<double>"
@@ -59,3 +61,22 @@ def test_affinity_is_not_written(spark, rows, written):
     got = pairs(distance.affinity(spark.createDataFrame(rows, SHAPE), 0.5))
     assert got == pytest.approx(expected(rows, "abs_cos", True, lambda d: (1 - d) / 0.5), abs=4e-9)
     assert written and not any("id_a" in columns for columns in written)
+
+
+def forbidden(*_, **__):
+    raise AssertionError("a frame of pairs")
+
+
+def test_greedy_similarity_forms_no_pairs(spark, rows, written, monkeypatch):
+    for module in (cluster, distance):
+        monkeypatch.setattr(module, "pairs", forbidden, raising=False)
+    rows = [r for n, r in enumerate(rows) if n != 60]
+    got = [r.sample_id for r in cluster.greedy_similarity(spark.createDataFrame(rows, SHAPE), 4).orderBy("step").collect()]
+    ids, x = np.array([r[0] for r in rows]), np.array([r[2] for r in rows])
+    total, want = np.zeros(5), []
+    for _ in range(4):
+        mean = np.round(np.abs(np.round((x + total) @ x.T / 5, 9)).mean(1), 9)
+        mean[np.isin(ids, want)] = -1
+        want.append(int(min(ids[mean == mean.max()])))
+        total = total + x[ids == want[-1]][0]
+    assert got == want
