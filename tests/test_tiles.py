@@ -93,3 +93,17 @@ def test_coreset_counts_form_no_pairs(spark, rows, monkeypatch):
     got = sorted(tuple(r) for r in select.coreset_counts(df, picks).collect())
     assert got == want and sum(n for _, n in got) == 70
     assert Q.l24_coreset_gamma(spark, "/root/testdata/sf0.001").count() == 20
+
+
+@pytest.mark.parametrize("metric", ["l2", "abs_cos"])
+def test_silhouette_writes_no_sums(spark, rows, written, metric):
+    rows = [(i, y, v) for n, (i, y, v) in enumerate(rows) if n != 60]
+    df = spark.createDataFrame(rows, SHAPE)
+    got = {r.sample_id: r.score for r in cluster.silhouette(df, df.withColumn("cluster_id", F.col("label")), metric).collect()}
+    y, x = np.array([r[1] for r in rows]), np.array([r[2] for r in rows])
+    far = NUMPY_METRICS[metric](x, x)
+    for n, (i, _, _) in enumerate(rows):
+        own = (y == y[n]) & (np.arange(len(x)) != n)
+        a, b = far[n][own].mean(), min(far[n][y == c].mean() for c in set(y) - {y[n]})
+        assert got[i] == pytest.approx((b - a) / max(a, b), abs=1e-7)
+    assert not any("theirs" in columns for columns in written)
