@@ -87,6 +87,13 @@ class Cells:
         sure[zero] = math.inf
         return low, first, sure
 
+    def open(self, x: np.ndarray, bound: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """Rows x cells: whether a cell besides the first may hold something within a row's bound. That of zeros always may."""
+        low = np.where(self.zero(x)[:, None], 0.0, self.distances(x) - self.radius[:-1])
+        out = np.concatenate([low <= (bound * (1 + SLACK) + SLACK)[:, None], np.ones((len(x), 1), bool)], axis=1)
+        out[np.arange(len(x)), first] = False
+        return out & (self.rows > 0)
+
 
 def _cells(chosen: DataFrame, metric: str, pivots: int, rows: int) -> tuple[DataFrame, Cells]:
     """The set (sample_id, vec), packed by cell, and what is known of the cells."""
@@ -127,22 +134,76 @@ def _first(queries: DataFrame, cells: Cells, k: int) -> DataFrame:
     return cut(queries.mapInArrow(run, "sample_id long, vec array<double>, cell long, bound double"))
 
 
+class _Best:
+    """The k nearest so far of the rows of a block, those within a limit for each row."""
+
+    def __init__(self, ids: np.ndarray, k: int, limit: np.ndarray):
+        self.ids, self.k, self.limit = ids, k, np.array(limit)
+        self.rows, self.near, self.dist = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        self.new: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+    def add(self, rows: np.ndarray, near: np.ndarray, far: np.ndarray) -> None:
+        """far: the values of these rows with these rows of the set."""
+        limit = self.limit[rows]
+        bounded = np.isfinite(limit).all()
+        i, j = np.nonzero(far <= limit[:, None]) if bounded else _smallest(far, near, self.k)
+        self.new.append((rows[i], near[j], far[i, j]))
+        if not bounded or sum(len(i) for i, _, _ in self.new) > 4 * self.k * len(self.ids):
+            self.settle()
+
+    def settle(self) -> None:
+        rows, near, dist = (np.concatenate(x) for x in zip((self.rows, self.near, self.dist), *self.new, strict=True))
+        order = np.lexsort((near, dist, rows))
+        rows, near, dist = rows[order], near[order], dist[order]
+        begin = np.flatnonzero(np.r_[True, rows[1:] != rows[:-1]]) if len(rows) else np.zeros(0, np.int64)
+        place = np.arange(len(rows)) - np.repeat(begin, np.diff(np.r_[begin, len(rows)]))
+        last = place == self.k - 1
+        self.limit[rows[last]] = np.minimum(self.limit[rows[last]], dist[last])
+        kept = place < self.k
+        self.rows, self.near, self.dist, self.new = rows[kept], near[kept], dist[kept], []
+
+    def batches(self):
+        self.settle()
+        yield from blocks.batches([self.ids[self.rows], self.near, self.dist], ["sample_id", "near_id", "dist"])
+
+
+_FOUND = "sample_id long, near_id long, dist double"
+
+
 def _met(asked: DataFrame, packed: DataFrame, cells: Cells, k: int) -> DataFrame:
-    """(sample_id, near_id, dist): the k nearest of each asked row in each block of its cell; asked: packed by cell."""
-    left = asked.select("cell", F.col("n").alias("qn"), F.col("vec").alias("q"), F.col("sample_id").alias("qid"))
-    both = left.join(packed.select("cell", F.col("n").alias("cn"), F.col("vec").alias("c"), F.col("sample_id").alias("cid")), "cell")
+    """(sample_id, near_id, dist), written: the k nearest of each asked row in each stripe of its cell; asked: packed by cell."""
     metric = cells.metric
 
-    def run(incoming):
-        for batch in incoming:
-            for row in batch.to_pylist():
-                x, y = (np.frombuffer(row[c], np.float64).reshape(row[f"{c}n"], -1) for c in "qc")
-                ids, own = np.frombuffer(row["cid"], np.int64), np.frombuffer(row["qid"], np.int64)
-                far = _value(x, y, metric)
-                i, j = _smallest(far, ids, k)
-                yield from blocks.batches([own[i], ids[j], far[i, j]], ["sample_id", "near_id", "dist"])
+    def work(_, a, b):
+        for x in a:
+            best = _Best(x["sample_id"], k, np.full(len(x["vec"]), math.inf))
+            for y in b:
+                best.add(np.arange(len(x["vec"])), y["sample_id"], _value(x["vec"], y["vec"], metric))
+            yield from best.batches()
+
+    return cut(blocks.tiles(asked, packed, {"sample_id": "i8"}, work, _FOUND, ["cell"]))
 
-    return cut(both.mapInArrow(run, "sample_id long, near_id long, dist double"), blocks.BATCH)
+
+def _met_open(asked: DataFrame, packed: DataFrame, cells: Cells, k: int) -> DataFrame:
+    """(sample_id, near_id, dist), written: the k nearest of each asked row in each stripe's cells that are open to it, as far as they are no farther than its kth; asked: packed by first cell, with bound and kth."""
+    shared = asked.sparkSession.sparkContext.broadcast(cells)
+
+    def work(_, a, b):
+        known = shared.value
+        for x in a:
+            open_ = known.open(x["vec"], x["bound"], np.full(len(x["vec"]), x["cell"]))
+            best = _Best(x["sample_id"], k, x["kth"])
+            for y in b:
+                rows = np.flatnonzero(open_[:, y["cell"]])
+                if len(rows):
+                    best.add(rows, y["sample_id"], _value(x["vec"] if len(rows) == len(x["vec"]) else x["vec"][rows], y["vec"], known.metric))
+            yield from best.batches()
+
+    columns = {"sample_id": "i8", "bound": "f8", "kth": "f8"}
+    of = packed.withColumn("bound", F.lit(None).cast("binary")).withColumn("kth", F.lit(None).cast("binary"))
+    out = cut(blocks.tiles(asked, of, columns, work, _FOUND, also=["cell"]))
+    shared.destroy()
+    return out
 
 
 def _smallest(far: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -168,30 +229,21 @@ def _best(found: DataFrame, k: int) -> DataFrame:
     return found.withColumn("__r", F.row_number().over(order)).filter(F.col("__r") <= k).drop("__r")
 
 
-def _rest(bounded: DataFrame, cells: Cells, k: int) -> DataFrame:
-    """(sample_id, vec, cell) of the cells besides the first that may still hold one of a row's k nearest; bounded: (sample_id, vec, cell, bound)."""
+def _rest(bounded: DataFrame, cells: Cells) -> DataFrame:
+    """The rows (sample_id, vec, cell, bound, kth) that cells besides the first may still hold one of the k nearest of, and pairs, the rows of these cells; written."""
     shared = bounded.sparkSession.sparkContext.broadcast(cells)
 
     def run(incoming):
+        known = shared.value
         for batch in incoming:
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)
-                x = blocks.matrix(part.column(1))
-                known = shared.value
-                low, _, _ = known.bounds(x, k)
-                bound = part.column(3).to_numpy(zero_copy_only=False)
-                open_ = low <= (bound * (1 + SLACK) + SLACK)[:, None]
-                open_[np.arange(len(x)), part.column(2).to_numpy()] = False
-                open_ &= known.rows[:-1] > 0
-                if known.rows[_ZERO]:
-                    open_ = np.concatenate([open_, np.ones((len(x), 1), bool)], axis=1)
-                i, j = np.nonzero(open_)
-                for begin in range(0, len(i), 4000):
-                    p, q = i[begin : begin + 4000], j[begin : begin + 4000]
-                    cell = np.where(q == len(known.pivots), _ZERO, q)
-                    yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(p)), part.column(1).take(pa.array(p)), pa.array(cell)], names=["sample_id", "vec", "cell"])
-
-    return bounded.select("sample_id", "vec", "cell", "bound").mapInArrow(run, "sample_id long, vec array<double>, cell long")
+                open_ = known.open(blocks.matrix(part.column(1)), part.column(3).to_numpy(zero_copy_only=False), part.column(2).to_numpy())
+                pairs = open_ @ known.rows
+                kept = pa.array(np.flatnonzero(pairs))
+                yield pa.RecordBatch.from_arrays([*(c.take(kept) for c in part.columns), pa.array(pairs[pairs > 0])], names=[*part.schema.names, "pairs"])
+
+    return cut(bounded.mapInArrow(run, "sample_id long, vec array<double>, cell long, bound double, kth double, pairs long"))
 
 
 def _bound_of(dist, metric: str, longest: float, norm):
@@ -228,8 +280,9 @@ def nearest(queries: DataFrame, chosen: DataFrame, k: int = 1, metric: str = "l2
     better = F.when(F.col("far").isNotNull(), F.least("bound", _bound_of(F.col("far"), metric, cells.longest, norm))).otherwise(F.col("bound"))
     if metric in ("neg_cos", "abs_cos"):
         better = F.when(norm == 0, F.lit(math.inf)).otherwise(better)
-    rest = blocks.pack(_rest(joined.select("sample_id", "vec", "cell", better.alias("bound")), cells, k), {"sample_id": "i8"}, ["cell"], rows)
+    rest = _rest(joined.select("sample_id", "vec", "cell", better.alias("bound"), F.coalesce("far", F.lit(math.inf)).alias("kth")), cells)
     if work is not None:
-        size = lambda side: sum(r["n"] * int(cells.rows[r["cell"]]) for r in side.groupBy("cell").agg(F.sum("n").alias("n")).collect())
-        work["pairs"], work["all"] = size(first) + size(rest), asked.count() * int(cells.rows.sum())
-    return _best(near.unionByName(_met(rest, packed, cells, k)), k)
+        size = sum(r["n"] * int(cells.rows[r["cell"]]) for r in first.groupBy("cell").agg(F.sum("n").alias("n")).collect())
+        work["pairs"], work["all"] = size + (rest.agg(F.sum("pairs")).first()[0] or 0), asked.count() * int(cells.rows.sum())
+    open_ = blocks.pack(rest, {"sample_id": "i8", "bound": "f8", "kth": "f8"}, ["cell"], rows)
+    return _best(near.unionByName(_met_open(open_, packed, cells, k)), k)

@@ -67,3 +67,14 @@ def test_ragged_vectors_are_an_error(spark):
         distance.gram(rows).collect()
     with pytest.raises(Exception, match="several widths"):
         distance.assign(rows, rows.limit(1).withColumnRenamed("sample_id", "cluster_id")).collect()
+
+
+def test_rows_are_not_copied_for_each_cell(spark, monkeypatch):
+    """Where nothing can be ruled out, a row is written once for all cells that stay open to it."""
+    rng, most, pack = np.random.default_rng(9), [], nearest.blocks.pack
+    x = rng.normal(size=(300, 24))
+    monkeypatch.setattr(nearest.blocks, "pack", lambda df, *a, **b: most.append(df.count()) or pack(df, *a, **b))
+    got = nearest.nearest(frame(spark, x), frame(spark, x), 3, "abs_cos", rows=40).collect()
+    far = NUMPY_METRICS["abs_cos"](x, x)
+    assert {(r.sample_id, r.near_id) for r in got} == {(i, int(j)) for i in range(300) for j in np.lexsort((np.arange(300), far[i]))[:3]}
+    assert max(most) == 300
