@@ -53,3 +53,16 @@ def test_one_row_and_equal_rows(spark):
     df = cut(spark.createDataFrame(rows, "label int, sample_id long, vec array<double>"))
     got = facility.lazy(df, {0: 3, 1: 5}, rows=4).collect()
     assert [(r.label, r.sample_id, r.gain) for r in got] == [(0, 0, 0.0), (0, 1, 0.0), (0, 2, 0.0), (1, 99, 0.0)]
+
+
+def test_all_are_measured_where_bounds_settle_nothing(spark, monkeypatch):
+    """After the first pick its bounds say nothing of the gains that are left: a class is measured at once, not some candidates a job."""
+    monkeypatch.setattr(facility, "RENEW", 3)
+    monkeypatch.setattr(facility, "MEASURED", 2)
+    jobs, measure = [], facility._measure
+    monkeypatch.setattr(facility, "_measure", lambda *a: jobs.append(1) or measure(*a))
+    rows, goals = classes(), {0: 3, 1: 3, 2: 3}
+    df = cut(spark.createDataFrame(rows, "label int, sample_id long, vec array<double>"))
+    got = [tuple(r) for r in facility.lazy(df, goals, rows=60).collect()]
+    assert got == [(y, i, s, pytest.approx(g, abs=1e-6)) for y, i, s, g in plain(rows, goals)]
+    assert len(jobs) <= 12  # 60 and more, two candidates a job
