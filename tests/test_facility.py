@@ -66,3 +66,14 @@ def test_all_are_measured_where_bounds_settle_nothing(spark, monkeypatch):
     got = [tuple(r) for r in facility.lazy(df, goals, rows=60).collect()]
     assert got == [(y, i, s, pytest.approx(g, abs=1e-6)) for y, i, s, g in plain(rows, goals)]
     assert len(jobs) <= 12  # 60 and more, two candidates a job
+
+
+def test_supervised_ends_classes_that_cannot_be_among_the_first(spark):
+    rng = random.Random(7)
+    rows = [(y, 1000 * y + i, [rng.gauss(0, 1) + (9 if j == 0 and i == 0 else 0) for j in range(6)]) for y in range(4) for i in range(90)]
+    df, measured = spark.createDataFrame(rows, "label int, sample_id long, vec array<double>"), {}
+    want = sorted(((y, i, s, g) for y, i, s, g in plain(rows, dict.fromkeys(range(4), 3))), key=lambda r: (-r[3], r[0], r[2]))[:3]
+    got = [tuple(r) for r in facility.supervised(df, 3, 40).collect()]
+    assert got == [(y, i, s, pytest.approx(g, abs=1e-6)) for y, i, s, g in want]
+    facility.lazy(cut(df), dict.fromkeys(range(4), 3), rows=30, measured=measured, overall=3).collect()
+    assert not measured
