@@ -107,3 +107,15 @@ def test_silhouette_writes_no_sums(spark, rows, written, metric):
         a, b = far[n][own].mean(), min(far[n][y == c].mean() for c in set(y) - {y[n]})
         assert got[i] == pytest.approx((b - a) / max(a, b), abs=1e-7)
     assert not any("theirs" in columns for columns in written)
+
+
+def test_class_similarity_is_not_written(spark, rows, written):
+    rows = [*rows, (5000, 7, [1.0] * 5)]  # alone in its class
+    df = spark.createDataFrame([*rows, (5001, None, [1.0] * 5)], SHAPE)
+    frame = distance.class_similarity(df)
+    got = np.array(sorted(tuple(r) for r in frame.collect()))
+    assert written and not any("id_a" in columns for columns in written)
+    assert "Window" not in frame._jdf.queryExecution().toString()
+    d = [(y, min(i, j), max(i, j), sum((p - q) ** 2 for p, q in zip(v, w))) for n, (i, y, v) in enumerate(rows) for j, z, w in rows[n + 1 :] if y == z and i != j]
+    top = {y: max(r[3] for r in d if r[0] == y) for y, *_ in d}
+    assert got == pytest.approx(np.array(sorted((y, i, j, top[y] - s) for y, i, j, s in d)), abs=2e-9)
