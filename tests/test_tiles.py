@@ -119,3 +119,11 @@ def test_class_similarity_is_not_written(spark, rows, written):
     d = [(y, min(i, j), max(i, j), sum((p - q) ** 2 for p, q in zip(v, w))) for n, (i, y, v) in enumerate(rows) for j, z, w in rows[n + 1 :] if y == z and i != j]
     top = {y: max(r[3] for r in d if r[0] == y) for y, *_ in d}
     assert got == pytest.approx(np.array(sorted((y, i, j, top[y] - s) for y, i, j, s in d)), abs=2e-9)
+
+
+def test_label_kernel_shuffles_lists(spark, rows):
+    df = spark.createDataFrame([*rows, (5000, 7, [1.0] * 5), (5001, None, [1.0] * 5)], SHAPE)
+    frame = distance.label_kernel(df, rows=9)
+    want = sorted((min(i, j), max(i, j)) for n, (i, y, _) in enumerate(rows) for j, z, _ in rows[n + 1 :] if y == z and i != j)
+    assert sorted(tuple(r) for r in frame.collect()) == want
+    assert sorted(tuple(r) for r in distance.label_kernel(df).collect()) == want
